@@ -12,18 +12,20 @@ WHITE_SPACE = (
 )
 
 
-def _stripped(c: Column | str, also: str = "") -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    out = F.translate(F.upper(c), WHITE_SPACE + also, "")
-    return F.when(F.length(out) > 0, out)
+def _letters(c: Column | str, swap: tuple[str, str] = ("", "")) -> Column:
+    """Upper case without white space and ``*``; only texts that hold other characters than
+    capital letters (or the swapped one) pay for the character-wise translation."""
+    c = F.upper(F.col(c) if isinstance(c, str) else c)
+    other = "[^A-Z]" if not swap[0] else f"[^A-Z]|{swap[0]}"
+    out = F.when(c.rlike(other), F.translate(c, swap[0] + WHITE_SPACE + "*", swap[1])).otherwise(c)
+    return F.nullif(out, F.lit(""))
 
 
 def protein_key(c: Column | str) -> Column:
     """Protein without case, white space and ``*``; null when nothing is left."""
-    return _stripped(c, "*")
+    return _letters(c)
 
 
 def sequence_key(c: Column | str) -> Column:
     """Coding sequence without case, white space and ``*``, with T for U; null when empty."""
-    out = F.translate(_stripped(c, "*"), "U", "T")
-    return out
+    return _letters(c, ("U", "T"))

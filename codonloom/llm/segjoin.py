@@ -23,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HASH_MULT = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_BITS = 22
+HASH_MULT = np.uint32(0x9E3779B1)
+BUCKET_BITS = 22
 EXPAND_ROWS = 1 << 21
 
 
 class Pack:
     """A block of texts as one code array; texts are addressed by their index."""
 
-    __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes", "profiles")
+    __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes")
 
     def __init__(self, uid: np.ndarray, txt: pa.Array):
         self.uid, self.txt = uid, txt
@@ -44,20 +44,26 @@ class Pack:
         self.off = np.concatenate([[0], np.cumsum(self.length)])
         self.owner = np.repeat(np.arange(len(uid), dtype=np.int32), self.length)
         self.hashes: dict[int, np.ndarray] = {}
-        self.profiles: dict[int, int] = {}
+
+    def _raw(self, q: int, made: dict[int, np.ndarray]) -> np.ndarray:
+        """Polynomial hash of q letters, doubled from the hash of half as many."""
+        if q not in made:
+            if q == 1:
+                made[1] = self.codes.astype(np.uint32) + np.uint32(1)
+            else:
+                low = 1 << ((q - 1).bit_length() - 1)  # the largest power of two below q
+                head, tail = self._raw(low, made), self._raw(q - low, made)
+                n = max(0, len(self.codes) - q + 1)
+                factor = np.uint32(pow(int(HASH_MULT), q - low, 1 << 32))
+                made[q] = head[:n] * factor + tail[low : low + n]
+        return made[q]
 
     def qhash(self, q: int, keep: bool) -> np.ndarray:
         """Hash of the q letters from each position on (also across text ends; see ``inside``)."""
         if q in self.hashes:
             return self.hashes[q]
-        n = max(0, len(self.codes) - q + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(q):
-            h *= HASH_MULT
-            h += self.codes[i : i + n]
-            h += np.uint64(1)
-        h ^= h >> np.uint64(31)
-        h *= HASH_MULT
+        h = self._raw(q, {})
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         if keep:
             self.hashes[q] = h
         return h
@@ -66,18 +72,18 @@ class Pack:
         return self.owner[at] == self.owner[at + q - 1]
 
     def profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed q-gram counts of the texts ``which`` and a flag for saturated rows."""
+        """Hashed q-gram counts of the texts ``which`` and a flag for saturated rows; ``dims``
+        is a power of two."""
         out = np.zeros((len(which), dims), dtype=np.uint8)
         full = np.zeros(len(which), dtype=bool)
-        h = self.qhash(q, keep=False) % np.uint64(dims)
-        step = 512
-        for s in range(0, len(which), step):
-            ids = which[s : s + step]
-            lens = np.maximum(self.length[ids] - q + 1, 0)
-            rows, at = _ranges(self.off[ids], lens)
-            counts = np.bincount(rows * dims + h[at].astype(np.int64), minlength=len(ids) * dims).reshape(len(ids), dims)
-            full[s : s + step] = counts.max(axis=1, initial=0) > 255
-            out[s : s + step] = np.minimum(counts, 255)
+        slot = (self.qhash(q, keep=True) & np.uint32(dims - 1)).astype(np.int32)
+        for r, i in enumerate(which):
+            end = max(self.off[i], self.off[i + 1] - q + 1)
+            counts = np.bincount(slot[self.off[i] : end], minlength=dims)
+            if len(slot) and end - self.off[i] > 255 and counts.max() > 255:
+                full[r] = True
+                counts = np.minimum(counts, 255)
+            out[r] = counts
         return out, full
 
 
@@ -110,9 +116,11 @@ class Segments:
             order = np.argsort(h)
             pick = pick[order]
             h = h[order]
-            bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-            bitmap[h >> np.uint64(64 - BITMAP_BITS)] = True
-            self.by_q[int(q)] = (h, row[pick], j[pick], start[pick], bitmap)
+            bucket = h >> np.uint32(32 - BUCKET_BITS)
+            first = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint32)).astype(np.int32)
+            held = np.zeros(1 << BUCKET_BITS, dtype=bool)
+            held[bucket] = True
+            self.by_q[int(q)] = (h, row[pick], j[pick], start[pick], held, first)
 
     def matches(self, other: Pack, strict: bool, same: bool, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(index here, index in other) of texts here with a shorter or equal one there that
@@ -120,15 +128,13 @@ class Segments:
         ``same``: both sides hold the same table, ties go to the smaller uid here."""
         if not len(self.pack.uid) or not len(other.uid):
             return
-        for q, (hs, seg_row, seg_j, seg_start, bitmap) in self.by_q.items():
+        for q, (hs, seg_row, seg_j, seg_start, held, first) in self.by_q.items():
             h = other.qhash(q, keep=keep)
-            at = np.flatnonzero(bitmap[h >> np.uint64(64 - BITMAP_BITS)])
+            at = np.flatnonzero(held[h >> np.uint32(32 - BUCKET_BITS)])
             at = at[other.inside(at, q)]
-            hv = h[at]
-            lo = np.searchsorted(hs, hv, side="left")
-            cnt = np.searchsorted(hs, hv, side="right") - lo
-            live = np.flatnonzero(cnt)
-            at, lo, cnt = at[live], lo[live], cnt[live]
+            bucket = h[at] >> np.uint32(32 - BUCKET_BITS)
+            lo = first[bucket].astype(np.int64)
+            cnt = first[bucket + np.uint32(1)] - lo
             cum = np.cumsum(cnt)
             s = 0
             while s < len(at):
@@ -136,6 +142,8 @@ class Segments:
                 e = max(s + 1, int(np.searchsorted(cum, done + EXPAND_ROWS, side="right")))
                 rows, seg = _ranges(lo[s:e], cnt[s:e])
                 pos = at[s:e][rows]
+                exact = hs[seg] == h[pos]
+                seg, pos = seg[exact], pos[exact]
                 theirs = other.owner[pos].astype(np.int64)
                 mine = seg_row[seg]
                 delta = other.length[theirs] - self.pack.length[mine]
@@ -262,19 +270,19 @@ def edit_pairs(
     q: int,
     dims: int = 4096,
     same: bool = False,
-    home_letters: int = 2_000_000,
+    home_letters: int = 6_000_000,
     other_letters: int = 8_000_000,
-    chunk_letters: int = 2_000_000,
-    chunk_rows: int = 8192,
+    chunk_letters: int = 4_000_000,
+    chunk_rows: int = 16_384,
 ) -> DataFrame:
-    """All pairs of neighbouring texts, verified: ``kind, uid_a, uid_b, dist``.
+    """All pairs of neighbouring texts, verified: ``kind, uid_a, uid_b, dist, txt_a, txt_b``.
 
     texts: ``kind int, uid long, txt string`` (distinct, not empty, uid unique in its kind) and
     booleans ``home`` and ``other``; pairs join a home text (a) with an other text (b).  With
     ``same`` both sides are the whole table: every unordered pair comes once, a being the longer
     (of equal lengths the one with the smaller uid).
-    sizes: ``kind, n, home, other`` of at least the same texts (duplicates allowed): it fixes the
-    length classes and how many blocks each gets.
+    sizes: ``kind, n, home, other`` with rough lengths of the texts or of a superset, none of them
+    below the length of the longest text: only the number of blocks of a length class follows.
 
     Null texts must be left out by the caller; an empty table gives no pairs.
     """
@@ -298,20 +306,21 @@ def edit_pairs(
     # the other side of a class also holds the texts of its neighbour classes
     home_blocks: dict[tuple[int, int], int] = {}
     other_blocks: dict[tuple[int, int], int] = {}
-    by = {(r["kind"], r["c"]): r for r in stats}
-    for kind, c in by:
-        near = sum((by[kind, x]["o"] or 0) for x in (c - 1, c, c + 1) if (kind, x) in by)
-        home_blocks[kind, c] = max(1, math.ceil((by[kind, c]["h"] or 0) / home_letters))
+    by = {(r["kind"], r["c"]): (r["h"] or 0, r["o"] or 0) for r in stats}
+    classes = [(kind, c) for kind in sorted({k for k, _ in by}) for c in range(max(x for k, x in by if k == kind) + 1)]
+    for kind, c in classes:
+        near = sum(by.get((kind, x), (0, 0))[1] for x in (c - 1, c, c + 1))
+        home_blocks[kind, c] = max(1, math.ceil(by.get((kind, c), (0, 0))[0] / home_letters))
         other_blocks[kind, c] = max(1, math.ceil(near / other_letters))
     first: dict[tuple[int, int], int] = {}
     total = 0
-    for key in sorted(by):
+    for key in classes:
         first[key] = total
         total += home_blocks[key] * other_blocks[key]
     total = max(total, 1)
 
     plan = spark.createDataFrame(
-        [(k, c, home_blocks[k, c], other_blocks[k, c], first[k, c]) for k, c in sorted(by)] or [(-1, -1, 1, 1, 0)],
+        [(k, c, home_blocks[k, c], other_blocks[k, c], first[k, c]) for k, c in classes] or [(-1, -1, 1, 1, 0)],
         "kind int, c int, hb int, ob int, cell0 int",
     )
     plan = F.broadcast(plan)  # one row per length class
@@ -343,5 +352,5 @@ def edit_pairs(
         candidates.withColumn("k", budget)
         .withColumn("dist", F.when(F.col("txt_a") == F.col("txt_b"), F.lit(0)).otherwise(F.expr("levenshtein(txt_a, txt_b, k)")))
         .filter("dist >= 0")
-        .select("kind", "uid_a", "uid_b", "dist")
+        .select("kind", "uid_a", "uid_b", "dist", "txt_a", "txt_b")
     )

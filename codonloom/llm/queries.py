@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .density_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from .grouped_split import SPLITS, grouped_split, tied_sets
 from .split_overlap import overlap_pairs, overlap_report, split_overlap
 
 
@@ -22,6 +25,35 @@ def p2_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(records, *split_overlap(records))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = similarity_clusters(table(spark, d, "protein_group"))
+    return cluster_pairs(members)
+
+
+def p3_cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    _, classes = similarity_clusters(table(spark, d, "protein_group"))
+    return describe_clusters(classes)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = tied_sets(table(spark, d, "protein_group"), table(spark, d, "protein_cluster"))
+    return tied.filter("tied <> group_no").select(F.col("tied").alias("group_no_a"), F.col("group_no").alias("group_no_b"))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split(table(spark, d, "protein_group"), table(spark, d, "protein_cluster"))
+
+
+def p5_split_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and shares of each split, overall (host null) and within each host."""
+    rows = grouped_split(table(spark, d, "protein_group"), table(spark, d, "protein_cluster"))
+    by_host = rows.groupBy("host", "split").agg(F.count("*").alias("n_rows"))
+    by_split = by_host.groupBy("split").agg(F.sum("n_rows").alias("n_rows")).withColumn("host", F.lit(None).cast("string"))
+    target = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])
+    share = F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy("host"))
+    return by_host.unionByName(by_split).select("host", "split", "n_rows", F.round(share, 6).alias("share"), target[F.col("split")].alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .density_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
+from .residue import scan_residue
 from .split_overlap import overlap_pairs, overlap_report, split_overlap
 
 
@@ -54,6 +56,26 @@ def p5_split_report(spark: SparkSession, d: str) -> DataFrame:
     return by_host.unionByName(by_split).select("host", "split", "n_rows", F.round(share, 6).alias("share"), target[F.col("split")].alias("target"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: leaked documents and the largest share of its words found in one."""
+    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("share"), 6).alias("max_share"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_residue(table(spark, d, "documents")).filter("is_residue").select(F.col("id").alias("doc_id"))
+
+
+def p8_residue_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of residue: documents, and their mean share of residue letters."""
+    found = scan_residue(table(spark, d, "documents")).filter("is_residue")
+    return found.select(F.explode("residue_kinds").alias("kind"), "residue_share").groupBy("kind").agg(F.count("*").alias("n_docs"), F.round(F.avg("residue_share"), 6).alias("mean_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 

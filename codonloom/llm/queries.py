@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .density_clusters import cluster_pairs, describe_clusters, similarity_clusters
 from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
+from .mixture import budgets, mix, sized
 from .residue import scan_residue
 from .split_overlap import overlap_pairs, overlap_report, split_overlap
 
@@ -66,6 +67,21 @@ def p6_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("share"), 6).alias("max_share"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    plan = budgets(sized(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
+    return plan.filter("not reachable").select("source")
+
+
+def p7_mix_report(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mix(sized(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
+    return report
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    chosen, _ = mix(sized(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
+    return chosen
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_residue(table(spark, d, "documents")).filter("is_residue").select(F.col("id").alias("doc_id"))
 

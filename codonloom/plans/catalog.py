@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import data_quality
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return queries()["rules_score"](spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {}
+    for module in (data_quality,):
+        found |= {k: v for k, v in vars(module).items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

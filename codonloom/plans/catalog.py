@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality
+from . import data_quality, feature_queries, registry, sequence_queries  # noqa: F401 - the last registers its queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -14,11 +14,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {}
-    for module in (data_quality,):
-        found |= {k: v for k, v in vars(module).items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
+    found = dict(registry.QUERIES)
+    found |= {k: v for k, v in vars(data_quality).items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE) | data_quality.ORACLE

@@ -92,3 +92,6 @@ def p4_filled_depths(spark: SparkSession, d: str) -> DataFrame:
     return evo.select("evo_id", "protein_id", usable_depth(F.col("msa_features.msa_depth")).alias("own")).join(fills, "evo_id", "left").select(
         "evo_id", "protein_id", F.round(F.coalesce("own", "value"), 6).alias("msa_depth"), F.col("method").isNotNull().alias("filled"), "method", F.round("distance_s", 3).alias("distance_s")
     )
+
+
+ORACLE: dict[str, str] = {}

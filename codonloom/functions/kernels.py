@@ -44,6 +44,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, not once for every lambda call in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def letters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
@@ -69,9 +74,12 @@ ALL_CODONS = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
 
 def codon_shares(cs: Column) -> Column:
     """Shares of the 64 codons among all, in order of text."""
-    marked = F.array_join(cs, ",")
-    n = F.size(cs)
-    return F.transform(F.lit(ALL_CODONS), lambda c: fraction((F.length(marked) - F.length(F.replace(marked, c, F.lit("")))) / 3, n))
+
+    def shares(marked: Column) -> Column:
+        n = (F.length(marked) + 1) / 4  # three letters and a comma each
+        return F.transform(F.lit(ALL_CODONS), lambda c: fraction((F.length(marked) - F.length(F.replace(marked, c, F.lit("")))) / 3, F.when(F.length(marked) > 0, n)))
+
+    return bind(F.array_join(cs, ","), shares)
 
 
 def marker_codon_share(cs: Column) -> Column:
@@ -82,13 +90,13 @@ def marker_codon_share(cs: Column) -> Column:
 def sliding_gc(s: Column, window: int = 50, step: int = 10) -> Column:
     """GC of the full windows starting at 0, step, 2 step ...; shorter texts have none."""
     starts = F.when(F.length(s) >= window, F.sequence(F.lit(0), F.length(s) - window, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.regexp_count(F.substring(s, i + 1, F.lit(window)), F.lit("[GC]")) / F.lit(float(window)))
+    return bind(s, lambda t: F.transform(starts, lambda i: F.regexp_count(F.substring(t, i + 1, F.lit(window)), F.lit("[GC]")) / F.lit(float(window))))
 
 
 def window_stats(values: Column) -> Column:
     """Struct of mean, population deviation, least and largest; zeros when there are none."""
     m = mean(values)
-    var = mean(F.transform(values, lambda x: (x - m) * (x - m)))
+    var = bind(m, lambda c: mean(F.transform(values, lambda x: (x - c) * (x - c))))
     return F.struct(m.alias("mean"), F.sqrt(var).alias("std"), F.coalesce(F.array_min(values), F.lit(0.0)).alias("min"), F.coalesce(F.array_max(values), F.lit(0.0)).alias("max"))
 
 
@@ -135,7 +143,7 @@ def motif_hits(s: Column, motifs: list[str]) -> Column:
 def motif_positions(s: Column, motif: str) -> Column:
     n = len(motif)
     at = F.when(F.length(s) >= n, F.sequence(F.lit(0), F.length(s) - n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.substring(s, i + 1, F.lit(n)) == motif)
+    return bind(s, lambda t: F.filter(at, lambda i: F.substring(t, i + 1, F.lit(n)) == motif))
 
 
 # --- coding sequence -------------------------------------------------------------------------
@@ -267,14 +275,16 @@ def reverse_complement(s: Column) -> Column:
 def five_prime_structure(s: Column, window: int = 45) -> Column:
     """Minus the weighted number of k-mers (k 5, 4, 3; weight 6 - k) of the window behind the
     start codon that its reverse complement holds too."""
-    w = F.substring(s, 4, window)
-    rc = reverse_complement(w)
 
-    def shared(k: int) -> Column:
+    def shared(k: int, w: Column, rc: Column) -> Column:
         at = F.when(F.length(w) >= k, F.sequence(F.lit(1), F.length(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
         return F.size(F.filter(at, lambda i: F.contains(rc, F.substring(w, i, F.lit(k)))))
 
-    return -(shared(5) * 1.0 + shared(4) * 2.0 + shared(3) * 3.0)
+    def score(x: Column) -> Column:
+        return -(shared(5, x["w"], x["rc"]) * 1.0 + shared(4, x["w"], x["rc"]) * 2.0 + shared(3, x["w"], x["rc"]) * 3.0)
+
+    w = F.substring(s, 4, window)
+    return bind(F.struct(w.alias("w"), reverse_complement(w).alias("rc")), score)
 
 
 def mfe_note(s: Column, utr5: Column) -> Column:
@@ -295,7 +305,7 @@ def identity(a: Column, b: Column, longest: bool = False) -> Column:
 def kmers(s: Column, k: int) -> Column:
     """Distinct k-mers; shorter texts have none."""
     at = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(k))))
+    return F.array_distinct(bind(s, lambda t: F.transform(at, lambda i: F.substring(t, i, F.lit(k)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -309,7 +319,7 @@ COLUMN = {"hydropathy": 0, "disorder": 1, "helix": 2, "sheet": 3, "conservation"
 
 def residue_counts(p: Column) -> Column:
     """Map of residue to count, one pass over the distinct letters."""
-    return F.map_from_entries(F.transform(F.array_distinct(letters(p)), lambda c: F.struct(c, F.length(p) - F.length(F.replace(p, c)))))
+    return bind(p, lambda t: F.map_from_entries(F.transform(F.array_distinct(letters(t)), lambda c: F.struct(c, F.length(t) - F.length(F.replace(t, c))))))
 
 
 def scale_mean(counts: Column, n: Column, scale: str, empty: float) -> Column:
@@ -322,7 +332,7 @@ def scale_mean(counts: Column, n: Column, scale: str, empty: float) -> Column:
 
 def entropy(counts: Column, n: Column) -> Column:
     """Shannon entropy of the residues in bits; 0 when empty."""
-    return F.aggregate(F.map_values(counts), F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))
+    return bind(n, lambda m: F.aggregate(F.map_values(counts), F.lit(0.0), lambda a, c: a - c / m * F.log2(c / m)))
 
 
 def complexity(counts: Column, n: Column) -> Column:
@@ -332,11 +342,11 @@ def complexity(counts: Column, n: Column) -> Column:
 def composition_similarity(counts: Column, n: Column) -> Column:
     expected = _literal_map({r: F.lit(v[5]) for r, v in G.SCALES.items()})
 
-    def term(e: Column) -> Column:
+    def term(e: Column, m: Column) -> Column:
         x = F.coalesce(F.try_element_at(expected, e["key"]), F.lit(G.SCALE_DEFAULT[5]))
-        return 1 - F.least(F.lit(1.0), F.abs(e["value"] / n - x) / x)
+        return 1 - F.least(F.lit(1.0), F.abs(e["value"] / m - x) / x)
 
-    return F.aggregate(F.map_entries(counts), F.lit(0.0), lambda a, e: a + term(e)) / 20
+    return bind(n, lambda m: F.aggregate(F.map_entries(counts), F.lit(0.0), lambda a, e: a + term(e, m))) / 20
 
 
 def signal_peptide(p: Column) -> Column:
@@ -348,13 +358,17 @@ def membrane_windows(p: Column, window: int = 20) -> Column:
     """Number of (overlapping) windows with over 70 % of I, V, L, F."""
     flags = F.regexp_replace(F.regexp_replace(p, "[^IVLF]", "0"), "[IVLF]", "1")
     at = F.when(F.length(p) >= window, F.sequence(F.lit(1), F.length(p) - (window - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(at, lambda i: F.regexp_count(F.substring(flags, i, F.lit(window)), F.lit("1")) / F.lit(float(window)) > 0.7))
+    return F.size(bind(flags, lambda t: F.filter(at, lambda i: F.regexp_count(F.substring(t, i, F.lit(window)), F.lit("1")) / F.lit(float(window)) > 0.7)))
 
 
 def salt_bridges(p: Column, reach: int = 10) -> Column:
     """Pairs of a positive (R, K) and a negative (D, E) residue at most ``reach`` apart."""
     cs = letters(p)
     at = F.filter(F.transform(cs, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].isin("R", "K", "D", "E"))
-    plus = F.transform(F.filter(at, lambda x: x["c"].isin("R", "K")), lambda x: x["i"])
-    minus = F.transform(F.filter(at, lambda x: x["c"].isin("D", "E")), lambda x: x["i"])
-    return F.aggregate(plus, F.lit(0), lambda a, i: a + F.size(F.filter(minus, lambda j: F.abs(i - j) <= reach)))
+
+    def count(charged: Column) -> Column:
+        plus = F.transform(F.filter(charged, lambda x: x["c"].isin("R", "K")), lambda x: x["i"])
+        minus = F.transform(F.filter(charged, lambda x: x["c"].isin("D", "E")), lambda x: x["i"])
+        return bind(minus, lambda m: F.aggregate(plus, F.lit(0), lambda a, i: a + F.size(F.filter(m, lambda j: F.abs(i - j) <= reach))))
+
+    return bind(at, count)

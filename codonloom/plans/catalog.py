@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, feature_queries, profile_queries, registry, sequence_queries  # noqa: F401 - the last registers its queries
+from . import data_quality, feature_queries, profile_queries, registry, relational_queries, sequence_queries  # noqa: F401 - the last registers its queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -19,8 +19,5 @@ def host_key(c: Column | str) -> Column:
     """Host key named by a free spelling (case, blanks, dots, ``_`` and ``-`` aside), else null."""
     c = F.col(c) if isinstance(c, str) else c
     plain = F.regexp_replace(F.lower(c), r"[\s\p{Z}._\-]+", "")
-    out = None
-    for key, names in HOST_NAMES.items():
-        hit = plain.isin(sorted({n.replace(" ", "") for n in names}))
-        out = F.when(hit, F.lit(key)) if out is None else out.when(hit, F.lit(key))
-    return out
+    known = {n.replace(" ", ""): key for key, names in HOST_NAMES.items() for n in [*names, key.lower().replace("_", "")]}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.coalesce(plain, F.lit("")))

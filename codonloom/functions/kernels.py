@@ -72,14 +72,14 @@ def codon_diversity(cs: Column) -> Column:
 ALL_CODONS = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
 
 
-def codon_shares(cs: Column) -> Column:
-    """Shares of the 64 codons among all, in order of text."""
+def codon_counts(cs: Column) -> Column:
+    """Counts of the 64 codons, in order of text: one native replacement scan per codon."""
+    return bind(F.array_join(cs, ","), lambda m: F.transform(F.lit(ALL_CODONS), lambda c: (F.length(m) - F.length(F.replace(m, c, F.lit("")))) / 3))
 
-    def shares(marked: Column) -> Column:
-        n = (F.length(marked) + 1) / 4  # three letters and a comma each
-        return F.transform(F.lit(ALL_CODONS), lambda c: fraction((F.length(marked) - F.length(F.replace(marked, c, F.lit("")))) / 3, F.when(F.length(marked) > 0, n)))
 
-    return bind(F.array_join(cs, ","), shares)
+def codon_shares(cs: Column) -> Column:
+    """Shares of the 64 codons among all, in order of text; zeros without codons."""
+    return bind(F.size(cs), lambda n: F.transform(codon_counts(cs), lambda k: fraction(k, n)))
 
 
 def marker_codon_share(cs: Column) -> Column:
@@ -151,22 +151,25 @@ def motif_positions(s: Column, motif: str) -> Column:
 
 def validate_cds(s: Column) -> Column:
     """The first failed check, else ``OK``; null for null."""
-    cs = codons(s)
-    return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
-        .when(F.length(s) % 3 != 0, "Length not multiple of 3.")
-        .when(s.rlike("[^ACGT]"), "Non-ACGT characters found.")
-        .when(F.length(s) == 0, "Empty CDS.")
-        .when(F.left(s, F.lit(3)) != "ATG", "CDS does not start with ATG.")
-        .when(F.right(s, F.lit(3)).isin(*G.STOPS), "CDS ends with a STOP codon; exclude terminal stop for scoring.")
-        .when(F.exists(cs, lambda c: c.isin(*G.STOPS)), "Internal STOP codon detected.")
-        .otherwise("OK")
-    )
+
+    def check(t: Column) -> Column:
+        return (
+            F.when(t.isNull(), F.lit(None).cast("string"))
+            .when(F.length(t) % 3 != 0, "Length not multiple of 3.")
+            .when(t.rlike("[^ACGT]"), "Non-ACGT characters found.")
+            .when(F.length(t) == 0, "Empty CDS.")
+            .when(~t.startswith("ATG"), "CDS does not start with ATG.")
+            .when(F.right(t, F.lit(3)).isin(*G.STOPS), "CDS ends with a STOP codon; exclude terminal stop for scoring.")
+            .when(t.rlike(f"^(?:...)*?(?:{STOP_PATTERN})"), "Internal STOP codon detected.")
+            .otherwise("OK")
+        )
+
+    return bind(s, check)
 
 
 def without_stop(s: Column) -> Column:
     """The sequence without one terminal stop codon in frame."""
-    return F.when((F.length(s) % 3 == 0) & F.right(s, F.lit(3)).isin(*G.STOPS), F.left(s, F.length(s) - 3)).otherwise(s)
+    return bind(s, lambda t: F.when((F.length(t) % 3 == 0) & F.right(t, F.lit(3)).isin(*G.STOPS), F.left(t, F.length(t) - 3)).otherwise(t))
 
 
 def _literal_map(values: dict) -> Column:
@@ -179,57 +182,72 @@ def translate(cs: Column) -> Column:
     return F.array_join(F.transform(cs, lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), "")
 
 
-def codon_facts(cs: Column, host: Column) -> Column:
-    """Per codon a struct ``aa, lw, lt, opt, rare, lp`` of the host (log adaptiveness, log tRNA
-    adaptiveness, optimal, rare, log share in its family); unknown codons give null entries.
-    Unknown hosts count as E_coli.  One lookup serves all codon kernels."""
-    out = _looked_up(cs, _literal_map(_facts("E_coli")))
+def _looked_up(keys: Column, values: Column) -> Column:
+    return F.transform(keys, lambda k: F.try_element_at(values, k))
+
+
+def by_host(host: Column, value) -> Column:
+    """``value(name)`` of the row's host; unknown and null hosts count as E_coli."""
+    out = value("E_coli")
     for name in G.HOSTS[1:]:
-        out = F.when(host == name, _looked_up(cs, _literal_map(_facts(name)))).otherwise(out)
+        out = F.when(host == name, value(name)).otherwise(out)
     return out
 
 
-def _looked_up(keys: Column, values: Column) -> Column:
-    return F.transform(keys, lambda k: F.try_element_at(values, k))
+def codon_facts(cs: Column, host: Column) -> Column:
+    """Sums over the sense codons with the host's tables, as a struct ``n, lw, lt, lp, opt``:
+    number, log adaptiveness, log tRNA adaptiveness, log share in the family, optimal codons.
+
+    The sums are products of the 64 counts with constant vectors, so their cost does not depend
+    on the length of the sequence; codons with other letters are in none of them."""
+
+    def vector(name: str, field) -> list[float]:
+        t = G.codon_table(name)
+        return [0.0 if t[c]["aa"] == "*" else field(t[c]) for c in ALL_CODONS]
+
+    fields = {
+        "n": lambda f: 1.0,
+        "lw": lambda f: G.logs(f["w"]),
+        "lt": lambda f: G.logs(f["t"]),
+        "lp": lambda f: G.logs(f["p"]),
+        "opt": lambda f: float(f["opt"]),
+    }
 
+    def sums(counts: Column) -> Column:
+        dots = []
+        for field, get in fields.items():
+            weights = F.lit(vector("E_coli", get)) if field == "n" else by_host(host, lambda name, get=get: F.lit(vector(name, get)))
+            dots.append(total(F.zip_with(counts, weights, lambda k, w: k * w)).alias(field))
+        return F.struct(*dots)
 
-def _facts(name: str) -> dict:
-    return {
-        c: F.struct(
-            F.lit(f["aa"]).alias("aa"),
-            F.lit(G.logs(f["w"])).alias("lw"),
-            F.lit(G.logs(f["t"])).alias("lt"),
-            F.lit(f["opt"]).alias("opt"),
-            F.lit(f["rare"]).alias("rare"),
-            F.lit(math.log(max(1e-9, f["p"]))).alias("lp"),
-        )
-        for c, f in G.codon_table(name).items()
-    }
+    return bind(codon_counts(cs), sums)
 
 
-def _sense(facts: Column) -> Column:
-    return F.filter(facts, lambda x: x.isNotNull() & (x["aa"] != "*"))
+def _geometric(facts: Column, field: str) -> Column:
+    return F.coalesce(F.exp(F.try_divide(facts[field], facts["n"])), F.lit(0.0))
 
 
 def cai(facts: Column) -> Column:
     """Geometric mean of the adaptiveness of all sense codons (single-codon families too)."""
-    own = _sense(facts)
-    return F.coalesce(F.exp(F.try_divide(F.aggregate(own, F.lit(0.0), lambda a, x: a + x["lw"]), F.size(own).cast("double"))), F.lit(0.0))
+    return _geometric(facts, "lw")
 
 
 def tai(facts: Column) -> Column:
-    own = _sense(facts)
-    return F.coalesce(F.exp(F.try_divide(F.aggregate(own, F.lit(0.0), lambda a, x: a + x["lt"]), F.size(own).cast("double"))), F.lit(0.0))
+    return _geometric(facts, "lt")
 
 
 def fop(facts: Column) -> Column:
-    own = _sense(facts)
-    return fraction(F.size(F.filter(own, lambda x: x["opt"])), F.size(own))
+    return F.coalesce(F.try_divide(facts["opt"], facts["n"]), F.lit(0.0))
+
 
+def rare_flags(cs: Column, host: Column) -> Column:
+    """One letter a codon: 1 if rare in the host, else 0 (other codons and stops are not)."""
 
-def rare_flags(facts: Column) -> Column:
-    """One letter a codon: 1 if rare, else 0 (unknown codons and stops are not rare)."""
-    return F.array_join(F.transform(facts, lambda x: F.when(x["rare"], "1").otherwise("0")), "")
+    def flags(name: str) -> Column:
+        rare = [c for c, f in G.codon_table(name).items() if f["rare"]]
+        return F.transform(cs, lambda c: F.when(c.isin(*rare), "1").otherwise("0"))
+
+    return F.array_join(by_host(host, flags), "")
 
 
 def rare_runs(flags: Column, least: int = 3) -> Column:
@@ -257,15 +275,17 @@ def codon_pair_score(pairs_seen: Column, pair_share: Column, first_share: Column
     return F.when((pair_share > 0) & (first_share > 0) & (second_share > 0), F.log(pair_share / (first_share * second_share)))
 
 
-def lm_stats(log_probs: Column) -> Column:
-    """Struct ``loglik, avg_loglik, perplexity, geom, score``; empty gives 0, 0, 1, 1, 1."""
-    n = F.size(log_probs)
-    ll = total(log_probs)
-    avg = F.coalesce(F.try_divide(ll, n.cast("double")), F.lit(0.0))
+def lm_stats(loglik: Column, n: Column) -> Column:
+    """Struct ``loglik, avg_loglik, perplexity, geom, score`` of n log probabilities' sum; none
+    gives 0, 0, 1, 1, 1."""
+    avg = F.coalesce(F.try_divide(loglik, n.cast("double")), F.lit(0.0))
     geom = F.exp(avg)
-    return F.struct(
-        ll.alias("loglik"), avg.alias("avg_loglik"), F.exp(-avg).alias("perplexity"), geom.alias("geom"), F.pow(geom, F.lit(1 / 3)).alias("score")
-    )
+    return F.struct(loglik.alias("loglik"), avg.alias("avg_loglik"), F.exp(-avg).alias("perplexity"), geom.alias("geom"), F.pow(geom, F.lit(1 / 3)).alias("score"))
+
+
+def usage_lm(facts: Column) -> Column:
+    """:func:`lm_stats` of the codon-usage model."""
+    return lm_stats(facts["lp"], facts["n"])
 
 
 def reverse_complement(s: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -27,15 +27,21 @@ HUMAN_WORDS = ["human", "homo", "sapiens"]
 MOUSE_WORDS = ["mouse", "mus", "musculus"]
 
 
-def structure(p: Column) -> dict[str, Column]:
-    """The 17 structure proxies of a protein; empty and null proteins take fixed defaults."""
-    n = F.length(p)
-    counts = K.residue_counts(p)
-    d = K.clamp(K.scale_mean(counts, n, "disorder", 0.5), 0, 1)
-    mean = K.clamp(90 - d * 40 + K.complexity(counts, n) * 5, 50, 95)
+def residue_stage(rows: DataFrame, protein: str) -> DataFrame:
+    """``rows`` with the shared intermediates ``_n, _c, _cx`` (length, residue counts, complexity)
+    as columns, so that no feature computes them again."""
+    rows = rows.withColumn("_c", K.residue_counts(F.col(protein))).withColumn("_n", F.length(protein))
+    return rows.withColumn("_cx", K.complexity(F.col("_c"), F.col("_n")))
+
+
+def structure(rows: DataFrame, protein: str = "aa") -> DataFrame:
+    """``rows`` with the 17 structure proxies; empty and null proteins take fixed defaults."""
+    p, n, c = F.col(protein), F.col("_n"), F.col("_c")
+    rows = residue_stage(rows, protein)
+    rows = rows.withColumns({"_d": K.clamp(K.scale_mean(c, n, "disorder", 0.5), 0, 1), "_h": K.scale_mean(c, n, "helix", 1.0), "_s": K.scale_mean(c, n, "sheet", 1.0), "_tm": K.membrane_windows(p)})
+    d, h, s, tm = F.col("_d"), F.col("_h"), F.col("_s"), F.col("_tm")
+    mean = K.clamp(90 - d * 40 + F.col("_cx") * 5, 50, 95)
     std = 8 + d * 15
-    h, s = K.scale_mean(counts, n, "helix", 1.0), K.scale_mean(counts, n, "sheet", 1.0)
-    tm = K.membrane_windows(p)
     full = {
         "plddt_mean": mean, "plddt_min": F.greatest(F.lit(30.0), mean - 2 * std), "plddt_max": F.least(F.lit(100.0), mean + std), "plddt_std": std, "plddt_q25": mean - 0.67 * std, "plddt_q75": mean + 0.67 * std,
         "disorder_ratio": d, "flexible_ratio": d * 0.4, "helix_ratio": h / (h + s + 1), "sheet_ratio": s / (h + s + 1), "coil_ratio": 1 / (h + s + 1), "sasa_mean": F.lit(120.0), "sasa_total": n * 120.0,
@@ -43,23 +49,25 @@ def structure(p: Column) -> dict[str, Column]:
     }
     # What a record without a protein gets.
     blank = dict(zip(full, (75.0, 60.0, 90.0, 10.0, 70.0, 85.0, 0.15, 0.05, 0.33, 0.25, 0.42, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), strict=True))
-    return {k: F.when(n > 0, v).otherwise(F.lit(blank[k])) for k, v in full.items()}
+    out = rows.withColumns({k: F.when(n > 0, v).otherwise(F.lit(blank[k])) for k, v in full.items()})
+    return out.drop("_n", "_c", "_cx", "_d", "_h", "_s", "_tm")
 
 
-def evolution(p: Column) -> dict[str, Column]:
-    """The 11 evolution proxies of a protein (not empty)."""
-    n = F.length(p)
-    counts = K.residue_counts(p)
-    cx = K.complexity(counts, n)
-    cons = K.clamp(K.scale_mean(counts, n, "conservation", 0.5) * 0.5 + K.composition_similarity(counts, n) * 0.3 + cx * 0.2, 0.4, 0.95)
-    depth = K.clamp(100 * (1 + 0.2 * F.log10(n / 100)) * (0.5 + cx) * (0.7 + 0.6 * cons), 20, 500)
+def evolution(rows: DataFrame, protein: str = "aa") -> DataFrame:
+    """``rows`` (proteins not empty) with the 11 evolution proxies."""
+    p, n, c, cx = F.col(protein), F.col("_n"), F.col("_c"), F.col("_cx")
+    rows = residue_stage(rows, protein)
+    rows = rows.withColumn("_k", K.clamp(K.scale_mean(c, n, "conservation", 0.5) * 0.5 + K.composition_similarity(c, n) * 0.3 + cx * 0.2, 0.4, 0.95))
+    cons = F.col("_k")
+    rows = rows.withColumn("_m", K.clamp(100 * (1 + 0.2 * F.log10(n / 100)) * (0.5 + cx) * (0.7 + 0.6 * cons), 20, 500))
     domains = F.greatest(F.lit(1), F.floor(n / 150))
     bridges = F.when(n < 10, 0.3).otherwise(0.3 + 0.4 * F.least(F.lit(1.0), K.salt_bridges(p) / (n * 0.1)))
-    return {
-        "msa_depth": depth, "msa_effective_depth": depth * 0.8, "msa_coverage": F.lit(0.95), "conservation_mean": cons, "conservation_min": F.greatest(F.lit(0.2), cons - 0.3), "conservation_max": F.least(F.lit(1.0), cons + 0.25),
-        "conservation_entropy_mean": 1 - K.entropy(counts, n) / math.log2(20), "coevolution_score": bridges, "contact_density": F.when(n < 50, 0.5).when(n < 200, 0.35).otherwise(0.25),
-        "pfam_count": F.when(n > 100, F.greatest(F.lit(0), domains - 1)).otherwise(0).cast("double"), "domain_count": domains.cast("double"),
+    full = {
+        "msa_depth": F.col("_m"), "msa_effective_depth": F.col("_m") * 0.8, "msa_coverage": F.lit(0.95), "conservation_mean": cons, "conservation_min": F.greatest(F.lit(0.2), cons - 0.3),
+        "conservation_max": F.least(F.lit(1.0), cons + 0.25), "conservation_entropy_mean": 1 - K.entropy(c, n) / math.log2(20), "coevolution_score": bridges,
+        "contact_density": F.when(n < 50, 0.5).when(n < 200, 0.35).otherwise(0.25), "pfam_count": F.when(n > 100, F.greatest(F.lit(0), domains - 1)).otherwise(0).cast("double"), "domain_count": domains.cast("double"),
     }
+    return rows.withColumns(full).drop("_n", "_c", "_cx", "_k", "_m")
 
 
 def _choice(c: Column, values: dict[str, float], default: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import rules as R
 from ..functions.text_norm import protein_key
-from .registry import ORACLE, RECORDS, RESIDUES, coding, query, records, sql_protein, table
+from .registry import ORACLE, RECORDS, RESIDUES, coding, query, records, spread, sql_protein, table
 from .sequence_queries import MOTIFS, r6
 
 
@@ -35,8 +35,9 @@ round(she / (hel + she + 1), 9) AS sheet_ratio, round(1 / (hel + she + 1), 9) AS
 (length(aa) >= 20 AND length(regexp_replace(left(aa, 20), '[^IVLFC]', '', 'g')) / 20 > 0.5)::INT::DOUBLE AS has_signal_peptide, ({TM} > 0)::INT::DOUBLE AS has_transmembrane, {TM}::DOUBLE AS tm_helix_count FROM base"""
 )
 def sc_structure_lite(spark, d) -> DataFrame:
-    rows = records(spark, d).filter("aa is not null").select("rec_id", "aa")
-    return rows.select("rec_id", *[F.round(c, 9).alias(k) for k, c in R.structure(F.col("aa")).items()])
+    rows = spread(records(spark, d).filter("aa is not null").select("rec_id", "aa"))
+    out = R.structure(rows)
+    return out.select("rec_id", *[F.round(k, 9).alias(k) for k in out.columns[2:]])
 
 
 CONS = "greatest(0.4, least(0.95, con * 0.5 + sim * 0.3 + cx * 0.2))"
@@ -52,8 +53,9 @@ round(1 - h / log2(20), 6) AS conservation_entropy_mean, round(CASE WHEN length(
 FROM base LEFT JOIN br USING (rec_id)"""
 )
 def sc_evolution_lite(spark, d) -> DataFrame:
-    rows = records(spark, d).filter("aa is not null").select("rec_id", "aa")
-    return rows.select("rec_id", *[r6(c).alias(k) for k, c in R.evolution(F.col("aa")).items()])
+    rows = spread(records(spark, d).filter("aa is not null").select("rec_id", "aa"))
+    out = R.evolution(rows)
+    return out.select("rec_id", *[r6(F.col(k)).alias(k) for k in out.columns[2:]])
 
 
 @query(f"WITH {RESIDUES} SELECT rec_id, round(kd, 9) AS kd_hydropathy_mean, round(h, 9) AS entropy, round(cx, 9) AS complexity, round(dis, 9) AS disorder FROM base")
@@ -95,8 +97,7 @@ def rules_terms(rows: DataFrame) -> DataFrame:
     kd_hydropathy_mean) of valid sequences with one column per term of the rules score."""
     s, cs, host = F.col("s"), F.col("cs"), F.col("host")
     rows = rows.withColumns({"f": K.codon_facts(cs, host), "w": K.sliding_gc(s), "pb": K.pair_bias(s, "CG"), "ub": K.pair_bias(s, "TA")})
-    logs = F.transform(F.filter(F.col("f"), lambda x: x.isNotNull() & (x["aa"] != "*")), lambda x: x["lp"])
-    rows = rows.withColumn("lm", K.lm_stats(logs)["score"])
+    rows = rows.withColumn("lm", K.usage_lm(F.col("f"))["score"])
     f = F.col("f")
     return rows.select(
         "rec_id",
@@ -109,7 +110,7 @@ def rules_terms(rows: DataFrame) -> DataFrame:
         R.window_gc_term(F.col("w")).alias("win_gc"),
         (1 / (1 + F.exp(-K.five_prime_structure(s) / 3))).alias("struct5"),
         K.motif_hits(s, MOTIFS).cast("double").alias("forbidden"),
-        F.length(F.array_join(K.rare_runs(K.rare_flags(f)), "")).cast("double").alias("rare_runs"),
+        F.length(F.array_join(K.rare_runs(K.rare_flags(F.col("cs"), F.col("host"))), "")).cast("double").alias("rare_runs"),
         F.length(F.array_join(K.homopolymers(s), "")).cast("double").alias("homopoly"),
         K.codon_pair_bias(cs, host).alias("cpb"),
         F.greatest(F.lit(0.0), F.col("pb.obs_exp") - 1).alias("cpg_penalty"),
@@ -137,7 +138,7 @@ def rules_score(spark, d) -> DataFrame:
     """Flagship: the weighted rules score of every valid coding sequence."""
     bundle = table(spark, d, "feature_bundle").groupBy("protein_id").agg(*[F.min(c).alias(c) for c in ("plDDT_mean", "msa_depth", "conservation_mean", "kd_hydropathy_mean")])
     rows = records(spark, d).filter("raw is not null").select("rec_id", "protein_id", "host", "aa", "s").filter(K.validate_cds(F.col("s")) == "OK")
-    rows = rows.withColumn("cs", K.codons(F.col("s"))).join(bundle, "protein_id", "left")
+    rows = spread(rows.join(bundle, "protein_id", "left")).withColumn("cs", K.codons(F.col("s")))
     terms = rules_terms(rows)
     total = R.weighted({c: F.col(c) for c in terms.columns if c != "rec_id"})
     return terms.select("rec_id", r6(F.col("cai")).alias("cai"), r6(F.col("fop")).alias("fop"), r6(total).alias("total_rules"))
@@ -158,7 +159,7 @@ def sc_codon_bundle(spark, d) -> DataFrame:
     s, cs = F.col("s"), F.col("cs")
     rows = coding(spark, d).withColumns({"f": K.codon_facts(cs, F.col("host")), "ok": K.validate_cds(s) == "OK", "strict": K.validate_cds(F.col("raw")) == "OK"})
     f = F.col("f")
-    rows = rows.withColumns({"runs": K.rare_runs(K.rare_flags(f)), "x": F.struct(r6(K.cai(f)).alias("cai"), r6(K.tai(f)).alias("tai"), r6(K.fop(f)).alias("fop"))})
+    rows = rows.withColumns({"runs": K.rare_runs(K.rare_flags(F.col("cs"), F.col("host"))), "x": F.struct(r6(K.cai(f)).alias("cai"), r6(K.tai(f)).alias("tai"), r6(K.fop(f)).alias("fop"))})
     return rows.select(
         "rec_id", r6(K.gc(s)).alias("codon_gc"), r6(K.codon_pair_bias(cs, F.col("host"))).alias("codon_cpb"), r6(K.pair_bias(s, "CG")["obs_exp"]).alias("codon_cpg_obs_exp"), r6(K.pair_bias(s, "TA")["obs_exp"]).alias("codon_upa_obs_exp"),
         F.size("runs").cast("long").alias("codon_rare_runs_count"), F.length(F.array_join("runs", "")).cast("long").alias("codon_rare_runs_length"), F.size(K.homopolymers(s)).alias("codon_homopolymers_count"),
@@ -175,7 +176,7 @@ def sc_feature_vector(spark, d) -> DataFrame:
     f, ok = F.col("f"), F.col("ok")
     named = {
         "len_nt": F.length(s).cast("double"), "gc": K.gc(s), "gcw_mean": F.col("gw.mean"), "gcw_std": F.col("gw.std"), "gcw_min": F.col("gw.min"), "gcw_max": F.col("gw.max"), "cai": F.when(ok, K.cai(f)).otherwise(0.0), "tai": F.when(ok, K.tai(f)).otherwise(0.0),
-        "struct5": K.five_prime_structure(s), "rare_runs": F.size(K.rare_runs(K.rare_flags(f))).cast("double"), "homopoly": F.size(K.homopolymers(s)).cast("double"), "cpb": K.codon_pair_bias(cs, F.col("host")),
+        "struct5": K.five_prime_structure(s), "rare_runs": F.size(K.rare_runs(K.rare_flags(F.col("cs"), F.col("host")))).cast("double"), "homopoly": F.size(K.homopolymers(s)).cast("double"), "cpb": K.codon_pair_bias(cs, F.col("host")),
     }
     # codon shares stand between "cai" and the other names: all are called codon_...
     names = [f"codon_{c}" for c in K.ALL_CODONS]

@@ -32,6 +32,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer partitions: the kernels compute far more
+    than a shuffle of their input costs.  Larger inputs are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Integrated records in normal form: ``rec_id, protein_id, host, aa, raw, s`` and the rest.
 
@@ -42,7 +49,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 def coding(spark: SparkSession, d: str) -> DataFrame:
     """``rec_id, host, aa, raw, s, cs`` of the records with a sequence; cs: codons of s."""
-    return records(spark, d).filter("raw is not null").select("rec_id", "host", "aa", "raw", "s").withColumn("cs", K.codons(F.col("s")))
+    return spread(records(spark, d).filter("raw is not null").select("rec_id", "host", "aa", "raw", "s")).withColumn("cs", K.codons(F.col("s")))
 
 
 # --- SQL -------------------------------------------------------------------------------------

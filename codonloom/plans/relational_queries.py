@@ -71,8 +71,7 @@ def pf_enhanced_expression(spark, d) -> DataFrame:
     """Expression enhanced by the usage model's statistics (mode model_enhanced), then by the
     sequence (mode full)."""
     rows = records(spark, d).filter("raw is not null").withColumn("cs", K.codons(F.col("s")))
-    logs = F.transform(F.filter(K.codon_facts(F.col("cs"), F.col("host")), lambda x: x.isNotNull() & (x["aa"] != "*")), lambda x: x["lp"])
-    rows = rows.select("rec_id", "s", F.col("metadata.uniprot_id").isNotNull().alias("rev"), F.col("metadata.subcellular_location").alias("loc"), logs.alias("lp")).withColumn("lm", K.lm_stats(F.col("lp")))
+    rows = rows.select("rec_id", "s", F.col("metadata.uniprot_id").isNotNull().alias("rev"), F.col("metadata.subcellular_location").alias("loc"), K.codon_facts(F.col("cs"), F.col("host")).alias("f")).withColumn("lm", K.usage_lm(F.col("f")))
     conf = F.when(F.col("rev") | F.lower(F.coalesce("loc", F.lit(""))).contains("ribosome"), "medium").otherwise("low")
     none = F.lit(None).cast("double")
     v, c = R.lm_expression(F.lit(50.0) + F.when(F.col("rev"), 20).otherwise(0), conf, F.col("lm.score"), none, none, F.col("lm.avg_loglik"), F.col("lm.perplexity"))
@@ -105,7 +104,7 @@ DEV = "abs(gc - 0.5)"
 )
 def pf_quality_score(spark, d) -> DataFrame:
     rows = coding(spark, d).withColumn("f", K.codon_facts(F.col("cs"), F.col("host")))
-    rows = rows.select("rec_id", K.cai(F.col("f")).alias("cai"), K.gc(F.col("s")).alias("gc"), F.size(K.rare_runs(K.rare_flags(F.col("f")))).alias("rare"), F.size(K.homopolymers(F.col("s"))).alias("homo"))
+    rows = rows.select("rec_id", K.cai(F.col("f")).alias("cai"), K.gc(F.col("s")).alias("gc"), F.size(K.rare_runs(K.rare_flags(F.col("cs"), F.col("host")))).alias("rare"), F.size(K.homopolymers(F.col("s"))).alias("homo"))
     return rows.select("rec_id", r6(R.quality_score(F.col("cai"), F.col("gc"), F.col("rare"), F.col("homo"))).alias("quality"))
 
 
@@ -180,8 +179,7 @@ def pf_column_availability(spark, d) -> DataFrame:
 @query(f"SELECT rec_id, round(coalesce(CASE WHEN perplexity > 0 THEN log2(perplexity) END, -avg_loglik / ln(2)), 6) AS bpb FROM {raw('sc_usage_lm')}")
 def pf_bpb(spark, d) -> DataFrame:
     """Bits per base: given, else log2 of the perplexity, else from the log likelihood."""
-    logs = F.transform(F.filter(K.codon_facts(F.col("cs"), F.col("host")), lambda x: x.isNotNull() & (x["aa"] != "*")), lambda x: x["lp"])
-    rows = coding(spark, d).select("rec_id", logs.alias("lp")).select("rec_id", K.lm_stats(F.col("lp")).alias("x"))
+    rows = coding(spark, d).select("rec_id", K.codon_facts(F.col("cs"), F.col("host")).alias("f")).select("rec_id", K.usage_lm(F.col("f")).alias("x"))
     given = F.lit(None).cast("double")
     return rows.select("rec_id", r6(F.coalesce(given, F.when(F.col("x.perplexity") > 0, F.log2("x.perplexity")), -F.col("x.avg_loglik") / F.log(F.lit(2.0)))).alias("bpb"))
 
@@ -194,7 +192,7 @@ def pf_seven_checks(spark, d) -> DataFrame:
     rows = coding(spark, d).withColumn("f", K.codon_facts(F.col("cs"), F.col("host")))
     s = F.col("s")
     rows = rows.select(
-        "rec_id", K.cai(F.col("f")).alias("cai"), K.fop(F.col("f")).alias("fop"), K.gc(s).alias("gc"), K.pair_bias(s, "CG")["obs_exp"].alias("cg"), K.pair_bias(s, "TA")["obs_exp"].alias("ta"), F.size(K.rare_runs(K.rare_flags(F.col("f")))).alias("r"), F.size(K.homopolymers(s)).alias("h")
+        "rec_id", K.cai(F.col("f")).alias("cai"), K.fop(F.col("f")).alias("fop"), K.gc(s).alias("gc"), K.pair_bias(s, "CG")["obs_exp"].alias("cg"), K.pair_bias(s, "TA")["obs_exp"].alias("ta"), F.size(K.rare_runs(K.rare_flags(F.col("cs"), F.col("host")))).alias("r"), F.size(K.homopolymers(s)).alias("h")
     )
     checks = [F.col("cai") > 0.7, F.col("fop") > 0.5, F.col("gc").between(0.35, 0.65), F.col("cg") < 1.5, F.col("ta") < 1.5, F.col("r") == 0, F.col("h") == 0]
     return rows.select("rec_id", r6(sum((c.cast("int") for c in checks), F.lit(0)) / 7 * 100).alias("checks_pct"))
@@ -301,8 +299,7 @@ def wn_delta_to_median(spark, d) -> DataFrame:
 
     The median is aggregated per group and joined back, so that a hot group is no single task."""
     rows = coding(spark, d).filter("aa is not null")
-    logs = F.transform(F.filter(K.codon_facts(F.col("cs"), F.col("host")), lambda x: x.isNotNull() & (x["aa"] != "*")), lambda x: x["lp"])
-    rows = rows.select("rec_id", "host", F.sha2("aa", 256).alias("g"), F.length("raw").alias("n"), logs.alias("lp")).withColumn("bpb", F.log2(K.lm_stats(F.col("lp"))["perplexity"])).drop("lp")
+    rows = rows.select("rec_id", "host", F.sha2("aa", 256).alias("g"), F.length("raw").alias("n"), K.codon_facts(F.col("cs"), F.col("host")).alias("f")).withColumn("bpb", F.log2(K.usage_lm(F.col("f"))["perplexity"])).drop("f")
     ref = rows.groupBy("g", "host").agg(F.median("bpb").alias("ref"))
     delta = F.col("bpb") - F.col("ref")
     return rows.join(ref, ["g", "host"]).select("rec_id", r6(F.col("ref")).alias("ref_bpb"), r6(delta).alias("delta_bpb"), r6(delta * F.col("n")).alias("delta_nll"))

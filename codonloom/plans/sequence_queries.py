@@ -102,7 +102,7 @@ n AS (SELECT rec_id, sum(len) AS n_rare, count(*) FILTER (len >= 3) AS n_runs, c
 SELECT rec_id, coalesce(n_rare, 0)::BIGINT AS n_rare, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(run_codons, 0)::BIGINT AS run_codons FROM cds LEFT JOIN n USING (rec_id)"""
 )
 def sc_rare_codon_runs(spark, d) -> DataFrame:
-    f = coding(spark, d).select("rec_id", K.rare_flags(K.codon_facts(F.col("cs"), F.col("host"))).alias("flags"))
+    f = coding(spark, d).select("rec_id", K.rare_flags(F.col("cs"), F.col("host")).alias("flags"))
     runs = K.rare_runs(F.col("flags"))
     return f.select(
         "rec_id", F.regexp_count("flags", F.lit("1")).cast("long").alias("n_rare"), F.size(runs).cast("long").alias("n_runs"), F.length(F.array_join(runs, "")).cast("long").alias("run_codons")
@@ -176,8 +176,7 @@ round(pow(exp(coalesce(avg(ln(greatest(1e-9, p))) FILTER (f.aa <> '*'), 0)), 1.0
 )
 def sc_usage_lm(spark, d) -> DataFrame:
     """Statistics of the codon-usage language model of each record's host."""
-    logs = F.transform(F.filter(K.codon_facts(F.col("cs"), F.col("host")), lambda x: x.isNotNull() & (x["aa"] != "*")), lambda x: x["lp"])
-    rows = coding(spark, d).select("rec_id", logs.alias("lp")).select("rec_id", K.lm_stats(F.col("lp")).alias("x"))
+    rows = coding(spark, d).select("rec_id", K.codon_facts(F.col("cs"), F.col("host")).alias("f")).select("rec_id", K.usage_lm(F.col("f")).alias("x"))
     return rows.select("rec_id", *[r6(F.col(f"x.{k}")).alias(k) for k in ("loglik", "avg_loglik", "perplexity", "geom", "score")])
 
 
@@ -240,11 +239,12 @@ def sc_analyze(spark, d) -> DataFrame:
     rows = records(spark, d).select("rec_id", "host", "raw", "s").withColumn("cs", K.codons(F.col("s")))
     s = F.col("s")
     check = K.validate_cds(s)
-    f = K.codon_facts(F.col("cs"), F.col("host"))
+    f = F.col("f")
+    rows = rows.withColumn("f", K.codon_facts(F.col("cs"), F.col("host")))
     ok = check == "OK"
     metrics = F.struct(
         F.length(s).alias("length"), r6(K.gc(s)).alias("gc"), r6(K.cai(f)).alias("cai"), r6(K.tai(f)).alias("tai"), r6(K.fop(f)).alias("fop"), r6(K.codon_pair_bias(F.col("cs"), F.col("host"))).alias("cpb"),
-        r6(K.pair_bias(s, "CG")["obs_exp"]).alias("cpg_obs_exp"), F.size(K.rare_runs(K.rare_flags(f))).alias("rare_codon_runs"), F.size(K.homopolymers(s)).alias("homopolymers"), K.motif_hits(s, MOTIFS).alias("forbidden_sites"),
+        r6(K.pair_bias(s, "CG")["obs_exp"]).alias("cpg_obs_exp"), F.size(K.rare_runs(K.rare_flags(F.col("cs"), F.col("host")))).alias("rare_codon_runs"), F.size(K.homopolymers(s)).alias("homopolymers"), K.motif_hits(s, MOTIFS).alias("forbidden_sites"),
     )
     out = rows.select("rec_id", check.alias("message"), F.when(ok, metrics).alias("metrics"))
     warn = F.array_compact(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text_norm import protein_key
 from ..plans.lineage import cut
-from .components import components, follow_pointers
+from ..operators.components import components, follow_pointers
 from .segjoin import edit_pairs
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hosts import HOST_NAMES, host_key
 from ..functions.text_norm import protein_key
 from ..plans.lineage import cut
-from .components import components, star_edges
+from ..operators.components import components, star_edges
 
 #: Components with more than 1/BIG of all rows are placed one by one, before the rest: at most
 #: BIG of them exist.  The rest is placed in independent shards of about SHARD components.

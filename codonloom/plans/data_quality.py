@@ -9,6 +9,7 @@ from ..functions.hosts import host_key
 from ..functions.text_norm import protein_key
 from ..operators.fill_missing import time_fill
 from ..operators.schema_drift import consistent_table, drift
+from .registry import sql_host, sql_protein
 
 #: Days over which a host is carried along its genome's records; beyond, the genome's mode.
 HOST_GAP_DAYS = 90.0
@@ -94,4 +95,19 @@ def p4_filled_depths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ORACLE: dict[str, str] = {}
+def _lacking(table_name: str, field: str, row: str, group: str, usable: str, source: str) -> str:
+    return f"""SELECT '{table_name}' AS table_name, r.id AS row_id, '{field}' AS field FROM (SELECT {row} AS id, {group} AS g, {usable} AS v FROM {source}) r
+WHERE r.v IS NULL AND r.g IN (SELECT g FROM (SELECT {group} AS g, {usable} AS v FROM {source}) WHERE g IS NOT NULL AND v IS NOT NULL)"""
+
+
+PLDDT = "extra_features['struct_plddt_mean']"
+DEPTH = "msa_features.msa_depth"
+ORACLE: dict[str, str] = {
+    "p4_found": " UNION ALL ".join(
+        [
+            _lacking("integrated_test_1", "struct_plddt_mean", "rec_id", sql_protein("protein_aa"), f"CASE WHEN {PLDDT} > 0 AND {PLDDT} <= 100 AND NOT isnan({PLDDT}) THEN {PLDDT} END", "integrated_test_1"),
+            _lacking("integrated_test_1", "host", "rec_id", "metadata.genome_id", sql_host("host"), "integrated_test_1"),
+            _lacking("evolutionary_features", "msa_depth", "evo_id", "protein_id", f"CASE WHEN {DEPTH} >= 1 AND isfinite({DEPTH}) THEN {DEPTH} END", "evolutionary_features"),
+        ]
+    )
+}

@@ -96,5 +96,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+PROTEIN = r"nullif(regexp_replace(upper(protein_aa), '[\s*]', '', 'g'), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"""WITH RECURSIVE g AS (SELECT group_no, group_id, cluster_id, {PROTEIN} AS p FROM protein_group), l AS (SELECT DISTINCT cluster_id AS c, unnest(protein_groups) AS group_id FROM protein_cluster),
+m AS (SELECT 'c' || l.c AS k, g.group_no FROM l JOIN g USING (group_id) UNION SELECT 'c' || cluster_id, group_no FROM g WHERE cluster_id IS NOT NULL UNION SELECT 'p' || p, group_no FROM g WHERE p IS NOT NULL),
+s AS (SELECT group_no AS u, min(group_no) OVER (PARTITION BY k) AS v FROM m), e AS (SELECT u, v FROM s WHERE u <> v UNION SELECT v, u FROM s WHERE u <> v),
+r(n, c) AS (SELECT group_no, group_no FROM g UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.n WHERE r.c < e.v)
+SELECT min(c) AS group_no_a, n AS group_no_b FROM r GROUP BY n HAVING min(c) <> n""",
+        # letters stand for tokens: the listed sources are the same with either measure
+        "p7_found": """WITH d AS (SELECT lower(trim(source)) AS k, length(text) AS n FROM documents), t AS (SELECT coalesce(sum(n), 0) AS t FROM d), z AS (SELECT k, sum(n) AS n FROM d GROUP BY k)
+SELECT source FROM mixture_targets m LEFT JOIN z ON z.k = lower(trim(m.source)), t WHERE coalesce(z.n, 0) * max_repeats < target_share * t.t""",
+    }

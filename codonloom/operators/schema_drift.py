@@ -225,7 +225,10 @@ def consistent_table(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         fails.append(F.count_if(picked.isNotNull() & value[c].isNull()).alias(f"f_{len(fails)}"))
     names = sorted(paths)
     table = rows.select("line_no", "feed", "file_seq", "file_name", "entity", *[value[c].alias(c) for c in names])
+    if not names:
+        failed = rows.select("file_name", F.lit("").alias("field"), F.lit(0).cast("long").alias("n_values"), F.lit(0).cast("long").alias("n_failed")).limit(0)
+        return table, report, failed
     sums = rows.groupBy("file_name").agg(*present, *fails)
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"n_{i}").alias("n_values"), F.col(f"f_{i}").alias("n_failed")) for i, c in enumerate(names)])
-    failed = sums.select("file_name", F.explode(cells).alias("x")).select("file_name", "x.*").filter("n_values > 0") if names else sums.select("file_name", F.lit("").alias("field"), F.lit(0).cast("long").alias("n_values"), F.lit(0).cast("long").alias("n_failed")).limit(0)
+    failed = sums.select("file_name", F.explode(cells).alias("x")).select("file_name", "x.*").filter("n_values > 0")
     return table, report, failed

@@ -22,8 +22,9 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     bad = "_corrupt_record"
     wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(paths)
-    return rows.filter(F.col(bad).isNull()).drop(bad)
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    return rows.filter(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad)
 
 
 def existing(paths: list[str]) -> list[str]:
@@ -50,6 +51,14 @@ def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(path)
 
 
+def expression_of(text: Column) -> Column:
+    """Expression struct from JSON text that is a struct or a bare number."""
+    return F.coalesce(
+        F.when(F.ltrim(text).startswith("{"), F.from_json(text, S.EXPRESSION)),
+        F.struct(text.try_cast("double").alias("value"), *[F.lit(None).cast("string").alias(n) for n in ("unit", "assay", "confidence")], F.lit(None).cast("double").alias("original_value")),
+    )
+
+
 # Names under which a column may come, the first present one counts.
 ALIASES = {"protein_id": ["protein_id", "Entry", "id"], "sequence": ["sequence", "RefSeq_nn", "dna"], "protein_aa": ["protein_aa", "RefSeq_aa", "aa"], "host": ["host", "Organism"], "expression": ["expression", "expr"]}
 

@@ -9,9 +9,7 @@ from pyspark.sql import types as T
 from ..functions import kernels as K
 from ..functions.hosts import host_key
 from ..functions.text_norm import sequence_key
-from ..sources.schemas import RECORD
-
-TASK = T.StructType.fromDDL("task string, input struct<sequence: string, host: string, forbidden_motifs: array<string>>, metadata struct<request_id: string>")
+from ..sources.schemas import RECORD, TASK
 
 
 def enriched(rows: DataFrame) -> DataFrame:

@@ -312,35 +312,43 @@ def edit_pairs(
         near = sum(by.get((kind, x), (0, 0))[1] for x in (c - 1, c, c + 1))
         home_blocks[kind, c] = max(1, math.ceil(by.get((kind, c), (0, 0))[0] / home_letters))
         other_blocks[kind, c] = max(1, math.ceil(near / other_letters))
-    first: dict[tuple[int, int], int] = {}
-    total = 0
+    # cells are numbered through kinds and classes; both lists are as short as the classes are few
+    total, starts, base = 0, [], {}
     for key in classes:
-        first[key] = total
+        base.setdefault(key[0], len(starts))
+        starts.append(total)
         total += home_blocks[key] * other_blocks[key]
     total = max(total, 1)
+    cell0, hb, ob = F.lit(starts or [0]), F.lit([home_blocks[k] for k in classes] or [1]), F.lit([other_blocks[k] for k in classes] or [1])
+    top = {k: max(c for kk, c in classes if kk == k) for k in base}
+
+    def at(c):
+        """Place of the row's kind and class in the lists; null for classes without homes."""
+        out = F.lit(None).cast("int")
+        for k in base:
+            out = F.when((F.col("kind") == k) & (c <= top[k]), c + base[k]).otherwise(out)
+        return out
 
-    plan = spark.createDataFrame(
-        [(k, c, home_blocks[k, c], other_blocks[k, c], first[k, c]) for k, c in classes] or [(-1, -1, 1, 1, 0)],
-        "kind int, c int, hb int, ob int, cell0 int",
-    )
-    plan = F.broadcast(plan)  # one row per length class
-    rows = texts.withColumn("n", F.length("txt").cast("long")).filter(n > 0)
     h = F.xxhash64("uid")
-    home = (
-        rows.filter("home")
-        .withColumn("c", cls(n))
-        .join(plan, ["kind", "c"])
-        .withColumn("i", F.pmod(h, F.col("hb").cast("long")).cast("int"))
-        .select("kind", "uid", "txt", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"), "i", "ob", "cell0", F.lit(0).alias("side"))
-    )
-    other = (
-        rows.filter("other")
-        .select("kind", "uid", "txt", F.explode(F.sequence(cls(shortest), cls(longest))).alias("c"))
-        .join(plan, ["kind", "c"])
-        .withColumn("j", F.pmod(h, F.col("ob").cast("long")).cast("int"))
-        .select("kind", "uid", "txt", "j", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("i"), "ob", "cell0", F.lit(1).alias("side"))
-    )
-    cells = home.unionByName(other).select((F.col("cell0") + F.col("i") * F.col("ob") + F.col("j")).alias("cell"), "side", "kind", "uid", "txt")
+    none = F.array().cast("array<struct<cell: int, side: int>>")
+
+    def cell(x, i, j, side: int):
+        return F.struct((F.get(cell0, x) + i * F.get(ob, x) + j).alias("cell"), F.lit(side).alias("side"))
+
+    def home_cells(x):
+        i = F.pmod(h, F.get(hb, x)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.get(ob, x) - 1), lambda j: cell(x, i, j, 0))
+
+    def other_cells(c):
+        x = at(c)
+        j = F.pmod(h, F.get(ob, x)).cast("int")
+        return F.when(x.isNotNull(), F.transform(F.sequence(F.lit(0), F.get(hb, x) - 1), lambda i: cell(x, i, j, 1))).otherwise(none)
+
+    rows = texts.withColumn("n", F.length("txt").cast("long")).filter(n > 0)
+    own = F.when(F.col("home") & at(cls(n)).isNotNull(), home_cells(at(cls(n)))).otherwise(none)
+    met = F.when(F.col("other"), F.flatten(F.transform(F.sequence(cls(shortest), cls(longest)), other_cells))).otherwise(none)
+    # one pass over the texts: each goes to its cells as a home and as an other text
+    cells = rows.select("kind", "uid", "txt", F.explode(F.concat(own, met)).alias("x")).select("x.cell", "x.side", "kind", "uid", "txt")
     parts = min(total, max(64, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     candidates = (
         cells.repartitionById(parts, F.col("cell") % parts)

@@ -117,9 +117,10 @@ class Segments:
             pick = pick[order]
             h = h[order]
             bucket = h >> np.uint32(32 - BUCKET_BITS)
-            first = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint32)).astype(np.int32)
-            held = np.zeros(1 << BUCKET_BITS, dtype=bool)
-            held[bucket] = True
+            counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+            held = counts > 0
+            first = np.zeros((1 << BUCKET_BITS) + 1, dtype=np.int32)
+            np.cumsum(counts, out=first[1:])
             self.by_q[int(q)] = (h, row[pick], j[pick], start[pick], held, first)
 
     def matches(self, other: Pack, strict: bool, same: bool, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -160,37 +161,42 @@ class Segments:
 
     def survivors(self, other: Pack, q: int, dims: int, strict: bool, same: bool, keep: bool) -> tuple[np.ndarray, np.ndarray]:
         """Matches that also share as many q-grams as k edits must leave."""
-        found = []
+        found: list[np.ndarray] = []
+        wait: list[np.ndarray] = []
         for a, b in self.matches(other, strict, same, keep):
-            need = self.pack.length[a] - q + 1 - q * self.k[a]
-            keep_row = need <= 0
-            test = np.flatnonzero(~keep_row)
-            if len(test):
-                ua, ia = np.unique(a[test], return_inverse=True)
-                ub, ib = np.unique(b[test], return_inverse=True)
-                for s in range(0, len(ub), 4096):  # bounded profile memory
-                    part = np.flatnonzero((ib >= s) & (ib < s + 4096))
-                    if not len(part):
-                        continue
-                    va, ja = np.unique(ia[part], return_inverse=True)
-                    pb, fb = other.profile(ub[s : s + 4096], q, dims)
-                    for t in range(0, len(va), 4096):
-                        sub = part[(ja >= t) & (ja < t + 4096)]
-                        pa_, fa = self.pack.profile(ua[va[t : t + 4096]], q, dims)
-                        back = np.full(len(ua), -1)
-                        back[va[t : t + 4096]] = np.arange(len(pa_))
-                        for x in range(0, len(sub), 1024):
-                            w = sub[x : x + 1024]
-                            xa, xb = back[ia[w]], ib[w] - s
-                            shared = np.minimum(pa_[xa], pb[xb]).sum(axis=1, dtype=np.int32)
-                            keep_row[test[w]] = (shared >= need[test[w]]) | fa[xa] | fb[xb]
-            if keep_row.any():
-                found.append(a[keep_row] * len(other.uid) + b[keep_row])
+            wait.append(a * len(other.uid) + b)
+            if sum(map(len, wait)) >= EXPAND_ROWS:
+                found.append(self._bounded(np.unique(np.concatenate(wait)), other, q, dims))
+                wait = []
+        if wait:
+            found.append(self._bounded(np.unique(np.concatenate(wait)), other, q, dims))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         code = np.unique(np.concatenate(found))
         return code // len(other.uid), code % len(other.uid)
 
+    def _bounded(self, code: np.ndarray, other: Pack, q: int, dims: int) -> np.ndarray:
+        """The codes of pairs that meet the q-gram bound; profiles are made in bounded blocks."""
+        a, b = code // len(other.uid), code % len(other.uid)
+        need = self.pack.length[a] - q + 1 - q * self.k[a]
+        good = need <= 0
+        test = np.flatnonzero(~good)
+        ub, ib = np.unique(b[test], return_inverse=True)
+        for s in range(0, len(ub), 4096):
+            part = test[(ib >= s) & (ib < s + 4096)]
+            here = ib[(ib >= s) & (ib < s + 4096)] - s
+            pb, fb = other.profile(ub[s : s + 4096], q, dims)
+            ua, ia = np.unique(a[part], return_inverse=True)
+            for t in range(0, len(ua), 4096):
+                pick = np.flatnonzero((ia >= t) & (ia < t + 4096))
+                pa_, fa = self.pack.profile(ua[t : t + 4096], q, dims)
+                for x in range(0, len(pick), 1024):
+                    w = pick[x : x + 1024]
+                    xa, xb = ia[w] - t, here[w]
+                    shared = np.minimum(pa_[xa], pb[xb]).sum(axis=1, dtype=np.int32)
+                    good[part[w]] = (shared >= need[part[w]]) | fa[xa] | fb[xb]
+        return code[good]
+
 
 OUT = pa.schema([("kind", pa.int32()), ("uid_a", pa.int64()), ("uid_b", pa.int64()), ("txt_a", pa.string()), ("txt_b", pa.string())])
 OUT_DDL = "kind int, uid_a long, uid_b long, txt_a string, txt_b string"

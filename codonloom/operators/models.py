@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,11 +42,47 @@ class QuantileSurrogate:
         res = model.transform(rows).agg(F.percentile(F.col(label) - F.col("prediction"), F.lit(upper)).alias("q")).first()["q"]
         return cls(model, float(res or 0.0))
 
+    def save(self, path: str) -> None:
+        """The pipeline under ``path/model``, the upper shift beside it."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.shift,)], "shift double").coalesce(1).write.mode("overwrite").json(f"{path}/shift")
+
+    @classmethod
+    def load(cls, path: str) -> QuantileSurrogate:
+        spark = SparkSession.getActiveSession()
+        return cls(PipelineModel.load(f"{path}/model"), spark.read.schema("shift double").json(f"{path}/shift").first()["shift"])
+
     def predict(self, rows: DataFrame) -> DataFrame:
         out = self.model.transform(rows).withColumnRenamed("prediction", "mu").drop("scaled")
         return out.withColumn("sigma", F.lit(max(1e-6, self.shift)))
 
 
+def training_vectors(records: DataFrame) -> DataFrame:
+    """Records as ``host, y, features``: sorted features of the sequence, every record with the
+    same keys; records without a usable value or sequence are left out."""
+    from ..functions import kernels as K
+    from ..functions.text_norm import sequence_key
+
+    s = F.col("_s")
+    v = F.col("expression.value")
+    r = records.withColumn("_s", K.without_stop(sequence_key("sequence"))).filter(v.isNotNull() & ~F.isnan(v) & s.isNotNull()).withColumn("_cs", K.codons(s)).withColumn("_f", K.codon_facts(F.col("_cs"), F.col("host")))
+    ok = K.validate_cds(s) == "OK"
+    named = {"cai": F.when(ok, K.cai(F.col("_f"))), "tai": F.when(ok, K.tai(F.col("_f"))), "fop": F.when(ok, K.fop(F.col("_f"))), "gc": K.gc(s), "len_nt": F.length(s), "cpb": K.codon_pair_bias(F.col("_cs"), F.col("host"))}
+    out = assembled(r.select("host", v.alias("y"), *[c.cast("double").alias(n) for n, c in named.items()]), list(named))
+    return out.select("host", "y", "features")
+
+
+def fit_by_host(rows: DataFrame, label: str, hosts: list[str], least: int = 20, trees: int = 20) -> dict[str, QuantileSurrogate]:
+    """One surrogate per host with at least ``least`` rows."""
+    out = {}
+    for h in hosts:
+        own = rows.filter(F.col("host") == h)
+        if own.count() >= least:
+            out[h] = QuantileSurrogate.fit(own, label, trees=trees)
+    return out
+
+
 def ensemble(rows: DataFrame, label: str, id_col: str, members: int = 3, share: float = 0.9, seed: int = 42, trees: int = 10) -> list[QuantileSurrogate]:
     """Surrogates on bootstraps of ``share`` of the rows."""
     return [QuantileSurrogate.fit(rows.sample(withReplacement=True, fraction=share, seed=seed + i), label, seed=seed + i, trees=trees) for i in range(members)]
@@ -89,4 +125,4 @@ def rank_score(model, rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("score", F.aggregate(F.zip_with(vector, F.lit(weights), lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x))
 
 
-__all__ = ["QuantileSurrogate", "assembled", "ensemble", "ensemble_predict", "out_of_fold", "rank_net", "rank_score", "regressor", "vector_to_array"]
+__all__ = ["QuantileSurrogate", "assembled", "ensemble", "ensemble_predict", "out_of_fold", "rank_net", "rank_score", "regressor", "fit_by_host", "training_vectors", "vector_to_array"]

@@ -151,6 +151,17 @@ def cluster_splits(clusters: DataFrame, seed: int, shares: tuple[float, float, f
     return clusters.join(ranked.select("cluster", split.alias("split")), "cluster")
 
 
+def round_robin_splits(clusters: DataFrame, pattern: tuple[str, ...] = ("train", "val", "train", "test", "train"), least: int = 1) -> DataFrame:
+    """Whole clusters in turn to the splits of the pattern (60/20/20), the largest first; clusters
+    under ``least`` rows are left out.  Clusters are never divided for balance."""
+    from .ordinals import with_ordinal
+
+    sizes = clusters.groupBy("cluster").agg((-F.count("*")).alias("_m")).filter(-F.col("_m") >= least)
+    ranked = with_ordinal(sizes, ["_m", "cluster"], "_i")
+    split = F.get(F.lit(list(pattern)), F.pmod("_i", F.lit(len(pattern))).cast("int"))
+    return clusters.join(ranked.select("cluster", split.alias("split")), "cluster")
+
+
 def leakage_audit(rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of different splits with a k-mer Jaccard of ``least`` or more: exact, by inverted
     index, over all rows (``id, split, txt``; null splits take no part)."""

@@ -91,6 +91,11 @@ def cp_cluster_split(spark, d) -> DataFrame:
     return C.cluster_splits(cp_linked_clusters(spark, d), 11)
 
 
+@query()
+def cp_round_robin_split(spark, d) -> DataFrame:
+    return C.round_robin_splits(cp_linked_clusters(spark, d))
+
+
 @query(
     f"""WITH {RECORDS}, p AS (SELECT rec_id, split, aa FROM rec WHERE aa IS NOT NULL AND split IS NOT NULL), k AS (SELECT DISTINCT rec_id, split, substr(aa, i::INT, 5) AS mer FROM (SELECT *, unnest(range(1, length(aa) - 3)) AS i FROM p WHERE length(aa) >= 5)), n AS (SELECT rec_id, count(*) AS n FROM k GROUP BY 1),
 c AS (SELECT a.rec_id AS a, b.rec_id AS b, least(a.split, b.split) || '|' || greatest(a.split, b.split) AS splits, count(*) AS nb FROM k a JOIN k b ON a.mer = b.mer AND a.rec_id < b.rec_id AND a.split <> b.split GROUP BY ALL), j AS (SELECT splits, nb / (x.n + y.n - nb) AS j FROM c JOIN n x ON x.rec_id = c.a JOIN n y ON y.rec_id = c.b)

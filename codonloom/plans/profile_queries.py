@@ -262,3 +262,14 @@ def ag_pipeline_counters(spark, d) -> DataFrame:
     st = table(spark, d, "feature_bundle").select("protein_id").dropna().distinct().withColumn("b", F.lit(1))
     j = r.join(msa, "protein_id", "left").join(st, "protein_id", "left")
     return j.agg(F.count("*").alias("processed"), F.count_if(F.col("raw").isNull()).alias("errors"), F.count("m").alias("with_msa"), F.count("b").alias("with_structure"))
+
+
+@query(
+    """WITH a AS (SELECT protein_id, median(CASE WHEN NOT isnan(msa_depth) THEN msa_depth END) AS m FROM feature_bundle WHERE protein_id IS NOT NULL GROUP BY 1), b AS (SELECT protein_id, median(CASE WHEN NOT isnan(msa_features.msa_depth) THEN msa_features.msa_depth END) AS m FROM evolutionary_features WHERE protein_id IS NOT NULL GROUP BY 1)
+SELECT coalesce(a.protein_id, b.protein_id) AS protein_id, round(a.m, 6) AS bundle_median, round(b.m, 6) AS evo_median FROM a FULL JOIN b ON a.protein_id = b.protein_id"""
+)
+def ag_two_medians(spark, d) -> DataFrame:
+    """Medians from two sources under the union of their keys."""
+    a = table(spark, d, "feature_bundle").filter("protein_id is not null").groupBy("protein_id").agg(r6(F.median(P.number(F.col("msa_depth")))).alias("bundle_median"))
+    b = table(spark, d, "evolutionary_features").filter("protein_id is not null").groupBy("protein_id").agg(r6(F.median(P.number(F.col("msa_features.msa_depth")))).alias("evo_median"))
+    return a.join(b, "protein_id", "full")

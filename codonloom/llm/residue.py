@@ -18,7 +18,7 @@ from . import residue_lexicon as L
 CODE = re.compile(r"`[^`\n]*`|```.*?```", re.S)
 TAG = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|br|hr|div|span|ul|ol|li|b|i|em|strong|a|table|tr|td|th|noscript|script|meta|center|pre|code|sup|sub)\b[^<>\n]*>", re.I)
 ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\[nt\"/]")
-BREAK = re.compile(r"[\n\r\x0b\x0c  ]+|(?<=[.!?…])[\s ]+|(?<=[.!?])(?=[A-ZÀ-Þ])|[•·|]|\s-\s|\s--\s|\s—\s")
+BREAK = re.compile(r"[\n\r\x0b\x0c  ]+|(?<=[.!?…])[\s ]+|(?<=[a-zß-ÿ][.!?])(?=[A-ZÀ-Þ])|[•·|]|\s-\s|\s--\s|\s—\s")
 WORD = re.compile(r"[^\W_]+", re.U)
 NUMBER = re.compile(r"\b(?:[0-9][0-9a-f]*|[0-9a-f]*[0-9][0-9a-f]*)\b")
 SPAN = re.compile("\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]")
@@ -32,7 +32,7 @@ STRONG = re.compile(
 #: Delimiters with other uses: only around a known field name or a name in capitals or snake case.
 WEAK = re.compile(rf"\[\[ ?({NAME}) ?\]\]|\[({NAME})\]|<({NAME})>|\{{({NAME})\}}|%({NAME})%|\$({NAME})\$|__([A-Za-z][A-Za-z0-9 ]*(?:_[A-Za-z0-9]+)*)__|«({NAME})»|<<({NAME})>>")
 TRACE = re.compile(r"^\W*(?:[A-Za-z_.]*(?:Error|Exception|Warning)\s*:\s*\S.{0,200}|Traceback \(most recent call last\).*|File \"[^\"]+\", line \d+.*|Segmentation fault.*|core dumped.*)$")
-EMPTY_VALUE = re.compile(r"^\W*[^\W\d_][\w ]{0,30}\s?:\s*(?:NaN|undefined|\[object Object\]|NoneType|%s|%d)\W*$", re.I)
+EMPTY_VALUE = re.compile(r"^\W*[^\W\d_][\w ]{0,30}\s?:\s*(?:NaN|undefined|null|NULL|\[object Object\]|NoneType|%s|%d)\W*$", re.I)
 REPEATED = re.compile(r"^\W*(x{3,}|tbd|todo|fixme|tba|asdf|qwerty|blah?)(?:\W+\1)*\W*$", re.I)
 INSERT = re.compile(r"^\W*(?:insert|enter|add|type|put|einfugen|inserer|inserez|inserte|introduzca|ecrivez|escriba)\b(?: [^\W_]+){1,8} (?:here|hier|ici|aqui)\W*$")
 JSON_ERROR = re.compile(r"^\s*\{\s*\"error\"\s*:\s*(?:\{|\")", re.M)

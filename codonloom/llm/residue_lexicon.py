@@ -12,37 +12,37 @@ failed to load|could not be loaded|cannot be loaded|could not load|cannot load|d
 refused the connection|refused to connect|connection refused|connection reset|is offline|is offline until further notice|cannot be reached|can not be reached|could not be reached
 did not answer|did not answer in time|did not respond|does not respond|is not responding|timed out|has timed out|is overloaded|is down|is down for maintenance|is under maintenance|under maintenance
 returned an unexpected response|returned an error|is not open to your account|is not available|is not available right now|is unavailable|is temporarily unavailable|temporarily unavailable|currently unavailable|service unavailable
-bad gateway|gateway timeout|gateway time out|internal server error|something went wrong|an error occurred|an error has occurred|an unexpected error occurred|unexpected error|access denied|access is denied|access to this page is denied
+is locked|has been locked|has been blocked|internal error|server error|bad gateway|gateway timeout|gateway time out|internal server error|something went wrong|an error occurred|an error has occurred|an unexpected error occurred|unexpected error|access denied|access is denied|access to this page is denied
 permission denied|you do not have permission|forbidden|unauthorized|too many requests|bad request|request failed|request failed with status code #|error code #
 your client has been blocked|you have been blocked|your request has been blocked|your session has expired|session expired|session has expired|you need to sign in|you must sign in|you must be logged in|please log in|please sign in
 checking your browser|verify you are human|verify that you are human|enable javascript|enable java script|enable js|allow javascript|activate javascript|turn javascript on|turn on javascript|switch on javascript|javascript is disabled|javascript is turned off|javascript is required
 javascript must be enabled|requires javascript|needs javascript|needs scripts to run|needs scripts|requires scripts|requires scripting|does not support javascript|does not support scripting|switch on scripts|turn on scripts|turn scripts on|switch scripts on|enable scripts|enable scripting|allow scripts|allow scripting|permit scripts|permit scripting|permit active content|allow active content|enable active content
 active scripting is switched off|scripting is switched off|scripts are disabled|scripts are switched off|scripting is disabled|use a browser that runs js|use a browser that runs javascript|use a browser that supports javascript|use a browser with javascript
-disable the script blocker|turn off the script blocker|switch off the script blocker|turn off your ad blocker|disable your ad blocker|enable cookies|this is a dummy entry|dummy text|placeholder text|placeholder copy|turn them on in your browser settings
+disable the script blocker|disable your script blocker|turn off your script blocker|switch off your script blocker|turn off the script blocker|switch off the script blocker|turn off your ad blocker|disable your ad blocker|enable cookies|this is a dummy entry|dummy text|sample text|example text|test text|placeholder text|placeholder copy|turn them on in your browser settings
 """,
     "de": """
 nicht gefunden|wurde nicht gefunden|konnte nicht gefunden werden|nicht vorhanden|existiert nicht|existiert nicht mehr|nicht mehr verfugbar|nicht verfugbar|zurzeit nicht verfugbar|derzeit nicht verfugbar|vorubergehend nicht verfugbar
 nicht erreichbar|zurzeit nicht erreichbar|derzeit nicht erreichbar|vorubergehend nicht erreichbar|wurde entfernt|wurde geloscht|wurde verschoben|entfernt|geloscht|uberlastet|ist uberlastet|in wartung|wird gewartet|ist in wartung|wegen wartung|offline
-antwortet nicht|hat nicht geantwortet|keine antwort|keine antwort vom server|zeituberschreitung|verbindung abgelehnt|hat die verbindung abgelehnt|verweigert die verbindung|verbindung verweigert|konnte nicht geladen werden|kann nicht geladen werden|nicht geladen|lasst sich nicht laden|ladt nicht
+ohne antwort|antwortet nicht|hat nicht geantwortet|keine antwort|keine antwort vom server|zeituberschreitung|verbindung abgelehnt|hat die verbindung abgelehnt|verweigert die verbindung|verbindung verweigert|konnte nicht geladen werden|kann nicht geladen werden|nicht geladen|lasst sich nicht laden|ladt nicht
 interner serverfehler|interner fehler|ein fehler ist aufgetreten|es ist ein fehler aufgetreten|unerwarteter fehler|unerwartete antwort|zugriff verweigert|zugriff nicht erlaubt|kein zugriff|keine berechtigung|nicht freigegeben|fur ihr konto nicht freigegeben
-ihre sitzung ist abgelaufen|sitzung abgelaufen|sitzung ist abgelaufen|bitte melden sie sich an|melden sie sich an|sie mussen sich anmelden|zu viele anfragen|wurde gesperrt|wurde blockiert
+ihre sitzung ist abgelaufen|sitzung abgelaufen|sitzung ist abgelaufen|bitte melden sie sich an|melden sie sich an|sie mussen sich anmelden|zu viele anfragen|wurde gesperrt|ist gesperrt|gesperrt|wurde blockiert|blockiert
 aktivieren sie javascript|bitte javascript aktivieren|javascript aktivieren|erlauben sie javascript|schalten sie javascript ein|schalten sie skripte ein|aktivieren sie skripte|erlauben sie skripte|deaktivieren sie den skriptblocker|schalten sie den skriptblocker aus|erlauben sie aktive inhalte|javascript ist deaktiviert|javascript ist ausgeschaltet|skripte sind deaktiviert
-benotigt javascript|braucht javascript|erfordert javascript|benotigt skripte|braucht skripte|erfordert skripte|unterstutzt kein javascript|unterstutzt keine skripte|nutzen sie einen browser mit javascript|verwenden sie einen browser mit javascript|cookies aktivieren|schalten sie sie im browser ein|platzhaltertext|blindtext|dies ist ein platzhalter
+benotigt javascript|braucht javascript|erfordert javascript|benotigt skripte|braucht skripte|erfordert skripte|unterstutzt kein javascript|unterstutzt keine skripte|nutzen sie einen browser mit javascript|verwenden sie einen browser mit javascript|cookies aktivieren|schalten sie sie im browser ein|platzhaltertext|blindtext|beispieltext|mustertext|fulltext|probetext|dies ist ein platzhalter
 """,
     "fr": """
 est introuvable|introuvable|n existe pas|n existe plus|n est plus disponible|n est pas disponible|indisponible|est indisponible|est temporairement indisponible|temporairement indisponible|a ete supprimee|a ete supprime|a ete retiree|a ete retire|a ete deplacee|a ete deplace
 a refuse la connexion|connexion refusee|ne repond pas|ne repond plus|n a pas repondu|n a pas repondu a temps|delai depasse|est en maintenance|en maintenance|est hors ligne|hors ligne|est surchargee|est surcharge|surcharge|surchargee|n a pas pu etre chargee|n a pas pu etre charge|ne peut pas etre chargee|ne peut etre chargee|impossible de charger|impossible d afficher|impossible de joindre
-erreur interne du serveur|erreur interne|une erreur est survenue|une erreur s est produite|erreur inattendue|reponse inattendue|a renvoye une reponse inattendue|acces refuse|acces interdit|l acces est refuse|vous n avez pas acces|n est pas ouverte a votre compte|n est pas ouvert a votre compte|requete invalide|trop de requetes|a ete bloque|page non trouvee
+erreur interne du serveur|erreur interne|une erreur est survenue|une erreur s est produite|erreur inattendue|reponse inattendue|a renvoye une reponse inattendue|acces refuse|acces interdit|l acces est refuse|vous n avez pas acces|n est pas ouverte a votre compte|n est pas ouvert a votre compte|requete invalide|trop de requetes|a ete bloque|a ete bloquee|est bloque|est bloquee|est verrouillee|est verrouille|verrouillee|verrouille|page non trouvee|est momentanement indisponible|momentanement indisponible
 votre session a expire|session expiree|la session a expire|connectez vous|vous devez vous connecter|veuillez vous connecter|verification de votre navigateur
 activez javascript|activer javascript|autorisez javascript|autoriser javascript|activez les scripts|activer les scripts|autorisez les scripts|autoriser les scripts|desactivez le bloqueur de scripts|desactiver le bloqueur de scripts|autorisez le contenu actif|javascript est desactive|les scripts sont desactives|necessite javascript|requiert javascript|exige javascript|a besoin de javascript|a besoin de scripts|necessite des scripts
-ne prend pas en charge javascript|ne prend pas en charge les scripts|utilisez un navigateur avec javascript|utilisez un navigateur qui execute javascript|activez les cookies|texte de remplissage|texte factice
+ne prend pas en charge javascript|ne prend pas en charge les scripts|utilisez un navigateur avec javascript|utilisez un navigateur qui execute javascript|activez les cookies|texte de remplissage|texte factice|texte d exemple|texte de test|faux texte
 """,
     "es": """
 no se encontro|no se encuentra|no encontrada|no encontrado|pagina no encontrada|no existe|ya no existe|ya no esta disponible|no esta disponible|no disponible|temporalmente no disponible|fue retirada|fue retirado|ha sido retirada|ha sido eliminada|fue eliminada|fue eliminado|ha sido eliminado|se ha eliminado|fue movida
 rechazo la conexion|conexion rechazada|no responde|no respondio|no respondio a tiempo|no contesta|tiempo de espera agotado|esta en mantenimiento|en mantenimiento|esta fuera de linea|fuera de linea|fuera de servicio|esta sobrecargada|esta sobrecargado|sobrecargado|sobrecargada|no se pudo cargar|no se puede cargar|no pudo cargarse|no cargo|no se pudo mostrar|no se pudo conectar
-error interno del servidor|error interno|ha ocurrido un error|se produjo un error|se ha producido un error|error inesperado|respuesta inesperada|devolvio una respuesta inesperada|acceso denegado|acceso prohibido|no tiene permiso|no tiene acceso|no esta abierta a su cuenta|no esta abierto a su cuenta|solicitud incorrecta|demasiadas solicitudes|ha sido bloqueado
+error interno del servidor|error interno|ha ocurrido un error|se produjo un error|se ha producido un error|error inesperado|respuesta inesperada|devolvio una respuesta inesperada|acceso denegado|acceso prohibido|no tiene permiso|no tiene acceso|no esta abierta a su cuenta|no esta abierto a su cuenta|solicitud incorrecta|demasiadas solicitudes|ha sido bloqueado|ha sido bloqueada|esta bloqueada|esta bloqueado|bloqueada|bloqueado|no esta disponible por el momento
 su sesion ha caducado|la sesion ha caducado|sesion caducada|su sesion ha expirado|la sesion ha expirado|su sesion expiro|inicie sesion|debe iniciar sesion|comprobando su navegador
-active javascript|activar javascript|permita javascript|habilite javascript|active los scripts|permita los scripts|habilite los scripts|activar los scripts|desactive el bloqueador de scripts|permita el contenido activo|javascript esta desactivado|los scripts estan desactivados|necesita javascript|requiere javascript|necesita scripts|requiere scripts|no admite javascript|no admite scripts|no es compatible con javascript|use un navegador con javascript|use un navegador que ejecute javascript|habilite las cookies|texto de relleno|texto de prueba
+active javascript|activar javascript|permita javascript|habilite javascript|active los scripts|permita los scripts|habilite los scripts|activar los scripts|desactive el bloqueador de scripts|permita el contenido activo|javascript esta desactivado|los scripts estan desactivados|necesita javascript|requiere javascript|necesita scripts|requiere scripts|no admite javascript|no admite scripts|no es compatible con javascript|use un navegador con javascript|use un navegador que ejecute javascript|habilite las cookies|texto de relleno|texto de prueba|texto de ejemplo|texto simulado
 """,
 }
 
@@ -51,7 +51,7 @@ FRAME = {
     "en": """
 we are sorry|we re sorry|sorry|unfortunately|notice|warning|system message|hmm|oops|ooops|attention|error|error #|status|status code #|http|code #|code|message|noscript|please|note
 the page|this page|a page|page|the page you asked for|the page you requested|the page you are looking for|the requested page|the requested entry|requested entry|the requested resource|this resource|the resource|this entry|the entry|this record|the record|the export|this export|the record viewer|the viewer|this viewer|viewer|the search backend|the search|the backend|our server|the server|this server|server|the upstream host|the host|the site|this site|website|this website|the service|this service|service|the view|this view|this app|the app|this application|the application|the database|the connection|the connection to the database|connection|the file|the document|this document|this content|interactive content|your browser|the link|we|you|and
-after # seconds|try again|try again later|please try again|please try again later|and try again|and retry|sign in and retry|retry|sign in|log in|reload|reload the page|refresh|refresh the page|and reload|and refresh|then reload|check the address|contact support|contact support and quote #|quote #|contact the administrator|or contact the administrator|go back to the start page|back to the start page|return to the start page|return to the home page|go to the home page|and will be back shortly|will be back shortly|we will be back shortly|right now|until further notice|in # minutes|for # minutes|in # seconds|for # seconds|come back in # minutes|before continuing|before you continue|to continue|to view this entry|to see this entry|to see this structure|to view this page|to see this page|to show this chart|to use the browser for alignments|for the full record|to run this app|in the settings|in your settings|in your browser settings|in your browser|for this site|on this site|and cookies|javascript and cookies|cookies|because|so the alignment cannot be displayed|the alignment cannot be displayed|cannot be displayed|used for layout only|not|in time|portal example|at|to|on|then|with|and quote|to view|to see|to show
+after # seconds|try again|try again later|please try again|please try again later|and try again|and retry|sign in and retry|retry|sign in|log in|reload|reload the page|refresh|refresh the page|and reload|and refresh|then reload|check the address|contact support|contact support and quote #|quote #|contact the administrator|or contact the administrator|go back to the start page|back to the start page|return to the start page|return to the home page|go to the home page|and will be back shortly|will be back shortly|we will be back shortly|right now|until further notice|in # minutes|for # minutes|in # seconds|for # seconds|come back in # minutes|before continuing|before you continue|to continue|to view this entry|to see this entry|to see this structure|to view this page|to see this page|to show this chart|to use the browser for alignments|for the full record|to run this app|in the settings|in your settings|in your browser settings|in your browser|for this site|on this site|and cookies|javascript and cookies|cookies|because|so the alignment cannot be displayed|the alignment cannot be displayed|cannot be displayed|used for layout only|not|in time|portal example|portal|example|while rendering this record|while rendering this page|while loading this record|while loading the page|while loading|rendering|this record|at|to|on|then|with|and quote|to view|to see|to show
 """,
     "de": """
 leider|achtung|hinweis|warnung|fehler|fehler #|systemmeldung|es tut uns leid|entschuldigung|tut uns leid|hoppla|bitte|die seite|diese seite|seite|die angeforderte seite|angeforderte seite|der eintrag|dieser eintrag|eintrag|der angeforderte eintrag|die ansicht|diese ansicht|ansicht|die anzeige|der server|unser server|server|der dienst|dieser dienst|dienst|die suche|suche|der export|export|die ressource|ressource|die datenbank|verbindung|die verbindung|ihr browser|dieser browser|diese anwendung
@@ -59,7 +59,7 @@ bitte neu laden|neu laden|laden sie die seite neu|laden sie neu|und laden neu|un
 """,
     "fr": """
 desole|desolee|nous sommes desoles|attention|avis|erreur|erreur #|avertissement|message du systeme|malheureusement|oups|veuillez|la page|cette page|la page demandee|page demandee|page|la fiche|cette fiche|la fiche demandee|fiche|la vue|cette vue|la ressource|cette ressource|le serveur|notre serveur|serveur|le service|ce service|service|la recherche|l export|l exportation|le site|ce site|le visualiseur|la base de donnees|la connexion|votre navigateur|cette application
-rechargez|rechargez la page|puis rechargez|et rechargez|veuillez recharger|reessayez|reessayez plus tard|veuillez reessayer plus tard|veuillez reessayer|revenez dans # minutes|dans # minutes|verifiez l adresse|contactez le support|contactez l assistance|retour a l accueil|retournez a l accueil|pour afficher cette fiche|pour afficher cette page|pour voir cette fiche|pour la fiche complete|pour continuer|avant de continuer|dans les reglages|dans les parametres|dans le navigateur|et les cookies|code #|code|et|puis|pour
+rechargez|rechargez la page|puis rechargez|et rechargez|veuillez recharger|reessayez|reessayez plus tard|veuillez reessayer plus tard|veuillez reessayer|revenez dans # minutes|dans # minutes|verifiez l adresse|contactez le support|contactez l assistance|retour a l accueil|retournez a l accueil|pour afficher cette fiche|pour afficher cette page|pour voir cette fiche|pour la fiche complete|pour continuer|avant de continuer|dans les reglages|dans les parametres|dans le navigateur|pendant le chargement|lors du chargement|pendant le chargement de la fiche|et les cookies|code #|code|et|puis|pour
 """,
     "es": """
 lo sentimos|atencion|aviso|error|error #|advertencia|mensaje del sistema|por desgracia|lamentablemente|vaya|por favor|la pagina|esta pagina|la pagina solicitada|pagina|la ficha|esta ficha|la ficha solicitada|ficha|la vista|esta vista|el recurso|este recurso|el servidor|nuestro servidor|servidor|el servicio|este servicio|servicio|la busqueda|la exportacion|el sitio|este sitio|el visor|la base de datos|la conexion|su navegador|esta aplicacion

@@ -87,5 +87,5 @@ name|first name|last name|full name|user|user name|username|email|address|phone|
 
 # Words of sentences that explain a field instead of leaving it unfilled.
 ABOUT = """
-template|templates|field|fields|placeholder|placeholders|variable|replaced|replace|replaces|substituted|filled|rendered|syntax|vorlage|vorlagen|platzhalter|ersetzt|ersetzen|feld|felder|variable|eingesetzt|modele|gabarit|champ|champs|remplace|remplacee|remplacer|plantilla|campo|campos|sustituye|sustituido|sustituir|reemplaza|se cambia|path|export|primer|codon
+template|templates|field|fields|placeholder|placeholders|variable|replaced|replace|replaces|substituted|filled|rendered|syntax|vorlage|vorlagen|platzhalter|ersetzt|ersetzen|feld|felder|variable|eingesetzt|modele|gabarit|champ|champs|remplace|remplacee|remplacer|plantilla|campo|campos|sustituye|sustituido|sustituir|reemplaza|se cambia
 """

@@ -23,6 +23,7 @@ STEP = 16_384
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,200}>|<br\s*/?>")
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*[\r\n]+\s*(?=[^\W\d_])")
 HIDDEN = re.compile("[­​‌‍⁠﻿]")
+POINT = re.compile(r"(?<=\d)[.,'\u2009\u202f](?=\d)")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -32,7 +33,7 @@ def words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if not unicodedata.combining(c))
-    return WORD.findall(text.casefold())
+    return WORD.findall(POINT.sub("", text.casefold()))
 
 
 def own_words(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:

@@ -213,7 +213,7 @@ def ag_density_entropy(spark, d) -> DataFrame:
     """-sum h ln h over the density histogram of ten equal bins (empty bins aside)."""
     t = table(spark, d, "events").filter("value is not null")
     ends = t.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).filter("hi > lo")
-    bins = t.join(F.broadcast(ends), "event_type").groupBy("event_type", "lo", "hi", "n", F.least(F.lit(9), F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10))).alias("bin")).agg(F.count("*").alias("k"))
+    bins = t.join(ends, "event_type").groupBy("event_type", "lo", "hi", "n", F.least(F.lit(9), F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10))).alias("bin")).agg(F.count("*").alias("k"))
     h = F.col("k") / F.col("n") / ((F.col("hi") - F.col("lo")) / 10)
     return bins.groupBy("event_type").agg(r6(-F.sum(h * F.log(h))).alias("entropy"))
 

@@ -101,6 +101,10 @@ PROTEIN = r"nullif(regexp_replace(upper(protein_aa), '[\s*]', '', 'g'), '')"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"""WITH RECURSIVE t AS (SELECT group_no, {PROTEIN} AS p FROM protein_group), u AS (SELECT p, length(p) AS n, min(group_no) AS id FROM t WHERE p IS NOT NULL GROUP BY p),
+l AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id < b.id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 4 WHERE levenshtein(a.p, b.p) <= greatest(a.n, b.n) // 4), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(n, c) AS (SELECT id, id FROM u UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.n WHERE r.c < e.y), c AS (SELECT n, min(c) AS c FROM r GROUP BY n), g AS (SELECT t.group_no, c.c FROM t JOIN u USING (p) JOIN c ON c.n = u.id)
+SELECT a.group_no AS group_no_a, b.group_no AS group_no_b FROM g a JOIN g b USING (c) WHERE a.group_no < b.group_no""",
         "p5_found": f"""WITH RECURSIVE g AS (SELECT group_no, group_id, cluster_id, {PROTEIN} AS p FROM protein_group), l AS (SELECT DISTINCT cluster_id AS c, unnest(protein_groups) AS group_id FROM protein_cluster),
 m AS (SELECT 'c' || l.c AS k, g.group_no FROM l JOIN g USING (group_id) UNION SELECT 'c' || cluster_id, group_no FROM g WHERE cluster_id IS NOT NULL UNION SELECT 'p' || p, group_no FROM g WHERE p IS NOT NULL),
 s AS (SELECT group_no AS u, min(group_no) OVER (PARTITION BY k) AS v FROM m), e AS (SELECT u, v FROM s WHERE u <> v UNION SELECT v, u FROM s WHERE u <> v),

@@ -145,7 +145,7 @@ FAM = ["struct_plddt_mean", "struct_helix_ratio", "evo_msa_depth", "evo_conserva
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS feature, round(count(extra_features['{k}']) / count(*), 6) AS rate FROM integrated_test_1" for k in FAM))
 def ag_availability(spark, d) -> DataFrame:
-    t = table(spark, d, "integrated_test_1").agg(*[(F.count(F.try_element_at("extra_features", F.lit(k))) / F.count("*")).alias(k) for k in FAM])
+    t = table(spark, d, "integrated_test_1").agg(*[F.try_divide(F.count(F.try_element_at("extra_features", F.lit(k))), F.count("*")).alias(k) for k in FAM])
     return t.unpivot([], FAM, "feature", "rate").withColumn("rate", r6(F.col("rate")))
 
 
@@ -211,7 +211,7 @@ t AS (SELECT *, k / sum(k) OVER (PARTITION BY event_type) / ((hi - lo) / 10) AS
 )
 def ag_density_entropy(spark, d) -> DataFrame:
     """-sum h ln h over the density histogram of ten equal bins (empty bins aside)."""
-    t = table(spark, d, "events").filter("value is not null")
+    t = table(spark, d, "events").select("event_type", "value").filter("value is not null")
     ends = t.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).filter("hi > lo")
     bins = t.join(ends, "event_type").groupBy("event_type", "lo", "hi", "n", F.least(F.lit(9), F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10))).alias("bin")).agg(F.count("*").alias("k"))
     h = F.col("k") / F.col("n") / ((F.col("hi") - F.col("lo")) / 10)

@@ -24,15 +24,20 @@ TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,200}>|<br\s*/?>")
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*[\r\n]+\s*(?=[^\W\d_])")
 HIDDEN = re.compile("[­​‌‍⁠﻿]")
 POINT = re.compile(r"(?<=\d)[.,'\u2009\u202f](?=\d)")
+#: Combining marks of the blocks that decomposed letters use.
+MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Words and numbers without case, accents, punctuation, markup and typesetting."""
-    text = HYPHEN.sub("", HIDDEN.sub("", html.unescape(TAG.sub(" ", text))))
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    text = HYPHEN.sub("", text if text.isascii() else HIDDEN.sub("", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = MARK.sub("", unicodedata.normalize("NFKD", text))
     return WORD.findall(POINT.sub("", text.casefold()))
 
 
@@ -59,10 +64,12 @@ class Finder:
     """Finds items in one document in three steps, each keeping every true case.
 
     1. Q-gram lemma: a stretch that holds a share of the item's words holds at least the q-grams
-       of as many of its shortest words.  The stretches tried are the overlapping diagonal bands
-       of the alignment: all runs of twice the item's words.  Their q-gram counts come from
-       prefix sums over the words; bands under the bound are dropped.
-    2. The same count over whole words, at most as often as the item has them.
+       of as many of its shortest words.  The stretches tried are overlapping diagonal bands of
+       the alignment, a little wider than twice the item's words so that each run of that many
+       words lies in one.  Their q-gram counts come from prefix sums over the words; bands under
+       the bound are dropped.
+    2. The same count over whole words, first as often as they come, then at most as often as the
+       item has them.
     3. Banded alignment: longest common subsequence of the item and each remaining band, one bit
        a word of the item.
     """
@@ -73,6 +80,9 @@ class Finder:
         self.q, self.share = q, share
         self.need = [int(np.ceil(share * len(w) - 1e-9)) for w in self.items]
         self.reach = np.array([2 * len(w) for w in self.items])
+        self.least = np.array(self.need)
+        self.shortest = int(self.reach.min(initial=0))
+        self.stride = max(1, self.shortest // 16)
         self.grams: dict[str, list[int]] = {}
         bound = []
         for at, own in enumerate(self.items):
@@ -82,8 +92,18 @@ class Finder:
             bound.append(sum(sizes[: self.need[at]]))
         self.bound = np.array(bound, dtype=np.int64)
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.ids)), dtype=np.uint8)
+        self.table = np.zeros((1024, 2 * len(self.ids)), dtype=np.uint8)
+        self.holds: dict[str, list[int]] = {}
+        for at, own in enumerate(self.items):
+            for w in set(own):
+                self.holds.setdefault(w, []).append(at)
         self.known = [Counter(w) for w in self.items]
+        self.masks: list[dict[str, int]] = []
+        for own in self.items:
+            masks: dict[str, int] = {}
+            for i, w in enumerate(own):
+                masks[w] = masks.get(w, 0) | (1 << i)
+            self.masks.append(masks)
 
     def pieces(self, word: str) -> list[str]:
         """q-grams of the word between blanks; a word shorter than that counts as one."""
@@ -91,7 +111,8 @@ class Finder:
         return [padded[i : i + self.q] for i in range(max(1, len(padded) - self.q + 1))]
 
     def row(self, word: str) -> int:
-        """Row of the table with the word's q-grams found in each item."""
+        """Row of the table with the word's q-grams found in each item, then whether the item
+        has the word."""
         at = self.rows.get(word)
         if at is None:
             at = len(self.rows)
@@ -104,6 +125,8 @@ class Finder:
                     counts[i] += 1
             if len(word) > 250:
                 counts[counts > 0] = 255  # never undercounts
+            for i in self.holds.get(word, ()):
+                counts[len(self.ids) + i] = 1
             self.rows[word] = at
         return at
 
@@ -124,13 +147,20 @@ class Finder:
         if len(self.rows) > MEMO:
             self.rows.clear()
         at = np.array([self.row(w) for w in doc])
-        sums = np.zeros((len(doc) + 1, len(self.ids)), dtype=np.int32)
-        np.cumsum(self.table[at], axis=0, dtype=np.int32, out=sums[1:])
-        most = np.empty(len(self.ids), dtype=np.int64)
-        for n in np.unique(self.reach):
-            at = np.flatnonzero(self.reach == n)
-            most[at] = sums[-1, at] if len(doc) <= n else (sums[n:, at] - sums[:-n, at]).max(axis=0)
-        for at in np.flatnonzero(most >= self.bound):
+        m = len(self.ids)
+        if len(doc) <= self.shortest:  # one band holds the whole text
+            sums = self.table[at].sum(axis=0, dtype=np.int64)
+            most, shared = sums[:m], sums[m:]
+        else:
+            run = np.zeros((len(doc) + 1, 2 * m), dtype=np.int32)
+            np.cumsum(self.table[at], axis=0, dtype=np.int32, out=run[1:])
+            starts = np.arange(0, len(doc), self.stride)
+            # bands of twice the item's words, overlapping by all but a few words
+            ends = np.minimum(starts[:, None] + self.reach[None, :] + self.stride - 1, len(doc))
+            cols = np.arange(m)
+            most = (run[ends, cols] - run[starts, :m]).max(axis=0)
+            shared = (run[ends, m + cols] - run[starts, m:]).max(axis=0)
+        for at in np.flatnonzero((most >= self.bound) & (shared >= self.least)):
             got = self.align(doc, int(at))
             if got >= self.need[at]:
                 yield int(at), got
@@ -138,30 +168,31 @@ class Finder:
     def align(self, doc: list[str], at: int) -> int:
         """Most words of the item in order within any stretch of twice its length."""
         own, need, reach = self.items[at], self.need[at], int(self.reach[at])
-        known = self.known[at]
+        known, masks = self.known[at], self.masks[at]
         spots = [i for i, w in enumerate(doc) if w in known]
         if len(spots) < need:
             return 0
-        masks: dict[str, int] = {}
-        for i, w in enumerate(own):
-            masks[w] = masks.get(w, 0) | (1 << i)
         full = (1 << len(own)) - 1
-        best, right = 0, 0
+        best = right = shared = 0
+        held: dict[str, int] = {}
         for left, start in enumerate(spots):
             while right < len(spots) and spots[right] < start + reach:
+                w = doc[spots[right]]
+                n = held.get(w, 0)
+                held[w] = n + 1
+                shared += n < known[w]
                 right += 1
-            if right - left < max(need, best + 1):
-                continue
-            band = [doc[i] for i in spots[left:right]]
-            if sum((Counter(band) & known).values()) < max(need, best + 1):
-                continue
-            v = full
-            for w in band:
-                u = v & masks[w]
-                v = ((v + u) | (v - u)) & full
-            best = max(best, len(own) - v.bit_count())
-            if best == len(own):
-                break
+            if shared >= max(need, best + 1):
+                v = full
+                for i in spots[left:right]:
+                    u = v & masks[doc[i]]
+                    v = ((v + u) | (v - u)) & full
+                best = max(best, len(own) - v.bit_count())
+                if best == len(own):
+                    break
+            w = doc[start]
+            held[w] -= 1
+            shared -= held[w] < known[w]
         return best
 
 

@@ -148,22 +148,31 @@ class Finder:
             self.rows.clear()
         at = np.array([self.row(w) for w in doc])
         m = len(self.ids)
-        if len(doc) <= self.shortest:  # one band holds the whole text
-            sums = self.table[at].sum(axis=0, dtype=np.int64)
-            most, shared = sums[:m], sums[m:]
-        else:
-            run = np.zeros((len(doc) + 1, 2 * m), dtype=np.int32)
-            np.cumsum(self.table[at], axis=0, dtype=np.int32, out=run[1:])
-            starts = np.arange(0, len(doc), self.stride)
+        cells = self.table[at]
+        sums = cells.sum(axis=0, dtype=np.int64)
+        # items that the whole text cannot hold need no bands
+        open_ = np.flatnonzero((sums[:m] >= self.bound) & (sums[m:] >= self.least))
+        if len(open_) and len(doc) > self.shortest:
+            k = len(open_)
+            run = np.zeros((len(doc) + 1, 2 * k), dtype=np.int32)
+            np.cumsum(cells[:, np.concatenate([open_, m + open_])], axis=0, dtype=np.int32, out=run[1:])
             # bands of twice the item's words, overlapping by all but a few words
-            ends = np.minimum(starts[:, None] + self.reach[None, :] + self.stride - 1, len(doc))
-            cols = np.arange(m)
-            most = (run[ends, cols] - run[starts, :m]).max(axis=0)
-            shared = (run[ends, m + cols] - run[starts, m:]).max(axis=0)
-        for at in np.flatnonzero((most >= self.bound) & (shared >= self.least)):
-            got = self.align(doc, int(at))
-            if got >= self.need[at]:
-                yield int(at), got
+            starts = np.arange(0, len(doc), self.stride)
+            ends = np.minimum(starts[:, None] + self.reach[open_] + self.stride - 1, len(doc))
+            cols = np.arange(k)
+            most = (run[ends, cols] - run[starts, :k]).max(axis=0)
+            shared = (run[ends, k + cols] - run[starts, k:]).max(axis=0)
+            open_ = open_[(most >= self.bound[open_]) & (shared >= self.least[open_])]
+        if not len(open_):
+            return
+        have = Counter(doc).get
+        for item in open_:
+            # words in common at all, each at most as often as the item has it
+            if sum(min(n, have(w, 0)) for w, n in self.known[item].items()) < self.need[item]:
+                continue
+            got = self.align(doc, int(item))
+            if got >= self.need[item]:
+                yield int(item), got
 
     def align(self, doc: list[str], at: int) -> int:
         """Most words of the item in order within any stretch of twice its length."""

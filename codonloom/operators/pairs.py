@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +47,27 @@ def hard_easy(pairs: DataFrame, group: str, cap: int = 100, low: float = 0.5, hi
     """Pairs as ``hard`` (difference in [low, high]) or ``easy`` (above), each member in at most
     ``cap`` of them.
 
-    Participation is capped by rank on both ends (nearest partners in order of index first), the
-    distributed form of a greedy cap; exact for groups of up to cap + 1 members."""
+    The cap is greedy: a group's pairs are taken in order of i, then j, unless a member has its
+    ``cap`` pairs already, so the members after a saturated run pair with each other.  A group is
+    one sorted run of rows in one task; only the counts of its members are kept in memory."""
     d = F.abs(F.col("vi") - F.col("vj"))
     kept = pairs.filter(d >= low).withColumn("level", F.when(d <= high, "hard").otherwise("easy"))
-    a = F.row_number().over(Window.partitionBy(group, "i").orderBy("j"))
-    b = F.row_number().over(Window.partitionBy(group, "j").orderBy("i"))
-    return kept.withColumn("_a", a).withColumn("_b", b).filter((F.col("_a") <= cap) & (F.col("_b") <= cap)).drop("_a", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, {}
+        for batch in batches:
+            keep = []
+            for g, i, j in zip(*(batch.column(c).to_pylist() for c in (group, "i", "j")), strict=True):
+                if g != at:
+                    at, used = g, {}
+                a, b = used.get(i, 0), used.get(j, 0)
+                free = a < cap and b < cap
+                if free:
+                    used[i], used[j] = a + 1, b + 1
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return kept.repartition(group).sortWithinPartitions(group, "i", "j").mapInArrow(run, kept.schema)
 
 
 def sample_levels(pairs: DataFrame, target: int, hard_share: float, seed: int) -> DataFrame:

@@ -32,7 +32,8 @@ def cp_pairs(spark, d) -> DataFrame:
 
 @query(f"WITH {GRP} SELECT grp, a.rec_id AS i, b.rec_id AS j, CASE WHEN abs(a.v - b.v) <= 2.5 THEN 'hard' ELSE 'easy' END AS level FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) >= 0.5")
 def cp_hard_easy(spark, d) -> DataFrame:
-    """Hard and easy pairs (groups here are smaller than the participation cap of 100)."""
+    """Hard and easy pairs under the greedy participation cap of 100; the SQL has no cap and agrees
+    while no member has more than 100 pairs."""
     return C.hard_easy(C.group_pairs(grouped(spark, d), "grp", "rec_id", "v"), "grp").select("grp", "i", "j", "level")
 
 

@@ -102,6 +102,19 @@ def test_hard_easy_cap(spark):
     assert max(r["count"] for r in got.groupBy("i").count().collect()) <= 3
 
 
+def test_hard_easy_cap_large_group(spark):
+    rows = [("g", i, float(i)) for i in range(330)] + [("h", i, float(i % 7) / 4) for i in range(240)]
+    pairs = C.group_pairs(spark.createDataFrame(rows, "g string, i long, v double"), "g", "i", "v")
+    got = {(r["g"], r["i"], r["j"]) for r in C.hard_easy(pairs, "g").collect()}
+    want, used = set(), {}
+    for a, (g, i, v) in enumerate(rows):
+        for h, j, w in rows[a + 1 :]:
+            if g == h and abs(v - w) >= 0.5 and max(used.get((g, i), 0), used.get((g, j), 0)) < 100:
+                want.add((g, i, j))
+                used[g, i], used[g, j] = used.get((g, i), 0) + 1, used.get((g, j), 0) + 1
+    assert got == want and max(used.values()) == 100 and len(used) == len(rows)
+
+
 def test_linkage_and_big_parts(spark):
     rows = spark.createDataFrame([("p", i, t) for i, t in enumerate(["MKTAYIAK", "MKTAYIAR", "GGGGGGGG", "GGGGGGGA", "WWWWFFFF", "WWWWFFFY"])], "p string, id long, t string")
     small = {r["id"]: r["cluster"] for r in C.average_linkage(rows, "p", "id", "t").collect()}

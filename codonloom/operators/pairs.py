@@ -98,48 +98,74 @@ def pair_vectors(pairs: DataFrame, vectors: DataFrame, group: str, index: str, v
     return pairs.join(a, [group, "i"]).join(b, [group, "j"])
 
 
+def _kmer_distance(texts: list[str], k: int) -> np.ndarray:
+    """1 - Jaccard of the texts' k-mer sets, each row counted from the holders of its k-mers."""
+    sets = [{t[i : i + k] for i in range(len(t) - k + 1)} for t in texts]
+    held: dict[str, list[int]] = {}
+    for i, own in enumerate(sets):
+        for mer in own:
+            held.setdefault(mer, []).append(i)
+    holders = {mer: np.array(own) for mer, own in held.items()}
+    n, size = len(sets), np.array([len(own) for own in sets], dtype=float)
+    dist = np.ones((n, n))
+    for i, own in enumerate(sets):
+        if own:
+            both = np.bincount(np.concatenate([holders[mer] for mer in own]), minlength=n)
+            dist[i] = 1 - both / (size[i] + size - both)
+    return dist
+
+
 def _linkage(dist: np.ndarray, want: int) -> np.ndarray:
-    """Labels (index of the first member) of ``want`` clusters by average linkage."""
+    """Labels (index of the first member) of ``want`` clusters by average linkage; of equally near
+    clusters the first two in order of index merge.  ``dist`` is used up.
+
+    Averages are not below both their parts, so a row's old minimum bounds the new one and is
+    only renewed when it comes up as the least of all."""
     n = len(dist)
-    dist = dist.copy()
     np.fill_diagonal(dist, np.inf)
     size, label = np.ones(n), np.arange(n)
+    near = dist.argmin(axis=1) if n else label
+    least, stale = dist[np.arange(n), near], np.zeros(n, dtype=bool)
     for _ in range(n - min(n, want)):
-        i, j = sorted(divmod(int(np.argmin(dist)), n))
+        while stale[i := int(least.argmin())]:
+            near[i] = dist[i].argmin()
+            least[i], stale[i] = dist[i, near[i]], False
+        j = int(near[i])
         row = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
         dist[i], dist[:, i] = row, row
         dist[i, i] = np.inf
         dist[j], dist[:, j] = np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
+        stale |= (near == i) | (near == j)
+        lower = row < least  # by rounding only
+        first = ~stale & (row == least) & (near > i)
+        near[lower | first] = i
+        least[lower], stale[lower] = row[lower], False
+        near[i] = dist[i].argmin()
+        least[i], stale[i] = dist[i, near[i]], False
+        least[j], stale[j] = np.inf, False
     return label
 
 
-def average_linkage(rows: DataFrame, part: str, id_col: str, text: str, k: int = 3, most: int = 500, linked: float = 0.3) -> DataFrame:
+def average_linkage(rows: DataFrame, part: str, id_col: str, text: str, k: int = 3, most: int | None = None, linked: float = 0.3) -> DataFrame:
     """``part, id, cluster`` by average linkage on 1 - Jaccard of k-mers, ``max(2, n // 3)``
-    clusters a part, each named after its smallest id.
+    clusters a part, each named after its smallest id.  Null parts, ids and texts are left out.
 
-    Average linkage is quadratic in a part, so parts above ``most`` rows are clustered by
-    similarity edges of at least ``linked`` and connected components instead; both ways label
-    every row.  Null parts, ids and texts are left out."""
+    The rule is the same at all sizes; a part of n rows takes 8 n^2 bytes in one task.  Only a
+    caller that gives ``most`` gets another one for parts above it: similarity edges of at least
+    ``linked`` and connected components."""
     kind = rows.schema[id_col].dataType.simpleString()
     src = rows.select(F.col(part).cast("string").alias("part"), F.col(id_col).alias("id"), F.col(text).alias("txt")).dropna()
-    sizes = src.groupBy("part").agg(F.count("*").alias("n"))
-    src = src.join(sizes, "part")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        sets = [{t[i : i + k] for i in range(len(t) - k + 1)} for t in pdf["txt"]]
-        n = len(sets)
-        dist = np.ones((n, n))
-        for i in range(n):
-            for j in range(i):
-                both = len(sets[i] & sets[j])
-                if both:
-                    dist[i, j] = dist[j, i] = 1 - both / (len(sets[i]) + len(sets[j]) - both)
-        first = pdf["id"].to_numpy()[_linkage(dist, max(2, n // 3))]
+        first = pdf["id"].to_numpy()[_linkage(_kmer_distance(pdf["txt"].tolist(), k), max(2, len(pdf) // 3))]
         return pd.DataFrame({"part": pdf["part"], "id": pdf["id"], "cluster": first})
 
+    if most is None:
+        return src.groupBy("part").applyInPandas(run, f"part string, id {kind}, cluster {kind}")
+    src = src.join(src.groupBy("part").agg(F.count("*").alias("n")), "part")
     small = src.filter(F.col("n") <= most).groupBy("part").applyInPandas(run, f"part string, id {kind}, cluster {kind}")
     big = src.filter(F.col("n") > most).select("part", "id", "txt")
     edges = kmer_jaccard(big.select("id", "part", "txt"), k, linked).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,26 @@ def test_linkage_and_big_parts(spark):
     assert big[0] == big[1] != big[2]
 
 
+def test_linkage_is_one_rule_at_all_sizes(spark):
+    rng = random.Random(4)
+    rows = [("p", i, "".join(rng.choice("ACDEFGHIKL") for _ in range(30))) for i in range(520)]
+    got = C.average_linkage(spark.createDataFrame(rows, "p string, id long, t string"), "p", "id", "t").collect()
+    assert len(got) == 520 and len({r["cluster"] for r in got}) == 520 // 3
+
+
+def test_linkage_merges_the_first_of_the_nearest():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 40, 60):
+        dist = rng.integers(0, 6, (n, n)) / 7 if n % 2 else rng.random((n, n))
+        dist = np.minimum(dist, dist.T)
+        groups, d = {i: [i] for i in range(n)}, lambda a, b: sum(dist[x, y] for x in a for y in b) / len(a) / len(b)
+        while len(groups) > max(2, n // 3):
+            i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda x: (round(d(groups[x[0]], groups[x[1]]), 9), x))
+            groups[i] = groups[i] + groups.pop(j)
+        got = C._linkage(dist.copy(), max(2, n // 3))
+        assert [int(x) for x in got] == [next(i for i, own in groups.items() if m in own) for m in range(n)]
+
+
 def test_cluster_split_keeps_clusters(spark):
     cl = spark.createDataFrame([(i, i // 3) for i in range(60)], "id long, cluster long")
     got = C.cluster_splits(cl, 3)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .tokens import count_tokens
 
-#: Tokens left to the exact fit after the proportional part of a budget.
+#: Most tokens left to the exact fit after the proportional part of a budget.
 FIT = 1 << 18
+#: Multiples of the golden ratio are spread evenly between whole numbers.
+GOLDEN = 0.6180339887498949
 SALTS = 64
 
 
@@ -49,54 +55,84 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     ).withColumns({"budget": F.round(F.col("share") * F.col("total")).cast("long"), "reachable": F.col("size") * F.col("repeats") >= F.col("share") * F.col("total")})
 
 
+def _spread_parcels(left: dict[int, int], rest: int) -> list[tuple[int, int]]:
+    """``(length, texts)`` in doubling parcels, ordered so that each start of the list holds about
+    the same part of every length."""
+    out = []
+    for at, (n, c) in enumerate(sorted(left.items())):
+        used, step, shift = 0, 1, (at + 1) * GOLDEN % 1
+        while used < min(c, rest // n):
+            k = min(step, min(c, rest // n) - used)
+            out.append(((used + shift) / c, n, k))
+            used += k
+            step *= 2
+    return [(n, k) for _, n, k in sorted(out)]
+
+
+def _fill(rest: int, left: dict[int, int]) -> dict[int, int]:
+    """Counts of each length, at most ``left``, whose sum is as near to ``rest`` from below as
+    possible: bounded knapsack that keeps, for each sum, the parcel that first reached it."""
+    parcels = _spread_parcels(left, rest)
+    if not parcels:
+        return {}
+    reach, first = np.zeros(rest + 1, dtype=bool), np.zeros(rest + 1, dtype=np.int32)
+    reach[0] = True
+    for at, (n, k) in enumerate(parcels):
+        new = np.flatnonzero(reach[: rest + 1 - n * k] & ~reach[n * k :]) + n * k
+        reach[new], first[new] = True, at
+        if reach[rest]:
+            break
+    out: dict[int, int] = {}
+    goal = int(np.flatnonzero(reach)[-1])
+    while goal:
+        n, k = parcels[first[goal]]
+        out[n] = out.get(n, 0) + k
+        goal -= n * k
+    return out
+
+
 def fit_counts(budget: int, counts: dict[int, int]) -> dict[int, int]:
     """How many texts of each length to take so that their sum comes as near to ``budget`` from
-    below as possible: a proportional part first, an exact bounded-knapsack fit for the rest.
+    below as possible: the same part of all lengths first, an exact fit for the rest.
 
-    The fit keeps the reachable sums as bits of one integer; a length with several texts enters
-    in doubling parcels, and the choice is read back from the kept states.
+    The part is rounded along the lengths from the longest, so it holds at every size and lacks
+    less than one text.  The fit draws on all lengths evenly; it gets a 32nd of the budget, and
+    more only while the budget is not met: all of it up to ``FIT`` tokens.
     """
-    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
+    counts = {n: c for n, c in counts.items() if 0 < n <= budget and c > 0}
     size = sum(n * c for n, c in counts.items())
-    if budget <= 0 or not counts:
-        return {}
-    if budget >= size:
-        return dict(counts)
-    part = max(0.0, (budget - FIT) / size)
-    take = {n: int(c * part) for n, c in counts.items()}
-    rest = budget - sum(n * c for n, c in take.items())
-    while rest > 4 * FIT:  # the rounding of many lengths left too much: fill by whole texts
-        n = max((n for n in counts if counts[n] > take[n] and n <= rest), default=0)
-        if not n:
+    if not counts or size <= budget:
+        return counts
+    top = budget - budget % math.gcd(*counts)
+    best, most = {}, -1
+    for room in sorted({min(FIT, max(1, budget >> s)) for s in (5, 3, 1, 0)}):
+        take, before = {}, 0
+        for n in sorted(counts, reverse=True):
+            take[n] = (before + counts[n]) * (budget - room) // size - before * (budget - room) // size
+            before += counts[n]
+        rest = top - sum(n * c for n, c in take.items())
+        while rest > 4 * FIT:  # less than the longest text is missing: fill by whole texts
+            n = max((n for n in counts if counts[n] > take[n] and n <= rest), default=0)
+            if not n:
+                break
+            more = min(counts[n] - take[n], max(1, (rest - FIT) // n))
+            take[n] += more
+            rest -= more * n
+        for n, c in _fill(rest, {n: c - take[n] for n, c in counts.items() if c > take[n]}).items():
+            take[n] += c
+        got = sum(n * c for n, c in take.items())
+        if got > most:
+            best, most = take, got
+        if got == top:
             break
-        more = min(counts[n] - take[n], max(1, (rest - FIT) // n))
-        take[n] += more
-        rest -= more * n
-    parcels: list[tuple[int, int]] = []
-    room = 2 * rest
-    for n in sorted(counts):
-        left = min(counts[n] - take[n], rest // n)
-        step = 1
-        while left > 0 and room > -2 * rest:
-            k = min(step, left)
-            parcels.append((n, k))
-            left -= k
-            room -= n * k if n * k < rest else 0
-            step *= 2
-    reach, states, mask = 1, [], (1 << (rest + 1)) - 1
-    for n, k in parcels:
-        states.append(reach)
-        reach |= (reach << (n * k)) & mask
-        if reach >> rest & 1:
+    while most < top:  # few long texts: exchange one for a longer one
+        taken, free = [n for n in counts if best[n]], sorted(n for n in counts if best[n] < counts[n])
+        gain, n = max(((free[i - 1] - n, n) for n in taken if (i := bisect.bisect_right(free, n + top - most))), default=(0, 0))
+        if gain <= 0:
             break
-    goal = reach.bit_length() - 1
-    for at in range(len(states) - 1, -1, -1):
-        if states[at] >> goal & 1:
-            continue
-        n, k = parcels[at]
-        take[n] += k
-        goal -= n * k
-    return {n: c for n, c in take.items() if c}
+        best[n], best[n + gain] = best[n] - 1, best[n + gain] + 1
+        most += gain
+    return {n: c for n, c in best.items() if c}
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:

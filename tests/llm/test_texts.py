@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,21 @@ def test_fit_large():
     assert fit_counts(size + 5, counts) == counts and fit_counts(-1, counts) == {} and fit_counts(5, {}) == {}
 
 
+def test_fit_keeps_the_lengths_of_the_source():
+    rng = random.Random(6)
+    lengths = sorted(max(1, int(rng.lognormvariate(5.5, 0.8))) for _ in range(10_000))
+    counts, size = Counter(lengths), sum(lengths)
+    bounds = [lengths[len(lengths) * i // 5] for i in range(5)] + [lengths[-1] + 1]
+    for share in (0.02, 0.05, 0.07, 0.09, 0.3, 0.6):  # both sides of the most tokens of a fit
+        got = fit_counts(int(size * share), counts)
+        assert sum(n * c for n, c in got.items()) == int(size * share)
+        texts = sum(got.values())
+        assert abs(int(size * share) / texts / (size / len(lengths)) - 1) < 0.1
+        for low, high in itertools.pairwise(bounds):
+            want = sum(c for n, c in counts.items() if low <= n < high) / len(lengths)
+            assert abs(sum(c for n, c in got.items() if low <= n < high) / texts - want) < 0.05
+
+
 def test_mixture(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", " A ", "b", "c", None]), rng.randint(0, 60)) for i in range(400)] + [(None, "a", 7), (3, "a", 7)]

@@ -218,7 +218,8 @@ def consistent_table(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     for c in sorted(paths):
         picked = F.coalesce(*[F.try_element_at("m", F.lit(p)) for p in paths[c]])
         text = picked["same"]
-        value[c] = text.try_cast("double") if kind[c] == "double" else (text == "1") if kind[c] == "boolean" else picked["raw"]
+        # all digits of the raw text; the comparison form, of ten digits, only for what is no plain number
+        value[c] = F.coalesce(picked["raw"].try_cast("double"), text.try_cast("double")) if kind[c] == "double" else (text == "1") if kind[c] == "boolean" else picked["raw"]
         if kind[c] == "boolean":
             value[c] = F.when(text.isin("0", "1"), text == "1")
         present.append(F.count(picked).alias(f"n_{len(present)}"))

@@ -48,6 +48,13 @@ def test_table_and_failed_casts(spark):
     assert table.count() == 20
 
 
+def test_numbers_keep_their_digits(spark):
+    values = [1700000000123456, "123456789012", 0.12345678901234, "12.345678901234", -98765432109.5, 3, True, " 7 "]
+    table, _, failed = consistent_table(lines(spark, [("f", 1, [{"protein_id": f"P{i}", "v": v} for i, v in enumerate(values)])]))
+    assert [r["v"] for r in table.orderBy("line_no").collect()] == [float(v) for v in values]
+    assert not any(r["n_failed"] for r in failed.collect())
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], LINES)
     assert drift(empty).count() == 0

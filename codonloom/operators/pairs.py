@@ -43,6 +43,24 @@ def noise_pairs(rows: DataFrame, group: str, index: str, value: str, scale: floa
     return group_pairs(rows.withColumn(value, F.col(value) + u * scale), group, index, value).withColumn("source", F.lit("synthetic"))
 
 
+def robust_pairs(real: DataFrame, weak: DataFrame, synthetic: DataFrame, group: str, target: int, weak_share: float = 0.7, synthetic_share: float = 0.5, cap: int = 500, least: float = 0.1, seed: int = 5) -> DataFrame:
+    """Real pairs, weak pairs (at most ``weak_share`` of the target) and, only if both are fewer
+    than ``target``, synthetic pairs (at most ``synthetic_share`` of it); of each group the first
+    ``cap`` in this order.  Weak and synthetic values differ by ``least`` or more; what exceeds a
+    share is drawn by seeded hash."""
+    h = F.xxhash64(F.col(group), "i", "j", F.lit(seed))
+
+    def drawn(pairs: DataFrame, source: str, share: float) -> DataFrame:
+        few = pairs.filter(F.abs(F.col("vi") - F.col("vj")) >= least).withColumn("_h", h)
+        return few.orderBy("_h", group, "i", "j").limit(int(target * share)).drop("_h").withColumn("source", F.lit(source))
+
+    out = real.withColumn("source", F.lit("real")).unionByName(drawn(weak, "weak", weak_share))
+    if out.count() < target:
+        out = out.unionByName(drawn(synthetic.drop("source"), "synthetic", synthetic_share))
+    turn = F.array_position(F.array(*map(F.lit, ("real", "weak", "synthetic"))), F.col("source"))
+    return capped(out, [group], [turn, "i", "j"], cap)
+
+
 def hard_easy(pairs: DataFrame, group: str, cap: int = 100, low: float = 0.5, high: float = 2.5) -> DataFrame:
     """Pairs as ``hard`` (difference in [low, high]) or ``easy`` (above), each member in at most
     ``cap`` of them.

@@ -47,11 +47,16 @@ def cp_topped_up(spark, d) -> DataFrame:
 
 @query()
 def cp_robust_pairs(spark, d) -> DataFrame:
-    """Real pairs with a difference of 0.1 or more beside synthetic noise pairs, 500 a group."""
+    """Real pairs with a difference above 0.1, pairs of out-of-fold weak labels and, if both are
+    fewer than 30 000, synthetic noise pairs; 500 a group."""
+    from ..operators.models import out_of_fold
+
     g = grouped(spark, d)
-    real = C.group_pairs(g, "grp", "rec_id", "v", 0.1).withColumn("source", F.lit("real"))
-    both = real.unionByName(C.noise_pairs(g, "grp", "rec_id", "v", 1.0, 5))
-    return C.capped(both, ["grp", "source"], ["i", "j"], 500).select("grp", "i", "j", "label", "source")
+    real = C.group_pairs(g, "grp", "rec_id", "v", 0.1)
+    labels = out_of_fold(model_rows(spark, d).cache(), "y", "rec_id").select("rec_id", "weak")
+    weak = C.group_pairs(g.join(labels, "rec_id"), "grp", "rec_id", "weak")
+    noise = C.noise_pairs(g, "grp", "rec_id", "v", 1.0, 5)
+    return C.robust_pairs(real, weak, noise, "grp", 30_000).select("grp", "i", "j", "label", "source")
 
 
 @query()

@@ -116,6 +116,20 @@ def test_hard_easy_cap_large_group(spark):
     assert got == want and max(used.values()) == 100 and len(used) == len(rows)
 
 
+def test_robust_pairs_sources_and_shortage(spark):
+    rows = spark.createDataFrame([("g", i, float(i)) for i in range(6)], "g string, i long, v double")
+    pairs = C.group_pairs(rows, "g", "i", "v")  # 15
+    noise = C.noise_pairs(rows, "g", "i", "v", 0.2, 5)
+
+    def sources(target, cap=500):
+        got = C.robust_pairs(pairs, pairs, noise, "g", target, cap=cap).groupBy("source").count().collect()
+        return {r["source"]: r["count"] for r in got}
+
+    assert sources(20) == {"real": 15, "weak": 14}
+    assert sources(31) == {"real": 15, "weak": 15, "synthetic": 15}
+    assert sources(31, 20) == {"real": 15, "weak": 5}
+
+
 def test_linkage_and_big_parts(spark):
     rows = spark.createDataFrame([("p", i, t) for i, t in enumerate(["MKTAYIAK", "MKTAYIAR", "GGGGGGGG", "GGGGGGGA", "WWWWFFFF", "WWWWFFFY"])], "p string, id long, t string")
     small = {r["id"]: r["cluster"] for r in C.average_linkage(rows, "p", "id", "t").collect()}

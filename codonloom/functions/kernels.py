@@ -334,8 +334,6 @@ def jaccard(a: Column, b: Column) -> Column:
 
 # --- protein ---------------------------------------------------------------------------------
 
-COLUMN = {"hydropathy": 0, "disorder": 1, "helix": 2, "sheet": 3, "conservation": 4, "typical": 5}
-
 
 def residue_counts(p: Column) -> Column:
     """Map of residue to count, one pass over the distinct letters."""
@@ -344,9 +342,8 @@ def residue_counts(p: Column) -> Column:
 
 def scale_mean(counts: Column, n: Column, scale: str, empty: float) -> Column:
     """Mean of a residue scale from the counts of residues."""
-    at = COLUMN[scale]
-    values = _literal_map({r: F.lit(v[at]) for r, v in G.SCALES.items()})
-    sums = F.aggregate(F.map_entries(counts), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(values, e["key"]), F.lit(G.SCALE_DEFAULT[at])))
+    values = _literal_map({r: F.lit(v[scale]) for r, v in G.SCALES.items()})
+    sums = F.aggregate(F.map_entries(counts), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(values, e["key"]), F.lit(G.SCALE_DEFAULT[scale])))
     return F.coalesce(F.try_divide(sums, n.cast("double")), F.lit(empty))
 
 
@@ -360,10 +357,10 @@ def complexity(counts: Column, n: Column) -> Column:
 
 
 def composition_similarity(counts: Column, n: Column) -> Column:
-    expected = _literal_map({r: F.lit(v[5]) for r, v in G.SCALES.items()})
+    expected = _literal_map({r: F.lit(v["typical_share"]) for r, v in G.SCALES.items()})
 
     def term(e: Column, m: Column) -> Column:
-        x = F.coalesce(F.try_element_at(expected, e["key"]), F.lit(G.SCALE_DEFAULT[5]))
+        x = F.coalesce(F.try_element_at(expected, e["key"]), F.lit(G.SCALE_DEFAULT["typical_share"]))
         return 1 - F.least(F.lit(1.0), F.abs(e["value"] / m - x) / x)
 
     return bind(n, lambda m: F.aggregate(F.map_entries(counts), F.lit(0.0), lambda a, e: a + term(e, m))) / 20

@@ -81,7 +81,7 @@ DIM = "dim(host, codon, aa, w, t, opt, rare, p, u) AS (VALUES " + ", ".join(
 ) + ")"
 PAIRS = "cpb(host, pair, score) AS (VALUES " + ", ".join(f"('{h}', '{p}', {v!r}::DOUBLE)" for h in G.HOSTS for p, v in G.pairs(h).items()) + ")"
 CODE = "code(codon, aa) AS (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in G.AA_OF.items()) + ")"
-SCALES = "scale(r, kd, dis, hel, she, con, typ) AS (VALUES " + ", ".join(f"('{r}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for r, v in G.SCALES.items()) + ")"
+SCALES = "scale(r, kd, dis, hel, she, con, typ) AS (VALUES " + ", ".join(f"('{r}', {', '.join(f'{x!r}::DOUBLE' for x in v.values())})" for r, v in G.SCALES.items()) + ")"
 
 CODONS = """cod AS (SELECT rec_id, host, i, substr(s, 3 * i::INT + 1, 3) AS codon FROM (SELECT rec_id, host, s, unnest(range(length(s) // 3)) AS i FROM cds))"""
 FACTS = f"{RECORDS}, {DIM}, {CODONS}, facts AS (SELECT c.*, d.aa, d.w, d.t, d.opt, coalesce(d.rare AND d.aa <> '*', false) AS rare, d.p FROM cod c LEFT JOIN dim d USING (host, codon))"

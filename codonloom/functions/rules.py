@@ -118,10 +118,11 @@ def metadata_expression(reviewed: Column, place: Column, n: Column) -> tuple[Col
 
 def lm_expression(value: Column, confidence: Column, conf: Column, conf_max: Column, conf_min: Column, ll: Column, ppl: Column, weight: float = 0.3) -> tuple[Column, Column]:
     """Expression adjusted by language-model statistics, in [10, 100], and its confidence.
-    A null statistic adjusts nothing."""
+    A null statistic adjusts nothing; an even confidence (range under 0.1) counts only beside an
+    average one."""
     zero = F.lit(0.0)
     by_conf = F.when(conf > 0.9, 15 * (conf - 0.9) / 0.1).when(conf < 0.7, -15 * (0.7 - conf) / 0.3).otherwise(zero)
-    even = (conf_max - conf_min) < 0.1
+    even = conf.isNotNull() & ((conf_max - conf_min) < 0.1)
     by_ll = F.when(ll > -2, 10 * (ll + 2) / 2).when(ll < -4, -10 * (-4 - ll) / 2).otherwise(zero)
     by_ppl = F.when(ppl < 10, weight * 10 * (10 - ppl) / 8).when(ppl > 30, -F.least(weight * 10 * (ppl - 30) / 20, F.lit(10.0))).otherwise(zero)
     out = value + weight * (by_conf + F.when(even, 5.0).otherwise(zero) + by_ll) + by_ppl
@@ -132,7 +133,7 @@ def lm_expression(value: Column, confidence: Column, conf: Column, conf_max: Col
 def sequence_expression(value: Column, s: Column) -> Column:
     """Expression adjusted by GC content and the longest run, in [10, 100]."""
     g = K.gc(s)
-    out = value + F.when(g.between(0.4, 0.6), 5).when((g < 0.3) | (g > 0.7), -10).otherwise(0) - F.when(K.longest_run(s) > 8, 10).otherwise(0)
+    out = value + F.when(g.between(0.4, 0.6), 5).when((g < 0.3) | (g > 0.7), -5).otherwise(0) - F.when(K.longest_run(s) > 8, 10).otherwise(0)
     return K.clamp(out, 10, 100)
 
 

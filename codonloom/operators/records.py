@@ -12,10 +12,17 @@ def hit_features(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query").agg(
         F.count("*").cast("double").alias("msa_depth"), F.count_if(F.col("pident") >= 50).cast("double").alias("msa_effective_depth"), F.least(F.lit(1.0), F.avg("alnlen") / 100).alias("msa_coverage"),
         F.avg(share).alias("conservation_mean"), F.min(share).alias("conservation_min"), F.max(share).alias("conservation_max"), F.stddev_pop(share).alias("conservation_entropy_mean"),
-        F.lit(0.5).alias("coevolution_score"), F.lit(0.35).alias("contact_density"), F.lit(1.0).alias("pfam_count"), F.lit(1.0).alias("domain_count"),
+        F.lit(0.5).alias("coevolution_score"), F.lit(0.3).alias("contact_density"), F.lit(1.0).alias("pfam_count"), F.lit(1.0).alias("domain_count"),
     )
 
 
+#: The features of a record without alignment hits.
+NO_HITS = {
+    "msa_depth": 0.0, "msa_effective_depth": 0.0, "msa_coverage": 0.0, "conservation_mean": 0.5, "conservation_min": 0.3, "conservation_max": 0.7, "conservation_entropy_mean": 0.5, "coevolution_score": 0.5,
+    "contact_density": 0.3, "pfam_count": 0.0, "domain_count": 0.0,
+}
+
+
 def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key: the last in the given order; null keys are left out.  The pick is an
     aggregate, so a hot key is reduced before the shuffle."""

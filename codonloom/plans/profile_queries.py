@@ -127,7 +127,8 @@ def ag_count_by_host(spark, d) -> DataFrame:
 
 @query(
     """SELECT user_id, count(*)::DOUBLE AS msa_depth, count(*) FILTER (value >= 50)::DOUBLE AS msa_effective_depth, round(least(1.0, avg(len(event_type)) / 100), 6) AS msa_coverage, round(avg(value) / 100, 6) AS conservation_mean, round(min(value) / 100, 6) AS conservation_min,
-round(max(value) / 100, 6) AS conservation_max, round(stddev_pop(value / 100), 6) AS conservation_entropy_mean FROM events GROUP BY user_id"""
+round(max(value) / 100, 6) AS conservation_max, round(stddev_pop(value / 100), 6) AS conservation_entropy_mean,
+0.5::DOUBLE AS coevolution_score, 0.3::DOUBLE AS contact_density, 1.0::DOUBLE AS pfam_count, 1.0::DOUBLE AS domain_count FROM events GROUP BY user_id"""
 )
 def ag_alignment_hits(spark, d) -> DataFrame:
     """Alignment-hit aggregation, with events as hits: user = query, value = identity in percent,
@@ -136,8 +137,7 @@ def ag_alignment_hits(spark, d) -> DataFrame:
 
     hits = table(spark, d, "events").select(F.col("user_id").alias("query"), F.col("value").alias("pident"), F.length("event_type").alias("alnlen"))
     out = hit_features(hits)
-    keep = ["msa_coverage", "conservation_mean", "conservation_min", "conservation_max", "conservation_entropy_mean"]
-    return out.select(F.col("query").alias("user_id"), "msa_depth", "msa_effective_depth", *[r6(F.col(c)).alias(c) for c in keep])
+    return out.select(F.col("query").alias("user_id"), *[r6(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
 FAM = ["struct_plddt_mean", "struct_helix_ratio", "evo_msa_depth", "evo_conservation_mean", "ctx_promoter_strength", "codon_gc"]

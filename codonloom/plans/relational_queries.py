@@ -62,19 +62,19 @@ def pf_metadata_expression(spark, d) -> DataFrame:
 
 
 @query(
-    f"""WITH {RECORDS}, b AS (SELECT rec_id, s, 50 + CASE WHEN {REV} THEN 20 ELSE 0 END AS v, {CONF} AS c FROM cds), l AS (SELECT b.*, lm.score AS conf, lm.avg_loglik AS ll, lm.perplexity AS ppl, co.gc, h.longest_run FROM b JOIN {raw('sc_usage_lm')} lm USING (rec_id) JOIN {raw('sc_composition')} co USING (rec_id) JOIN {raw('sc_homopolymers')} h USING (rec_id)),
-e AS (SELECT *, greatest(10.0, least(100.0, v + 0.3 * (CASE WHEN conf > 0.9 THEN 15 * (conf - 0.9) / 0.1 WHEN conf < 0.7 THEN -15 * (0.7 - conf) / 0.3 ELSE 0 END + CASE WHEN ll > -2 THEN 10 * (ll + 2) / 2 WHEN ll < -4 THEN -10 * (-4 - ll) / 2 ELSE 0 END)
-+ CASE WHEN ppl < 10 THEN 0.3 * 10 * (10 - ppl) / 8 WHEN ppl > 30 THEN -least(0.3 * 10 * (ppl - 30) / 20, 10) ELSE 0 END)) AS x, CASE WHEN conf > 0.95 THEN 'high' ELSE c END AS confidence FROM l)
-SELECT rec_id, round(x, 6) AS lm_value, confidence, round(greatest(10.0, least(100.0, x + CASE WHEN gc BETWEEN 0.4 AND 0.6 THEN 5 WHEN gc < 0.3 OR gc > 0.7 THEN -10 ELSE 0 END - CASE WHEN longest_run > 8 THEN 10 ELSE 0 END)), 6) AS full_value FROM e"""
+    f"""WITH {RECORDS}, b AS (SELECT rec_id, s, 50 + CASE WHEN {REV} THEN 20 ELSE 0 END AS v, {CONF} AS c FROM cds), l AS (SELECT b.*, lm.score AS conf, lm.avg_loglik AS ll, lm.perplexity AS ppl, lm.score - lm.score * ad.cai < 0.1 AS even, co.gc, h.longest_run FROM b JOIN {raw('sc_adaptation')} ad USING (rec_id) JOIN {raw('sc_usage_lm')} lm USING (rec_id) JOIN {raw('sc_composition')} co USING (rec_id) JOIN {raw('sc_homopolymers')} h USING (rec_id)),
+e AS (SELECT *, greatest(10.0, least(100.0, v + 0.3 * (CASE WHEN conf > 0.9 THEN 15 * (conf - 0.9) / 0.1 WHEN conf < 0.7 THEN -15 * (0.7 - conf) / 0.3 ELSE 0 END + CASE WHEN even THEN 5 ELSE 0 END + CASE WHEN ll > -2 THEN 10 * (ll + 2) / 2 WHEN ll < -4 THEN -10 * (-4 - ll) / 2 ELSE 0 END)
++ CASE WHEN ppl < 10 THEN 0.3 * 10 * (10 - ppl) / 8 WHEN ppl > 30 THEN -least(0.3 * 10 * (ppl - 30) / 20, 10) ELSE 0 END)) AS x, CASE WHEN conf > 0.95 OR (even AND c = 'medium') THEN 'high' ELSE c END AS confidence FROM l)
+SELECT rec_id, round(x, 6) AS lm_value, confidence, round(greatest(10.0, least(100.0, x + CASE WHEN gc BETWEEN 0.4 AND 0.6 THEN 5 WHEN gc < 0.3 OR gc > 0.7 THEN -5 ELSE 0 END - CASE WHEN longest_run > 8 THEN 10 ELSE 0 END)), 6) AS full_value FROM e"""
 )
 def pf_enhanced_expression(spark, d) -> DataFrame:
     """Expression enhanced by the usage model's statistics (mode model_enhanced), then by the
-    sequence (mode full)."""
+    sequence (mode full).  The score is the largest confidence, the score times CAI the least."""
     rows = records(spark, d).filter("raw is not null").withColumn("cs", K.codons(F.col("s")))
     rows = rows.select("rec_id", "s", F.col("metadata.uniprot_id").isNotNull().alias("rev"), F.col("metadata.subcellular_location").alias("loc"), K.codon_facts(F.col("cs"), F.col("host")).alias("f")).withColumn("lm", K.usage_lm(F.col("f")))
     conf = F.when(F.col("rev") | F.lower(F.coalesce("loc", F.lit(""))).contains("ribosome"), "medium").otherwise("low")
-    none = F.lit(None).cast("double")
-    v, c = R.lm_expression(F.lit(50.0) + F.when(F.col("rev"), 20).otherwise(0), conf, F.col("lm.score"), none, none, F.col("lm.avg_loglik"), F.col("lm.perplexity"))
+    top = F.col("lm.score")
+    v, c = R.lm_expression(F.lit(50.0) + F.when(F.col("rev"), 20).otherwise(0), conf, top, top, top * K.cai(F.col("f")), F.col("lm.avg_loglik"), F.col("lm.perplexity"))
     out = rows.select("rec_id", "s", v.alias("x"), c.alias("confidence"))
     return out.select("rec_id", r6(F.col("x")).alias("lm_value"), "confidence", r6(R.sequence_expression(F.col("x"), F.col("s"))).alias("full_value"))
 
@@ -164,10 +164,11 @@ def pf_recompute_expression(spark, d) -> DataFrame:
     return records(spark, d).select("rec_id", r6(v).alias("value"), F.col("expression.value").alias("original_value"), loc.alias("location"), c.alias("confidence"))
 
 
-@query("SELECT evo_id, " + ", ".join(f"msa_features.{k} AS msa_{k}" for k in ("msa_depth", "msa_effective_depth", "msa_coverage", "conservation_mean", "conservation_min", "conservation_max", "conservation_entropy_mean", "coevolution_score", "contact_density", "pfam_count", "domain_count")) + " FROM evolutionary_features")
+@query("SELECT evo_id, " + ", ".join(f"CASE WHEN NOT isnan(msa_features.{k}) THEN msa_features.{k} END AS msa_{k}" for k in ("msa_depth", "msa_effective_depth", "msa_coverage", "conservation_mean", "conservation_min", "conservation_max", "conservation_entropy_mean", "coevolution_score", "contact_density", "pfam_count", "domain_count")) + " FROM evolutionary_features")
 def pf_flatten(spark, d) -> DataFrame:
+    """MSA records as flat columns; NaN counts as missing."""
     t = table(spark, d, "evolutionary_features")
-    return t.select("evo_id", *[F.col(f"msa_features.{f}").alias(f"msa_{f}") for f in t.schema["msa_features"].dataType.names])
+    return t.select("evo_id", *[P.number(F.col(f"msa_features.{f}")).alias(f"msa_{f}") for f in t.schema["msa_features"].dataType.names])
 
 
 @query("SELECT 'plDDT_mean' AS feature, true AS available UNION ALL SELECT 'msa_depth', true UNION ALL SELECT 'codon_cai', false")
@@ -218,16 +219,16 @@ def pf_one_hot_vector(spark, d) -> DataFrame:
 
 @query(
     f"""WITH {LASTEVO}, b AS (SELECT * FROM feature_bundle QUALIFY row_number() OVER (PARTITION BY protein_id ORDER BY bundle_id DESC) = 1)
-SELECT rec_id, b.plDDT_mean AS struct_plddt_mean, le.msa_features.msa_depth AS evo_msa_depth, b.protein_id IS NOT NULL AS has_structure, le.protein_id IS NOT NULL AS has_msa FROM integrated_test_1 i LEFT JOIN b USING (protein_id) LEFT JOIN le USING (protein_id)"""
+SELECT rec_id, CASE WHEN NOT isnan(b.plDDT_mean) THEN b.plDDT_mean END AS struct_plddt_mean, CASE WHEN NOT isnan(le.msa_features.msa_depth) THEN le.msa_features.msa_depth END AS evo_msa_depth, b.protein_id IS NOT NULL AS has_structure, le.protein_id IS NOT NULL AS has_msa FROM integrated_test_1 i LEFT JOIN b USING (protein_id) LEFT JOIN le USING (protein_id)"""
 )
 def jn_integrate(spark, d) -> DataFrame:
     """Records left-joined with structure and MSA features; of repeated ids the last wins.  The
-    build sides grow with the data, so Spark picks the join by their size."""
+    build sides grow with the data, so Spark picks the join by their size.  NaN counts as missing."""
     base = table(spark, d, "integrated_test_1").select("rec_id", "protein_id")
     b = O.last_of(table(spark, d, "feature_bundle").select("protein_id", "bundle_id", "plDDT_mean"), "protein_id", ["bundle_id"]).withColumn("has_structure", F.lit(True))
     m = last_evo(spark, d).select("protein_id", "msa_depth", F.lit(True).alias("has_msa"))
     j = base.join(b, "protein_id", "left").join(m, "protein_id", "left")
-    return j.select("rec_id", F.col("plDDT_mean").alias("struct_plddt_mean"), F.col("msa_depth").alias("evo_msa_depth"), F.coalesce("has_structure", F.lit(False)).alias("has_structure"), F.coalesce("has_msa", F.lit(False)).alias("has_msa"))
+    return j.select("rec_id", P.number(F.col("plDDT_mean")).alias("struct_plddt_mean"), P.number(F.col("msa_depth")).alias("evo_msa_depth"), F.coalesce("has_structure", F.lit(False)).alias("has_structure"), F.coalesce("has_msa", F.lit(False)).alias("has_msa"))
 
 
 @query(f"WITH {LASTEVO} SELECT count(le.protein_id) AS matched, count(*) - count(le.protein_id) AS errors FROM integrated_test_1 LEFT JOIN le USING (protein_id)")
@@ -272,13 +273,15 @@ def jn_group_pairs(spark, d) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT user_id AS query, count(*) AS depth, round(avg(value) / 100, 6) AS cons FROM events GROUP BY user_id) SELECT c_custkey, coalesce(depth, 1) AS depth, coalesce(cons, 0.5) AS cons FROM customer LEFT JOIN h ON query = c_custkey"""
+    """WITH h AS (SELECT user_id AS query, count(*)::DOUBLE AS depth, round(avg(value) / 100, 6) AS cons, round(min(value) / 100, 6) AS low, 1.0::DOUBLE AS pfam FROM events GROUP BY user_id)
+SELECT c_custkey, coalesce(depth, 0) AS msa_depth, coalesce(cons, 0.5) AS conservation_mean, coalesce(low, 0.3) AS conservation_min, 0.3::DOUBLE AS contact_density, coalesce(pfam, 0) AS pfam_count FROM customer LEFT JOIN h ON query = c_custkey"""
 )
 def jn_hits_to_records(spark, d) -> DataFrame:
     """Hits aggregated once and joined to records; records without hits take the defaults."""
-    h = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("depth"), r6(F.avg("value") / 100).alias("cons"))
-    j = table(spark, d, "customer").select("c_custkey").join(h, "c_custkey", "left")
-    return j.select("c_custkey", F.coalesce("depth", F.lit(1)).alias("depth"), F.coalesce("cons", F.lit(0.5)).alias("cons"))
+    h = O.hit_features(table(spark, d, "events").select(F.col("user_id").alias("query"), F.col("value").alias("pident"), F.length("event_type").alias("alnlen")))
+    j = table(spark, d, "customer").select("c_custkey").join(h, F.col("c_custkey") == F.col("query"), "left")
+    keep = ("msa_depth", "conservation_mean", "conservation_min", "contact_density", "pfam_count")
+    return j.select("c_custkey", *[r6(F.coalesce(k, F.lit(O.NO_HITS[k]))).alias(k) for k in keep])
 
 
 @query("SELECT l_orderkey, l_linenumber AS seq_idx, round(avg(l_extendedprice), 6) AS score, max(o_totalprice) AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")

@@ -57,11 +57,12 @@ def depth_fills(features: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell that the time-ordered fill gave a value."""
     records, evo = table(spark, d, "integrated_test_1"), table(spark, d, "evolutionary_features")
     parts = [("integrated_test_1", "struct_plddt_mean", plddt_fills(records)), ("integrated_test_1", "host", host_fills(records)), ("evolutionary_features", "msa_depth", depth_fills(evo))]
     out = None
     for name, field, df in parts:
-        one = df.select(F.lit(name).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.lit(field).alias("field"))
+        one = df.filter("value is not null").select(F.lit(name).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.lit(field).alias("field"))
         out = one if out is None else out.unionByName(one)
     return out
 

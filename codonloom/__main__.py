@@ -15,8 +15,9 @@ from .sources import writers as W
 from .streaming import enrich
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.appName("codonloom").config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def session(checkpoints: str | None = None) -> SparkSession:
+    b = SparkSession.builder.appName("codonloom").config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    return (b.config("spark.checkpoint.dir", checkpoints) if checkpoints else b).getOrCreate()
 
 
 def feature_map(rows: DataFrame, column: str) -> DataFrame:
@@ -103,6 +104,7 @@ def stream(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codonloom")
+    p.add_argument("--checkpoint-dir", help="shared folder for intermediate tables, unless spark.checkpoint.dir names one")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(run, *options: tuple[str, dict]) -> None:
@@ -137,7 +139,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
-    a.run(session(), a)
+    a.run(session(a.checkpoint_dir), a)
 
 
 if __name__ == "__main__":

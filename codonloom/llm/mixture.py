@@ -142,8 +142,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     repeats), then part of one more round: the number of texts of each exact token length that
     fits the rest of the budget best, drawn by seeded hash among the texts of that length.
     chosen: ``doc_id, source, n_tokens, copies`` (copies >= 1).  report: ``source, target_share,
-    max_repeats, size, budget, tokens, actual_share, reachable``; a source that cannot reach its
-    share is used as often as allowed.
+    max_repeats, size, budget, tokens, actual_share, reachable, used_up, missing``; a source that
+    cannot reach its share is used as often as allowed: ``used_up`` says that every allowed copy is
+    in the mix, ``missing`` how many tokens its share then lacks (0 or less: none).
 
     Only length counts reach the driver: a source of N tokens has at most sqrt(2 N) lengths.
     Texts of no tokens are never drawn.  Documents of other sources take no part.  Null ids are
@@ -183,12 +184,13 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     )
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     base = spark.createDataFrame(
-        [(r["source"], r["share"], r["repeats"], r["size"], r["budget"], bool(r["reachable"])) for r in plan],
-        "source string, target_share double, max_repeats long, size long, budget long, reachable boolean",
+        [(r["source"], r["share"], r["repeats"], r["size"], r["budget"], bool(r["reachable"]), r["total"]) for r in plan],
+        "source string, target_share double, max_repeats long, size long, budget long, reachable boolean, total long",
     )
     used = base.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     everything = used.agg(F.sum("tokens").alias("all_tokens"))
     report = used.crossJoin(F.broadcast(everything)).select(  # one row
-        "source", "target_share", "max_repeats", "size", "budget", "tokens", F.round(F.try_divide("tokens", "all_tokens"), 6).alias("actual_share"), "reachable"
-    )
+        "source", "target_share", "max_repeats", "size", "budget", "tokens", F.round(F.try_divide("tokens", "all_tokens"), 6).alias("actual_share"), "reachable",
+        (F.col("tokens") == F.col("size") * F.col("max_repeats")).alias("used_up"), (F.col("target_share") * F.col("total") - F.col("tokens")).alias("missing"),
+    )
     return chosen, report

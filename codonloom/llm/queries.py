@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .density_clusters import cluster_pairs, describe_clusters, similarity_clusters
 from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
-from .mixture import budgets, mix, sized
+from .mixture import mix, sized
 from .residue import scan_residue
 from .split_overlap import overlap_pairs, overlap_report, split_overlap
 
@@ -68,8 +68,8 @@ def p6_leak_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = budgets(sized(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
-    return plan.filter("not reachable").select("source")
+    """Sources that the fitted mix holds in every allowed copy and that still lack their share."""
+    return p7_mix_report(spark, d).filter("used_up and missing > 0").select("source")
 
 
 def p7_mix_report(spark: SparkSession, d: str) -> DataFrame:

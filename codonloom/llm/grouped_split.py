@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hosts import HOST_NAMES, host_key
@@ -13,10 +10,13 @@ from ..functions.text_norm import protein_key
 from ..plans.lineage import cut
 from ..operators.components import components, star_edges
 
-#: Components with more than 1/BIG of all rows are placed one by one, before the rest: at most
-#: BIG of them exist.  The rest is placed in independent shards of about SHARD components.
+#: Tied sets with more than 1/BIG of all rows are classes of their own: fewer than BIG exist.
 BIG = 1000
-SHARD = 20_000
+#: Sets of up to SMALL rows share a class if their label vectors are equal, larger ones if they
+#: hold the same labels and sizes within STEP: under ten thousand classes whatever the table.
+SMALL = 8
+STEP = 1.25
+SALTS = 64
 SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
@@ -39,79 +39,83 @@ def tied_sets(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("group_no").distinct().join(comps, "group_no", "left").select("group_no", F.coalesce("tied", "group_no").alias("tied"))
 
 
-def _place(comps: list[tuple[int, list[int]]], want: dict[str, list[float]], spare: dict[str, float]) -> dict[int, str]:
-    """Iterative stratification of whole components; ``want`` and ``spare`` are updated.
+def _quotas(classes: list[tuple[str, int, list[float]]], splits: dict[str, float]) -> dict[str, dict[str, int]]:
+    """How many tied sets of each class go to each split: grouped iterative stratification.
 
-    comps: (component, rows by label).  want: rows still wanted by split and label; spare: rows
-    still wanted by split.  The label with the fewest rows outstanding goes first, its largest
-    components first; each goes to the split that wants this label most (ties: wants most rows,
-    then the order of the splits).
+    classes: (class, its sets, rows by label of all of them).  The label with the fewest rows
+    outstanding goes first, its classes with the largest sets first; the sets of a class go to
+    the splits by how much of the label each still wants, what is left over singly to the split
+    that then wants most (ties: wants most rows, then the order of the splits).
     """
-    labels = len(comps[0][1]) if comps else 0
-    left = [sum(v[i] for _, v in comps) for i in range(labels)]
-    holders: list[list[int]] = [[] for _ in range(labels)]
-    for at, (_, v) in enumerate(comps):
-        for i, x in enumerate(v):
-            if x:
-                holders[i].append(at)
-    for i in range(labels):
-        holders[i].sort(key=lambda at, i=i: (-comps[at][1][i], -sum(comps[at][1]), at))
-    placed: dict[int, str] = {}
-    open_labels = {i for i in range(labels) if left[i] > 0}
-    while open_labels:
+    labels = len(classes[0][2]) if classes else 0
+    left = [sum(v[i] for _, _, v in classes) for i in range(labels)]
+    want = {s: [share * x for x in left] for s, share in splits.items()}
+    spare = {s: share * sum(left) for s, share in splits.items()}
+    out: dict[str, dict[str, int]] = {}
+    while open_labels := [i for i in range(labels) if left[i] > 1e-9]:
         i = min(open_labels, key=lambda x: (left[x], x))
-        for at in holders[i]:
-            comp, v = comps[at]
-            if comp in placed:
-                continue
-            best = max(want, key=lambda s: (want[s][i], spare[s]))
-            placed[comp] = best
-            for x in range(labels):
-                want[best][x] -= v[x]
-                left[x] -= v[x]
-            spare[best] -= sum(v)
-        open_labels.discard(i)
-        open_labels = {x for x in open_labels if left[x] > 0}
-    return placed
+        mine = sorted((c for c in classes if c[2][i] > 0 and c[0] not in out), key=lambda c: (-c[2][i] / c[1], -sum(c[2]) / c[1], c[0]))
+        for name, n, v in mine:
+            each, size = v[i] / n, sum(v) / n
+            need = {s: max(0.0, want[s][i]) for s in splits}
+            every = sum(need.values())
+            got = {s: int(n * need[s] / every) if every else 0 for s in splits}
+            wait = {s: [want[s][i] - got[s] * each, spare[s] - got[s] * size] for s in splits}
+            for _ in range(n - sum(got.values()) if every else 0):
+                best = max(splits, key=lambda s: wait[s])
+                got[best] += 1
+                wait[best] = [wait[best][0] - each, wait[best][1] - size]
+            if not every:  # rows above all shares
+                got[max(splits, key=lambda s: wait[s])] = n
+            for s in splits:
+                want[s] = [w - got[s] * x / n for w, x in zip(want[s], v, strict=True)]
+                spare[s] -= got[s] * size
+            left = [x - y for x, y in zip(left, v, strict=True)]
+            out[name] = got
+        left[i] = 0.0
+    return out
 
 
 def grouped_split(groups: DataFrame, clusters: DataFrame, splits: dict[str, float] | None = None, seed: int = 7) -> DataFrame:
     """``(group_no, tied, host, split)``: whole tied sets placed by grouped iterative stratification.
 
     Labels are the hosts (any spelling; unknown or null hosts form a label of their own).  The
-    components' label vectors are aggregated first.  Components above one thousandth of all rows
-    are placed on the driver (a thousand at most); the others in shards by seeded hash, each
-    towards its share of what is still wanted.  A component larger than a split's share makes
-    that split exceed it: ties go before shares.
+    label vectors of the tied sets are aggregated to classes of like sets, at most some thousands
+    (see ``BIG`` and ``SMALL``); only they reach the driver, which gives each class its number of
+    sets per split.  Within a class the sets are dealt by seeded hash.  The rule is the same at
+    all sizes.  A set larger than a split's share makes that split exceed it: ties go before shares.
+    Null ``group_no`` are left out; repeated rows count once; empty tables give an empty result.
     """
     splits = splits or SPLITS
     names = [*HOST_NAMES, "other"]
     tied = tied_sets(groups, clusters)
     hosts = groups.select(F.col("group_no").cast("long").alias("group_no"), F.coalesce(host_key("host"), F.lit("other")).alias("host")).groupBy("group_no").agg(F.min("host").alias("host"))
     rows = cut(tied.join(hosts, "group_no"))
-    counts = [F.count_if(F.col("host") == n).alias(f"n{i}") for i, n in enumerate(names)]
-    comps = cut(rows.groupBy("tied").agg(*counts, F.count("*").alias("n")))
     cols = [f"n{i}" for i in range(len(names))]
-    total = comps.agg(F.sum("n").alias("n"), F.count("*").alias("comps"), *[F.sum(c).alias(c) for c in cols]).first()
-    n = total["n"] or 0
-    want = {s: [share * (total[c] or 0) for c in cols] for s, share in splits.items()}
-    spare = {s: share * n for s, share in splits.items()}
-    big_rows = comps.filter(F.col("n") * BIG > n).collect()  # fewer than BIG rows
-    big = sorted(((r["tied"], [r[c] for c in cols]) for r in big_rows), key=lambda x: (-sum(x[1]), x[0]))
-    placed = _place(big, want, spare)
-    rest = [max(0, (total[c] or 0) - sum(v[i] for _, v in big)) for i, c in enumerate(cols)]
-    shards = max(1, math.ceil((total["comps"] or 0) / SHARD))
-
-    def place_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "tied"])
-        own = [int(pdf[c].sum()) for c in cols]
-        part = [own[i] / rest[i] if rest[i] else 0.0 for i in range(len(cols))]
-        w = {s: [want[s][i] * part[i] for i in range(len(cols))] for s in want}
-        sp = {s: spare[s] * sum(own) / max(1, sum(rest)) for s in spare}
-        got = _place(list(zip(pdf["tied"].tolist(), pdf[cols].values.tolist(), strict=True)), w, sp)
-        return pd.DataFrame({"tied": list(got), "split": list(got.values())}, columns=["tied", "split"])
-
-    small = comps.filter(F.col("n") * BIG <= n).withColumn("h", F.xxhash64("tied", F.lit(seed)))
-    got = small.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInPandas(place_shard, "tied long, split string")
-    got = got.unionByName(rows.sparkSession.createDataFrame(list(placed.items()), "tied long, split string"))
-    return rows.join(got, "tied").select("group_no", "tied", "host", "split")
+    sets = rows.groupBy("tied").agg(*[F.count_if(F.col("host") == n).alias(c) for n, c in zip(names, cols, strict=True)], F.count("*").alias("n"))
+    n_rows = rows.count()
+    mask = F.concat(*[(F.col(c) > 0).cast("int").cast("string") for c in cols])
+    kind = (
+        F.when(F.col("n") * BIG > n_rows, F.concat(F.lit("set "), F.col("tied").cast("string")))
+        .when(F.col("n") <= SMALL, F.concat_ws(",", *cols))
+        .otherwise(F.concat_ws(" ", mask, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP))).cast("string")))
+    )
+    h = F.xxhash64("tied", F.lit(seed))
+    sets = cut(sets.select("tied", *cols, kind.alias("kind"), h.alias("h"), F.pmod(h, F.lit(SALTS)).alias("salt")))
+    classes = sets.groupBy("kind").agg(F.count("*").alias("sets"), *[F.sum(c).alias(c) for c in cols]).collect()  # bounded, see above
+    quotas = _quotas(sorted((r["kind"], r["sets"], [float(r[c]) for c in cols]) for r in classes), splits)
+    ends, deals = dict.fromkeys(splits, 0), []
+    for name, got in quotas.items():
+        upto = 0
+        for s in splits:
+            upto += got[s]
+            ends[s] = upto
+        deals.append((name, *ends.values()))
+    ddl = ", ".join(["kind string", *(f"upto{i} long" for i in range(len(splits)))])
+    deal = F.broadcast(rows.sparkSession.createDataFrame(deals, ddl))
+    before = Window.partitionBy("kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row a salt
+    cells = sets.groupBy("kind", "salt").count().select("kind", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("kind", "salt").orderBy("h", "tied")) + F.col("before")
+    split = F.coalesce(*[F.when(F.col("place") <= F.col(f"upto{i}"), F.lit(s)) for i, s in enumerate(splits)])
+    dealt = sets.select("tied", "kind", "salt", "h").join(cells, ["kind", "salt"]).withColumn("place", place).join(deal, "kind").select("tied", split.alias("split"))
+    return rows.join(dealt, "tied").select("group_no", "tied", "host", "split")

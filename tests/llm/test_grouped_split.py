@@ -1,6 +1,8 @@
 """Tied sets and their placement."""
 
-from codonloom.llm.grouped_split import SPLITS, _place, grouped_split, tied_sets
+from pyspark.sql import functions as F
+
+from codonloom.llm.grouped_split import SPLITS, _quotas, grouped_split, tied_sets
 
 GROUPS = "group_no long, group_id string, protein_aa string, host string, cluster_id long, tied string"
 CLUSTERS = "cluster_id long, protein_groups array<string>, host string"
@@ -32,9 +34,29 @@ def test_split_keeps_ties_and_shares(spark):
             assert abs(sum(r["split"] == s for r in n) / len(n) - share) < 0.08
 
 
-def test_place_large_component():
-    got = _place([(1, [90]), (2, [5]), (3, [5])], {"train": [70.0], "val": [15.0], "test": [15.0]}, {"train": 70.0, "val": 15.0, "test": 15.0})
-    assert got[1] == "train" and set(got.values()) == {"train", "val", "test"}
+def test_quotas_large_set():
+    got = _quotas([("a", 1, [90.0]), ("b", 2, [10.0])], SPLITS)
+    assert got["a"] == {"train": 1, "val": 0, "test": 0} and got["b"] == {"train": 0, "val": 1, "test": 1}
+    assert _quotas([("a", 1, [5.0]), ("b", 0, [0.0])], SPLITS)["a"]["train"] == 1 and _quotas([], SPLITS) == {}
+
+
+def test_quotas_place_every_set_once():
+    classes = [(f"c{i}", 1 + i * 7 % 13, [float(i % 3), float(i * i % 5), 1.0]) for i in range(60)]
+    got = _quotas(classes, SPLITS)
+    assert all(sum(got[c].values()) == n for c, n, _ in classes)
+
+
+def test_shares_of_many_sets_of_all_sizes(spark):
+    """One rule at all sizes: 25 000 rows in single sets, middle ones and one with a tenth of all."""
+    hosts = ["Human", "Mouse", "E. coli", "Pichia pastoris"]
+    groups = [(i, f"g{i}", None, hosts[i * i % 7 % 4], 0 if i % 10 == 0 else i % 90 if i % 3 == 0 else 1000 + i) for i in range(25_000)]
+    got = grouped_split(*tables(spark, groups, []))
+    rows = got.groupBy("host", "split").count().collect()
+    assert got.groupBy("tied").agg(F.countDistinct("split").alias("k")).filter("k > 1").count() == 0
+    for h in {r["host"] for r in rows}:
+        n = {r["split"]: r["count"] for r in rows if r["host"] == h}
+        for s, share in SPLITS.items():
+            assert abs(n[s] / sum(n.values()) - share) < 0.005
 
 
 def test_empty(spark):

@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items that one pass over the corpus looks for; more items take more passes.
+from ..plans.lineage import cut
+
+#: Items that a task looks for together.
 BLOCK = 512
+#: Words of items shipped to the tasks at once, some tens of megabytes; more take another pass.
+SHIPPED = 1 << 21
 #: Distinct words whose q-gram rows a task keeps.
 MEMO = 50_000
 #: Words of a long document that are looked at together (besides the overlap).
@@ -41,25 +45,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(POINT.sub("", text.casefold()))
 
 
-def own_words(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """The words of each item without an opening line that other items share."""
-    heads = Counter()
-    split = {}
-    for item, text in items:
-        lines = [x for x in (text or "").splitlines() if x.strip()]
-        split[item] = lines
-        if len(lines) > 1:
-            heads[" ".join(words(lines[0]))] += 1
-    out = {}
-    for item, lines in split.items():
-        if len(lines) > 1 and heads[" ".join(words(lines[0]))] > 1:
-            lines = lines[1:]
-        own = words("\n".join(lines))
-        if own:
-            out[item] = own
-    return out
-
-
 class Finder:
     """Finds items in one document in three steps, each keeping every true case.
 
@@ -132,7 +117,9 @@ class Finder:
 
     def find(self, text: str | None) -> Iterator[tuple[int, float]]:
         """(item, share of its words in the best stretch) of each leaked item."""
-        doc = words(text) if text else []
+        return self.find_words(words(text) if text else [])
+
+    def find_words(self, doc: list[str]) -> Iterator[tuple[int, float]]:
         best: dict[int, int] = {}
         widest = int(self.reach.max(initial=0))
         for s in range(0, max(1, len(doc) - widest), STEP):
@@ -205,39 +192,65 @@ class Finder:
         return best
 
 
+def item_words(items: DataFrame, item_col: str = "item_id", text_col: str = "item_text") -> DataFrame:
+    """``item, own``: the words of each item without an opening line that other items share.
+
+    Of equal ids the longest text counts (ties: the first in order); null ids and texts and items
+    without own words are left out."""
+    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("t")).dropna()
+    rows = rows.groupBy("item").agg(F.max_by("t", F.struct(F.length("t"), "t")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head, rest = [], []
+            for text in batch.column("t").to_pylist():
+                lines = [x for x in text.splitlines() if x.strip()]
+                head.append(words(lines[0]) if lines else [])
+                rest.append(words("\n".join(lines[1:])) if len(lines) > 1 else None)
+            full = [words(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), *(pa.array(x, pa.list_(pa.string())) for x in (head, rest, full))], names=["item", "head", "rest", "full"])
+
+    cut_up = rows.mapInArrow(run, "item long, head array<string>, rest array<string>, full array<string>")
+    shared = cut_up.filter("rest is not null").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.lit(True).alias("shared"))
+    own = F.when(F.col("shared") & F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("full"))
+    return cut_up.join(shared, "head", "left").select("item", own.alias("own")).filter(F.size("own") > 0)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", share: float = 0.55, q: int = 4) -> DataFrame:
     """``doc_id, item_id, share``: documents with at least ``share`` of an item's own words, in
     their order, within a stretch of at most twice the item's words.
 
-    The evaluation items are read to the driver and shipped to the tasks in blocks of ``BLOCK``
-    (each block takes one pass over the corpus), so what is shipped stays bounded; the corpus is
-    only streamed: no shuffle.  Items may repeat; of equal ids the longest text counts.  Null or
-    empty texts, null ids and items without own words give nothing.  Texts are read whole.  Two
-    items with the same words are both reported.  Empty tables give an empty result.
+    The items are cut to words on the executors.  They are shipped to the tasks in loads of at
+    most ``SHIPPED`` words, each measured before it is sent; a load takes one pass over the corpus,
+    in which each document is cut to words once and looked through block by block.  The corpus is
+    only streamed: no shuffle of texts.  Items may repeat; of equal ids the longest text counts.
+    Null or empty texts, null ids and items without own words give nothing.  Texts are read whole.
+    Two items with the same words are both reported.  Empty tables give an empty result.
     """
-    kept: dict[int, str] = {}
-    for r in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).dropna().toLocalIterator():
-        if len(r["t"]) > len(kept.get(r["i"], "")):
-            kept[r["i"]] = r["t"]
-    own = own_words(sorted(kept.items()))
-    ids = sorted(own)
-    out = None
+    own = cut(item_words(items, item_col, item_text_col))
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    for s in range(0, max(1, len(ids)), BLOCK):
-        part = {i: own[i] for i in ids[s : s + BLOCK]}
+    total = own.agg(F.sum(F.size("own")).alias("n")).first()["n"] or 0
+    loads = max(1, -(-total * 2 // SHIPPED))  # twice as many as would do, as the hash deals unevenly
+    out = None
+    for load in range(loads):
+        part = own.filter(F.pmod(F.xxhash64("item"), F.lit(loads)) == load) if loads > 1 else own
+        got = {r["item"]: r["own"] for r in part.orderBy("item").collect()}  # about SHIPPED words at most
+        ids = list(got)
+        blocks = [{i: got[i] for i in ids[s : s + BLOCK]} for s in range(0, len(ids), BLOCK)]
+        sent = docs.sparkSession.sparkContext.broadcast(blocks)
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            finder = Finder(part, share, q) if part else None
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            finders = [Finder(b, share, q) for b in sent.value]
             for batch in batches:
                 found = []
-                if finder:
-                    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                        found += [(d, i, x) for i, x in finder.find(t)]
+                for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    doc = words(t)
+                    found += [(d, i, x) for finder in finders for i, x in finder.find_words(doc)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())],
                     names=["doc_id", "item_id", "share"],
                 )
 
-        got = rows.mapInArrow(run, "doc_id long, item_id long, share double")
-        out = got if out is None else out.unionByName(got)
+        found = rows.mapInArrow(run, "doc_id long, item_id long, share double")
+        out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

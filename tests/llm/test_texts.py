@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from codonloom.llm.eval_leaks import Finder, find_leaks, own_words, words
+from codonloom.llm import eval_leaks
+from codonloom.llm.eval_leaks import Finder, find_leaks, item_words, words
 from codonloom.llm.mixture import budgets, fit_counts, mix
 from codonloom.llm.residue import Scanner, drop_residue, scan_residue
 from codonloom.llm.tokens import count_tokens, default_path
@@ -28,7 +29,25 @@ def lcs(a, b):
 
 def test_words():
     assert words("<p>L'É&nbsp;té</p> ﬁn foot-\nnote 1.5") == ["l", "e", "te", "fin", "footnote", "15"]
-    assert own_words([(1, ITEM), (2, OTHER), (3, None), (4, " ")])[1][0] == "the"
+
+
+def test_item_words(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, None), (4, " "), (5, "Alone.\nA line of words"), (6, "Read the passage."), (1, "shorter")], "item_id long, item_text string")
+    got = {r["item"]: r["own"] for r in item_words(items).collect()}
+    assert set(got) == {1, 2, 5, 6} and got[1][0] == "the" and got[5][0] == "alone" and got[6] == ["read", "the", "passage"]
+
+
+def test_leaks_in_loads_and_blocks(spark, monkeypatch):
+    vocab = ["gene", "codon", "protein", "signal", "stable", "kinase", "host", "assay", "yeast", "buffer"]
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(12))) for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(40)) + " " + items[i % 30][1]) for i in range(60)]
+    i, d = spark.createDataFrame(items, "item_id long, item_text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(tuple(r) for r in find_leaks(d, i).collect())
+    assert len(want) >= 60
+    monkeypatch.setattr(eval_leaks, "SHIPPED", 200)
+    monkeypatch.setattr(eval_leaks, "BLOCK", 4)
+    assert sorted(tuple(r) for r in find_leaks(d, i).collect()) == want
 
 
 def test_finder_is_exact():

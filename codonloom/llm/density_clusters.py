@@ -10,6 +10,9 @@ from ..plans.lineage import cut
 from ..operators.components import components, follow_pointers
 from .segjoin import edit_pairs
 
+#: Rows of a cluster that one task pairs with the whole cluster.
+PAIRED = 1000
+
 
 def similarity_clusters(rows: DataFrame, id_col: str = "group_no", text_col: str = "protein_aa", num: int = 1, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(members, classes)`` of the clusters of texts within ``num/den`` of the longer one.
@@ -31,7 +34,7 @@ def similarity_clusters(rows: DataFrame, id_col: str = "group_no", text_col: str
     texts = cut(keyed.groupBy("key").agg(F.min("id").alias("uid"), F.any_value("txt").alias("txt"), F.count("*").alias("weight")))
     sizes = texts.select(F.lit(0).alias("kind"), F.length("txt").cast("long").alias("n"), F.lit(True).alias("home"), F.lit(True).alias("other"))
     sides = texts.select(F.lit(0).alias("kind"), "uid", "txt", F.lit(True).alias("home"), F.lit(True).alias("other"))
-    links = cut(edit_pairs(sides, sizes, num, den, q=3, same=True, home_letters=1_000_000).select("uid_a", "uid_b", "dist"))
+    links = cut(edit_pairs(sides, sizes, num, den, q=3, dims=1024, same=True, align=True, home_letters=1_000_000).select("uid_a", "uid_b", "dist"))
     both = links.select(F.col("uid_a").alias("uid"), F.col("uid_b").alias("near"), "dist").unionByName(
         links.select(F.col("uid_b").alias("uid"), F.col("uid_a").alias("near"), "dist")
     )
@@ -62,10 +65,23 @@ def similarity_clusters(rows: DataFrame, id_col: str = "group_no", text_col: str
 
 
 def cluster_pairs(members: DataFrame) -> DataFrame:
-    """Every pair of rows of a cluster, the smaller id first."""
-    one = members.select("cluster", F.col("id").alias("group_no_a"))
-    two = members.select("cluster", F.col("id").alias("group_no_b"))
-    return one.join(two, "cluster").filter("group_no_a < group_no_b").select("group_no_a", "group_no_b").distinct()
+    """Every pair of rows of a cluster, the smaller id first.
+
+    The rows of a large cluster are dealt to one part for each PAIRED of them, and each part
+    meets the whole cluster, so no task makes the pairs of a hot cluster alone."""
+    rows = cut(members.select("cluster", "id").distinct())
+    parts = rows.groupBy("cluster").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    rows = rows.join(parts, "cluster")
+    one = rows.select("cluster", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("group_no_a"))
+    two = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("group_no_b"))
+    return one.join(two, ["cluster", "part"]).filter("group_no_a < group_no_b").select("group_no_a", "group_no_b")
+
+
+def cluster_links(members: DataFrame) -> DataFrame:
+    """The clusters as one row a member, which grows with the rows and not with their pairs:
+    ``group_no``, its ``cluster`` and whether it is the cluster's representative row."""
+    first = F.min("id").over(Window.partitionBy("uid"))
+    return members.select(F.col("id").alias("group_no"), "cluster", ((F.col("uid") == F.col("cluster")) & (F.col("id") == first)).alias("names_cluster"))
 
 
 def describe_clusters(classes: DataFrame, typical: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .density_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from .density_clusters import cluster_links, cluster_pairs, describe_clusters, similarity_clusters
 from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
 from .mixture import mix, sized
@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cluster_pairs(members)
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its cluster, one row a member."""
+    members, _ = similarity_clusters(table(spark, d, "protein_group"))
+    return cluster_links(members)
+
+
 def p3_cluster_report(spark: SparkSession, d: str) -> DataFrame:
     _, classes = similarity_clusters(table(spark, d, "protein_group"))
     return describe_clusters(classes)

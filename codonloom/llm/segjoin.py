@@ -4,7 +4,8 @@ Two texts are neighbours when their edit distance is at most ``num/den`` of the
 length.  The budget ``k`` follows from the longer text, so the longer text of a pair is cut into
 ``k + 1`` segments: ``k`` edits leave one of them intact, and it must occur in the shorter text
 at a position inside the multi-match-aware window.  Candidates pass an exact q-gram count bound
-and are verified by Spark's banded ``levenshtein(a, b, k)``; no neighbour is lost.
+and are verified by Spark's banded ``levenshtein(a, b, k)`` or, where most candidates are
+neighbours, by bit-parallel alignment of many pairs at once; no neighbour is lost.
 
 Texts meet in *cells*: a cell is a length class (texts whose lengths can match), split into
 blocks whose sizes follow from the counted letters of the class.  A row travels to the few cells
@@ -198,11 +199,102 @@ class Segments:
         return code[good]
 
 
+#: Letters of a pattern that are aligned for many pairs at once; longer ones go one by one.
+MANY_LETTERS = 1024
+
+
+def _align_one(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two code arrays, a column of the alignment matrix in one whole number."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    masks: dict[int, int] = {}
+    for c in np.unique(a):
+        masks[int(c)] = int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little")
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, dist = full, 0, len(a)
+    for c in b.tolist():
+        eq = masks.get(c, 0)
+        level = eq | down
+        same = ((((eq & up) + up) ^ up) | eq) & full
+        rise, fall = (down | ~(same | up)) & full, up & same
+        dist += (rise >> top & 1) - (fall >> top & 1)
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = (fall | ~(level | rise)) & full, rise & level
+    return dist
+
+
+def _align_many(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, letters: int) -> np.ndarray:
+    """Edit distances of the rows of two matrices of letter numbers; all patterns (rows of ``a``,
+    ``la`` letters each) fill the same number of 64-bit words."""
+    rows, words = np.arange(len(a)), (int(la.max()) + 63) // 64
+    one, last = np.uint64(1), ((la - 1) % 64).astype(np.uint64)
+    table = np.zeros((len(a), letters, words), dtype=np.uint64)
+    for i in range(int(la.max())):
+        own = rows[la > i] if i >= la.min() else rows
+        table[own, a[own, i], i // 64] |= one << np.uint64(i % 64)
+    up = [np.full(len(a), ~np.uint64(0)) for _ in range(words)]
+    down = [np.zeros(len(a), dtype=np.uint64) for _ in range(words)]
+    dist, out = la.copy(), la.copy()
+    for i in range(int(lb.max(initial=0))):
+        at = table[rows, b[:, i]]
+        carry, rise_in, fall_in = np.zeros(len(a), dtype=np.uint64), np.full(len(a), one), np.zeros(len(a), dtype=np.uint64)
+        for w in range(words):
+            eq, p, m = at[:, w], up[w], down[w]
+            level = eq | m
+            masked = eq & p
+            total = masked + p
+            over = total < p
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            same = (total ^ p) | eq
+            rise, fall = m | ~(same | p), p & same
+            if w == words - 1:
+                dist += ((rise >> last) & one).astype(np.int64) - ((fall >> last) & one).astype(np.int64)
+            rise_out, fall_out = rise >> np.uint64(63), fall >> np.uint64(63)
+            rise, fall = (rise << one) | rise_in, (fall << one) | fall_in
+            rise_in, fall_in = rise_out, fall_out
+            up[w], down[w] = fall | ~(level | rise), rise & level
+        np.copyto(out, dist, where=lb == i + 1)
+    return out
+
+
+def distances(a: Pack, ia: np.ndarray, b: Pack, ib: np.ndarray) -> np.ndarray:
+    """Edit distances of the texts ``ia`` of one pack and ``ib`` of another."""
+    out = np.zeros(len(ia), dtype=np.int64)
+    la, lb = a.length[ia], b.length[ib]
+    if not len(ia):
+        return out
+    held = np.zeros(1 + max(int(a.codes.max(initial=0)), int(b.codes.max(initial=0))), dtype=bool)
+    held[a.codes] = held[b.codes] = True
+    number, letters = (np.cumsum(held) - 1).astype(np.int32), int(held.sum())
+    words = (la + 63) // 64
+    order = np.lexsort((lb, words))
+    order = order[(la[order] > 0) & (la[order] <= MANY_LETTERS)]
+    for x in np.flatnonzero((la == 0) | (la > MANY_LETTERS)):
+        out[x] = _align_one(a.codes[a.off[ia[x]] : a.off[ia[x] + 1]], b.codes[b.off[ib[x]] : b.off[ib[x] + 1]])
+    s = 0
+    while s < len(order):
+        w = words[order[s]]
+        most = max(1, min(4096, (1 << 22) // (letters * int(w))))
+        e = min(s + most, int(np.searchsorted(words[order], w, side="right")))
+        pick = order[s:e]
+
+        def matrix(codes: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+            at = off[:, None] + np.minimum(np.arange(max(1, int(n.max()))), np.maximum(n - 1, 0)[:, None])
+            return number[codes[np.minimum(at, max(0, len(codes) - 1))]] if len(codes) else np.zeros(at.shape, dtype=np.int32)
+
+        out[pick] = _align_many(matrix(a.codes, a.off[ia[pick]], la[pick]), la[pick], matrix(b.codes, b.off[ib[pick]], lb[pick]), lb[pick], letters)
+        s = e
+    return out
+
+
 OUT = pa.schema([("kind", pa.int32()), ("uid_a", pa.int64()), ("uid_b", pa.int64()), ("txt_a", pa.string()), ("txt_b", pa.string())])
 OUT_DDL = "kind int, uid_a long, uid_b long, txt_a string, txt_b string"
+ALIGNED = pa.schema([("kind", pa.int32()), ("uid_a", pa.int64()), ("uid_b", pa.int64()), ("dist", pa.int32())])
+ALIGNED_DDL = "kind int, uid_a long, uid_b long, dist int"
 
 
-def _cell_join(num: int, den: int, q: int, dims: int, same: bool, chunk_letters: int, chunk_rows: int):
+def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, chunk_letters: int, chunk_rows: int):
     """mapInArrow body: rows come ordered by (cell, side); side 0 is the bounded home block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +304,12 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, chunk_letters:
             state.update(cell=cell, kind=None, home=[], pack=None, seg=None, wait=[], letters=0, rows=0)
 
         def emit(a: Pack, ia: np.ndarray, b: Pack, ib: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if align:
+                dist = distances(a, ia, b, ib)
+                near = dist <= np.maximum(a.length[ia], b.length[ib]) * num // den
+                x, y, d = ia[near], ib[near], dist[near].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), state["kind"], dtype=np.int32)), pa.array(a.uid[x]), pa.array(b.uid[y]), pa.array(d)], schema=ALIGNED)
+                return
             for s in range(0, len(ia), 4096):
                 x, y = ia[s : s + 4096], ib[s : s + 4096]
                 yield pa.RecordBatch.from_arrays(
@@ -276,12 +374,14 @@ def edit_pairs(
     q: int,
     dims: int = 4096,
     same: bool = False,
+    align: bool = False,
     home_letters: int = 6_000_000,
-    other_letters: int = 8_000_000,
+    other_letters: tuple[int, int] = (8_000_000, 64_000_000),
     chunk_letters: int = 4_000_000,
     chunk_rows: int = 16_384,
 ) -> DataFrame:
-    """All pairs of neighbouring texts, verified: ``kind, uid_a, uid_b, dist, txt_a, txt_b``.
+    """All pairs of neighbouring texts, verified: ``kind, uid_a, uid_b, dist, txt_a, txt_b``; with
+    ``align`` they are aligned where they meet and come without the texts.
 
     texts: ``kind int, uid long, txt string`` (distinct, not empty, uid unique in its kind) and
     booleans ``home`` and ``other``; pairs join a home text (a) with an other text (b).  With
@@ -289,6 +389,9 @@ def edit_pairs(
     (of equal lengths the one with the smaller uid).
     sizes: ``kind, n, home, other`` with rough lengths of the texts or of a superset, none of them
     below the length of the longest text: only the number of blocks of a length class follows.
+    A home block has about ``home_letters``, which bounds a task's memory; another block lies
+    between the two ``other_letters``, as small as it takes to give every core four cells, since a
+    home text is copied to each of them.
 
     Null texts must be left out by the caller; an empty table gives no pairs.
     """
@@ -312,12 +415,16 @@ def edit_pairs(
     # the other side of a class also holds the texts of its neighbour classes
     home_blocks: dict[tuple[int, int], int] = {}
     other_blocks: dict[tuple[int, int], int] = {}
+    near: dict[tuple[int, int], int] = {}
     by = {(r["kind"], r["c"]): (r["h"] or 0, r["o"] or 0) for r in stats}
     classes = [(kind, c) for kind in sorted({k for k, _ in by}) for c in range(max(x for k, x in by if k == kind) + 1)]
     for kind, c in classes:
-        near = sum(by.get((kind, x), (0, 0))[1] for x in (c - 1, c, c + 1))
+        near[kind, c] = sum(by.get((kind, x), (0, 0))[1] for x in (c - 1, c, c + 1))
         home_blocks[kind, c] = max(1, math.ceil(by.get((kind, c), (0, 0))[0] / home_letters))
-        other_blocks[kind, c] = max(1, math.ceil(near / other_letters))
+    even = sum(m * home_blocks[x] for x, m in near.items()) // (4 * spark.sparkContext.defaultParallelism)
+    block = min(max(even, other_letters[0]), other_letters[1])
+    for x, m in near.items():
+        other_blocks[x] = max(1, math.ceil(m / block))
     # cells are numbered through kinds and classes; both lists are as short as the classes are few
     total, starts, base = 0, [], {}
     for key in classes:
@@ -359,8 +466,10 @@ def edit_pairs(
     candidates = (
         cells.repartitionById(parts, F.col("cell") % parts)
         .sortWithinPartitions("cell", "side")
-        .mapInArrow(_cell_join(num, den, q, dims, same, chunk_letters, chunk_rows), OUT_DDL)
+        .mapInArrow(_cell_join(num, den, q, dims, same, align, chunk_letters, chunk_rows), ALIGNED_DDL if align else OUT_DDL)
     )
+    if align:
+        return candidates
     budget = F.floor(F.greatest(F.length("txt_a"), F.length("txt_b")) * num / den).cast("int")
     return (
         candidates.withColumn("k", budget)

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codonloom.llm.density_clusters import cluster_pairs, describe_clusters, similarity_clusters
-from codonloom.llm.segjoin import edit_pairs
+from codonloom.llm import density_clusters, segjoin
+from codonloom.llm.density_clusters import cluster_links, cluster_pairs, describe_clusters, similarity_clusters
+from codonloom.llm.segjoin import Pack, distances, edit_pairs
 from codonloom.llm.split_overlap import overlap_pairs, overlap_report, split_overlap
 
 
@@ -56,13 +59,27 @@ def test_self_join_is_exact(spark, num, den, letters, low, high, q):
     df = spark.createDataFrame(rows, "kind int, uid long, txt string, home boolean, other boolean")
     sizes = df.select("kind", F.length("txt").cast("long").alias("n"), "home", "other")
     # small blocks and chunks: every path of the blocking is taken
-    got = edit_pairs(df, sizes, num, den, q, dims=512, same=True, home_letters=700, other_letters=900, chunk_letters=300, chunk_rows=7).collect()
+    got = edit_pairs(df, sizes, num, den, q, dims=512, same=True, home_letters=700, other_letters=(900, 900), chunk_letters=300, chunk_rows=7).collect()
+    aligned = edit_pairs(df, sizes, num, den, q, dims=512, same=True, align=True, home_letters=1500, chunk_letters=900).collect()
+    assert {(r["uid_a"], r["uid_b"], r["dist"]) for r in aligned} == {(r["uid_a"], r["uid_b"], r["dist"]) for r in got}
     seen = [frozenset((r["uid_a"], r["uid_b"])) for r in got]
     want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if near(texts[i], texts[j], num, den)}
     assert len(seen) == len(set(seen)) and set(seen) == want
     assert all(r["dist"] == distance(texts[r["uid_a"]], texts[r["uid_b"]]) for r in got[:40])
 
 
+def test_alignment(monkeypatch):
+    rng = random.Random(4)
+    a = ["".join(rng.choice("ABCDé") for _ in range(rng.choice([1, 2, 5, 63, 64, 65, 100, 128, 130]))) for _ in range(90)]
+    b = [edited(rng, x, rng.randint(0, 9), "ABz") if rng.random() < 0.7 else "".join(rng.choice("AB") for _ in range(rng.randint(0, 90))) for x in a]
+    left, right, at = Pack(np.arange(90), pa.array(a)), Pack(np.arange(90), pa.array(b)), np.arange(90)
+    want = [distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert distances(left, at, right, at).tolist() == want
+    assert distances(right, at, left, at).tolist() == want
+    monkeypatch.setattr(segjoin, "MANY_LETTERS", 64)
+    assert distances(left, at, right, at).tolist() == want
+
+
 RECORD = "rec_id long, split string, source_file string, protein_aa string, sequence string, id string, key string, held string, txt string"
 
 
@@ -112,7 +129,7 @@ def test_very_long_texts(spark):
     assert {tuple(r) for r in overlap_pairs(links, members).collect()} == {(1, 2)}
 
 
-def test_clusters_are_components(spark):
+def test_clusters_are_components(spark, monkeypatch):
     rng = random.Random(12)
     texts = family_texts(rng, "ACDEFGHIKLMNPQRSTVWY", 90, 8, 50, 0.25)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, texts[0].lower()), (901, texts[0] + "*"), (902, None), (903, " "), (None, texts[1])]
@@ -132,6 +149,11 @@ def test_clusters_are_components(spark):
     want = {(i, j) for i, _ in forms for j, _ in forms if i < j and find(i) == find(j)}
     members, classes = similarity_clusters(df)
     assert {tuple(r) for r in cluster_pairs(members).collect()} == want
+    monkeypatch.setattr(density_clusters, "PAIRED", 2)
+    split = [tuple(r) for r in cluster_pairs(members).collect()]
+    assert set(split) == want and len(split) == len(want)
+    links = cluster_links(members)
+    assert links.count() == len(forms) and links.filter("names_cluster").count() == links.select("cluster").distinct().count()
     cl = classes.collect()
     by = {r["uid"]: r for r in cl}
     for r in cl:  # pointers lead to denser texts of the same cluster

@@ -77,14 +77,15 @@ class Pack:
         is a power of two."""
         out = np.zeros((len(which), dims), dtype=np.uint8)
         full = np.zeros(len(which), dtype=bool)
-        slot = (self.qhash(q, keep=True) & np.uint32(dims - 1)).astype(np.int32)
-        for r, i in enumerate(which):
-            end = max(self.off[i], self.off[i + 1] - q + 1)
-            counts = np.bincount(slot[self.off[i] : end], minlength=dims)
-            if len(slot) and end - self.off[i] > 255 and counts.max() > 255:
-                full[r] = True
+        h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
+        for s in range(0, len(which), 256):
+            rows, at = _ranges(self.off[which[s : s + 256]], n[s : s + 256])
+            m = len(n[s : s + 256])
+            counts = np.bincount(rows * dims + (h[at] & np.uint32(dims - 1)), minlength=m * dims).reshape(m, dims)
+            if len(at) > 255 and counts.max() > 255:
+                full[s : s + 256] = counts.max(axis=1) > 255
                 counts = np.minimum(counts, 255)
-            out[r] = counts
+            out[s : s + 256] = counts
         return out, full
 
 
@@ -199,6 +200,8 @@ class Segments:
         return code[good]
 
 
+#: Pairs that wait to be aligned together, and most bytes of them.
+ALIGN_ROWS, ALIGN_BYTES = 65_536, 32_000_000
 #: Letters of a pattern that are aligned for many pairs at once; longer ones go one by one.
 MANY_LETTERS = 1024
 
@@ -227,34 +230,41 @@ def _align_many(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, le
     """Edit distances of the rows of two matrices of letter numbers; all patterns (rows of ``a``,
     ``la`` letters each) fill the same number of 64-bit words."""
     rows, words = np.arange(len(a)), (int(la.max()) + 63) // 64
-    one, last = np.uint64(1), ((la - 1) % 64).astype(np.uint64)
-    table = np.zeros((len(a), letters, words), dtype=np.uint64)
+    one, top, last = np.uint64(1), np.uint64(63), ((la - 1) % 64).astype(np.uint64)
+    table = np.zeros((len(a) * letters, words), dtype=np.uint64)
     for i in range(int(la.max())):
         own = rows[la > i] if i >= la.min() else rows
-        table[own, a[own, i], i // 64] |= one << np.uint64(i % 64)
-    up = [np.full(len(a), ~np.uint64(0)) for _ in range(words)]
-    down = [np.zeros(len(a), dtype=np.uint64) for _ in range(words)]
-    dist, out = la.copy(), la.copy()
+        table[own * letters + a[own, i], i // 64] |= one << np.uint64(i % 64)
+    at = np.ascontiguousarray((rows[:, None] * letters + b).T)
+    up, down = np.full((len(a), words), ~np.uint64(0)), np.zeros((len(a), words), dtype=np.uint64)
+    dist, out, first = la.copy(), la.copy(), int(lb.min(initial=0))
     for i in range(int(lb.max(initial=0))):
-        at = table[rows, b[:, i]]
-        carry, rise_in, fall_in = np.zeros(len(a), dtype=np.uint64), np.full(len(a), one), np.zeros(len(a), dtype=np.uint64)
-        for w in range(words):
-            eq, p, m = at[:, w], up[w], down[w]
-            level = eq | m
-            masked = eq & p
-            total = masked + p
-            over = total < p
-            total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            same = (total ^ p) | eq
-            rise, fall = m | ~(same | p), p & same
-            if w == words - 1:
-                dist += ((rise >> last) & one).astype(np.int64) - ((fall >> last) & one).astype(np.int64)
-            rise_out, fall_out = rise >> np.uint64(63), fall >> np.uint64(63)
-            rise, fall = (rise << one) | rise_in, (fall << one) | fall_in
-            rise_in, fall_in = rise_out, fall_out
-            up[w], down[w] = fall | ~(level | rise), rise & level
-        np.copyto(out, dist, where=lb == i + 1)
+        eq = table.take(at[i], axis=0)
+        level = eq | down
+        total = (eq & up) + up
+        over = total < up
+        for w in range(1, words):
+            carry = over[:, w - 1]
+            total[:, w] += carry
+            over[:, w] |= carry & (total[:, w] == 0)
+        total ^= up
+        total |= eq
+        fall = up & total
+        total |= up
+        rise = down | ~total
+        dist += ((rise[:, -1] >> last) & one).astype(np.int64)
+        dist -= ((fall[:, -1] >> last) & one).astype(np.int64)
+        high, low = rise >> top, fall >> top
+        rise <<= one
+        fall <<= one
+        rise[:, 0] |= one
+        rise[:, 1:] |= high[:, :-1]
+        fall[:, 1:] |= low[:, :-1]
+        np.bitwise_and(rise, level, out=down)
+        level |= rise
+        np.bitwise_or(fall, ~level, out=up)
+        if i + 1 >= first:
+            np.copyto(out, dist, where=lb == i + 1)
     return out
 
 
@@ -275,7 +285,7 @@ def distances(a: Pack, ia: np.ndarray, b: Pack, ib: np.ndarray) -> np.ndarray:
     s = 0
     while s < len(order):
         w = words[order[s]]
-        most = max(1, min(4096, (1 << 22) // (letters * int(w))))
+        most = max(1, min(8192, (1 << 23) // (letters * int(w))))
         e = min(s + most, int(np.searchsorted(words[order], w, side="right")))
         pick = order[s:e]
 
@@ -299,23 +309,34 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"cell": None}
+        pending: list[pa.RecordBatch] = []
 
         def start(cell: int) -> None:
             state.update(cell=cell, kind=None, home=[], pack=None, seg=None, wait=[], letters=0, rows=0)
 
         def emit(a: Pack, ia: np.ndarray, b: Pack, ib: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if align:
-                dist = distances(a, ia, b, ib)
-                near = dist <= np.maximum(a.length[ia], b.length[ib]) * num // den
-                x, y, d = ia[near], ib[near], dist[near].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), state["kind"], dtype=np.int32)), pa.array(a.uid[x]), pa.array(b.uid[y]), pa.array(d)], schema=ALIGNED)
-                return
             for s in range(0, len(ia), 4096):
                 x, y = ia[s : s + 4096], ib[s : s + 4096]
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), state["kind"], dtype=np.int32)), pa.array(a.uid[x]), pa.array(b.uid[y]), a.txt.take(pa.array(x)), b.txt.take(pa.array(y))],
                     schema=OUT,
                 )
+                if not align:
+                    yield made
+                    continue
+                pending.append(made)
+                if sum(p.num_rows for p in pending) >= ALIGN_ROWS or sum(p.nbytes for p in pending) >= ALIGN_BYTES:
+                    yield aligned()
+
+        def aligned() -> pa.RecordBatch:
+            """The waiting pairs of all cells, aligned together."""
+            tab = pa.Table.from_batches(pending, schema=OUT).combine_chunks()
+            pending.clear()
+            a, b = (Pack(tab[f"uid_{s}"].to_numpy(), pa.chunked_array(tab[f"txt_{s}"].chunks, pa.string()).combine_chunks()) for s in "ab")
+            at = np.arange(tab.num_rows)
+            dist = distances(a, at, b, at)
+            near = dist <= np.maximum(a.length, b.length) * num // den
+            return pa.RecordBatch.from_arrays([tab["kind"].combine_chunks().filter(pa.array(near)), pa.array(a.uid[near]), pa.array(b.uid[near]), pa.array(dist[near].astype(np.int32))], schema=ALIGNED)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not state["wait"] or not state["home"]:
@@ -362,6 +383,8 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, c
                         yield from flush()
         if state["cell"] is not None:
             yield from flush()
+        if pending:
+            yield aligned()
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
 import unicodedata
@@ -18,90 +19,117 @@ from . import residue_lexicon as L
 CODE = re.compile(r"`[^`\n]*`|```.*?```", re.S)
 TAG = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|br|hr|div|span|ul|ol|li|b|i|em|strong|a|table|tr|td|th|noscript|script|meta|center|pre|code|sup|sub)\b[^<>\n]*>", re.I)
 ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\[nt\"/]")
-BREAK = re.compile(r"[\n\r\x0b\x0c  ]+|(?<=[.!?…])[\s ]+|(?<=[a-zß-ÿ][.!?])(?=[A-ZÀ-Þ])|[•·|]|\s-\s|\s--\s|\s—\s")
+BREAK = re.compile(r"[\n\r\x0b\x0c  ]+|(?<=[.!?…])[\s ]+|(?<=[a-zß-ÿ][.!?])(?=[A-ZÀ-Þ])|[•·]|\|(?![^{}\n]*\}\})|\s-\s|\s--\s|\s—\s")
 WORD = re.compile(r"[^\W_]+", re.U)
-NUMBER = re.compile(r"\b(?:[0-9][0-9a-f]*|[0-9a-f]*[0-9][0-9a-f]*)\b")
+NUMBER = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*|\d+")
+DIGIT = re.compile(r"\d")
+MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+DELIMITER = re.compile(r"[{\[<%$_«@#]")
 SPAN = re.compile("\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]")
 QUOTED = re.compile("[\"“”„‟»«‘’']")
 
-NAME = r"[A-Za-z][A-Za-z0-9_.]*(?: [A-Za-z0-9_]+){0,3}"
+NAME = r"[^\W\d_][\w.\-]*(?: [\w\-]+){0,3}"
+FILTER = r"(?: ?\| ?\w[\w ,.:'\"()\-]{0,60}?)*"
 #: Delimiters that hardly serve anything but templates.
 STRONG = re.compile(
-    rf"\{{\{{\{{? ?[#/]?{NAME} ?\}}?\}}\}}|\$\{{ ?{NAME} ?\}}|#\{{ ?{NAME} ?\}}|<% ?=? ?{NAME} ?%>|@@{NAME}@@|\{{% ?[^%\n]{{1,80}} ?%\}}|<\?= ?[^?\n]{{1,60}} ?\?>"
+    rf"\{{\{{\{{? ?[#/&>]?{NAME}{FILTER} ?\}}?\}}\}}|\$\{{ ?{NAME} ?\}}|#\{{ ?{NAME} ?\}}|<%[=\-]? ?{NAME} ?-?%>|@@{NAME}@@|\{{% ?[^%\n]{{1,80}} ?%\}}|<\?=? ?[^?\n]{{1,60}} ?\?>"
 )
 #: Delimiters with other uses: only around a known field name or a name in capitals or snake case.
-WEAK = re.compile(rf"\[\[ ?({NAME}) ?\]\]|\[({NAME})\]|<({NAME})>|\{{({NAME})\}}|%({NAME})%|\$({NAME})\$|__([A-Za-z][A-Za-z0-9 ]*(?:_[A-Za-z0-9]+)*)__|«({NAME})»|<<({NAME})>>")
+WEAK = re.compile(rf"\[\[ ?({NAME}) ?\]\]|\[({NAME})\]|<({NAME})>|\{{({NAME})\}}|%({NAME})%|\$({NAME})\$|__([^\W\d_][^\W_ ]*(?:[ _][^\W_]+)*)__|«({NAME})»|<<({NAME})>>")
 TRACE = re.compile(r"^\W*(?:[A-Za-z_.]*(?:Error|Exception|Warning)\s*:\s*\S.{0,200}|Traceback \(most recent call last\).*|File \"[^\"]+\", line \d+.*|Segmentation fault.*|core dumped.*)$")
 EMPTY_VALUE = re.compile(r"^\W*[^\W\d_][\w ]{0,30}\s?:\s*(?:NaN|undefined|null|NULL|\[object Object\]|NoneType|%s|%d)\W*$", re.I)
+OPEN_NOTE = re.compile(r"^\W*(?:todo|fixme|tbd|tba|tbc)\s*[:\-–]\s*\S.{0,80}$", re.I)
+LATIN_END = ("us", "um", "is", "am", "em", "or", "ur", "it", "at", "et", "nt", "ae", "i", "a", "e", "o")
 REPEATED = re.compile(r"^\W*(x{3,}|tbd|todo|fixme|tba|asdf|qwerty|blah?)(?:\W+\1)*\W*$", re.I)
 INSERT = re.compile(r"^\W*(?:insert|enter|add|type|put|einfugen|inserer|inserez|inserte|introduzca|ecrivez|escriba)\b(?: [^\W_]+){1,8} (?:here|hier|ici|aqui)\W*$")
+HERE = {"here", "hier", "ici", "aqui"}
 JSON_ERROR = re.compile(r"^\s*\{\s*\"error\"\s*:\s*(?:\{|\")", re.M)
 PURPOSE = re.compile(r"^(?:to|for|before|in order to|um|fur|bevor|pour|avant|afin|para|antes)\b(?: [^\W_]+){1,9}?(?= (?:please|bitte|veuillez|por favor)\b)")
 
 
 def plain(text: str) -> str:
     """Lower case without accents; words and numbers (as ``#``) with single blanks between."""
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
-    return " ".join("#" if NUMBER.fullmatch(w) and (w.isdigit() or any(c.isdigit() for c in w)) else w for w in WORD.findall(text))
+    if not text.isascii():
+        text = MARK.sub("", unicodedata.normalize("NFKD", text))
+    words = WORD.findall(text.casefold())
+    if DIGIT.search(text):
+        words = [w if w.isalpha() or not NUMBER.fullmatch(w) else "#" for w in words]
+    return " ".join(words)
 
 
 def _phrases(block: str) -> list[str]:
-    return [p for p in (x.strip() for x in block.replace("\n", "|").split("|")) if p]
+    """The phrases of a list, with each ``{a|b}`` in all its alternatives."""
+    out = []
+    for phrase in re.split(r"\n|\|(?![^{}]*\})", block):
+        parts = [x.strip("{}").split("|") if x[:1] == "{" else [x] for x in re.findall(r"\{[^}]*\}|[^{}]+", phrase)]
+        out += [" ".join("".join(x).split()) for x in itertools.product(*parts)] if parts else []
+    return [x for x in dict.fromkeys(out) if x]
 
 
 class Scanner:
     """Multi-pattern automaton over all phrases, and the rules on its coverage of a passage.
 
-    A passage is a line or sentence.  It is residue when phrases cover at least ``coverage`` of
-    it and one of them carries a message, when it is a short note that content is to come, dummy
-    text, an unfilled field, a bare trace line, or a serialised error.  A passage that explains,
-    quotes or reports such text is covered to a small part only.
+    A passage is a line or sentence.  It is residue when a phrase carries a message and phrases,
+    numbers and the usual words around them cover at least ``coverage`` of it, when it is a short
+    note that content is to come, dummy text, an unfilled field, a bare trace line, or a serialised
+    error.  A passage that explains, quotes or reports such text is covered to a small part only.
     """
 
     def __init__(self, coverage: float = 0.7):
         self.coverage = coverage
         self.words = ahocorasick.Automaton()
-        core = {p for block in L.CORE.values() for p in _phrases(block)}
-        frame = {p for block in L.FRAME.values() for p in _phrases(block)}
-        for p in core | frame:
-            self.words.add_word(f" {p} ", (len(p) + 2, p in core))
+        for p in {p for block in L.CORE.values() for p in _phrases(block)}:
+            self.words.add_word(f" {p} ", len(p) + 2)
         self.words.make_automaton()
-        self.ends = tuple(sorted(_phrases(L.FILLER_END), key=len, reverse=True))
+        self.usual = {w for block in L.WORDS.values() for w in block.split()} | {"#"}
+        self.ends: dict[str, list[str]] = {}  # by last word, the longest first
+        for end in sorted(_phrases(L.FILLER_END), key=len, reverse=True):
+            self.ends.setdefault(end.split()[-1], []).append(end)
         self.latin = set(L.LATIN.split())
+        self.stems = {w[:3] for w in self.latin if len(w) > 2}
         self.fields = set(_phrases(L.FIELDS))
         self.about = re.compile(r"\b(?:" + "|".join(map(re.escape, _phrases(L.ABOUT))) + r")\b")
 
     def covered(self, text: str) -> tuple[float, bool]:
-        """Share of ``text`` (plain form) under phrases and numbers, and whether one is a core."""
+        """Share of ``text`` (plain form) under phrases, numbers and usual words, and whether a
+        phrase is in it."""
         padded = f" {text} "
         mask = bytearray(len(padded))
-        core = False
-        for end, (n, is_core) in self.words.iter(padded):
+        for end, n in self.words.iter(padded):
             mask[end - n + 2 : end] = b"\x01" * (n - 2)
-            core |= is_core
-        if not core:
+        if not any(mask):
             return 0.0, False
-        hit = total = 0
-        for m in re.finditer(r"\S+", padded):
-            size = m.end() - m.start()
-            total += size
-            if padded[m.start() : m.end()] == "#" or mask[m.start()]:
-                hit += size
+        hit = total = at = 0
+        for word in text.split(" "):
+            total += len(word)
+            if mask[at + 1] or word in self.usual:
+                hit += len(word)
+            at += len(word) + 1
         return hit / max(1, total), True
 
-    def known(self, name: str) -> bool:
-        flat = re.sub(r"[_\s.]+", " ", name).strip().casefold()
-        return flat in self.fields or (("_" in name or (name.isupper() and len(name) > 3)) and len(flat) > 3)
+    def dummy(self, word: str) -> bool:
+        """A word of dummy Latin, also in another inflection."""
+        return word in self.latin or (len(word) > 3 and word[:3] in self.stems and word.endswith(LATIN_END))
+
+    def known(self, name: str, bracket: str) -> bool:
+        """A usual field name, one in snake case or capitals, or (but for square brackets, which
+        also hold remarks) one in title case that ends in a usual field name."""
+        flat = re.sub(r"[_\s.\-]+", " ", name).strip().casefold()
+        if flat in self.fields or (("_" in name or (name.isupper() and len(name) > 3)) and len(flat) > 3):
+            return True
+        words = name.split()
+        return len(words) > 1 and bracket != "[" and all(w[0].isupper() for w in words) and bool({flat.split()[-1], flat.split()[-1].removesuffix("s")} & self.fields)
 
     def field(self, passage: str, text: str, whole: str) -> bool:
         """An unfilled template field that the passage does not itself explain."""
+        if not DELIMITER.search(passage):
+            return False
         if len(text.split()) > 6:  # a string quoted in a sentence is spoken about
             passage = SPAN.sub(" ", passage)
         hit = bool(STRONG.search(passage))
         for m in WEAK.finditer(passage) if not hit else ():
             name = next(g for g in m.groups() if g is not None)
-            if not self.known(name):
+            if not self.known(name, m.group()[: m.group().index(name)].strip()):
                 continue
             if m.group().startswith("<") and not m.group().startswith("<<") and f"</{name}" in whole:
                 continue
@@ -110,11 +138,11 @@ class Scanner:
         return hit and not self.about.search(plain(STRONG.sub(" ", passage)))
 
     def kinds(self, passage: str, whole: str) -> str | None:
-        if REPEATED.match(passage):
+        if REPEATED.match(passage) or OPEN_NOTE.match(passage):
             return "filler"
         if TRACE.match(passage):
             return "error"
-        if EMPTY_VALUE.match(passage):
+        if ":" in passage and EMPTY_VALUE.match(passage):
             return "template"
         text = plain(passage)
         if not text:
@@ -122,20 +150,24 @@ class Scanner:
         words = text.split()
         if self.field(passage, text, whole):
             return "template"
-        latin = sum(w in self.latin for w in words)
-        if len(words) >= 3 and latin >= 0.6 * len(words) and len({w for w in words if w in self.latin}) >= 3:
+        latin = [w for w in words if w in self.latin or (w[:3] in self.stems and self.dummy(w))]
+        if len(latin) >= 0.6 * len(words) and len({w for w in latin if len(w) > 3}) >= 3 and any(w in self.latin for w in latin if len(w) > 3):
             return "filler"
         quoted = len(QUOTED.findall(passage)) >= 2 and len(words) > 8
         first = next((c for c in passage if c.isalnum()), "")
         noted = passage.lstrip()[:1] in "[<({*" or first.isupper() or first.isdigit()
         if len(words) <= 12 and noted and not quoted:
-            if INSERT.match(text):
+            if words[-1] in HERE and INSERT.match(text):
                 return "filler"
-            for end in self.ends:
+            for end in self.ends.get(words[-1], ()):
                 if text == end or text.endswith(" " + end):
                     if len(words) - len(end.split()) <= (2 if " " not in end and passage.lstrip()[:1] not in "[<({*" else 6):
                         return "filler"
+        if len(words) > 8 and SPAN.search(passage):  # a message in quotes is spoken about
+            text = plain(SPAN.sub(" ... ", passage))
         share, core = self.covered(text)
+        if quoted and text != " ".join(words):
+            share *= len(text) / max(1, len(" ".join(words)))
         if core and share < self.coverage:
             rest = PURPOSE.sub("", text)
             head, comma, tail = passage.partition(",")

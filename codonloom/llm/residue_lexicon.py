@@ -1,91 +1,109 @@
-"""Phrases of error pages, script notices, fillers and template fields in en, de, fr, es.
+"""What error pages, script notices, fillers and template fields say, in en, de, fr, es.
 
-Written without case, accents and punctuation (the form texts are matched in); ``#`` stands for
-a number.  ``CORE`` phrases carry the message; ``FRAME`` phrases only surround it.
+Written from the wording of web servers, browsers, content systems and frameworks, without case,
+accents and punctuation (the form texts are matched in); ``#`` stands for a number and braces for
+alternatives.  ``CORE`` phrases carry a message; ``WORDS`` are the words such messages are made of
+besides; they count as covered but carry nothing.
 """
 
 # What error pages and script notices say.
 CORE = {
     "en": """
-could not be found|cannot be found|can not be found|not found|no such page|page not available|has been removed|was removed|has been deleted|has been moved
-failed to load|could not be loaded|cannot be loaded|could not load|cannot load|does not exist|no longer exists|no longer available|is no longer available
-refused the connection|refused to connect|connection refused|connection reset|is offline|is offline until further notice|cannot be reached|can not be reached|could not be reached
-did not answer|did not answer in time|did not respond|does not respond|is not responding|timed out|has timed out|is overloaded|is down|is down for maintenance|is under maintenance|under maintenance
-returned an unexpected response|returned an error|is not open to your account|is not available|is not available right now|is unavailable|is temporarily unavailable|temporarily unavailable|currently unavailable|service unavailable
-is locked|has been locked|has been blocked|internal error|server error|bad gateway|gateway timeout|gateway time out|internal server error|something went wrong|an error occurred|an error has occurred|an unexpected error occurred|unexpected error|access denied|access is denied|access to this page is denied
-permission denied|you do not have permission|forbidden|unauthorized|too many requests|bad request|request failed|request failed with status code #|error code #
-your client has been blocked|you have been blocked|your request has been blocked|your session has expired|session expired|session has expired|you need to sign in|you must sign in|you must be logged in|please log in|please sign in
-checking your browser|verify you are human|verify that you are human|enable javascript|enable java script|enable js|allow javascript|activate javascript|turn javascript on|turn on javascript|switch on javascript|javascript is disabled|javascript is turned off|javascript is required
-javascript must be enabled|requires javascript|needs javascript|needs scripts to run|needs scripts|requires scripts|requires scripting|does not support javascript|does not support scripting|switch on scripts|turn on scripts|turn scripts on|switch scripts on|enable scripts|enable scripting|allow scripts|allow scripting|permit scripts|permit scripting|permit active content|allow active content|enable active content
-active scripting is switched off|scripting is switched off|scripts are disabled|scripts are switched off|scripting is disabled|use a browser that runs js|use a browser that runs javascript|use a browser that supports javascript|use a browser with javascript
-disable the script blocker|disable your script blocker|turn off your script blocker|switch off your script blocker|turn off the script blocker|switch off the script blocker|turn off your ad blocker|disable your ad blocker|enable cookies|this is a dummy entry|dummy text|sample text|example text|test text|placeholder text|placeholder copy|turn them on in your browser settings
+{could not|couldn t|cannot|can not|can t} {be found|be loaded|be displayed|be shown|be opened|be reached|be accessed|be processed|be completed|be retrieved|be rendered|be established|be verified|find|load|display|reach|open|connect|process}
+{was|were|is|are} not found|not found|no such {page|file|directory|file or directory|entry|record}|{unable to|failed to} {load|connect|find|open|display|process|complete|access|reach|retrieve|fetch|render|resolve|open stream}
+{does not|doesn t|do not|no longer} {exist|exists|respond|answer|load}|{did not|didn t} {respond|answer|load|respond in time|answer in time}|{is not|isn t|not} {responding|working|available|reachable|accessible|open to your account|working right now|available right now}|no longer {available|exists|accessible}
+{has been|was|have been} {removed|deleted|moved|blocked|locked|disabled|suspended|logged out|signed out}|{is|has} moved {permanently|temporarily}|moved permanently|{is|are|temporarily|currently|service|page|site} {unavailable|overloaded|offline|locked|temporarily unavailable|currently unavailable|down|down for maintenance|under maintenance|inaccessible}
+{temporarily|currently|service} unavailable|under maintenance|scheduled maintenance|{refused|rejected|reset|closed} the connection|connection {refused|reset|closed|timed out|failed|error|lost|was reset}|refused to connect|{has|have|request|connection|operation|it} timed out|timed out|gateway {timeout|time out}
+internal {server error|error}|server error|bad {gateway|request}|something went wrong|{an|an unexpected|an internal|an unknown} error {occurred|has occurred|was encountered}|unexpected error|unknown error|error establishing|encountered {an error|an internal error|a problem}|returned {an error|an unexpected response|an invalid response}
+access {denied|forbidden|is denied|to this page is denied|to this page has been denied}|permission denied|{you do not|you don t} have {permission|access|the permission|the right}|forbidden|unauthorized|not authorized|too many requests|rate limit exceeded|request {failed|failed with status code #|blocked|denied|could not be completed}|error code #
+you have been {blocked|logged out|signed out}|your {request|client|access|address} has been {blocked|denied}|session {expired|has expired|timed out|has timed out|is invalid}|{you must|you need to|please|you have to} {log in|sign in|be logged in|login}
+checking your browser|verify {you are human|that you are human|you are not a robot|you re not a robot}|{complete|solve} the {captcha|security check|challenge}|{page|website|site|content|document|video|file} {expired|has expired}
+{enable|allow|activate|turn on|switch on|permit|unblock} {javascript|java script|js|scripts|scripting|cookies|active content|active scripting}|{turn|switch} {javascript|java script|js|scripts|scripting|cookies|them} {on|back on}
+{javascript|java script|js|scripts|scripting|active scripting|cookies} {is|are|appears to be|seems to be|has been} {disabled|turned off|switched off|deactivated|blocked|not enabled|not supported|required|needed|necessary}|{javascript|java script|js|scripts|scripting|cookies} {must|should|needs to|need to|has to|have to} be {enabled|turned on|switched on|activated|allowed}
+{requires|needs|need|require|relies on|depends on|does not work without|doesn t work without|works only with} {javascript|java script|js|scripts|scripting|scripts to run|cookies}|{does not|doesn t} support {javascript|java script|js|scripts|scripting|cookies}|{not|isn t} supported by your browser|{use|try} a browser {with javascript|that supports javascript|that runs javascript|that runs js|that runs scripts}|{unsupported|outdated} browser
+{disable|turn off|switch off} {the|your} {script blocker|ad blocker|adblocker|blocker}
+{this is a|this is} {dummy|placeholder|sample} {text|entry|page|content}|{dummy|placeholder|sample|filler} {text|copy|content}
 """,
     "de": """
-nicht gefunden|wurde nicht gefunden|konnte nicht gefunden werden|nicht vorhanden|existiert nicht|existiert nicht mehr|nicht mehr verfugbar|nicht verfugbar|zurzeit nicht verfugbar|derzeit nicht verfugbar|vorubergehend nicht verfugbar
-nicht erreichbar|zurzeit nicht erreichbar|derzeit nicht erreichbar|vorubergehend nicht erreichbar|wurde entfernt|wurde geloscht|wurde verschoben|entfernt|geloscht|uberlastet|ist uberlastet|in wartung|wird gewartet|ist in wartung|wegen wartung|offline
-ohne antwort|antwortet nicht|hat nicht geantwortet|keine antwort|keine antwort vom server|zeituberschreitung|verbindung abgelehnt|hat die verbindung abgelehnt|verweigert die verbindung|verbindung verweigert|konnte nicht geladen werden|kann nicht geladen werden|nicht geladen|lasst sich nicht laden|ladt nicht
-interner serverfehler|interner fehler|ein fehler ist aufgetreten|es ist ein fehler aufgetreten|unerwarteter fehler|unerwartete antwort|zugriff verweigert|zugriff nicht erlaubt|kein zugriff|keine berechtigung|nicht freigegeben|fur ihr konto nicht freigegeben
-ihre sitzung ist abgelaufen|sitzung abgelaufen|sitzung ist abgelaufen|bitte melden sie sich an|melden sie sich an|sie mussen sich anmelden|zu viele anfragen|wurde gesperrt|ist gesperrt|gesperrt|wurde blockiert|blockiert
-aktivieren sie javascript|bitte javascript aktivieren|javascript aktivieren|erlauben sie javascript|schalten sie javascript ein|schalten sie skripte ein|aktivieren sie skripte|erlauben sie skripte|deaktivieren sie den skriptblocker|schalten sie den skriptblocker aus|erlauben sie aktive inhalte|javascript ist deaktiviert|javascript ist ausgeschaltet|skripte sind deaktiviert
-benotigt javascript|braucht javascript|erfordert javascript|benotigt skripte|braucht skripte|erfordert skripte|unterstutzt kein javascript|unterstutzt keine skripte|nutzen sie einen browser mit javascript|verwenden sie einen browser mit javascript|cookies aktivieren|schalten sie sie im browser ein|platzhaltertext|blindtext|beispieltext|mustertext|fulltext|probetext|dies ist ein platzhalter
+{nicht|wurde nicht|wurden nicht|konnte nicht|konnten nicht} {gefunden|gefunden werden|geladen|geladen werden|angezeigt werden|geoffnet werden|verarbeitet werden|abgeschlossen werden|hergestellt werden}|{nicht|derzeit nicht|zurzeit nicht|momentan nicht|vorubergehend nicht|leider nicht|nicht mehr} {verfugbar|erreichbar|vorhanden|verfugbar ist|aufrufbar|moglich|freigegeben}
+{existiert|existieren} {nicht|leider nicht|nicht mehr}|{gibt es|es gibt diese seite} {nicht|leider nicht|nicht mehr}|{antwortet|reagiert|ladt|funktioniert} {nicht|nicht mehr|derzeit nicht}|{hat nicht|nicht} {geantwortet|reagiert}|ohne antwort|keine antwort|{lasst|lassen} sich nicht {laden|offnen|anzeigen}|kann nicht {geladen|angezeigt|geoffnet|gefunden|erreicht} werden
+{wurde|wurden|ist|ist wegen wartung} {entfernt|geloscht|verschoben|verschoben oder geloscht|gesperrt|blockiert|uberlastet|offline|nicht erreichbar|abgelaufen|unterbrochen}|{entfernt|geloscht|gesperrt|blockiert|uberlastet|offline}|{wegen|aufgrund von} {wartung|wartungsarbeiten}|{in|wird} {wartung|gewartet}|wartungsarbeiten
+{interner|unerwarteter|unbekannter} {fehler|serverfehler|server fehler}|serverfehler|{ein|ein unerwarteter|es ist ein|es ist ein unerwarteter} fehler ist aufgetreten|{fehler ist|ist ein fehler|ist ein unerwarteter fehler} aufgetreten|etwas {schiefgelaufen|ist schiefgelaufen|schief gelaufen|ist schief gelaufen}|unerwartete antwort|ungultige {anfrage|antwort}
+{zugriff|zugang} {verweigert|verboten|nicht erlaubt|gesperrt}|kein {zugriff|zugang}|keine {berechtigung|zugriffsrechte|erlaubnis}|{zeituberschreitung|zeitlimit uberschritten}|verbindung {verweigert|fehlgeschlagen|abgelehnt|unterbrochen|abgebrochen}|{hat die|verweigert die|lehnt die} verbindung {abgelehnt|verweigert|ab}|verweigert die verbindung|zu viele anfragen|fehlgeschlagen
+{sitzung|session} {ist abgelaufen|abgelaufen|wurde beendet}|{melden sie sich|bitte melden sie sich|sie mussen sich} {an|erneut an|anmelden}
+{aktivieren|erlauben|schalten|aktiviere} {sie|} {javascript|skripte|cookies|aktive inhalte} {ein|}|{javascript|skripte|cookies} {aktivieren|einschalten|erlauben|zulassen}|{javascript|skripte|cookies} {ist|sind} {deaktiviert|ausgeschaltet|abgeschaltet|blockiert|erforderlich|nicht aktiviert}
+{ist|sind} {in ihrem browser|im browser} {deaktiviert|ausgeschaltet|nicht aktiviert}|{muss|mussen} {javascript|cookies} {aktiviert|eingeschaltet} sein|{javascript|skripte|cookies} {muss|mussen} {aktiviert|eingeschaltet} {sein|werden}
+{benotigt|braucht|erfordert|setzt} {javascript|skripte|cookies}|{unterstutzt|unterstutzen} {kein javascript|keine skripte|javascript nicht|keine cookies}|{nutzen|verwenden} sie einen browser {mit|der} javascript|{deaktivieren|schalten} sie {den|ihren} {skriptblocker|werbeblocker} {aus|}|schalten sie sie {ein|im browser ein}
+{platzhaltertext|blindtext|beispieltext|mustertext|fulltext|probetext}|dies ist ein platzhalter
 """,
     "fr": """
-est introuvable|introuvable|n existe pas|n existe plus|n est plus disponible|n est pas disponible|indisponible|est indisponible|est temporairement indisponible|temporairement indisponible|a ete supprimee|a ete supprime|a ete retiree|a ete retire|a ete deplacee|a ete deplace
-a refuse la connexion|connexion refusee|ne repond pas|ne repond plus|n a pas repondu|n a pas repondu a temps|delai depasse|est en maintenance|en maintenance|est hors ligne|hors ligne|est surchargee|est surcharge|surcharge|surchargee|n a pas pu etre chargee|n a pas pu etre charge|ne peut pas etre chargee|ne peut etre chargee|impossible de charger|impossible d afficher|impossible de joindre
-erreur interne du serveur|erreur interne|une erreur est survenue|une erreur s est produite|erreur inattendue|reponse inattendue|a renvoye une reponse inattendue|acces refuse|acces interdit|l acces est refuse|vous n avez pas acces|n est pas ouverte a votre compte|n est pas ouvert a votre compte|requete invalide|trop de requetes|a ete bloque|a ete bloquee|est bloque|est bloquee|est verrouillee|est verrouille|verrouillee|verrouille|page non trouvee|est momentanement indisponible|momentanement indisponible
-votre session a expire|session expiree|la session a expire|connectez vous|vous devez vous connecter|veuillez vous connecter|verification de votre navigateur
-activez javascript|activer javascript|autorisez javascript|autoriser javascript|activez les scripts|activer les scripts|autorisez les scripts|autoriser les scripts|desactivez le bloqueur de scripts|desactiver le bloqueur de scripts|autorisez le contenu actif|javascript est desactive|les scripts sont desactives|necessite javascript|requiert javascript|exige javascript|a besoin de javascript|a besoin de scripts|necessite des scripts
-ne prend pas en charge javascript|ne prend pas en charge les scripts|utilisez un navigateur avec javascript|utilisez un navigateur qui execute javascript|activez les cookies|texte de remplissage|texte factice|texte d exemple|texte de test|faux texte
+{est|sont|page|fiche|reste} {introuvable|introuvables|inaccessible|indisponible|indisponibles|bloque|bloquee|verrouille|verrouillee|surcharge|surchargee}|introuvable|indisponible|inaccessible|non {trouvee|trouve|disponible}|n existe {pas|plus}|n est {pas|plus} {disponible|accessible|joignable|ouverte a votre compte|ouvert a votre compte}
+{temporairement|momentanement|actuellement} {indisponible|inaccessible}|n a pas {pu etre chargee|pu etre charge|pu etre affichee|pu etre trouvee|repondu|repondu a temps|ete trouvee|ete trouve}|{ne peut pas|ne peut|ne peuvent pas} etre {chargee|charge|affichee|affiche|trouvee|trouve|ouverte|ouvert}|impossible {de charger|d afficher|de joindre|de trouver|d ouvrir|de se connecter|d acceder|d etablir|de contacter}
+a ete {supprimee|supprime|retiree|retire|deplacee|deplace|bloquee|bloque|deplacee ou supprimee|deplace ou supprime|interrompue}|ne {repond|fonctionne|charge} {pas|plus}|{en|en cours de} maintenance|hors ligne|{a refuse la connexion|connexion refusee|connexion interrompue|echec de la connexion|connexion impossible}
+{delai|delai d attente} {depasse|expire|de connexion a expire|de connexion depasse}|temps d attente depasse|erreur {interne|interne du serveur|inattendue|inconnue|serveur|du serveur}|{une erreur|une erreur inattendue|une erreur interne} {est survenue|s est produite}|quelque chose {s est mal passe|a mal tourne}|{a renvoye une|} reponse inattendue|requete {invalide|incorrecte|refusee}|trop de requetes
+acces {refuse|interdit|non autorise}|l acces est {refuse|interdit}|vous n avez pas {acces|l autorisation|la permission|les droits|le droit}|{votre|la} session a expire|session {expiree|a expire}|{vous devez|veuillez} vous {connecter|reconnecter|identifier}|connectez vous|verification de votre navigateur
+{activez|activer|autorisez|autoriser|reactivez} {javascript|les scripts|l execution des scripts|le contenu actif|les cookies}|{javascript|les scripts|les cookies} {est|sont|semble|semblent} {desactive|desactives|bloque|bloques|requis|necessaire|necessaires|etre desactive|etre desactives}|{javascript|les cookies} {doit|doivent} etre {active|actives}
+{necessite|requiert|exige|a besoin de|a besoin d|fonctionne avec} {javascript|des scripts|scripts|les cookies}|ne {prend|prennent} pas en charge {javascript|les scripts|les cookies}|ne supporte pas {javascript|les scripts}|{utilisez|utiliser} un navigateur {avec javascript|qui execute javascript|qui prend en charge javascript}|{desactivez|desactiver} {le|votre} {bloqueur de scripts|bloqueur de publicites|bloqueur}
+{texte de remplissage|texte factice|faux texte|texte d exemple|texte provisoire}
 """,
     "es": """
-no se encontro|no se encuentra|no encontrada|no encontrado|pagina no encontrada|no existe|ya no existe|ya no esta disponible|no esta disponible|no disponible|temporalmente no disponible|fue retirada|fue retirado|ha sido retirada|ha sido eliminada|fue eliminada|fue eliminado|ha sido eliminado|se ha eliminado|fue movida
-rechazo la conexion|conexion rechazada|no responde|no respondio|no respondio a tiempo|no contesta|tiempo de espera agotado|esta en mantenimiento|en mantenimiento|esta fuera de linea|fuera de linea|fuera de servicio|esta sobrecargada|esta sobrecargado|sobrecargado|sobrecargada|no se pudo cargar|no se puede cargar|no pudo cargarse|no cargo|no se pudo mostrar|no se pudo conectar
-error interno del servidor|error interno|ha ocurrido un error|se produjo un error|se ha producido un error|error inesperado|respuesta inesperada|devolvio una respuesta inesperada|acceso denegado|acceso prohibido|no tiene permiso|no tiene acceso|no esta abierta a su cuenta|no esta abierto a su cuenta|solicitud incorrecta|demasiadas solicitudes|ha sido bloqueado|ha sido bloqueada|esta bloqueada|esta bloqueado|bloqueada|bloqueado|no esta disponible por el momento
-su sesion ha caducado|la sesion ha caducado|sesion caducada|su sesion ha expirado|la sesion ha expirado|su sesion expiro|inicie sesion|debe iniciar sesion|comprobando su navegador
-active javascript|activar javascript|permita javascript|habilite javascript|active los scripts|permita los scripts|habilite los scripts|activar los scripts|desactive el bloqueador de scripts|permita el contenido activo|javascript esta desactivado|los scripts estan desactivados|necesita javascript|requiere javascript|necesita scripts|requiere scripts|no admite javascript|no admite scripts|no es compatible con javascript|use un navegador con javascript|use un navegador que ejecute javascript|habilite las cookies|texto de relleno|texto de prueba|texto de ejemplo|texto simulado
+no se {encontro|encuentra|ha encontrado|pudo encontrar|pudo cargar|puede cargar|puede mostrar|pudo mostrar|pudo conectar|puede conectar|puede acceder|puede abrir|pudo completar|pudo procesar|ha podido cargar|ha podido establecer}|no {encontrada|encontrado|disponible|existe|responde|respondio|respondio a tiempo|contesta|funciona|carga|cargo|autorizado}|ya no {existe|esta disponible}|no esta {disponible|accesible|autorizado|abierta a su cuenta|abierto a su cuenta}
+no pudo {cargarse|mostrarse|abrirse}|{fue|ha sido|se ha} {retirada|retirado|eliminada|eliminado|movida|movido|bloqueada|bloqueado|movida o eliminada|movido o eliminado|interrumpida}|{esta|temporalmente|actualmente} {bloqueada|bloqueado|sobrecargada|sobrecargado|fuera de linea|fuera de servicio|en mantenimiento|inactivo|caido}|temporalmente {no disponible|fuera de servicio}|en mantenimiento|fuera de {servicio|linea}
+{rechazo la conexion|conexion rechazada|conexion interrumpida|error de conexion|fallo la conexion}|{tiempo de espera|el tiempo de espera} {agotado|de la conexion}|se agoto el tiempo de espera|{ha ocurrido|se produjo|se ha producido|ocurrio} un error|error {interno|interno del servidor|inesperado|desconocido|del servidor}|algo {salio mal|ha salido mal|fue mal|fallo}|{devolvio una|} respuesta inesperada|solicitud {incorrecta|invalida|rechazada}|demasiadas {solicitudes|peticiones}
+acceso {denegado|prohibido|restringido|no autorizado}|{no tiene|usted no tiene} {permiso|permisos|acceso|autorizacion}|{su|la} sesion {ha caducado|ha expirado|caduco|expiro}|sesion {caducada|expirada}|{inicie|debe iniciar|vuelva a iniciar} sesion|comprobando su navegador
+{active|activar|permita|permitir|habilite|habilitar} {javascript|los scripts|las cookies|el contenido activo|la ejecucion de scripts}|{javascript|los scripts|las cookies} {esta|estan|parece estar} {desactivado|desactivados|deshabilitado|deshabilitados|deshabilitadas|bloqueado|bloqueados}|{javascript|las cookies} {debe|deben} estar {activado|activadas|habilitado|habilitadas}
+{necesita|requiere|precisa|exige} {javascript|scripts|cookies|de javascript}|no {admite|soporta|es compatible con} {javascript|scripts|cookies}|{use|utilice} un navegador {con javascript|que ejecute javascript|que admita javascript}|{desactive|desactivar} {el|su} {bloqueador de scripts|bloqueador de anuncios|bloqueador}
+{texto de relleno|texto de prueba|texto de ejemplo|texto simulado|texto provisional}
 """,
 }
 
-# What stands around such a message.
-FRAME = {
+# Words that such messages are made of.
+WORDS = {
     "en": """
-we are sorry|we re sorry|sorry|unfortunately|notice|warning|system message|hmm|oops|ooops|attention|error|error #|status|status code #|http|code #|code|message|noscript|please|note
-the page|this page|a page|page|the page you asked for|the page you requested|the page you are looking for|the requested page|the requested entry|requested entry|the requested resource|this resource|the resource|this entry|the entry|this record|the record|the export|this export|the record viewer|the viewer|this viewer|viewer|the search backend|the search|the backend|our server|the server|this server|server|the upstream host|the host|the site|this site|website|this website|the service|this service|service|the view|this view|this app|the app|this application|the application|the database|the connection|the connection to the database|connection|the file|the document|this document|this content|interactive content|your browser|the link|we|you|and
-after # seconds|try again|try again later|please try again|please try again later|and try again|and retry|sign in and retry|retry|sign in|log in|reload|reload the page|refresh|refresh the page|and reload|and refresh|then reload|check the address|contact support|contact support and quote #|quote #|contact the administrator|or contact the administrator|go back to the start page|back to the start page|return to the start page|return to the home page|go to the home page|and will be back shortly|will be back shortly|we will be back shortly|right now|until further notice|in # minutes|for # minutes|in # seconds|for # seconds|come back in # minutes|before continuing|before you continue|to continue|to view this entry|to see this entry|to see this structure|to view this page|to see this page|to show this chart|to use the browser for alignments|for the full record|to run this app|in the settings|in your settings|in your browser settings|in your browser|for this site|on this site|and cookies|javascript and cookies|cookies|because|so the alignment cannot be displayed|the alignment cannot be displayed|cannot be displayed|used for layout only|not|in time|portal example|portal|example|while rendering this record|while rendering this page|while loading this record|while loading the page|while loading|rendering|this record|at|to|on|then|with|and quote|to view|to see|to show
+the a an this that these those it its you your our we us i is are was were be been being has have had do does did not no to of in on at for from with without by or and but if so as please sorry while then because due right now before after until may might can cannot could should must will would need needs here there again later soon back shortly once
+page pages site website web server servers service services resource url uri address link file files document entry record item content request requested requests response browser browsers application app connection network host gateway upstream database backend system client account session user login password support administrator webmaster admin team contact help viewer view search export home homepage start menu
+try retry reload refresh return go check checking click press continue continuing using use view access accessing see display show load loading rendering run running work working function functions properly correctly complete verify wait slow down quote ask visit find looking found typed moved make sure minutes minute seconds hours moment message code status error errors warning notice attention oops ooops whoops hmm unfortunately apologies inconvenience temporarily currently available unavailable time further
+interactive full latest settings setting options portal region country device version id reference number ray javascript js java script scripts scripting cookies noscript html http https sign log in out off
+don t doesn isn aren re ve ll m s couldn can wasn didn
 """,
     "de": """
-leider|achtung|hinweis|warnung|fehler|fehler #|systemmeldung|es tut uns leid|entschuldigung|tut uns leid|hoppla|bitte|die seite|diese seite|seite|die angeforderte seite|angeforderte seite|der eintrag|dieser eintrag|eintrag|der angeforderte eintrag|die ansicht|diese ansicht|ansicht|die anzeige|der server|unser server|server|der dienst|dieser dienst|dienst|die suche|suche|der export|export|die ressource|ressource|die datenbank|verbindung|die verbindung|ihr browser|dieser browser|diese anwendung
-bitte neu laden|neu laden|laden sie die seite neu|laden sie neu|und laden neu|und laden sie neu|und laden sie sie neu|und neu laden|bitte versuchen sie es spater erneut|versuchen sie es spater erneut|bitte spater erneut versuchen|spater erneut versuchen|bitte in # minuten wiederkommen|in # minuten wiederkommen|in # minuten|adresse prufen|bitte adresse prufen|prufen sie die adresse|wenden sie sich an den support|support|zuruck zur startseite|zur startseite|beim laden des eintrags|beim laden der seite|um diesen eintrag zu sehen|um diese seite zu sehen|um fortzufahren|fur den vollen eintrag|fur die anzeige|in den einstellungen|im browser|und cookies|bevor sie fortfahren|zuerst|und|anmelden|code #|fehlercode #|wurde|ist|zurzeit|derzeit|die|der|den|das
+der die das den dem des ein eine einen einem einer diese dieser dieses diesen diesem sie ihr ihre ihren ihrem ihrer wir uns unser unsere es ist sind war wird werden wurde kann konnen muss mussen soll sein hat haben nicht kein keine keinen und oder aber wenn um zu zum zur auf in im an am bei beim vom von fur mit ohne durch wegen bis nach vor aus leider bitte da etwas hier noch wieder erneut einmal spater bald gleich zurzeit derzeit momentan vorubergehend zuerst
+seite seiten website webseite internetseite server dienst adresse link datei dokument eintrag datensatz inhalt anfrage antwort browser anwendung app verbindung netzwerk datenbank system konto sitzung benutzer anmeldung passwort support administrator hilfe ansicht anzeige suche export ressource startseite
+angeforderte angeforderten angeforderter gesuchte gesuchten gewunschte vollen volle versuchen laden neu aktualisieren prufen wenden klicken nutzen verwenden sehen anzeigen fortfahren fortzufahren zuruck zuzugreifen anmelden wiederkommen warten melden minuten minute sekunden fehler fehlercode code status hinweis warnung achtung meldung systemmeldung hoppla entschuldigung tut leid einstellungen javascript skripte cookies kurze
 """,
     "fr": """
-desole|desolee|nous sommes desoles|attention|avis|erreur|erreur #|avertissement|message du systeme|malheureusement|oups|veuillez|la page|cette page|la page demandee|page demandee|page|la fiche|cette fiche|la fiche demandee|fiche|la vue|cette vue|la ressource|cette ressource|le serveur|notre serveur|serveur|le service|ce service|service|la recherche|l export|l exportation|le site|ce site|le visualiseur|la base de donnees|la connexion|votre navigateur|cette application
-rechargez|rechargez la page|puis rechargez|et rechargez|veuillez recharger|reessayez|reessayez plus tard|veuillez reessayer plus tard|veuillez reessayer|revenez dans # minutes|dans # minutes|verifiez l adresse|contactez le support|contactez l assistance|retour a l accueil|retournez a l accueil|pour afficher cette fiche|pour afficher cette page|pour voir cette fiche|pour la fiche complete|pour continuer|avant de continuer|dans les reglages|dans les parametres|dans le navigateur|pendant le chargement|lors du chargement|pendant le chargement de la fiche|et les cookies|code #|code|et|puis|pour
+le la les l un une des du de d ce cette ces cet il elle vous votre vos nous notre nos que qui est sont etait sera a ont ete etre pas plus ne n et ou mais si pour afin avant apres pendant lors dans en sur sous avec sans par au aux y s se ici puis car encore tard bientot actuellement temporairement momentanement malheureusement desole desolee desoles veuillez merci
+page pages site web serveur service adresse lien fichier document fiche contenu demande requete reponse navigateur application connexion reseau base donnees systeme compte session utilisateur assistance support administrateur aide vue visualiseur recherche export exportation ressource accueil
+demandee demande recherchez recherchee cherchez reessayez reessayer rechargez recharger chargement actualisez verifiez contactez cliquez revenez retournez retour utiliser afficher voir continuer acceder fonctionner connecter complete minutes minute secondes erreur erreurs code statut avis avertissement attention message oups reglages parametres javascript scripts cookies correctement
 """,
     "es": """
-lo sentimos|atencion|aviso|error|error #|advertencia|mensaje del sistema|por desgracia|lamentablemente|vaya|por favor|la pagina|esta pagina|la pagina solicitada|pagina|la ficha|esta ficha|la ficha solicitada|ficha|la vista|esta vista|el recurso|este recurso|el servidor|nuestro servidor|servidor|el servicio|este servicio|servicio|la busqueda|la exportacion|el sitio|este sitio|el visor|la base de datos|la conexion|su navegador|esta aplicacion
-recargue|recargue la pagina|y recargue|vuelva a cargar|vuelva a cargar la pagina|intentelo de nuevo|intentelo mas tarde|vuelva a intentarlo|vuelva a intentarlo mas tarde|intente mas tarde|vuelva en # minutos|en # minutos|compruebe la direccion|revise la direccion|contacte con soporte|volver al inicio|vuelva al inicio|para ver esta ficha|para ver esta pagina|para ver la estructura|para la ficha completa|para continuar|antes de seguir|antes de continuar|en los ajustes|en el navegador|y las cookies|al cargar la ficha|al cargar la pagina|codigo #|codigo|y|para
+el la los las lo un una unos unas de del al este esta estos estas ese esa su sus usted nosotros nuestro nuestra que es son esta estan fue sera ha han sido ser estar no ya y e o u pero si para antes despues durante en con sin por a se me le aqui luego mas tarde pronto actualmente temporalmente momento lamentablemente desgracia sentimos favor gracias
+pagina paginas sitio web servidor servicio direccion enlace archivo documento ficha contenido solicitud respuesta navegador aplicacion conexion red base datos sistema cuenta sesion usuario soporte asistencia administrador ayuda vista visor busqueda exportacion recurso inicio
+solicitada solicitado busca buscada intentelo intente intentarlo nuevo vuelva volver recargue recargar cargar compruebe revise contacte pulse regrese usar ver mostrar continuar seguir acceder ejecutar funcionar iniciar completa correctamente minutos minuto segundos error errores codigo estado aviso advertencia atencion mensaje vaya ups ajustes configuracion javascript scripts cookies
 """,
 }
 
 # Ends of a short note that stands for missing content.
 FILLER_END = """
-goes here|go here|comes here|to follow|to be written|to be completed|to be added|to be supplied|to be filled in|will follow|will be added|will be added later|will be added by the author|not yet supplied|not yet written|not yet available|coming soon|comes in the next draft|in the next draft|comes later|yet to come|still missing|is missing|pending|is pending|to be determined|to be announced|to be provided|not yet delivered|in preparation|your text here|add text here|insert text here|type here|under construction
-folgt|folgt noch|folgt spater|noch offen|wird noch erganzt|wird erganzt|wird nachgereicht|noch zu erganzen|noch zu schreiben|noch einzufugen|hier einfugen|hier steht ihr text|ihr text hier|text hier einfugen|kommt hier hin|kommt hierher|kommt noch|kommt spater|kommt im nachsten entwurf|fehlt noch|ausstehend|in arbeit|in vorbereitung|wird spater erganzt|wird nachgetragen|noch nicht geliefert|liegt noch nicht vor|noch einzureichen|zu erganzen|steht noch aus
-a completer|a completer ici|a rediger|a venir|a ajouter|a ajouter ici|a inserer ici|votre texte ici|texte ici|va ici|vient ici|viendra plus tard|viendra ici|a fournir|pas encore fourni|pas encore fournie|non fourni|non fournie|non remis|non remise|en attente|en preparation|manquant|manquante|sera fourni plus tard|sera fournie plus tard|sera ajoute plus tard|sera ajoutee plus tard|dans la prochaine version|sera ajoute|sera ajoutee|sera ajoute par l auteur|sera ajoutee par l auteur|en construction
-por redactar|por completar|por anadir|por escribir|pendiente|pendiente de redactar|va aqui|aqui va el texto|su texto aqui|tu texto aqui|texto aqui|se anadira|se anadira mas tarde|sin entregar|por entregar|por incluir|aun no entregado|aun no entregada|vendra mas tarde|en preparacion|en la proxima version|falta por redactar|sera anadido por el autor|en construccion
+{goes|go|comes} here|to {follow|come|be written|be completed|be added|be supplied|be filled in|be determined|be announced|be provided|be confirmed|be decided}|will {follow|be added|be added later|be added soon|be provided|be provided later|be added by the author|follow later|appear here}|not yet {supplied|written|available|provided|delivered|added}|coming soon|comes later|yet to come|{still|is} missing|pending|is pending|{your|add|insert|enter|type} {text|content|title|name} here|type here|in preparation|under construction|{comes|follows} in the next {draft|version|revision}
+folgt|folgt {noch|spater|in kurze|bald}|noch offen|wird {noch erganzt|erganzt|nachgereicht|spater erganzt|nachgetragen|noch nachgereicht}|noch {zu erganzen|zu schreiben|einzufugen|einzureichen|nicht geliefert|nicht verfugbar}|hier {einfugen|steht ihr text|text einfugen|text eingeben}|{ihr|text} {text hier|hier einfugen}|kommt {hier hin|hierher|noch|spater|im nachsten entwurf}|fehlt noch|ausstehend|in {arbeit|vorbereitung|kurze}|liegt noch nicht vor|zu erganzen|steht noch aus
+a {completer|rediger|venir|ajouter|fournir|preciser|definir|completer ici|ajouter ici|inserer ici}|{votre|le|inserer le|saisir le} texte ici|texte ici|{va|vient|viendra} ici|viendra plus tard|pas encore {fourni|fournie|disponible|redige|redigee}|non {fourni|fournie|remis|remise}|en {attente|preparation|construction}|{manquant|manquante}|sera {ajoute|ajoutee|fourni|fournie|complete|completee} {plus tard|par l auteur|prochainement}|sera {ajoute|ajoutee}|dans la prochaine version|{prochainement|bientot disponible}
+por {redactar|completar|anadir|escribir|entregar|incluir|definir|confirmar}|pendiente|pendiente de {redactar|completar|entregar}|va aqui|{su|tu|aqui va el|inserte el|insertar|escriba el} texto aqui|aqui va el texto|texto aqui|se anadira|se anadira {mas tarde|proximamente}|sin entregar|aun no {entregado|entregada|disponible}|vendra mas tarde|en {preparacion|construccion}|en la proxima version|falta por {redactar|completar}|sera anadido por el autor|proximamente
 """
 
-# Words of dummy Latin.
+# Words of the usual passage of dummy Latin.
 LATIN = """
-lorem ipsum ipsor dolor dolis sit sitorem amet amen consectetur consi adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna magnis aliqua enim ad minim veniam quis nostrud nostri exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit velunt esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum quanta nec turpis pellen pellentesque orci vitaeum vitae risu risus ferrum ultra platea tantis ac at donec mauris vel massa sem urna
+lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
+nec pellentesque orci vitae risus ultrices ac at donec mauris vel massa sem urna vestibulum curabitur praesent phasellus fusce nunc quam tortor nibh euismod integer aenean vivamus morbi tristique senectus netus malesuada fames turpis egestas proin maecenas suspendisse potenti nullam porta lacus sagittis
 """
 
-# Names of template fields.
+# Usual names of template fields.
 FIELDS = """
-name|first name|last name|full name|user|user name|username|email|address|phone|company|customer|product|price|city|country|subject|message|amount|url|id|value|date|time|year|author|title|version|batch|summary|abstract|text|content|body|contact|host|organism|species|strain|sample|project|sequence|length|protein|protein id|protein name|gene|gene name|gene id|accession|n records|n rows|n sequences|count|plddt mean|plddt|msa depth|expression|expression value|score|status|source|description|institution|lab|reference|doi|page|chapter|record|record id|file name|placeholder
+name|first name|last name|full name|your name|user|user name|username|email|email address|address|phone|company|company name|customer|customer name|client|client name|product|product name|price|city|country|subject|message|amount|url|id|value|date|time|year|author|title|version|batch|summary|abstract|text|content|body|contact|host|organism|species|strain|sample|project|sequence|length|protein|gene|accession|count|score|status|source|description|institution|lab|reference|doi|page|chapter|record|placeholder
+vorname|nachname|anrede|firma|kunde|kundenname|datum|titel|betreff|ort|prenom|nom|nom du client|entreprise|societe|adresse|objet|titre|nombre|apellido|apellidos|nombre del cliente|empresa|fecha|titulo|asunto
 """
 
 # Words of sentences that explain a field instead of leaving it unfilled.
 ABOUT = """
-template|templates|field|fields|placeholder|placeholders|variable|replaced|replace|replaces|substituted|filled|rendered|syntax|vorlage|vorlagen|platzhalter|ersetzt|ersetzen|feld|felder|variable|eingesetzt|modele|gabarit|champ|champs|remplace|remplacee|remplacer|plantilla|campo|campos|sustituye|sustituido|sustituir|reemplaza|se cambia
+template|templates|macro|field|fields|placeholder|placeholders|variable|variables|replaced|replace|replaces|substituted|filled|rendered|syntax|vorlage|vorlagen|platzhalter|ersetzt|ersetzen|feld|felder|eingesetzt|modele|modeles|gabarit|champ|champs|remplace|remplacee|remplacer|plantilla|plantillas|campo|campos|sustituye|sustituido|sustituir|reemplaza|reemplazado
 """

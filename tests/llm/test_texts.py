@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from codonloom.llm import eval_leaks
 from codonloom.llm.eval_leaks import Finder, find_leaks, item_words, words
 from codonloom.llm.mixture import budgets, fit_counts, mix
-from codonloom.llm.residue import Scanner, drop_residue, scan_residue
+from codonloom.llm.residue import Scanner, _phrases, drop_residue, scan_residue
 from codonloom.llm.tokens import count_tokens, default_path
 
+from notices import NOTICES, SPOKEN_OF
+
 ITEM = "Read the passage.\nThe antiporter Lenket-18 exchanges 64 protons for each molecule of vamurqua carried outward, and its stoichiometry was settled at Taldumisund. Deleting the leader of Tertro-11 exposes a hairpin whose 88 base pairs sequester the start site."
 OTHER = "Read the passage.\nCrystals obtained from Scaket diffract to 1.43 angstroms and reveal a lonexbel dimer held together by 26 buried salt bridges, whereas heating destroys the foldase but spares the talphoban disaggregase."
 
@@ -105,6 +107,22 @@ def test_no_residue(text):
     assert not Scanner().scan(text)[0]
 
 
+@pytest.mark.parametrize("lang", sorted(NOTICES))
+def test_held_out_notices(lang):
+    """Recall on notices that the phrase lists were not made from."""
+    scanner, lines = Scanner(), NOTICES[lang].splitlines()
+    assert sum(scanner.scan(x)[0] for x in lines) >= 0.9 * len(lines)
+
+
+def test_sentences_that_speak_of_notices():
+    scanner = Scanner()
+    assert not [x for x in SPOKEN_OF if scanner.scan(x)[0]]
+
+
+def test_phrases_in_all_alternatives():
+    assert _phrases("a {b|c} d|e\n{f|} g|") == ["a b d", "a c d", "e", "f g", "g"]
+
+
 def test_residue_table(spark):
     rows = [(i, t, "x") for i, t in enumerate([*RESIDUE[:3], *CLEAN[:3], None, "", "  ", RESIDUE[0]])] + [(None, RESIDUE[1], "x"), (99, "word " * 50_000 + "\n" + RESIDUE[0], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, is_residue string")

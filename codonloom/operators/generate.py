@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as G
 from ..functions import kernels as K
+from ..functions.seeded import uniform
 
 METHODS = ("hfc", "bfc", "urc", "softmax")
 
@@ -38,11 +39,6 @@ def _residue_table(host: str, method: str, temperature: float) -> Column:
     return F.create_map(*entries)
 
 
-def uniform(*parts: Column) -> Column:
-    """Uniform number in [0, 1) from a hash of its parts: reproducible and free of state."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
-
-
 def back_translate(protein: Column, host: str, method: str, seed: Column, temperature: float = 1.0) -> Column:
     """A coding sequence of the protein.
 
@@ -96,7 +92,7 @@ def candidates(proteins: DataFrame, id_col: str, protein_col: str, host: str, n:
     from pyspark.sql import Window
 
     draws = proteins.select(F.col(id_col).alias("id"), F.col(protein_col).alias("aa")).dropna().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n * oversample))))
-    made = draws.withColumn("dna", back_translate(F.col("aa"), host, method, F.xxhash64("id", "draw", F.lit(seed)), temperature))
+    made = draws.withColumn("dna", back_translate(F.col("aa"), host, method, F.concat_ws(":", "id", "draw", F.lit(seed)), temperature))
     good = made.filter((K.validate_cds(F.col("dna")) == "OK") & (K.translate(K.codons(F.col("dna"))) == F.col("aa")) & avoids(F.col("dna"), motifs or []))
     first = good.groupBy("id", "dna").agg(F.min("draw").alias("draw"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("draw"))  # n * oversample rows at most

@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.seeded import seeded
+
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with ``features`` in order of name; missing and NaN values are 0."""
@@ -104,7 +106,7 @@ def ensemble_predict(models: list[QuantileSurrogate], rows: DataFrame) -> DataFr
 def out_of_fold(rows: DataFrame, label: str, id_col: str, folds: int = 5, kind: str = "linear", seed: int = 5) -> DataFrame:
     """``id, fold, weak, confidence``: predictions of each row by models that never saw it;
     confidence = 1 - |residual| / the fold's largest.  Features must not hold the label."""
-    r = rows.withColumn("fold", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(folds)).cast("int"))
+    r = rows.withColumn("fold", F.pmod(seeded(seed, id_col), F.lit(folds)).cast("int"))
     out = None
     for f in range(folds):
         model = regressor(kind, label).fit(r.filter(F.col("fold") != f))

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.seeded import seeded, uniform
 from .components import components
+from .records import take_lowest
 from .similarity import kmer_jaccard
 
 
@@ -32,14 +34,14 @@ def topped_up(real: DataFrame, weak: DataFrame, target: int, share: float, group
     group and ``share`` of the target in all (the sample is the feature)."""
     n = real.count()
     room = max(0, min(target - n, int(share * target)))
-    h = F.xxhash64(F.col(group), "i", "j", F.lit(seed))
-    few = capped(weak, [group], [h], cap).withColumn("_h", h).orderBy("_h", group, "i", "j").limit(room).drop("_h")
+    h = seeded(seed, group, "i", "j")
+    few = take_lowest(take_lowest(weak, [group], h, ["i", "j"], F.lit(cap)), [], h, [group, "i", "j"], F.lit(room))
     return real.withColumn("source", F.lit("real")).unionByName(few.withColumn("source", F.lit("weak")))
 
 
 def noise_pairs(rows: DataFrame, group: str, index: str, value: str, scale: float, seed: int) -> DataFrame:
     """Synthetic pairs: values with seeded uniform noise of the given scale decide the label."""
-    u = F.pmod(F.xxhash64(F.col(group), F.col(index), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5
+    u = uniform(F.lit(seed), F.col(group), F.col(index)) - 0.5
     return group_pairs(rows.withColumn(value, F.col(value) + u * scale), group, index, value).withColumn("source", F.lit("synthetic"))
 
 
@@ -48,11 +50,11 @@ def robust_pairs(real: DataFrame, weak: DataFrame, synthetic: DataFrame, group:
     than ``target``, synthetic pairs (at most ``synthetic_share`` of it); of each group the first
     ``cap`` in this order.  Weak and synthetic values differ by ``least`` or more; what exceeds a
     share is drawn by seeded hash."""
-    h = F.xxhash64(F.col(group), "i", "j", F.lit(seed))
+    h = seeded(seed, group, "i", "j")
 
     def drawn(pairs: DataFrame, source: str, share: float) -> DataFrame:
-        few = pairs.filter(F.abs(F.col("vi") - F.col("vj")) >= least).withColumn("_h", h)
-        return few.orderBy("_h", group, "i", "j").limit(int(target * share)).drop("_h").withColumn("source", F.lit(source))
+        few = pairs.filter(F.abs(F.col("vi") - F.col("vj")) >= least)
+        return take_lowest(few, [], h, [group, "i", "j"], F.lit(int(target * share))).withColumn("source", F.lit(source))
 
     out = real.withColumn("source", F.lit("real")).unionByName(drawn(weak, "weak", weak_share))
     if out.count() < target:
@@ -90,11 +92,9 @@ def hard_easy(pairs: DataFrame, group: str, cap: int = 100, low: float = 0.5, hi
 
 def sample_levels(pairs: DataFrame, target: int, hard_share: float, seed: int) -> DataFrame:
     """``target`` pairs, ``hard_share`` of them hard, by seeded hash (the sample is the feature)."""
-    h = F.xxhash64(*[F.col(c) for c in pairs.columns if c in ("i", "j")], F.lit(seed))
-    rows = pairs.withColumn("_h", h)
-    hard = rows.filter("level = 'hard'").orderBy("_h").limit(int(target * hard_share))
-    easy = rows.filter("level = 'easy'").orderBy("_h").limit(target - int(target * hard_share))
-    return hard.unionByName(easy).drop("_h")
+    hard = int(target * hard_share)
+    quota = F.when(F.col("level") == "hard", hard).otherwise(target - hard)
+    return take_lowest(pairs, ["level"], seeded(seed, "i", "j"), ["i", "j"], quota)
 
 
 def ridge_residual(rows: DataFrame, x: str, y: str, train: Column, alpha: float = 0.1, divisor: float = 10.0, least: int = 10) -> DataFrame:
@@ -202,7 +202,7 @@ def linked_clusters(rows: DataFrame, id_col: str, text: str, k: int, least: floa
 
 def cluster_splits(clusters: DataFrame, seed: int, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
     """Whole clusters by seeded rank: the first 70 % of the clusters train, then val, then test."""
-    ids = clusters.select("cluster").distinct().withColumn("_h", F.xxhash64("cluster", F.lit(seed)))
+    ids = clusters.select("cluster").distinct().withColumn("_h", seeded(seed, "cluster"))
     from .ordinals import with_ordinal
 
     ranked = with_ordinal(ids, ["_h", "cluster"], "_i")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.seeded import BITS, seeded
+
+#: Ranges of seeded numbers that rows are counted by: 2 ** RANGE_BITS.
+RANGE_BITS = 10
+
 
 def hit_features(hits: DataFrame) -> DataFrame:
     """Per ``query`` the 11 MSA features of its alignment hits (``pident`` 0-100, ``alnlen``)."""
@@ -66,15 +71,39 @@ def host_quotas(counts: dict[str, int], total: int | None, weights: dict[str, fl
     return out
 
 
-def take_per_key(rows: DataFrame, key: str, quotas: dict[str, int], seed: int, id_col: str, salts: int = 32) -> DataFrame:
-    """Seeded sample of ``quotas[key]`` rows of each key.
+def take_per_key(rows: DataFrame, key: str, quotas: dict[str, int], seed: int, id_col: str) -> DataFrame:
+    """Seeded sample of ``quotas[key]`` rows of each key: those with the smallest seeded numbers."""
+    q = F.broadcast(rows.sparkSession.createDataFrame(list(quotas.items()), f"`{key}` string, _quota long"))  # one row a key
+    return take_lowest(rows.join(q, key), [key], seeded(seed, id_col), [id_col], F.col("_quota")).drop("_quota")
+
+
+def take_lowest(rows: DataFrame, part: list[str], number: Column, ties: list[str], quota: Column) -> DataFrame:
+    """The ``quota`` rows of each part with the smallest ``number`` (of :func:`seeded`; ties: the
+    given columns).
 
-    Ranks are counted per salt first, so a key with a third of all rows is ranked in parts."""
-    spark = rows.sparkSession
-    q = F.broadcast(spark.createDataFrame(list(quotas.items()), f"`{key}` string, quota long"))  # one row a key
-    h = rows.join(q, key).withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("_s", F.pmod("_h", F.lit(salts)))
-    cells = h.groupBy(key, "_s").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    Rows are counted by ranges of the number first, so that a part with all the rows is ranked
+    range by range and never sorted in one task."""
+    h = rows.withColumn("_h", number).withColumn("_s", F.shiftright("_h", BITS - RANGE_BITS))
+    cells = h.groupBy(*part, "_s").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*part, F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = h.join(cells, [key, "_s"]).withColumn("_r", F.row_number().over(Window.partitionBy(key, "_s").orderBy("_h", id_col)) + F.col("_before"))
-    return ranked.filter(F.col("_r") <= F.col("quota")).drop("_h", "_s", "_r", "_before", "quota")
+    near = h.join(F.broadcast(cells) if not part else cells, [*part, "_s"]).filter(F.col("_before") < quota)
+    rank = F.row_number().over(Window.partitionBy(*part, "_s").orderBy("_h", *ties)) + F.col("_before")
+    return near.withColumn("_r", rank).filter(F.col("_r") <= quota).drop("_h", "_s", "_r", "_before")
+
+
+def stratified_cap(rows: DataFrame, group: list[str], band: str, cap: int, seed: int, id_col: str) -> DataFrame:
+    """At most ``cap`` rows of each group: of each band its share of the cap (at least one row),
+    then whatever rows come next, until the cap is met; all by seeded number.
+
+    Only the ``cap`` lowest rows of each (group, band) are ranked against each other, so a group
+    with all the rows is no single task.  Null bands are a band of their own."""
+    h = seeded(seed, id_col)
+    sizes = rows.groupBy(*group, band).agg(F.count("*").alias("_m"))
+    sizes = sizes.withColumn("_n", F.sum("_m").over(Window.partitionBy(*group)))  # one row a band
+    share = F.when(F.col("_n") <= cap, F.col("_m")).otherwise(F.least("_m", F.greatest(F.lit(1), F.floor(cap * F.col("_m") / F.col("_n")))))
+    low = take_lowest(rows.withColumn("_b", F.coalesce(F.col(band).cast("string"), F.lit(""))), [*group, "_b"], h, [id_col], F.lit(cap)).withColumn("_h", h)
+    low = low.join(sizes.select(*group, F.coalesce(F.col(band).cast("string"), F.lit("")).alias("_b"), share.alias("_quota")), [*group, "_b"])
+    over = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", id_col)) > F.col("_quota")  # cap rows at most
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_over", "_h", id_col))  # cap rows a band
+    return low.withColumn("_over", over).withColumn("_place", place).filter(F.col("_place") <= cap).select(*rows.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import rules as R
+from ..functions.seeded import seeded, sql_seeded
 from ..functions.text_norm import protein_key
 from ..operators import records as O
 from .feature_queries import raw
@@ -348,8 +349,11 @@ def wn_top_hits(spark, d) -> DataFrame:
     """WITH p AS (SELECT l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, row_number() OVER (PARTITION BY l_orderkey ORDER BY a.l_linenumber, b.l_linenumber) AS r FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber) SELECT l_orderkey, i, j FROM p WHERE r <= 5"""
 )
 def wn_capped_pairs(spark, d) -> DataFrame:
-    """The first five pairs of each group, in order of their indices (the cap is the feature)."""
+    """The first five pairs of each group, in order of their indices (the cap is the feature).
+
+    They lie among the first six members, so only those meet, whatever the size of the group."""
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).filter("n <= 6").drop("n")
     p = t.toDF("l_orderkey", "i").join(t.toDF("l_orderkey", "j"), "l_orderkey").filter("i < j")
     return p.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("i", "j"))).filter("r <= 5").drop("r")
 
@@ -392,7 +396,11 @@ def tk_predict_and_rank(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query()
+def _sql_ranked(key: str, seed: int, rows: str = "rec") -> str:
+    return f"k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {sql_seeded(seed, 'rec_id')}, rec_id) AS r, count(*) OVER (PARTITION BY {key}) AS n FROM {rows})"
+
+
+@query(f"WITH {RECORDS}, {_sql_ranked('host', 7)} SELECT rec_id, host FROM k WHERE r <= (SELECT min(n) FROM k)")
 def tk_balanced_hosts(spark, d) -> DataFrame:
     """As many records of each host as the rarest host has, by seeded hash."""
     r = records(spark, d).select("rec_id", "host")
@@ -400,14 +408,15 @@ def tk_balanced_hosts(spark, d) -> DataFrame:
     return O.take_per_key(r, "host", O.host_quotas(counts, None), 7, "rec_id")
 
 
-@query()
+@query(f"WITH {RECORDS}, {_sql_ranked('host', 7)} SELECT rec_id, host FROM k WHERE r <= CASE host WHEN 'E_coli' THEN 80 WHEN 'Human' THEN 60 ELSE 20 END")
 def tk_weighted_hosts(spark, d) -> DataFrame:
     r = records(spark, d).select("rec_id", "host")
     counts = {x["host"]: x["n"] for x in r.groupBy("host").agg(F.count("*").alias("n")).collect()}  # five hosts
+    # the last host in order of name takes what the shares leave of the total
     return O.take_per_key(r, "host", O.host_quotas(counts, 200, {"E_coli": 0.4, "Human": 0.3, "Mouse": 0.1, "S_cerevisiae": 0.1, "P_pastoris": 0.1}, cap=80), 7, "rec_id")
 
 
-@query()
+@query(f"WITH {RECORDS}, {_sql_ranked('host', 3)} SELECT rec_id, host, CASE WHEN r <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split FROM k")
 def tk_stratified_split(spark, d) -> DataFrame:
     """floor(0.8 n) records of each host train, the rest validate, by seeded hash."""
     r = records(spark, d).select("rec_id", "host")
@@ -416,9 +425,9 @@ def tk_stratified_split(spark, d) -> DataFrame:
     return r.join(train, "rec_id", "left").select("rec_id", "host", F.when(F.col("t"), "train").otherwise("val").alias("split"))
 
 
-@query()
+@query(f"SELECT rec_id, {sql_seeded(5, 'rec_id')} % 5 AS fold FROM integrated_test_1")
 def tk_kfold(spark, d) -> DataFrame:
-    return records(spark, d).select("rec_id", F.pmod(F.xxhash64("rec_id", F.lit(5)), F.lit(5)).alias("fold"))
+    return table(spark, d, "integrated_test_1").select("rec_id", F.pmod(seeded(5, "rec_id"), F.lit(5)).alias("fold"))
 
 
 @query()
@@ -430,17 +439,30 @@ def tk_bootstrap_ci(spark, d) -> DataFrame:
     return mean_interval(records(spark, d).select("host", P.number(F.col("expression.value")).alias("x")), "host", "x", 1000, 0.95, 13)
 
 
-@query()
+BAND = f"least(4, greatest(0, floor(coalesce({VAL}, 0) / 20)))::INT"
+
+
+@query(
+    f"""WITH {RECORDS}, x AS (SELECT rec_id, md5(aa || '_' || host) AS grp, {BAND} AS band, {sql_seeded(9, 'rec_id')} AS h FROM rec WHERE aa IS NOT NULL), c AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, count(*) OVER (PARTITION BY grp, band) AS m, row_number() OVER (PARTITION BY grp, band ORDER BY h, rec_id) AS r FROM x),
+q AS (SELECT *, CASE WHEN n <= 4 THEN m ELSE least(m, greatest(1, floor(4 * m / n))) END AS quota FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r > quota, h, rec_id) AS place FROM q) SELECT grp, rec_id, band FROM t WHERE place <= 4"""
+)
 def tk_stratified_cap(spark, d) -> DataFrame:
-    """At most 40 records of each host, spread over five expression bands by share."""
-    r = records(spark, d).select("rec_id", "host", F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.coalesce(P.number(F.col("expression.value")), F.lit(0.0)) / 20))).cast("int").alias("band"))
-    n = {(x["host"], x["band"]): x["n"] for x in r.groupBy("host", "band").agg(F.count("*").alias("n")).collect()}  # at most 25 rows
-    total = {}
-    for (h, _), k in n.items():
-        total[h] = total.get(h, 0) + k
-    quota = {f"{h}|{b}": k if total[h] <= 40 else min(k, max(1, int(40 * k / total[h]))) for (h, b), k in n.items()}
-    keyed = r.withColumn("cell", F.concat_ws("|", "host", F.col("band").cast("string")))
-    return O.take_per_key(keyed, "cell", quota, 9, "rec_id").select("rec_id", "host", "band")
+    """At most four records of each (protein, host) group, spread over five expression bands by
+    their share and topped up from the rest of the group."""
+    band = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.coalesce(P.number(F.col("expression.value")), F.lit(0.0)) / 20))).cast("int")
+    r = records(spark, d).filter("aa is not null").select(F.md5(F.concat("aa", F.lit("_"), "host")).alias("grp"), "rec_id", band.alias("band"))
+    return O.stratified_cap(r, ["grp"], "band", 4, 9, "rec_id").select("grp", "rec_id", "band")
+
+
+@query(
+    f"""WITH {RECORDS}, x AS (SELECT rec_id, host, {BAND} AS band, {sql_seeded(9, 'rec_id')} AS h FROM rec), c AS (SELECT *, count(*) OVER (PARTITION BY host) AS n, count(*) OVER (PARTITION BY host, band) AS m, row_number() OVER (PARTITION BY host, band ORDER BY h, rec_id) AS r FROM x),
+q AS (SELECT *, CASE WHEN n <= 40 THEN m ELSE least(m, greatest(1, floor(40 * m / n))) END AS quota FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY r > quota, h, rec_id) AS place FROM q) SELECT host, rec_id, band FROM t WHERE place <= 40"""
+)
+def tk_host_cap(spark, d) -> DataFrame:
+    """The same cap of 40 records a host: groups that hold a large part of all rows."""
+    band = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.coalesce(P.number(F.col("expression.value")), F.lit(0.0)) / 20))).cast("int")
+    r = records(spark, d).select("host", "rec_id", band.alias("band"))
+    return O.stratified_cap(r, ["host"], "band", 40, 9, "rec_id").select("host", "rec_id", "band")
 
 
 # --- set operations --------------------------------------------------------------------------

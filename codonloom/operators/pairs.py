@@ -207,7 +207,7 @@ def cluster_splits(clusters: DataFrame, seed: int, shares: tuple[float, float, f
 
     ranked = with_ordinal(ids, ["_h", "cluster"], "_i")
     n = ranked.count()
-    a, b = int(n * shares[0]), int(n * (shares[0] + shares[1]))
+    a, b = int(n * shares[0]), int(n * round(shares[0] + shares[1], 9))
     split = F.when(F.col("_i") < a, "train").when(F.col("_i") < b, "val").otherwise("test")
     return clusters.join(ranked.select("cluster", split.alias("split")), "cluster")
 

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions import kernels as K
 from ..functions import rules as R
+from ..functions.seeded import sql_seeded, sql_uniform
 from ..functions.text_norm import protein_key
 from ..operators import evaluate as E
 from ..operators import generate as N
 from ..operators import pairs as C
 from ..operators.profile import number
-from .registry import ORACLE, RECORDS, query, records, spread, table
+from .registry import ORACLE, RECORDS, query, records, spread, sql_protein, table
 from .sequence_queries import r6
 
 GRP = f"{RECORDS}, g AS (SELECT md5(aa || '_' || host) AS grp, rec_id, CASE WHEN NOT isnan(expression.value) THEN expression.value END AS v, length(aa)::DOUBLE AS n FROM rec WHERE aa IS NOT NULL)"
 
 
-def grouped(spark, d) -> DataFrame:
-    """Records as members of their (protein, host) group: ``grp, rec_id, v, n``."""
+def grouped(spark, d, written: bool = False) -> DataFrame:
+    """Records as members of their (protein, host) group: ``grp, rec_id, v, n``; n is the length
+    of the protein, with ``written`` of its text as it stands."""
     r = records(spark, d).filter("aa is not null")
-    return r.select(F.md5(F.concat("aa", F.lit("_"), "host")).alias("grp"), "rec_id", number(F.col("expression.value")).alias("v"), F.length("aa").cast("double").alias("n"))
+    return r.select(F.md5(F.concat("aa", F.lit("_"), "host")).alias("grp"), "rec_id", number(F.col("expression.value")).alias("v"), F.length("protein_aa" if written else "aa").cast("double").alias("n"))
 
 
 @query(f"WITH {GRP} SELECT grp, a.rec_id AS i, b.rec_id AS j, (a.v > b.v)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) > 0")
@@ -37,10 +39,18 @@ def cp_hard_easy(spark, d) -> DataFrame:
     return C.hard_easy(C.group_pairs(grouped(spark, d), "grp", "rec_id", "v"), "grp").select("grp", "i", "j", "level")
 
 
-@query()
+REAL = f"{GRP}, real AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.v AS vi, b.v AS vj, (a.v > b.v)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) > 0)"
+LONGER = "weak AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.n AS vi, b.n AS vj, (a.n > b.n)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND a.n <> b.n)"
+RAWLEN = "length(protein_aa)::DOUBLE"
+
+
+@query(
+    f"""WITH {REAL.replace("length(aa)::DOUBLE", RAWLEN)}, {LONGER}, c AS (SELECT *, {sql_seeded(3, 'grp', 'i', 'j')} AS h FROM weak), d AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, i, j) AS r FROM c), e AS (SELECT *, row_number() OVER (ORDER BY h, grp, i, j) AS k FROM d WHERE r <= 200)
+SELECT grp, i, j, label, 'real' AS source FROM real UNION ALL SELECT grp, i, j, label, 'weak' FROM e WHERE k <= greatest(0, least(30000 - (SELECT count(*) FROM real), 9000))"""
+)
 def cp_topped_up(spark, d) -> DataFrame:
-    """Real pairs topped up by weak ones (length as weak value) towards a target."""
-    g = grouped(spark, d)
+    """Real pairs topped up by weak ones (length as written as weak value) towards a target."""
+    g = grouped(spark, d, written=True)
     real, weak = C.group_pairs(g, "grp", "rec_id", "v"), C.group_pairs(g, "grp", "rec_id", "n")
     return C.topped_up(real, weak, 30_000, 0.3, "grp", 200, 3).select("grp", "i", "j", "label", "source")
 
@@ -59,7 +69,10 @@ def cp_robust_pairs(spark, d) -> DataFrame:
     return C.robust_pairs(real, weak, noise, "grp", 30_000).select("grp", "i", "j", "label", "source")
 
 
-@query()
+@query(
+    f"""WITH {REAL}, p AS (SELECT *, CASE WHEN abs(vi - vj) <= 2.5 THEN 'hard' ELSE 'easy' END AS level FROM real WHERE abs(vi - vj) >= 0.5), k AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY {sql_seeded(7, 'i', 'j')}, i, j) AS r FROM p)
+SELECT grp, i, j, label, level FROM k WHERE r <= CASE level WHEN 'hard' THEN 150 ELSE 50 END"""
+)
 def cp_sampled_levels(spark, d) -> DataFrame:
     pairs = C.hard_easy(C.group_pairs(grouped(spark, d), "grp", "rec_id", "v"), "grp")
     return C.sample_levels(pairs.select("grp", "i", "j", "label", "level"), 200, 0.75, 7)
@@ -86,18 +99,29 @@ def cp_average_linkage(spark, d) -> DataFrame:
     return C.average_linkage(g, "cluster_id", "group_no", "aa")
 
 
-@query()
+LINKED = f"""g AS (SELECT group_no AS id, {sql_protein('protein_aa')} AS aa FROM protein_group), k AS (SELECT DISTINCT id, substr(aa, i::INT, 5) AS mer FROM (SELECT id, aa, unnest(range(1, length(aa) - 3)) AS i FROM g WHERE length(aa) >= 5)), n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS nb FROM k a JOIN k b ON a.mer = b.mer AND a.id < b.id GROUP BY ALL), e AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE nb / (x.n + y.n - nb) >= 0.5), t AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r(id, c) AS (SELECT id, id FROM g UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.id WHERE r.c < t.v), cl AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {LINKED} SELECT id, cluster FROM cl")
 def cp_linked_clusters(spark, d) -> DataFrame:
     g = table(spark, d, "protein_group").select("group_no", protein_key("protein_aa").alias("aa"))
     return C.linked_clusters(g, "group_no", "aa", 5, 0.5)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINKED}, o AS (SELECT cluster, row_number() OVER (ORDER BY {sql_seeded(11, 'cluster')}, cluster) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM cl))
+SELECT id, cluster, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM cl JOIN o USING (cluster)"""
+)
 def cp_cluster_split(spark, d) -> DataFrame:
     return C.cluster_splits(cp_linked_clusters(spark, d), 11)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINKED}, o AS (SELECT cluster, row_number() OVER (ORDER BY m DESC, cluster) - 1 AS i FROM (SELECT cluster, count(*) AS m FROM cl GROUP BY cluster))
+SELECT id, cluster, CASE i % 5 WHEN 1 THEN 'val' WHEN 3 THEN 'test' ELSE 'train' END AS split FROM cl JOIN o USING (cluster)"""
+)
 def cp_round_robin_split(spark, d) -> DataFrame:
     return C.round_robin_splits(cp_linked_clusters(spark, d))
 

@@ -64,7 +64,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def describe(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = S.read_many(spark, S.discover(a.input.split(","), ".jsonl"), H.RECORD)
+    rows = S.read_many(spark, S.discover(spark, a.input.split(","), ".jsonl"), H.RECORD)
     cells = rows.select(F.explode("extra_features").alias("column", "raw")).withColumn("value", P.number(F.col("raw")))
     q = F.percentile_approx("value", list(P.QUANTILES), 10_000)
     out = cells.groupBy("column").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import data_quality, feature_queries, profile_queries, registry, relational_queries, sequence_queries  # noqa: F401, I001 - they register their queries
-from . import model_queries  # noqa: F401 - builds on the others
+from . import io_queries, model_queries  # noqa: F401 - builds on the others
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -156,7 +156,7 @@ def complete(tsv: DataFrame, mode: str = "model_enhanced", structure: DataFrame
 
 def merged_datasets(spark: SparkSession, inputs: list[str], suffix: str = ".jsonl", hosts: list[str] | None = None, least: int = 50, most: int = 10_000, balance: bool = False, total: int | None = None, seed: int = 7) -> DataFrame:
     """Datasets loaded, filtered and (by request) balanced over hosts."""
-    rows = read_many(spark, discover(inputs, suffix), RECORD).withColumn("host", F.coalesce(host_key("host"), F.lit("E_coli")))
+    rows = read_many(spark, discover(spark, inputs, suffix), RECORD).withColumn("host", F.coalesce(host_key("host"), F.lit("E_coli")))
     rows = rows.filter(F.length("protein_aa").between(least, most) & (F.coalesce("expression.confidence", F.lit("high")) != "low"))
     if hosts:
         rows = rows.filter(F.col("host").isin(hosts))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from glob import glob
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.records import last_of
+from ..functions.seeded import seeded
+from ..operators.records import last_of, take_lowest
+from . import files
 from . import schemas as S
 
 
@@ -27,22 +28,21 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     return rows.filter(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad)
 
 
-def existing(paths: list[str]) -> list[str]:
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that exist, without repeats, in order of name; missing ones are left out."""
-    return sorted({p for p in paths if Path(p).exists()})
+    return sorted({p for p in paths if files.exists(spark, p)})
 
 
-def discover(inputs: list[str], suffix: str) -> list[str]:
+def discover(spark: SparkSession, inputs: list[str], suffix: str) -> list[str]:
     """Files given by name, by pattern, or in directories (by suffix); each once, sorted."""
     found: set[str] = set()
     for x in inputs:
-        p = Path(x)
-        found |= {str(f) for f in p.rglob(f"*{suffix}")} if p.is_dir() else {x} if p.is_file() else set(glob(x))
+        found |= set(files.listed(spark, x, suffix)) if files.is_folder(spark, x) else {x} if files.exists(spark, x) else set(files.matching(spark, x))
     return sorted(found)
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    have = existing(paths)
+    have = existing(spark, paths)
     return read_jsonl(spark, have, schema) if have else spark.createDataFrame([], schema)
 
 
@@ -77,30 +77,24 @@ def aliased(rows: DataFrame) -> DataFrame:
 
 def read_tsv_directory(spark: SparkSession, folder: str, cap: int | None = None, reviewed: bool = False) -> DataFrame:
     """All ``*.tsv`` of a folder with their file name; ``cap`` rows a file (the cap is the
-    feature; ranked per file by its row's content hash)."""
-    from pyspark.sql import Window
-
+    feature; the rows with the smallest content hash of each file)."""
     rows = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("pathGlobFilter", "*.tsv").csv(folder)
     rows = rows.withColumn("source_file", F.col("_metadata.file_name"))
     if reviewed:
         rows = rows.filter(F.lower("Reviewed") == "reviewed")
     if cap is not None:
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("source_file").orderBy(h))).filter(F.col("_r") <= cap).drop("_r")
+        cells = [F.col(f"`{c}`") for c in rows.columns]
+        rows = take_lowest(rows.withColumn("_t", F.concat_ws("\t", *cells)), ["source_file"], seeded("file", "_t"), ["_t"], F.lit(cap)).drop("_t")
     return rows
 
 
-def sniff_json(path: str) -> str:
-    """``array`` if the file's first character that is no blank is ``[``, else ``lines``."""
-    with open(path, encoding="utf-8") as f:
-        while c := f.read(1):
-            if not c.isspace():
-                return "array" if c == "[" else "lines"
-    return "lines"
+def sniff_json(spark: SparkSession, path: str) -> str:
+    """``array`` if the first character that is no blank is ``[``, else ``lines``."""
+    return "array" if files.first_character(spark, path) == "[" else "lines"
 
 
 def read_json_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    if sniff_json(path) == "array":
+    if sniff_json(spark, path) == "array":
         return spark.read.schema(schema).option("multiLine", True).json(path)
     return read_jsonl(spark, path, schema)
 
@@ -166,7 +160,12 @@ def read_structure_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """``file, dim, l2`` of NPZ embeddings: array ``mean``, else ``emb``, else the first one,
+    """:func:`npz_embeddings` of the files at a path."""
+    return npz_embeddings(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def npz_embeddings(archives: DataFrame) -> DataFrame:
+    """``file, dim, l2`` of NPZ embeddings (``path, content``): array ``mean``, else ``emb``, else the first one,
     averaged over its first axis if it has two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +183,7 @@ def read_npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
                 files.append(name.rsplit("/", 1)[-1]), dims.append(int(a.size)), norms.append(float(np.sqrt((a * a).sum())))
             yield pa.RecordBatch.from_pydict({"file": files, "dim": dims, "l2": norms})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, dim long, l2 double")
+    return archives.mapInArrow(run, "file string, dim long, l2 double")
 
 
 def numeric_json(text: Column) -> Column:
@@ -206,11 +205,10 @@ def bundle_from_json(text: Column) -> Column:
 def looked_up(rows: DataFrame, id_col: str, fetch, schema: str, retries: int = 1) -> DataFrame:
     """Rows joined with what ``fetch(id)`` returns (a dict or None), ``retries`` more attempts
     each; failures give nulls.  The hook for external lookups; nothing calls the network here."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    fields = T.StructType.fromDDL(schema).fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         for b in batches:
             out = []
             for key in b.column("id").to_pylist():
@@ -221,8 +219,9 @@ def looked_up(rows: DataFrame, id_col: str, fetch, schema: str, retries: int = 1
                         break
                     except Exception:  # noqa: BLE001 - any failed lookup is retried, then null
                         continue
-                out.append({"id": key} | {n: (got or {}).get(n) for n in names})
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["id", *names]), preserve_index=False)
+                out.append(got or {})
+            cells = [pa.array([x.get(f.name) for x in out], k) for f, k in zip(fields, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cells], names=["id", *(f.name for f in fields)])
 
     kind = rows.schema[id_col].dataType.simpleString()
     ids = rows.select(F.col(id_col).alias("id")).dropna().distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
@@ -45,15 +45,16 @@ def write_csv(rows: DataFrame, path: str, decimals: dict[str, int] | None = None
 
 def replace_table(rows: DataFrame, path: str, write=write_jsonl) -> None:
     """Write beside ``path``, then rename over it, so that a table read by ``rows`` can be
-    replaced by them and a failed write leaves it as it was (local file systems)."""
+    replaced by them and a failed write leaves it as it was."""
+    spark = rows.sparkSession
     new = f"{path}.{uuid.uuid4().hex}.new"
     old = f"{path}.{uuid.uuid4().hex}.old"
     write(rows, new)
-    if Path(path).exists():
-        Path(path).rename(old)
-    Path(new).rename(path)
-    if Path(old).exists():
-        shutil.rmtree(old) if Path(old).is_dir() else Path(old).unlink()
+    if files.exists(spark, path):
+        files.move(spark, path, old)
+    files.move(spark, new, path)
+    if files.exists(spark, old):
+        files.remove(spark, old)
 
 
 def bundle_to_json(bundle: Column) -> Column:

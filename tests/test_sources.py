@@ -38,7 +38,7 @@ def test_tsv(spark, tmp_path):
     assert rows.count() == 4
     got = S.aliased(rows).first()
     assert got["expression"] == 1.0 and got["host"] == "Homo sapiens" and got["protein_aa"] is None
-    assert len(S.discover([str(tmp_path)], ".tsv")) == 2
+    assert len(S.discover(spark, [str(tmp_path)], ".tsv")) == 2
 
 
 def test_alignments_and_features(spark, tmp_path):

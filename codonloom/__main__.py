@@ -139,7 +139,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
-    a.run(session(a.checkpoint_dir), a)
+    a.run(session(a.checkpoint_dir) if a.checkpoint_dir else session(), a)
 
 
 if __name__ == "__main__":

@@ -105,6 +105,33 @@ def homopolymers(s: Column, least: int = 6) -> Column:
     return F.regexp_extract_all(s, F.lit(rf"(([\s\S])\2{{{least - 1},}})"), F.lit(1))
 
 
+def run_spans(s: Column, least: int) -> Column:
+    """Maximal runs of one character of at least that length: array of ``pos`` (from 0), ``len``,
+    ``base``."""
+    at = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(at, lambda i: (i == 1) | (F.substring(s, i, F.lit(1)) != F.substring(s, i - 1, F.lit(1))))
+
+    def spans(x: Column) -> Column:
+        ends = F.concat(F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), F.array(F.length(s) + 1))
+        return F.filter(F.zip_with(x, ends, lambda a, b: F.when(a.isNotNull(), F.struct((a - 1).alias("pos"), (b - a).alias("len"), F.substring(s, a, F.lit(1)).alias("base")))), lambda r: r["len"] >= least)
+
+    return bind(starts, spans)
+
+
+def tandem_spans(s: Column, unit: int, least: int = 3) -> Column:
+    """The repeats of :func:`tandem_repeats` as array of ``pos`` (from 0), ``len``, ``motif``.
+
+    A repeat cannot stand further left than where it was found, or it had been found there, so its
+    text is located behind the repeat before it."""
+    start = F.struct(F.array().cast("array<struct<pos: int, len: int, motif: string>>").alias("out"), F.lit(1).alias("next"))
+
+    def step(acc: Column, m: Column) -> Column:
+        p = F.position(m, s, acc["next"])
+        return F.struct(F.concat(acc["out"], F.array(F.struct((p - 1).alias("pos"), F.length(m).alias("len"), F.left(m, F.lit(unit)).alias("motif")))).alias("out"), (p + F.length(m)).alias("next"))
+
+    return F.aggregate(tandem_repeats(s, unit, least), start, step, lambda acc: acc["out"])
+
+
 def longest_run(s: Column) -> Column:
     runs = F.regexp_extract_all(s, F.lit(r"(([\s\S])\2*)"), F.lit(1))
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
@@ -322,6 +349,11 @@ def identity(a: Column, b: Column, longest: bool = False) -> Column:
     return fraction(F.when(F.size(at) > 0, same).otherwise(0), F.greatest(F.length(a), F.length(b)) if longest else n)
 
 
+def min_identity(s: Column, references: list[str]) -> Column:
+    """Least identity to a set of references; 0 for an empty set."""
+    return F.array_min(F.array(*[identity(s, F.lit(r)) for r in references])) if references else F.lit(0.0)
+
+
 def kmers(s: Column, k: int) -> Column:
     """Distinct k-mers; shorter texts have none."""
     at = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))

@@ -167,7 +167,15 @@ def sc_codon_bundle(spark, d) -> DataFrame:
     )
 
 
-@query()
+CODON_LIST = "list_transform(range(0, length(s) // 3), lambda i: substr(s, 3 * i::INT + 1, 3))"
+SHARES = "list_transform([" + ", ".join(f"'{c}'" for c in K.ALL_CODONS) + "], lambda c: round(CASE WHEN len(cod) > 0 THEN len(list_filter(cod, lambda x: x = c)) / len(cod) ELSE 0 END, 6))"
+
+
+@query(
+    f"""WITH {RECORDS}, c AS (SELECT rec_id, s, {CODON_LIST} AS cod FROM cds) SELECT c.rec_id, list_concat([round(CASE WHEN check_message = 'OK' THEN cai ELSE 0 END, 6)], {SHARES}, [round(cpb, 6), gc, gcw_max, gcw_mean, gcw_min, gcw_std, h.n_runs::DOUBLE, length(s)::DOUBLE, rr.n_runs::DOUBLE, struct5,
+CASE WHEN check_message = 'OK' THEN tai ELSE 0 END]) AS features FROM c JOIN ({ORACLE['sc_validate_cds']}) v USING (rec_id) JOIN ({ORACLE['sc_composition']}) co USING (rec_id) JOIN ({ORACLE['sc_adaptation']}) a USING (rec_id) JOIN ({ORACLE['sc_codon_pair_bias']}) p USING (rec_id)
+JOIN ({ORACLE['sc_sliding_gc']}) g USING (rec_id) JOIN ({ORACLE['sc_homopolymers']}) h USING (rec_id) JOIN ({ORACLE['sc_rare_codon_runs']}) rr USING (rec_id) JOIN ({ORACLE['sc_five_prime']}) fp USING (rec_id)"""
+)
 def sc_feature_vector(spark, d) -> DataFrame:
     """Model vectors: features by sorted name (64 codon shares, GC windows, adaptation, lengths);
     invalid sequences keep 0 for adaptation."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from .sequence_queries import r6
 
 GRP = f"{RECORDS}, g AS (SELECT md5(aa || '_' || host) AS grp, rec_id, CASE WHEN NOT isnan(expression.value) THEN expression.value END AS v, length(aa)::DOUBLE AS n FROM rec WHERE aa IS NOT NULL)"
 
+REAL = f"{GRP}, real AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.v AS vi, b.v AS vj, (a.v > b.v)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) > 0)"
+LONGER = "weak AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.n AS vi, b.n AS vj, (a.n > b.n)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND a.n <> b.n)"
+RAWLEN = "length(protein_aa)::DOUBLE"
+
 
 def grouped(spark, d, written: bool = False) -> DataFrame:
     """Records as members of their (protein, host) group: ``grp, rec_id, v, n``; n is the length
@@ -32,6 +38,12 @@ def cp_pairs(spark, d) -> DataFrame:
     return C.group_pairs(grouped(spark, d), "grp", "rec_id", "v").select("grp", "i", "j", "label")
 
 
+@query(f"WITH {REAL.replace('length(aa)::DOUBLE', RAWLEN)}, {LONGER} SELECT grp, i, j, label FROM weak")
+def cp_weak_pairs(spark, d) -> DataFrame:
+    """All pairs of a group by a weak label (the length of the protein as written)."""
+    return C.group_pairs(grouped(spark, d, written=True), "grp", "rec_id", "n").select("grp", "i", "j", "label")
+
+
 @query(f"WITH {GRP} SELECT grp, a.rec_id AS i, b.rec_id AS j, CASE WHEN abs(a.v - b.v) <= 2.5 THEN 'hard' ELSE 'easy' END AS level FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) >= 0.5")
 def cp_hard_easy(spark, d) -> DataFrame:
     """Hard and easy pairs under the greedy participation cap of 100; the SQL has no cap and agrees
@@ -39,11 +51,6 @@ def cp_hard_easy(spark, d) -> DataFrame:
     return C.hard_easy(C.group_pairs(grouped(spark, d), "grp", "rec_id", "v"), "grp").select("grp", "i", "j", "level")
 
 
-REAL = f"{GRP}, real AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.v AS vi, b.v AS vj, (a.v > b.v)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND abs(a.v - b.v) > 0)"
-LONGER = "weak AS (SELECT grp, a.rec_id AS i, b.rec_id AS j, a.n AS vi, b.n AS vj, (a.n > b.n)::INT AS label FROM g a JOIN g b USING (grp) WHERE a.rec_id < b.rec_id AND a.n <> b.n)"
-RAWLEN = "length(protein_aa)::DOUBLE"
-
-
 @query(
     f"""WITH {REAL.replace("length(aa)::DOUBLE", RAWLEN)}, {LONGER}, c AS (SELECT *, {sql_seeded(3, 'grp', 'i', 'j')} AS h FROM weak), d AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, i, j) AS r FROM c), e AS (SELECT *, row_number() OVER (ORDER BY h, grp, i, j) AS k FROM d WHERE r <= 200)
 SELECT grp, i, j, label, 'real' AS source FROM real UNION ALL SELECT grp, i, j, label, 'weak' FROM e WHERE k <= greatest(0, least(30000 - (SELECT count(*) FROM real), 9000))"""
@@ -317,6 +324,31 @@ def gn_highest_frequency(spark, d) -> DataFrame:
     return r.select("rec_id", N.back_translate(F.col("aa"), "E_coli", "hfc", F.col("rec_id")).alias("dna"))
 
 
+def _sql_steps(method: str) -> str:
+    """``(r, upto, codon)``: the cumulative shares of each residue's codons in E. coli."""
+    rows = []
+    for aa, cs in G.CODONS_OF.items():
+        use = [G.usage("E_coli")[c] for c in cs] if aa != "*" else []
+        w = {"urc": [1.0] * len(use), "bfc": use, "softmax": [math.exp(x - max(use)) for x in use]}[method] if use else []
+        rows += [f"('{aa}', {sum(w[: i + 1]) / sum(w)!r}::DOUBLE, '{c}', {i == len(w) - 1})" for i, c in enumerate(cs[: len(w)])]
+    return f"{method}(r, upto, codon, final) AS (VALUES {', '.join(rows)})"
+
+
+def _sql_drawn(method: str) -> str:
+    return f"""SELECT group_no, '{method}' AS method, md5(string_agg(codon, '' ORDER BY i)) AS dna_key, count(*) AS n_codons FROM (SELECT group_no, i, arg_min(codon, CASE WHEN u < upto THEN upto WHEN final THEN 2 ELSE 3 END) AS codon FROM l JOIN {method} USING (r) GROUP BY group_no, i) GROUP BY group_no"""
+
+
+@query(
+    f"""WITH {', '.join(_sql_steps(m) for m in ('bfc', 'urc', 'softmax'))}, g AS (SELECT group_no, {sql_protein('protein_aa')} AS aa FROM protein_group), l AS (SELECT group_no, i, substr(aa, i::INT + 1, 1) AS r, {sql_uniform('group_no', 'i')} AS u FROM (SELECT group_no, aa, unnest(range(0, length(aa))) AS i FROM g WHERE aa IS NOT NULL))
+{' UNION ALL '.join(_sql_drawn(m) for m in ('bfc', 'urc', 'softmax'))}"""
+)
+def gn_back_translations(spark, d) -> DataFrame:
+    """Back-translation by use, uniformly and by softmax: the digest of each sequence."""
+    g = spread(table(spark, d, "protein_group").select("group_no", protein_key("protein_aa").alias("aa")).filter("aa is not null"))
+    made = F.array(*[F.struct(F.lit(m).alias("method"), N.back_translate(F.col("aa"), "E_coli", m, F.col("group_no")).alias("dna")) for m in ("bfc", "urc", "softmax")])
+    return g.select("group_no", F.explode(made).alias("x")).select("group_no", "x.method", F.md5("x.dna").alias("dna_key"), (F.length("x.dna") / 3).cast("long").alias("n_codons"))
+
+
 @query()
 def gn_candidates(spark, d) -> DataFrame:
     """Three valid candidates per protein group, scored by the rule-based quality; the two best

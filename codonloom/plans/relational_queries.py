@@ -309,6 +309,18 @@ def wn_delta_to_median(spark, d) -> DataFrame:
     return rows.join(ref, ["g", "host"]).select("rec_id", r6(F.col("ref")).alias("ref_bpb"), r6(delta).alias("delta_bpb"), r6(delta * F.col("n")).alias("delta_nll"))
 
 
+@query(
+    f"""WITH {RECORDS}, b AS (SELECT c.rec_id, c.host, c.aa, -l.loglik AS nll FROM cds c JOIN {raw('sc_usage_lm')} l USING (rec_id) WHERE c.aa IS NOT NULL), g AS (SELECT aa, host, median(nll) AS ref FROM b GROUP BY aa, host)
+SELECT rec_id, round(ref, 6) AS ref_nll, round(nll - ref, 6) AS delta_nll FROM b JOIN g USING (aa, host)"""
+)
+def wn_nll_delta(spark, d) -> DataFrame:
+    """Negative log likelihood against the median of records with the same protein and host."""
+    rows = coding(spark, d).filter("aa is not null")
+    rows = rows.select("rec_id", "host", F.sha2("aa", 256).alias("g"), K.codon_facts(F.col("cs"), F.col("host")).alias("f")).withColumn("nll", -K.usage_lm(F.col("f"))["loglik"]).drop("f")
+    ref = rows.groupBy("g", "host").agg(F.median("nll").alias("ref"))
+    return rows.join(ref, ["g", "host"]).select("rec_id", r6(F.col("ref")).alias("ref_nll"), r6(F.col("nll") - F.col("ref")).alias("delta_nll"))
+
+
 @query(f"WITH {RECORDS}, v AS (SELECT rec_id, host, {VAL} AS x FROM rec) SELECT rec_id, round((x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-8), 6) AS z FROM v WINDOW w AS (PARTITION BY host)")
 def wn_host_zscore(spark, d) -> DataFrame:
     """Value against its host's mean and population deviation (five groups: joined back)."""
@@ -430,6 +442,13 @@ def tk_kfold(spark, d) -> DataFrame:
     return table(spark, d, "integrated_test_1").select("rec_id", F.pmod(seeded(5, "rec_id"), F.lit(5)).alias("fold"))
 
 
+@query(f"SELECT rec_id, CASE WHEN {sql_seeded(21, 'rec_id')} < 0.2 * (1::BIGINT << 60) THEN 'holdout' ELSE 'fit' END AS part FROM integrated_test_1")
+def tk_holdout(spark, d) -> DataFrame:
+    """A seeded fifth of the records held out."""
+    part = F.when(seeded(21, "rec_id") < F.lit(int(0.2 * (1 << 60))), "holdout").otherwise("fit")
+    return table(spark, d, "integrated_test_1").select("rec_id", part.alias("part"))
+
+
 @query()
 def tk_bootstrap_ci(spark, d) -> DataFrame:
     """Percentile interval of a mean over 1000 Poisson bootstraps; resamples are summed in

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions import kernels as K
 from ..functions.text_norm import protein_key
-from .registry import CODE, CODONS, FACTS, PAIRS, RECORDS, coding, query, records, sql_protein, table
+from .registry import CODE, CODONS, FACTS, ORACLE, PAIRS, RECORDS, coding, query, records, sql_protein, table
 
 # Restriction sites used where a query needs forbidden motifs.
 MOTIFS = ["GAATTC", "GGATCC", "AAGCTT", "AATAAA"]
@@ -78,6 +78,24 @@ def sc_homopolymers(spark, d) -> DataFrame:
     return coding(spark, d).select("rec_id", F.size(runs).alias("n_runs"), F.length(F.array_join(runs, "")).cast("long").alias("run_nt"), K.longest_run(F.col("s")).alias("longest_run"))
 
 
+@query(
+    f"""WITH {RECORDS}, l AS (SELECT rec_id, i, substr(s, i::INT, 1) AS base FROM (SELECT rec_id, s, unnest(range(1, length(s) + 1)) AS i FROM cds)), g AS (SELECT *, i - row_number() OVER (PARTITION BY rec_id, base ORDER BY i) AS k FROM l)
+SELECT rec_id, base, (min(i) - 1)::INT AS pos, count(*)::INT AS len FROM g GROUP BY rec_id, base, k HAVING count(*) >= 6"""
+)
+def sc_homopolymer_spans(spark, d) -> DataFrame:
+    """Runs of six or more of one base with their position."""
+    rows = coding(spark, d).select("rec_id", F.explode(K.run_spans(F.col("s"), 6)).alias("r"))
+    return rows.select("rec_id", "r.base", "r.pos", "r.len")
+
+
+@query()
+def sc_tandem_spans(spark, d) -> DataFrame:
+    """Repeats of units of 2 to 6 bases with position, length and unit (checked against a loop in
+    the tests)."""
+    all_units = F.concat(*[K.tandem_spans(F.col("s"), k) for k in range(2, 7)])
+    return coding(spark, d).select("rec_id", F.explode(all_units).alias("r")).select("rec_id", "r.motif", "r.pos", "r.len")
+
+
 @query()
 def sc_tandem_repeats(spark, d) -> DataFrame:
     """Repeats of units of 2 to 6 bases (checked against a loop in the tests: RE2 lacks
@@ -109,6 +127,15 @@ def sc_rare_codon_runs(spark, d) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {FACTS}, g AS (SELECT rec_id, i, i - row_number() OVER (PARTITION BY rec_id ORDER BY i) AS k FROM facts WHERE rare) SELECT rec_id, min(i)::INT AS pos, count(*)::INT AS len FROM g GROUP BY rec_id, k HAVING count(*) >= 3"""
+)
+def sc_rare_run_spans(spark, d) -> DataFrame:
+    """Runs of three or more rare codons, position and length in codons."""
+    rows = coding(spark, d).select("rec_id", F.explode(K.run_spans(K.rare_flags(F.col("cs"), F.col("host")), 3)).alias("r"))
+    return rows.filter("r.base = '1'").select("rec_id", "r.pos", "r.len")
+
+
 @query(
     f"""WITH {RECORDS}, {PAIRS}, {CODONS}, p AS (SELECT rec_id, host, codon || '-' || lead(codon) OVER (PARTITION BY rec_id ORDER BY i) AS pair FROM cod)
 SELECT rec_id, count(score) AS n_scored, round(coalesce(avg(score), 0), 6) AS cpb FROM cds LEFT JOIN (SELECT p.rec_id, score FROM p JOIN cpb USING (host, pair)) USING (rec_id) GROUP BY rec_id"""
@@ -233,7 +260,27 @@ def pf_warning_flags(spark, d) -> DataFrame:
     return coding(spark, d).select("rec_id", F.when(F.size(flags) > 0, F.array_join(flags, ",")).alias("flags"))
 
 
-@query()
+@query(
+    f"""WITH {RECORDS}, refs AS (SELECT s AS ref FROM cds WHERE length(s) >= 60 ORDER BY rec_id LIMIT 3), x AS (SELECT rec_id, list_transform(range(1, least(length(s), length(ref)) + 1), lambda i: (substr(s, i::INT, 1) = substr(ref, i::INT, 1))::INT) AS same, least(length(s), length(ref)) AS n FROM cds, refs)
+SELECT rec_id, round(min(list_sum(same) / n), 6) AS min_identity FROM x GROUP BY rec_id"""
+)
+def sc_min_identity(spark, d) -> DataFrame:
+    """Least identity of each sequence to a set of references (the first three long sequences)."""
+    rows = coding(spark, d).select("rec_id", "s")
+    refs = [r["s"] for r in rows.filter(F.length("s") >= 60).orderBy("rec_id").limit(3).collect()]  # the set is a parameter
+    return rows.select("rec_id", r6(K.min_identity(F.col("s"), refs)).alias("min_identity"))
+
+
+METRICS = ["length", "gc", "cai", "tai", "fop", "cpb", "cpg_obs_exp", "rare_codon_runs", "homopolymers", "forbidden_sites"]
+
+
+@query(
+    f"""WITH {RECORDS}, m AS (SELECT v.rec_id, n_nt AS length, gc, cai, tai, fop, cpb, cpg_obs_exp, rr.n_runs::INT AS rare_codon_runs, h.n_runs::INT AS homopolymers, coalesce(f.k, 0)::INT AS forbidden_sites, check_message AS message FROM ({ORACLE['sc_validate_cds']}) v JOIN ({ORACLE['sc_composition']}) c USING (rec_id)
+JOIN ({ORACLE['sc_adaptation']}) a USING (rec_id) JOIN ({ORACLE['sc_codon_pair_bias']}) p USING (rec_id) JOIN ({ORACLE['sc_cpg_upa']}) d USING (rec_id) JOIN ({ORACLE['sc_rare_codon_runs']}) rr USING (rec_id) JOIN ({ORACLE['sc_homopolymers']}) h USING (rec_id)
+LEFT JOIN (SELECT rec_id, count(*) AS k FROM ({ORACLE['sc_forbidden_sites']}) GROUP BY rec_id) f USING (rec_id)), w AS (SELECT rec.rec_id, m.* EXCLUDE (rec_id), message = 'OK' AS ok FROM rec LEFT JOIN m USING (rec_id)),
+x AS (SELECT *, CASE WHEN ok THEN concat_ws(',', CASE WHEN cpg_obs_exp > 1.5 THEN 'cpg' END, CASE WHEN rare_codon_runs > 0 THEN 'rare_codon_runs' END, CASE WHEN homopolymers > 0 THEN 'homopolymers' END, CASE WHEN forbidden_sites > 0 THEN 'forbidden_sites' END) ELSE '' END AS warnings FROM w)
+SELECT rec_id, CASE WHEN NOT coalesce(ok, false) THEN 'error' WHEN warnings <> '' THEN 'warning' ELSE 'success' END AS status, {', '.join(f'CASE WHEN ok THEN {k} END AS {k}' for k in METRICS)}, warnings, CASE WHEN NOT coalesce(ok, false) THEN coalesce(message, 'No sequence.') END AS error FROM x"""
+)
 def sc_analyze(spark, d) -> DataFrame:
     """Analyser task over all records: envelope with status, metrics, warnings and error."""
     rows = records(spark, d).select("rec_id", "host", "raw", "s").withColumn("cs", K.codons(F.col("s")))
@@ -251,4 +298,4 @@ def sc_analyze(spark, d) -> DataFrame:
         F.array(F.when(F.col("metrics.cpg_obs_exp") > 1.5, "cpg"), F.when(F.col("metrics.rare_codon_runs") > 0, "rare_codon_runs"), F.when(F.col("metrics.homopolymers") > 0, "homopolymers"), F.when(F.col("metrics.forbidden_sites") > 0, "forbidden_sites"))
     )
     status = F.when(F.col("message").isNull() | (F.col("message") != "OK"), "error").when(F.size(warn) > 0, "warning").otherwise("success")
-    return out.select("rec_id", status.alias("status"), "metrics", F.array_join(warn, ",").alias("warnings"), F.when(status == "error", F.coalesce("message", F.lit("No sequence."))).alias("error"))
+    return out.select("rec_id", status.alias("status"), "metrics.*", F.array_join(warn, ",").alias("warnings"), F.when(status == "error", F.coalesce("message", F.lit("No sequence."))).alias("error"))

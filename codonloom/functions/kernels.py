@@ -302,6 +302,21 @@ def codon_pair_score(pairs_seen: Column, pair_share: Column, first_share: Column
     return F.when((pair_share > 0) & (first_share > 0) & (second_share > 0), F.log(pair_share / (first_share * second_share)))
 
 
+def mean_pair_score(cs: Column, host: Column, shares: dict[str, dict[str, float]]) -> Column:
+    """Mean codon pair score of the adjacent pairs with a known share (``host -> pair -> share``)
+    and codon use above 0; 0 without such pairs."""
+    both = F.when(F.size(cs) > 1, F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs) - 1), lambda a, b: F.concat(a, F.lit("-"), b))).otherwise(
+        F.array().cast("array<string>")
+    )
+    out = F.array().cast("array<double>")
+    for name in reversed(G.HOSTS):
+        use = G.usage(name)
+        known = {p: math.log(x / (use[p[:3]] * use[p[4:]])) for p, x in shares.get(name, {}).items() if x > 0 and use.get(p[:3], 0) * use.get(p[4:], 0) > 0}
+        if known:
+            out = F.when(host == name, F.array_compact(_looked_up(both, _literal_map({k: F.lit(v) for k, v in known.items()})))).otherwise(out)
+    return mean(out)
+
+
 def lm_stats(loglik: Column, n: Column) -> Column:
     """Struct ``loglik, avg_loglik, perplexity, geom, score`` of n log probabilities' sum; none
     gives 0, 0, 1, 1, 1."""

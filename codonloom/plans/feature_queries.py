@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import rules as R
 from ..functions.text_norm import protein_key
-from .registry import ORACLE, RECORDS, RESIDUES, coding, query, records, spread, sql_protein, table
+from .registry import CODONS, DIM, ORACLE, RECORDS, RESIDUES, coding, query, records, spread, sql_protein, table
 from .sequence_queries import MOTIFS, r6
 
 
@@ -144,6 +144,74 @@ def rules_score(spark, d) -> DataFrame:
     return terms.select("rec_id", r6(F.col("cai")).alias("cai"), r6(F.col("fop")).alias("fop"), r6(total).alias("total_rules"))
 
 
+#: Pairs whose score the report takes from the table: the most frequent of each host.
+SCORED_PAIRS = 20
+
+
+def pair_shares(rows: DataFrame, most: int = SCORED_PAIRS) -> dict[str, dict[str, float]]:
+    """Share of each host's most frequent codon pairs (ties: the pair's text) among all its pairs."""
+    both = F.zip_with(F.slice("cs", 1, F.greatest(F.size("cs") - 1, F.lit(0))), F.slice("cs", 2, F.greatest(F.size("cs") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("-"), b))
+    n = rows.filter(F.size("cs") > 1).select("host", F.explode(both).alias("pair")).groupBy("host", "pair").agg(F.count("*").alias("n"))
+    by_host = Window.partitionBy("host")  # at most 4096 pairs
+    ranked = n.withColumn("share", F.col("n") / F.sum("n").over(by_host)).withColumn("r", F.row_number().over(by_host.orderBy(F.desc("n"), "pair"))).filter(F.col("r") <= most)
+    out: dict[str, dict[str, float]] = {}
+    for r in ranked.collect():  # ``most`` pairs a host
+        out.setdefault(r["host"], {})[r["pair"]] = r["share"]
+    return out
+
+
+REPORT = """cai tai fop gc gc_term win_gc_term struct5_proxy dG_vienna dG_term forbidden_hits rare_run_len homopoly_len cpb cps cpg_count cpg_freq cpg_obs_exp upa_count upa_freq upa_obs_exp cpg_penalty upa_penalty feat_struct_term diversity_term
+lm_host_term lm_cond_term lm_host_geom lm_cond_geom lm_host_perplexity lm_cond_perplexity total_rules mfe_5p_dG mfe_global_dG mfe_5p_note""".split()
+
+
+@query(
+    f"""WITH {RECORDS}, {CODONS}, {DIM}, b AS (SELECT protein_id, min(plDDT_mean) AS pl, min(msa_depth) AS md, min(conservation_mean) AS cm, min(kd_hydropathy_mean) AS kd FROM feature_bundle GROUP BY protein_id), ok AS (SELECT c.rec_id, c.host, c.s, c.aa, b.* EXCLUDE (protein_id) FROM cds c LEFT JOIN b USING (protein_id) JOIN {raw('sc_validate_cds')} v ON v.rec_id = c.rec_id WHERE v.check_message = 'OK'),
+w AS (SELECT rec_id, 1 - count(*) FILTER (g < 0.30 OR g > 0.70) / count(*) AS wg FROM (SELECT rec_id, length(regexp_replace(substr(s, i::INT + 1, 50), '[^GC]', '', 'g')) / 50 AS g FROM (SELECT rec_id, s, unnest(range(0, length(s) - 49, 10)) AS i FROM cds WHERE length(s) >= 50)) GROUP BY rec_id),
+fs AS (SELECT rec_id, count(*) AS k FROM {raw('sc_forbidden_sites')} GROUP BY rec_id), pr AS (SELECT rec_id, host, codon AS a, lead(codon) OVER (PARTITION BY rec_id ORDER BY i) AS b FROM cod), pn AS (SELECT host, a, b, count(*) AS n FROM pr WHERE b IS NOT NULL GROUP BY ALL),
+ps AS (SELECT *, n / sum(n) OVER (PARTITION BY host) AS share, row_number() OVER (PARTITION BY host ORDER BY n DESC, a || '-' || b) AS r FROM pn), sc AS (SELECT ps.host, ps.a, ps.b, ln(share / (x.u * y.u)) AS z FROM ps JOIN dim x ON x.host = ps.host AND x.codon = ps.a JOIN dim y ON y.host = ps.host AND y.codon = ps.b WHERE r <= {SCORED_PAIRS} AND x.u * y.u > 0),
+cs AS (SELECT rec_id, avg(z) AS cps FROM pr JOIN sc USING (host, a, b) GROUP BY rec_id), refs AS (SELECT s AS ref FROM ok ORDER BY rec_id LIMIT 1), di AS (SELECT rec_id, list_sum(list_transform(range(1, least(length(s), length(ref)) + 1), lambda i: (substr(s, i::INT, 1) = substr(ref, i::INT, 1))::INT)) / least(length(s), length(ref)) AS same FROM ok, refs),
+x AS (SELECT ok.rec_id, ad.cai, ad.tai, ad.fop, co.gc, {_cl('1 - greatest(0.0, CASE WHEN gc < 0.35 THEN (0.35 - gc) / 0.35 ELSE (gc - 0.65) / 0.35 END)')} AS gc_term, coalesce(wg, 1)::DOUBLE AS win_gc_term, struct5 AS struct5_proxy, struct5 / 4 AS dG_vienna, CASE WHEN struct5 / 4 >= -5 THEN 1.0 ELSE greatest(0.0, 1 - (-5 - struct5 / 4) / 10) END::DOUBLE AS dG_term,
+coalesce(fs.k, 0)::INT AS forbidden_hits, rr.run_codons::DOUBLE AS rare_run_len, h.run_nt::DOUBLE AS homopoly_len, cp.cpb, coalesce(cs.cps, 0) AS cps, du.cpg_count, du.cpg_freq, du.cpg_obs_exp, du.upa_count, du.upa_freq, du.upa_obs_exp, greatest(0.0, cpg_obs_exp - 1) AS cpg_penalty, greatest(0.0, upa_obs_exp - 1) AS upa_penalty,
+CASE WHEN pl IS NULL OR isnan(pl) THEN 0 ELSE 0.4 * {_cl('pl / 100')} END + CASE WHEN md IS NULL OR isnan(md) THEN 0 ELSE 0.2 * {_cl('log10(1 + md) / 3')} END + CASE WHEN cm IS NULL OR isnan(cm) THEN 0 ELSE 0.2 * {_cl('cm')} END + CASE WHEN kd IS NULL OR isnan(kd) THEN 0 ELSE 0.2 * {_cl('1 - greatest(0.0, kd - 2) / 4')} END AS feat_struct_term,
+CASE WHEN same > 0.98 THEN -(same - 0.98) / 0.02 ELSE 0 END AS diversity_term, {_cl('lm.score')} AS lm_host_term, CASE WHEN t.matches THEN {_cl('lm.score')} ELSE 0 END AS lm_cond_term, lm.geom AS lm_host_geom, CASE WHEN t.matches THEN lm.geom ELSE 0 END AS lm_cond_geom, lm.perplexity AS lm_host_perplexity, CASE WHEN t.matches THEN lm.perplexity END AS lm_cond_perplexity,
+struct5 / 4 AS mfe_5p_dG, NULL::DOUBLE AS mfe_global_dG, fp.note0 AS mfe_5p_note
+FROM ok JOIN {raw('sc_usage_lm')} lm USING (rec_id) JOIN {raw('sc_translate')} t USING (rec_id) JOIN {raw('sc_adaptation')} ad USING (rec_id) JOIN {raw('sc_composition')} co USING (rec_id) LEFT JOIN w USING (rec_id) JOIN {raw('sc_five_prime')} fp USING (rec_id) LEFT JOIN fs USING (rec_id) LEFT JOIN cs USING (rec_id) JOIN di USING (rec_id)
+JOIN {raw('sc_rare_codon_runs')} rr USING (rec_id) JOIN {raw('sc_homopolymers')} h USING (rec_id) JOIN {raw('sc_codon_pair_bias')} cp USING (rec_id) JOIN {raw('sc_cpg_upa')} du USING (rec_id)),
+y AS (SELECT *, 0.6 * lm_host_term + 0.25 * lm_cond_term + cai + 0.5 * tai + 0.8 * fop + 0.5 * gc_term + 0.5 * win_gc_term + 0.5 / (1 + exp(-struct5_proxy / 3)) + 0.5 * dG_term - forbidden_hits - 0.5 * rare_run_len - 0.3 * homopoly_len + 0.2 * cpb + 0.2 * cps - 0.3 * cpg_penalty - 0.2 * upa_penalty + 0.3 * feat_struct_term + 0.3 * diversity_term AS total_rules FROM x)
+SELECT rec_id, {', '.join(k if k in ('forbidden_hits', 'cpg_count', 'upa_count', 'mfe_5p_note') else f'round({k}, 6) AS {chr(34)}{k}{chr(34)}' for k in REPORT)} FROM y"""
+)
+def rules_report(spark, d) -> DataFrame:
+    """All outputs of the rules score with its 18 terms.
+
+    Pair shares come from the table (the most frequent pairs of each host), the diversity term from
+    the identity to the first valid sequence.  Free energies are an input: the structure proxy over
+    four stands for that of the 5' end, the global one is null."""
+    bundle = table(spark, d, "feature_bundle").groupBy("protein_id").agg(*[F.min(c).alias(c) for c in ("plDDT_mean", "msa_depth", "conservation_mean", "kd_hydropathy_mean")])
+    every = coding(spark, d)
+    shares = pair_shares(every.select("host", "cs"))
+    rows = records(spark, d).filter("raw is not null").select("rec_id", "protein_id", "host", "aa", "s").filter(K.validate_cds(F.col("s")) == "OK")
+    first = [r["s"] for r in rows.select("rec_id", "s").orderBy("rec_id").limit(1).collect()]  # the references are a parameter
+    rows = spread(rows.join(bundle, "protein_id", "left")).withColumn("cs", K.codons(F.col("s")))
+    s, cs, host = F.col("s"), F.col("cs"), F.col("host")
+    rows = rows.withColumns({"f": K.codon_facts(cs, host), "w": K.sliding_gc(s), "pb": K.pair_bias(s, "CG"), "ub": K.pair_bias(s, "TA"), "s5": K.five_prime_structure(s), "runs": K.rare_runs(K.rare_flags(cs, host))})
+    rows = rows.withColumns({"lm": K.usage_lm(F.col("f")), "match": K.translate(cs) == F.col("aa"), "g": K.gc(s), "dg": F.col("s5") / 4})
+    f, lm, match, dg = F.col("f"), F.col("lm"), F.coalesce("match", F.lit(False)), F.col("dg")
+    score, zero = K.clamp(lm["score"], 0, 1), F.lit(0.0)
+    out = rows.select(
+        "rec_id", K.cai(f).alias("cai"), K.tai(f).alias("tai"), K.fop(f).alias("fop"), F.col("g").alias("gc"), R.gc_term(F.col("g")).alias("gc_term"), R.window_gc_term(F.col("w")).alias("win_gc_term"), F.col("s5").alias("struct5_proxy"), dg.alias("dG_vienna"), R.energy_term(dg).alias("dG_term"),
+        K.motif_hits(s, MOTIFS).alias("forbidden_hits"), F.length(F.array_join("runs", "")).cast("double").alias("rare_run_len"), F.length(F.array_join(K.homopolymers(s), "")).cast("double").alias("homopoly_len"), K.codon_pair_bias(cs, host).alias("cpb"), K.mean_pair_score(cs, host, shares).alias("cps"),
+        *[F.col(f"{a}.{k}").cast("long" if k == "count" else "double").alias(f"{b}_{k}") for a, b in (("pb", "cpg"), ("ub", "upa")) for k in ("count", "freq", "obs_exp")],
+        F.greatest(zero, F.col("pb.obs_exp") - 1).alias("cpg_penalty"), F.greatest(zero, F.col("ub.obs_exp") - 1).alias("upa_penalty"), R.structure_term(F.col("plDDT_mean"), F.col("msa_depth"), F.col("conservation_mean"), F.col("kd_hydropathy_mean")).alias("feat_struct_term"),
+        R.diversity_term(K.min_identity(s, first)).alias("diversity_term"), score.alias("lm_host_term"), F.when(match, score).otherwise(zero).alias("lm_cond_term"), lm["geom"].alias("lm_host_geom"), F.when(match, lm["geom"]).otherwise(zero).alias("lm_cond_geom"),
+        lm["perplexity"].alias("lm_host_perplexity"), F.when(match, lm["perplexity"]).alias("lm_cond_perplexity"), dg.alias("mfe_5p_dG"), F.lit(None).cast("double").alias("mfe_global_dG"), K.mfe_note(s, F.lit(0)).alias("mfe_5p_note"),
+    )
+    term = lambda c: F.col(c).cast("double")
+    terms = {"lm_host": "lm_host_term", "lm_cond": "lm_cond_term", "gc": "gc_term", "win_gc": "win_gc_term", "struct5_dG": "dG_term", "forbidden": "forbidden_hits", "rare_runs": "rare_run_len", "homopoly": "homopoly_len", "feat_struct": "feat_struct_term", "diversity": "diversity_term"}
+    named = {k: term(terms.get(k, k)) for k in R.WEIGHTS if k != "struct5"} | {"struct5": 1 / (1 + F.exp(-F.col("struct5_proxy") / 3))}
+    out = out.withColumn("total_rules", R.weighted(named))
+    return out.select("rec_id", *[F.col(k) if k in ("forbidden_hits", "cpg_count", "upa_count", "mfe_5p_note") else r6(F.col(k)).alias(k) for k in REPORT])
+
+
 BUNDLE = ["gc", "cpb", "cpg_count", "cpg_freq", "cpg_obs_exp", "upa_count", "upa_freq", "upa_obs_exp", "rare_runs_count", "rare_runs_length", "homopolymers_count", "homopolymers_length", "cai", "tai", "fop", "cps"]
 
 

@@ -98,6 +98,17 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     QuantileSurrogate.fit(rows, "y", a.quantile_hi).save(a.output)
 
 
+def testmodel(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Errors of a saved model on datasets, over all and by host, as CSV."""
+    from .operators.evaluate import regression_metrics
+    from .operators.models import QuantileSurrogate, training_vectors
+
+    rows = training_vectors(L.merged_datasets(spark, a.input.split(","), least=a.min_length, most=a.max_length))
+    scored = QuantileSurrogate.load(a.model).predict(rows)
+    scored = scored.withColumn("host", F.explode(F.array("host", F.lit("all"))))
+    W.write_csv(regression_metrics(scored, "y", "mu", ["host"]), a.output)
+
+
 def stream(spark: SparkSession, a: argparse.Namespace) -> None:
     enrich.enrich_stream(spark, a.input, a.output, a.checkpoint).awaitTermination()
 
@@ -133,6 +144,7 @@ def parser() -> argparse.ArgumentParser:
     add(
         train, ("--hosts", {}), ("--min-length", {"type": int, "default": 50}), ("--max-length", {"type": int, "default": 10_000}), ("--balance-hosts", {"action": "store_true"}), ("--quantile-hi", {"type": float, "default": 0.84})
     )
+    add(testmodel, ("--model", {"required": True}), ("--min-length", {"type": int, "default": 50}), ("--max-length", {"type": int, "default": 10_000}))
     add(stream, ("--checkpoint", {"required": True}))
     return p
 

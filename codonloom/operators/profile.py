@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import running_sum
+
 # The quantiles of a profile.
 QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
@@ -32,19 +34,32 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def nearest_rank(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Exact quantiles by nearest rank with half-to-even rounding of ``p (n - 1)``.
-
-    Values are counted first, so ranks come from running counts over the distinct values, and the
-    running sum over one column runs over partial sums of value ranges, not over all rows."""
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, k, hi, n``: the count of each distinct value, the count up to and with it,
+    and of all values; ranks come from range partitions of the distinct values."""
     counts = stacked(df, columns).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("k"))
-    order = Window.partitionBy("column").orderBy("value")
-    run = counts.withColumn("hi", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy("column")))
+    run = running_sum(counts, ["column"], ["value"], "k", "hi")
+    return run.join(F.broadcast(run.groupBy("column").agg(F.sum("k").alias("n"))), "column")  # one row a column
+
+
+def nearest_rank(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Exact quantiles by nearest rank with half-to-even rounding of ``p (n - 1)``."""
     ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long").alias("r")) for p in quantiles])
-    hit = run.select("column", "value", "hi", "k", F.explode(ranks).alias("q")).filter((F.col("q.r") < F.col("hi")) & (F.col("q.r") >= F.col("hi") - F.col("k")))
+    hit = value_counts(df, columns).select("column", "value", "hi", "k", F.explode(ranks).alias("q")).filter((F.col("q.r") < F.col("hi")) & (F.col("q.r") >= F.col("hi") - F.col("k")))
     return hit.select("column", F.col("q.p").alias("p"), "value")
 
 
+def linear_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ...]) -> DataFrame:
+    """``column, p, value``: exact quantiles with linear interpolation between the neighbours of
+    ``p (n - 1)``; columns without values have no rows."""
+    at = lambda p: F.lit(p) * (F.col("n") - 1)
+    ends = [F.struct(F.lit(p).alias("p"), f(at(p)).cast("long").alias("r"), F.lit(i).alias("end"), (at(p) - F.floor(at(p))).alias("share")) for p in quantiles for i, f in enumerate((F.floor, F.ceil))]
+    hit = value_counts(df, columns).select("column", "value", "hi", "k", F.explode(F.array(*ends)).alias("q")).filter((F.col("q.r") < F.col("hi")) & (F.col("q.r") >= F.col("hi") - F.col("k")))
+    low, high = F.max(F.when(F.col("q.end") == 0, F.col("value"))), F.max(F.when(F.col("q.end") == 1, F.col("value")))
+    both = hit.groupBy("column", F.col("q.p").alias("p")).agg(low.alias("a"), high.alias("b"), F.max("q.share").alias("s"))
+    return both.select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("s")).alias("value"))
+
+
 def sketched(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES, accuracy: int = 10_000) -> DataFrame:
     """Mergeable approximate quantiles: bounded state whatever the number of rows."""
     got = stacked(df, columns).groupBy("column").agg(F.percentile_approx("value", list(quantiles), accuracy).alias("v"))
@@ -80,10 +95,11 @@ def correlation_pairs(df: DataFrame, columns: list[str], listwise: bool) -> Data
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of values outside 1.5 IQR of linear quartiles; nulls stay in the denominator."""
     cells = stacked(df, columns)
-    q = cells.groupBy("column").agg(F.percentile("value", F.lit([0.25, 0.75])).alias("q"))
-    low, high = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    q = linear_quantiles(df, columns, (0.25, 0.75)).groupBy("column").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     # one row a column
-    return cells.join(F.broadcast(q), "column").groupBy("column").agg((F.count_if((F.col("value") < low) | (F.col("value") > high)) / F.count("*") * 100).alias("outlier_pct"))
+    return cells.join(F.broadcast(q), "column", "left").groupBy("column").agg((F.count_if((F.col("value") < low) | (F.col("value") > high)) / F.count("*") * 100).alias("outlier_pct"))
 
 
 def histogram(value: Column, edges: list[float], open_end: bool = False) -> Column:

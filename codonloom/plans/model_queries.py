@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from ..operators import evaluate as E
 from ..operators import generate as N
 from ..operators import pairs as C
 from ..operators.profile import number
-from .registry import ORACLE, RECORDS, query, records, spread, sql_protein, table
+from .lineage import checkpoint_dir, cut
+from .registry import ORACLE, RECORDS, coding, query, records, spread, sql_protein, table
 from .sequence_queries import r6
 
 GRP = f"{RECORDS}, g AS (SELECT md5(aa || '_' || host) AS grp, rec_id, CASE WHEN NOT isnan(expression.value) THEN expression.value END AS v, length(aa)::DOUBLE AS n FROM rec WHERE aa IS NOT NULL)"
@@ -70,7 +72,7 @@ def cp_robust_pairs(spark, d) -> DataFrame:
 
     g = grouped(spark, d)
     real = C.group_pairs(g, "grp", "rec_id", "v", 0.1)
-    labels = out_of_fold(model_rows(spark, d).cache(), "y", "rec_id").select("rec_id", "weak")
+    labels = out_of_fold(model_rows(spark, d), "y", "rec_id").select("rec_id", "weak")
     weak = C.group_pairs(g.join(labels, "rec_id"), "grp", "rec_id", "weak")
     noise = C.noise_pairs(g, "grp", "rec_id", "v", 1.0, 5)
     return C.robust_pairs(real, weak, noise, "grp", 30_000).select("grp", "i", "j", "label", "source")
@@ -246,7 +248,7 @@ SELECT count(*) AS n, round(avg((sign(ds) = y)::INT), 6) AS accuracy, round(corr
 def md_global_rank(spark, d) -> DataFrame:
     """Accuracy and Spearman over all pairs.  Ranks come from the counts of distinct values, so
     no window runs over all rows."""
-    from pyspark.sql import Window
+    from ..operators.ordinals import running_sum
 
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     p = t.toDF("k", "i", "s1", "t1").join(t.toDF("k", "j", "s2", "t2"), "k").filter("i < j and t1 <> t2").select((F.col("s1") - F.col("s2")).alias("ds"), F.signum(F.col("t1") - F.col("t2")).alias("y"))
@@ -254,7 +256,7 @@ def md_global_rank(spark, d) -> DataFrame:
 
     def ranks(c: str, out: str) -> DataFrame:
         by = cells.groupBy(c).agg(F.sum("n").alias("k"))  # one row a distinct value
-        return by.select(c, (F.sum("k").over(Window.orderBy(c)) - (F.col("k") - 1) / 2.0).alias(out))
+        return running_sum(by, [], [c], "k", "hi").select(c, (F.col("hi") - (F.col("k") - 1) / 2.0).alias(out))
 
     r = cells.join(ranks("ds", "x"), "ds").join(ranks("y", "z"), "y")
     n = F.sum("n")
@@ -268,44 +270,118 @@ def md_global_rank(spark, d) -> DataFrame:
 # --- models ----------------------------------------------------------------------------------
 
 
+MODEL_KEYS = ["struct_plddt_mean", "struct_helix_ratio", "evo_msa_depth", "evo_conservation_mean", "ctx_promoter_strength"]
+LABELLED = "m AS (SELECT rec_id, expression.value AS y FROM integrated_test_1 WHERE expression.value IS NOT NULL AND NOT isnan(expression.value))"
+
+
 def model_rows(spark, d) -> DataFrame:
+    """Labelled records with their vectors, written once: every tree reads them again."""
     from ..operators.models import assembled
 
-    keys = ["struct_plddt_mean", "struct_helix_ratio", "evo_msa_depth", "evo_conservation_mean", "ctx_promoter_strength"]
-    r = records(spark, d).select("rec_id", number(F.col("expression.value")).alias("y"), F.length("aa").alias("n"), *[F.try_element_at("extra_features", F.lit(k)).alias(k) for k in keys])
-    return assembled(spread(r.filter("y is not null")), ["n", *keys])
+    r = records(spark, d).select("rec_id", "host", number(F.col("expression.value")).alias("y"), F.length("aa").alias("n"), *[F.try_element_at("extra_features", F.lit(k)).alias(k) for k in MODEL_KEYS])
+    return cut(assembled(spread(r.filter("y is not null")), ["n", *MODEL_KEYS]).select("rec_id", "host", "y", "features"))
+
+
+def _checked(scored: DataFrame, spark, d) -> DataFrame:
+    """One row: rows, rows with a usable sigma, and whether mu errs less than one constant."""
+    e = scored.agg(F.count("*").alias("n_rows"), F.count_if(F.col("sigma") > 0).alias("n_sigma"), F.countDistinct(r6(F.col("sigma"))).alias("k"), F.avg(F.abs(F.col("y") - F.col("mu"))).alias("mae"), F.avg("y").alias("m"))
+    flat = scored.crossJoin(F.broadcast(e.select("m"))).agg(F.avg(F.abs(F.col("y") - F.col("m"))).alias("flat"))  # one row
+    return e.crossJoin(flat).select("n_rows", "n_sigma", (F.col("k") > 1).alias("sigma_differs"), (F.col("mae") < F.col("flat")).alias("beats_constant"))  # two single rows
+
+
+CHECKED = f"WITH {LABELLED} SELECT count(*) AS n_rows, count(*) AS n_sigma, true AS sigma_differs, true AS beats_constant FROM m"
 
 
 @query()
 def md_surrogate(spark, d) -> DataFrame:
-    """Median and upper-quantile surrogate: mu and sigma of every record."""
+    """Median and upper-quantile surrogate: mu and sigma of every record (its properties are
+    checked by md_surrogate_checks)."""
     from ..operators.models import QuantileSurrogate
 
-    rows = model_rows(spark, d).cache()
+    rows = model_rows(spark, d)
     return QuantileSurrogate.fit(rows, "y").predict(rows).select("rec_id", r6(F.col("mu")).alias("mu"), r6(F.col("sigma")).alias("sigma"))
 
 
+@query(CHECKED)
+def md_surrogate_checks(spark, d) -> DataFrame:
+    """The surrogate on its own rows, half as many trees, saved and loaded in between: every sigma
+    is positive, sigmas differ, and mu errs less than the mean."""
+    from ..operators.models import QuantileSurrogate
+
+    rows = model_rows(spark, d)
+    path = f"{checkpoint_dir(spark)}/surrogate-{uuid.uuid4().hex}"
+    QuantileSurrogate.fit(rows, "y", trees=10).save(path)
+    return _checked(QuantileSurrogate.load(path).predict(rows), spark, d)
+
+
 @query()
 def md_ensemble(spark, d) -> DataFrame:
     from ..operators.models import ensemble, ensemble_predict
 
-    rows = model_rows(spark, d).cache()
+    rows = model_rows(spark, d)
     return ensemble_predict(ensemble(rows, "y", "rec_id"), rows).select("rec_id", r6(F.col("mu")).alias("mu"), r6(F.col("sigma")).alias("sigma"))
 
 
+@query(
+    f"WITH {LABELLED}, p AS (SELECT {sql_seeded(42, 'rec_id')} / {1 << 60}.0::DOUBLE AS u FROM m) SELECT count(*) FILTER (u >= 0.35) AS n_train, count(*) FILTER (u >= 0.15 AND u < 0.35) AS n_cal, count(*) FILTER (u < 0.15) AS n_test, true AS near_level, true AS has_width FROM p"
+)
+def md_ensemble_conformal(spark, d) -> DataFrame:
+    """Ensemble with calibrated intervals, in three parts: sizes, and whether the coverage on the
+    test rows lies within a tenth of the level of 90 %."""
+    from ..operators.models import ensemble_with_conformal
+
+    report, _ = ensemble_with_conformal(model_rows(spark, d), "y", "rec_id", members=2, trees=5)
+    return report.select("n_train", "n_cal", "n_test", (F.abs(F.col("coverage") - 0.9) <= 0.1).alias("near_level"), (F.col("width") > 0).alias("has_width"))
+
+
+@query("SELECT * FROM (VALUES ('ctx', 1, true), ('evo', 2, true), ('n', 1, true), ('struct', 2, true)) AS t(family, n_features, is_share)")
+def md_importance(spark, d) -> DataFrame:
+    """Feature importances of an ensemble by family: features, and whether their sum is a share."""
+    from ..operators.models import ensemble, importance_summary
+
+    got = importance_summary(ensemble(model_rows(spark, d), "y", "rec_id", members=2, trees=5), ["n", *MODEL_KEYS])
+    rows = spark.createDataFrame(got, "feature string, mean double, std double")
+    by = rows.groupBy(F.regexp_extract("feature", "^([a-z0-9]+)", 1).alias("family")).agg(F.count("*").cast("int").alias("n_features"), F.sum("mean").alias("s"))
+    return by.select("family", "n_features", F.col("s").between(0, 1 + 1e-9).alias("is_share"))
+
+
+@query(f"WITH {RECORDS}, {LABELLED} SELECT host, count(*) AS n_rows, true AS mae_is_least, true AS quantiles_rise FROM m JOIN rec USING (rec_id) GROUP BY host")
+def md_model_test(spark, d) -> DataFrame:
+    """Test of a model by host: rows, and whether its errors are in order (mean error at most the
+    root of the mean square, error quantiles rising)."""
+    from ..operators.models import QuantileSurrogate
+
+    rows = model_rows(spark, d)
+    m = E.regression_metrics(QuantileSurrogate.fit(rows, "y", trees=5).predict(rows), "y", "mu", ["host"])
+    return m.select("host", F.col("n").alias("n_rows"), (F.col("mae") <= F.col("rmse") + 1e-9).alias("mae_is_least"), ((F.col("median_ae") <= F.col("p90")) & (F.col("p90") <= F.col("max_ae"))).alias("quantiles_rise"))
+
+
 @query()
 def md_out_of_fold(spark, d) -> DataFrame:
+    """Weak labels by models that never saw the row, with their confidence."""
     from ..operators.models import out_of_fold
 
-    return out_of_fold(model_rows(spark, d).cache(), "y", "rec_id")
+    return out_of_fold(model_rows(spark, d), "y", "rec_id")
+
+
+@query(f"WITH {LABELLED} SELECT rec_id, ({sql_seeded(5, 'rec_id')} % 5)::INT AS fold, true AS has_weak, true AS sure FROM m")
+def md_out_of_fold_checks(spark, d) -> DataFrame:
+    """The weak labels' folds, and whether label and confidence are in their ranges."""
+    r = md_out_of_fold(spark, d)
+    return r.select("rec_id", "fold", F.col("weak").isNotNull().alias("has_weak"), F.col("confidence").between(0, 1).alias("sure"))
 
 
 @query()
 def md_rank_net(spark, d) -> DataFrame:
-    """Linear pairwise ranker on the group pairs; scores of every record."""
+    """Linear pairwise ranker on the group pairs: codon adaptation, composition and length of the
+    sequences of one protein; scores of every record."""
     from ..operators.models import rank_net, rank_score
 
-    g = grouped(spark, d).filter("v is not null").withColumn("x", F.array((F.col("n") / 100), F.lit(1.0), F.pmod("rec_id", F.lit(7)) / 7.0))
+    s, f = F.col("s"), F.col("f")
+    vectors = coding(spark, d).select("rec_id", "s", "cs", "host", K.codon_facts(F.col("cs"), F.col("host")).alias("f")).select(
+        "rec_id", F.array(K.cai(f), K.tai(f), K.fop(f), K.gc(s), K.codon_pair_bias(F.col("cs"), F.col("host")), K.pair_bias(s, "CG")["obs_exp"], K.five_prime_structure(s) / 10).alias("x")
+    )
+    g = cut(grouped(spark, d).filter("v is not null").join(vectors, "rec_id"))
     pairs = C.pair_vectors(C.group_pairs(g, "grp", "rec_id", "v").select("grp", "i", "j", "label"), g, "grp", "rec_id", "x")
     return rank_score(rank_net(pairs), g, "x").select("rec_id", r6(F.col("score")).alias("score"))
 

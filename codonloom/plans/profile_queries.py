@@ -35,6 +35,15 @@ def ag_quantiles_sketch(spark, d) -> DataFrame:
     return P.sketched(table(spark, d, "lineitem"), NUM)
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", unnest([{', '.join(map(str, P.QUANTILES))}])::DOUBLE AS p, true AS within" for c in NUM))
+def ag_sketch_error(spark, d) -> DataFrame:
+    """Whether each sketched quantile's exact rank lies within a thousandth of its level."""
+    t = table(spark, d, "lineitem")
+    got = P.sketched(t, NUM).join(P.value_counts(t, NUM), ["column", "value"])
+    within = ((F.col("hi") - F.col("k")) / F.col("n") <= F.col("p") + 1e-3) & (F.col("hi") / F.col("n") >= F.col("p") - 1e-3)
+    return got.select("column", "p", within.alias("within"))
+
+
 @query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, value LIMIT 3")
 def ag_top_values(spark, d) -> DataFrame:
     return P.top_values(table(spark, d, "events"), "event_type", 3)
@@ -151,10 +160,10 @@ def ag_availability(spark, d) -> DataFrame:
 
 @query(f"WITH {CELLS} SELECT col AS \"column\", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max FROM c GROUP BY col")
 def ag_describe(spark, d) -> DataFrame:
-    c = P.stacked(table(spark, d, "lineitem"), NUM).groupBy("column")
-    q = F.percentile("value", F.lit([0.25, 0.5, 0.75]))
-    out = c.agg(F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return out.select("column", "n", "mean", "std", "min", *[r6(F.col("q")[i]).alias(f"p{k}") for i, k in enumerate((25, 50, 75))], "max")
+    t = table(spark, d, "lineitem")
+    out = P.stacked(t, NUM).groupBy("column").agg(F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = P.linear_quantiles(t, NUM, (0.25, 0.5, 0.75)).groupBy("column").agg(*[r6(F.max(F.when(F.col("p") == p, F.col("value")))).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return out.join(F.broadcast(q), "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row a column
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY o_orderpriority")

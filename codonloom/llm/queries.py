@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.registry import sql_protein, sql_sequence
 from .density_clusters import cluster_links, cluster_pairs, describe_clusters, similarity_clusters
 from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
@@ -102,15 +103,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
 
-PROTEIN = r"nullif(regexp_replace(upper(protein_aa), '[\s*]', '', 'g'), '')"
+PROTEIN, SEQUENCE = sql_protein("protein_aa"), sql_sequence("sequence")
+OVERLAPS = f"""t AS (SELECT rec_id, split = 'train' AS train, kind, txt FROM (SELECT rec_id, split, 0 AS kind, {PROTEIN} AS txt FROM integrated_test_1 UNION ALL SELECT rec_id, split, 1, {SEQUENCE} FROM integrated_test_1) WHERE split IN ('train', 'val', 'test') AND txt IS NOT NULL),
+u AS (SELECT DISTINCT kind, train, txt, length(txt) AS n FROM t), l AS (SELECT a.kind, a.txt AS x, b.txt AS y FROM u a JOIN u b ON a.kind = b.kind AND NOT a.train AND b.train AND abs(a.n - b.n) <= greatest(a.n, b.n) // 10 WHERE a.txt = b.txt OR levenshtein(a.txt, b.txt) <= greatest(a.n, b.n) // 10),
+o AS (SELECT DISTINCT a.rec_id AS held, b.rec_id AS train, l.x = l.y AS same FROM l JOIN t a ON a.kind = l.kind AND NOT a.train AND a.txt = l.x JOIN t b ON b.kind = l.kind AND b.train AND b.txt = l.y)"""
+CLUSTERS = f"""t AS (SELECT group_no, {PROTEIN} AS p FROM protein_group), u AS (SELECT p, length(p) AS n, min(group_no) AS id, count(*) AS weight FROM t WHERE p IS NOT NULL GROUP BY p),
+d AS (SELECT a.id AS x, b.id AS y, levenshtein(a.p, b.p) AS dist, greatest(a.n, b.n) // 4 AS k FROM u a JOIN u b ON a.id < b.id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 4), l AS (SELECT x, y, dist FROM d WHERE dist <= k), e AS (SELECT x, y, dist FROM l UNION ALL SELECT y, x, dist FROM l),
+r(n, c) AS (SELECT id, id FROM u UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.n WHERE r.c < e.y), c AS (SELECT n, min(c) AS c FROM r GROUP BY n)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": f"""WITH RECURSIVE t AS (SELECT group_no, {PROTEIN} AS p FROM protein_group), u AS (SELECT p, length(p) AS n, min(group_no) AS id FROM t WHERE p IS NOT NULL GROUP BY p),
-l AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id < b.id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 4 WHERE levenshtein(a.p, b.p) <= greatest(a.n, b.n) // 4), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-r(n, c) AS (SELECT id, id FROM u UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.n WHERE r.c < e.y), c AS (SELECT n, min(c) AS c FROM r GROUP BY n), g AS (SELECT t.group_no, c.c FROM t JOIN u USING (p) JOIN c ON c.n = u.id)
-SELECT a.group_no AS group_no_a, b.group_no AS group_no_b FROM g a JOIN g b USING (c) WHERE a.group_no < b.group_no""",
+        "p2_found": f"WITH {OVERLAPS} SELECT DISTINCT least(held, train) AS rec_id_a, greatest(held, train) AS rec_id_b FROM o",
+        "p2_overlap_report": f"""WITH {OVERLAPS}, h AS (SELECT rec_id, bool_or(same) AS exact FROM (SELECT held AS rec_id, same FROM o UNION ALL SELECT train, same FROM o) GROUP BY rec_id)
+SELECT split, source_file, count(*) AS n_records, count(exact) AS n_overlap, count(*) FILTER (exact) AS n_exact FROM integrated_test_1 LEFT JOIN h USING (rec_id) GROUP BY split, source_file""",
+        "p3_found": f"WITH RECURSIVE {CLUSTERS}, g AS (SELECT t.group_no, c.c FROM t JOIN u USING (p) JOIN c ON c.n = u.id) SELECT a.group_no AS group_no_a, b.group_no AS group_no_b FROM g a JOIN g b USING (c) WHERE a.group_no < b.group_no",
+        "p3_members": f"WITH RECURSIVE {CLUSTERS} SELECT t.group_no, c.c AS cluster, t.group_no = c.c AS names_cluster FROM t JOIN u USING (p) JOIN c ON c.n = u.id",
+        # density: rows with a text and with its neighbours; typical members: the densest texts
+        "p3_cluster_report": f"""WITH RECURSIVE {CLUSTERS}, f AS (SELECT u.id, u.weight + coalesce(sum(v.weight), 0) AS density FROM u LEFT JOIN e ON e.x = u.id LEFT JOIN u v ON v.id = e.y GROUP BY u.id, u.weight),
+k AS (SELECT DISTINCT e.x FROM e JOIN f a ON a.id = e.x JOIN f b ON b.id = e.y WHERE b.density > a.density OR (b.density = a.density AND b.id < a.id)),
+m AS (SELECT c.c, u.id, u.p, u.weight, f.density, k.x IS NULL AS peak, row_number() OVER (PARTITION BY c.c ORDER BY f.density DESC, u.id) AS r FROM u JOIN c ON c.n = u.id JOIN f USING (id) LEFT JOIN k ON k.x = u.id)
+SELECT c AS cluster, sum(weight)::BIGINT AS size, count(*) AS n_texts, count(*) FILTER (peak) AS n_peaks, list(id ORDER BY r) FILTER (r <= 3) AS typical_uids, max(p) FILTER (r = 1) AS representative_aa FROM m GROUP BY c""",
         "p5_found": f"""WITH RECURSIVE g AS (SELECT group_no, group_id, cluster_id, {PROTEIN} AS p FROM protein_group), l AS (SELECT DISTINCT cluster_id AS c, unnest(protein_groups) AS group_id FROM protein_cluster),
 m AS (SELECT 'c' || l.c AS k, g.group_no FROM l JOIN g USING (group_id) UNION SELECT 'c' || cluster_id, group_no FROM g WHERE cluster_id IS NOT NULL UNION SELECT 'p' || p, group_no FROM g WHERE p IS NOT NULL),
 s AS (SELECT group_no AS u, min(group_no) OVER (PARTITION BY k) AS v FROM m), e AS (SELECT u, v FROM s WHERE u <> v UNION SELECT v, u FROM s WHERE u <> v),

@@ -112,3 +112,32 @@ ORACLE: dict[str, str] = {
         ]
     )
 }
+
+
+def _filled(name: str, row: str, group: str, at: str, usable: str, source: str, gap_days: float | None) -> str:
+    """CTEs ending in ``{name}(id, value, method, distance_s)``: the fill in SQL.  Without a gap
+    numerics are interpolated, with one categories are carried."""
+    number = gap_days is None
+    best = (
+        f"{name}_p AS (SELECT g, tm, avg(v) AS v FROM {name}_b WHERE v IS NOT NULL AND tm IS NOT NULL GROUP BY g, tm), {name}_w AS (SELECT g, avg(v) AS v FROM {name}_b WHERE v IS NOT NULL GROUP BY g)"
+        if number
+        else f"""{name}_p AS (SELECT g, tm, v FROM (SELECT g, tm, v, count(*) AS k FROM {name}_b WHERE v IS NOT NULL AND tm IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY g, tm ORDER BY k DESC, v) = 1),
+{name}_w AS (SELECT g, v FROM (SELECT g, v, count(*) AS k FROM {name}_b WHERE v IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC, v) = 1)"""
+    )
+    near = "true" if number else f"least(back, ahead) <= {gap_days * 86_400}"
+    whole = "entity_mean" if number else "entity_mode"
+    cases = [("pv IS NOT NULL AND nv IS NOT NULL", "pv + (nv - pv) * CASE WHEN back + ahead > 0 THEN back / (back + ahead) ELSE 0 END", "'interpolated'", "least(back, ahead)")] if number else []
+    cases += [(f"{near} AND pv IS NOT NULL AND (nv IS NULL OR back <= ahead)", "pv", "'carried_forward'", "back"), (f"{near} AND nv IS NOT NULL", "nv", "'carried_back'", "ahead")]
+    pick = lambda i, other: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[i]}" for c in cases) + f" ELSE {other} END"
+    return f"""{name}_b AS (SELECT {row} AS id, {group} AS g, {at} AS tm, {usable} AS v FROM {source} WHERE {group} IS NOT NULL), {best},
+{name}_l AS (SELECT b.id, b.g, b.tm, w.v AS whole FROM {name}_b b JOIN {name}_w w ON w.g = b.g WHERE b.v IS NULL), {name}_n AS (SELECT l.id, l.whole, p.v AS pv, q.v AS nv, (epoch_us(l.tm) - epoch_us(p.tm)) / 1e6 AS back, (epoch_us(q.tm) - epoch_us(l.tm)) / 1e6 AS ahead
+FROM {name}_l l ASOF LEFT JOIN {name}_p p ON l.g = p.g AND l.tm >= p.tm ASOF LEFT JOIN {name}_p q ON l.g = q.g AND l.tm <= q.tm), {name} AS (SELECT id, {pick(1, 'whole')} AS value, {pick(2, repr(whole))} AS method, {pick(3, 'NULL')} AS distance_s FROM {name}_n)"""
+
+
+USABLE_PLDDT = f"CASE WHEN {PLDDT} > 0 AND {PLDDT} <= 100 AND NOT isnan({PLDDT}) THEN {PLDDT} END"
+USABLE_DEPTH = f"CASE WHEN {DEPTH} >= 1 AND isfinite({DEPTH}) THEN {DEPTH} END"
+ORACLE["p4_filled_records"] = f"""WITH {_filled('pl', 'rec_id', sql_protein('protein_aa'), 'created_at', USABLE_PLDDT, 'integrated_test_1', None)}, {_filled('ho', 'rec_id', 'metadata.genome_id', 'created_at', sql_host('host'), 'integrated_test_1', HOST_GAP_DAYS)}
+SELECT i.rec_id, i.protein_id, round(coalesce({USABLE_PLDDT}, pl.value), 6) AS struct_plddt_mean, pl.id IS NOT NULL AS plddt_filled, pl.method AS plddt_method, round(pl.distance_s, 3) AS plddt_distance_s, coalesce({sql_host('host')}, ho.value) AS host,
+ho.id IS NOT NULL AS host_filled, ho.method AS host_method, round(ho.distance_s, 3) AS host_distance_s FROM integrated_test_1 i LEFT JOIN pl ON pl.id = i.rec_id LEFT JOIN ho ON ho.id = i.rec_id"""
+ORACLE["p4_filled_depths"] = f"""WITH {_filled('de', 'evo_id', 'protein_id', 'computed_at', USABLE_DEPTH, 'evolutionary_features', None)}
+SELECT e.evo_id, e.protein_id, round(coalesce({USABLE_DEPTH}, de.value), 6) AS msa_depth, de.id IS NOT NULL AS filled, de.method, round(de.distance_s, 3) AS distance_s FROM evolutionary_features e LEFT JOIN de ON de.id = e.evo_id"""

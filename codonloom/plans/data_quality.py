@@ -141,3 +141,31 @@ SELECT i.rec_id, i.protein_id, round(coalesce({USABLE_PLDDT}, pl.value), 6) AS s
 ho.id IS NOT NULL AS host_filled, ho.method AS host_method, round(ho.distance_s, 3) AS host_distance_s FROM integrated_test_1 i LEFT JOIN pl ON pl.id = i.rec_id LEFT JOIN ho ON ho.id = i.rec_id"""
 ORACLE["p4_filled_depths"] = f"""WITH {_filled('de', 'evo_id', 'protein_id', 'computed_at', USABLE_DEPTH, 'evolutionary_features', None)}
 SELECT e.evo_id, e.protein_id, round(coalesce({USABLE_DEPTH}, de.value), 6) AS msa_depth, de.id IS NOT NULL AS filled, de.method, round(de.distance_s, 3) AS distance_s FROM evolutionary_features e LEFT JOIN de ON de.id = e.evo_id"""
+
+
+def _same_text(text: str) -> str:
+    """A text without its type: numbers in ten digits, truth values as 1 and 0."""
+    plain = f"lower(trim({text}))"
+    return f"CASE WHEN {plain} IN ('true', 'false') THEN CASE WHEN {plain} = 'true' THEN '1' ELSE '0' END WHEN try_cast({plain} AS DOUBLE) IS NOT NULL AND isfinite(try_cast({plain} AS DOUBLE)) THEN printf('%.10g', try_cast({plain} AS DOUBLE)) ELSE {plain} END"
+
+
+def _same_list(text: str) -> str:
+    return f"array_to_string(list_transform(try_cast({text} AS JSON[]), lambda x: {_same_text('json_extract_string(x, {d})')}), '|')".replace("{d}", "'$'")
+
+
+ORACLE["p1_found"] = f"""WITH src AS (SELECT line_no, feed, file_seq, file_name, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' THEN line::JSON END AS j FROM feature_lines WHERE feed IS NOT NULL AND file_seq IS NOT NULL),
+files AS (SELECT feed, file_seq, max(file_name) AS file_name, count(j) AS n_lines FROM src GROUP BY 1, 2), near AS (SELECT *, lag(file_seq) OVER w AS prev, lead(file_seq) OVER w AS next FROM files WINDOW w AS (PARTITION BY feed ORDER BY file_seq)),
+nodes AS (SELECT s.line_no, s.feed, s.file_seq, json_extract_string(s.j, '$.protein_id') AS entity, replace(replace(t.fullkey, '$.', ''), '"', '') AS path, t.type, t.value FROM src s, json_tree(s.j) t WHERE s.j IS NOT NULL AND t.type NOT IN ('OBJECT', 'NULL') AND NOT regexp_matches(t.fullkey, '\\[\\d+\\]')),
+leaves AS (SELECT *, CASE WHEN type = 'VARCHAR' THEN 'text' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'list' ELSE 'number' END AS kind, json_extract_string(value, '$') AS txt FROM nodes),
+vals AS (SELECT line_no, feed, file_seq, entity, path, kind, CASE WHEN kind = 'list' OR (kind = 'text' AND starts_with(trim(txt), '[') AND try_cast(trim(txt) AS JSON[]) IS NOT NULL) THEN {_same_list("trim(txt)")} ELSE {_same_text("txt")} END AS same FROM leaves),
+cnt AS (SELECT feed, file_seq, path, count(*) AS n, arg_max(kind, k) AS kind FROM (SELECT feed, file_seq, path, kind, count(*) OVER (PARTITION BY feed, file_seq, path, kind) * 10 - CASE kind WHEN 'number' THEN 0 WHEN 'text' THEN 1 WHEN 'boolean' THEN 2 ELSE 3 END AS k FROM vals) GROUP BY 1, 2, 3),
+held AS (SELECT c.feed, c.file_seq, f.prev, f.next, path, kind FROM cnt c JOIN near f USING (feed, file_seq) WHERE n >= 0.1 * n_lines - 1e-9), diff AS (SELECT coalesce(a.feed, b.feed) AS feed, coalesce(a.file_seq, b.next) AS file_seq, coalesce(a.path, b.path) AS path, a.kind AS new_kind, b.kind AS old_kind
+FROM (SELECT * FROM held WHERE prev IS NOT NULL) a FULL JOIN (SELECT * FROM held WHERE next IS NOT NULL) b ON a.feed = b.feed AND a.file_seq = b.next AND a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind),
+came AS (SELECT feed, file_seq, path AS field, new_kind FROM diff WHERE old_kind IS NULL), went AS (SELECT feed, file_seq, path AS old_field, old_kind FROM diff WHERE new_kind IS NULL),
+nv AS (SELECT c.feed, c.file_seq AS tm, v.entity, c.field, arg_min(v.same, v.line_no) AS x FROM came c JOIN vals v ON v.feed = c.feed AND v.file_seq = c.file_seq AND v.path = c.field WHERE v.entity IS NOT NULL GROUP BY ALL),
+ov AS (SELECT w.feed, w.file_seq AS tm, v.entity, w.old_field, arg_min(v.same, v.line_no) AS x FROM went w JOIN near f USING (feed, file_seq) JOIN vals v ON v.feed = w.feed AND v.file_seq = f.prev AND v.path = w.old_field WHERE v.entity IS NOT NULL GROUP BY ALL),
+score AS (SELECT nv.feed, nv.tm, field, old_field, count(*) AS n, avg((nv.x = ov.x)::INT) AS share FROM nv JOIN ov USING (feed, tm, entity) GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY feed, tm, field ORDER BY share DESC, n DESC, old_field) AS a, row_number() OVER (PARTITION BY feed, tm, old_field ORDER BY share DESC, n DESC, field) AS b FROM score WHERE share >= 0.8),
+ren AS (SELECT feed, tm AS file_seq, field, old_field FROM best WHERE a = 1 AND b = 1), found AS (SELECT feed, file_seq, 'retyped' AS change, path AS field, path AS old_field FROM diff WHERE new_kind IS NOT NULL AND old_kind IS NOT NULL UNION ALL SELECT feed, file_seq, 'renamed', field, old_field FROM ren
+UNION ALL SELECT r.feed, r.file_seq, 'retyped', r.field, r.field FROM ren r JOIN came c USING (feed, file_seq, field) JOIN went w USING (feed, file_seq, old_field) WHERE c.new_kind <> w.old_kind
+UNION ALL SELECT feed, file_seq, 'added', field, field FROM came ANTI JOIN ren USING (feed, file_seq, field) UNION ALL SELECT feed, file_seq, 'removed', old_field, old_field FROM went ANTI JOIN ren USING (feed, file_seq, old_field))
+SELECT file_name, change, field, old_field FROM found JOIN files USING (feed, file_seq)"""

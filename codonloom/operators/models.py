@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeded import BITS, seeded
+from ..sources import files
 
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,9 +34,10 @@ class QuantileSurrogate:
     Boosted trees with absolute loss give the median; a second boosted model gives the usual size
     of a row's residual, and its multiple that ``upper`` of the training rows stay under is the
     distance of the upper quantile (Spark has no pinball loss): ``sigma = max(1e-6, upper -
-    median)`` differs from row to row.  The multiple comes from a quantile sketch."""
+    median)`` differs from row to row.  The multiple comes from a quantile sketch.  Without rows
+    to fit there is no model: mu and sigma are null."""
 
-    def __init__(self, model: PipelineModel, spread: PipelineModel, times: float):
+    def __init__(self, model: PipelineModel | None, spread: PipelineModel | None, times: float):
         self.model, self.spread, self.times = model, spread, times
 
     @classmethod
@@ -45,6 +47,8 @@ class QuantileSurrogate:
             gbt.setFeaturesCol("scaled")
             return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), gbt]).fit(rows)
 
+        if rows.isEmpty():
+            return cls(None, None, 0.0)
         model = boosted(label, rows)
         res = model.transform(rows).select("features", (F.col(label) - F.col("prediction")).alias("_res")).withColumn("_size", F.abs("_res"))
         spread = boosted("_size", res)
@@ -54,23 +58,28 @@ class QuantileSurrogate:
 
     def save(self, path: str) -> None:
         """The pipelines under ``path/model`` and ``path/spread``, the multiple beside them."""
-        self.model.write().overwrite().save(f"{path}/model")
-        self.spread.write().overwrite().save(f"{path}/spread")
+        for name, model in (("model", self.model), ("spread", self.spread)):
+            if model is not None:
+                model.write().overwrite().save(f"{path}/{name}")
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(self.times,)], "times double").coalesce(1).write.mode("overwrite").json(f"{path}/times")
 
     @classmethod
     def load(cls, path: str) -> QuantileSurrogate:
         spark = SparkSession.getActiveSession()
-        return cls(PipelineModel.load(f"{path}/model"), PipelineModel.load(f"{path}/spread"), spark.read.schema("times double").json(f"{path}/times").first()["times"])
+        model, spread = (PipelineModel.load(f"{path}/{n}") if files.exists(spark, f"{path}/{n}") else None for n in ("model", "spread"))
+        return cls(model, spread, spark.read.schema("times double").json(f"{path}/times").first()["times"])
 
     def predict(self, rows: DataFrame) -> DataFrame:
+        if self.model is None or self.spread is None:
+            return rows.withColumns({"mu": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double")})
         out = self.model.transform(rows).withColumnRenamed("prediction", "mu").drop("scaled")
         out = self.spread.transform(out).drop("scaled")
         return out.withColumn("sigma", F.greatest(F.lit(1e-6), F.col("prediction") * self.times)).drop("prediction")
 
     def importances(self) -> list[float]:
-        return [float(x) for x in self.model.stages[-1].featureImportances.toArray()]
+        """Of each feature in the order of the vectors; none without a model."""
+        return [float(x) for x in self.model.stages[-1].featureImportances.toArray()] if self.model else []
 
 
 def training_vectors(records: DataFrame) -> DataFrame:
@@ -139,7 +148,9 @@ def ensemble_with_conformal(rows: DataFrame, label: str, id_col: str, alpha: flo
 
 def importance_summary(models: list[QuantileSurrogate], names: list[str]) -> list[tuple[str, float, float]]:
     """``(feature, mean, std)`` of the members' importances; names in the order of the vectors."""
-    got = [m.importances() for m in models]
+    got = [x for m in models if (x := m.importances())]
+    if not got:
+        return []
     out = []
     for i, name in enumerate(sorted(names)):
         own = [g[i] for g in got]
@@ -154,20 +165,26 @@ def out_of_fold(rows: DataFrame, label: str, id_col: str, folds: int = 5, kind:
     r = rows.withColumn("fold", F.pmod(seeded(seed, id_col), F.lit(folds)).cast("int"))
     out = None
     for f in range(folds):
-        model = regressor(kind, label).fit(r.filter(F.col("fold") != f))
-        got = model.transform(r.filter(F.col("fold") == f)).select(id_col, "fold", F.col("prediction").alias("weak"), F.abs(F.col(label) - F.col("prediction")).alias("e"))
+        rest, own = r.filter(F.col("fold") != f), r.filter(F.col("fold") == f)
+        scored = own.withColumn("prediction", F.lit(None).cast("double")) if rest.isEmpty() else regressor(kind, label).fit(rest).transform(own)
+        got = scored.select(id_col, "fold", F.col("prediction").alias("weak"), F.abs(F.col(label) - F.col("prediction")).alias("e"))
         out = got if out is None else out.unionByName(got)
     top = out.groupBy("fold").agg(F.max("e").alias("top"))
     return out.join(F.broadcast(top), "fold").select(id_col, "fold", "weak", (1 - F.coalesce(F.try_divide("e", "top"), F.lit(0.0))).alias("confidence"))
 
 
-def rank_net(pairs: DataFrame, xi: str = "xi", xj: str = "xj", label: str = "label") -> LogisticRegression:
-    """Linear pairwise ranker: logistic regression on differences of array features, no intercept."""
+def rank_net(pairs: DataFrame, xi: str = "xi", xj: str = "xj", label: str = "label"):
+    """Linear pairwise ranker: logistic regression on differences of array features, no intercept;
+    None without pairs."""
     diff = pairs.select(array_to_vector(F.zip_with(xi, xj, lambda a, b: a - b)).alias("features"), F.col(label).cast("double").alias("label"))
+    if diff.isEmpty():
+        return None
     return LogisticRegression(fitIntercept=False, regParam=1e-3).fit(diff)
 
 
 def rank_score(model, rows: DataFrame, vector: str) -> DataFrame:
+    if model is None:
+        return rows.withColumn("score", F.lit(None).cast("double"))
     weights = [float(w) for w in model.coefficients]
     return rows.withColumn("score", F.aggregate(F.zip_with(vector, F.lit(weights), lambda a, w: a * w), F.lit(0.0), lambda s, x: s + x))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .components import components
 
 FIELD_TYPE = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("same", pa.string())]))
 FIELD_DDL = "array<struct<path: string, kind: string, raw: string, same: string>>"
@@ -158,19 +159,24 @@ def drift(lines: DataFrame, parsed: DataFrame | None = None, least: float = 0.1,
     return out.join(files.select("feed", "file_seq", "file_name"), ["feed", "file_seq"]).select("file_name", "change", "field", "old_field")
 
 
-def field_names(report: DataFrame, parsed: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
-    """``(path -> column, column -> type)`` from the distinct paths and renames.
+#: Paths that get a column of their own in the consistent table.
+MOST_FIELDS = 2000
+
+
+def field_names(report: DataFrame, parsed: DataFrame, most: int = MOST_FIELDS) -> tuple[dict[str, str], dict[str, str]]:
+    """``(path -> column, column -> type)`` of the ``most`` paths with most values (ties: by name).
 
     Paths joined by renames share the column of the path with most values (ties: first name).
     Its type is ``double`` if most values are numbers, ``boolean`` if booleans, else ``string``
-    (lists keep their JSON text).  Both are as long as the vocabulary of fields, not the data.
+    (lists keep their JSON text).  No more than ``most`` paths reach the driver, whatever keys the
+    data hold.
     """
     leaves = parsed.filter("readable").select(F.explode("fields").alias("f"))
     plain_number = F.col("f.same").try_cast("double").isNotNull() if hasattr(F.col("x"), "try_cast") else F.expr("try_cast(f.same as double)").isNotNull()
     stats = leaves.groupBy("f.path").agg(
         F.count("*").alias("n"), F.count_if(F.col("f.kind") == "boolean").alias("booleans"), F.count_if((F.col("f.kind") != "boolean") & plain_number).alias("numbers")
     )
-    got = {r["path"]: r for r in stats.collect()}
+    got = {r["path"]: r for r in stats.orderBy(F.desc("n"), "path").limit(most).collect()}
     group = {p: p for p in got}
 
     def root(p: str) -> str:
@@ -179,11 +185,16 @@ def field_names(report: DataFrame, parsed: DataFrame) -> tuple[dict[str, str], d
             p = group[p]
         return p
 
-    for r in report.filter("change = 'renamed'").select("field", "old_field").distinct().collect():
-        if r["field"] in group and r["old_field"] in group:
-            a, b = root(r["field"]), root(r["old_field"])
-            if a != b:
-                group[max(a, b)] = min(a, b)
+    names = parsed.sparkSession.createDataFrame([(p,) for p in got], "path string")
+    renamed = report.filter("change = 'renamed'").select("field", "old_field").distinct()
+    for c in ("field", "old_field"):
+        renamed = renamed.join(F.broadcast(names), F.col(c) == F.col("path"), "left_semi")  # ``most`` rows at most
+    # pairs of ``most`` paths, grouped where they are: each path with the least it was renamed from or to
+    linked = components(renamed.select(F.col("field").alias("u"), F.col("old_field").alias("v")))
+    for r in linked.collect():  # a row a path
+        a, b = root(r["node"]), root(r["comp"])
+        if a != b:
+            group[max(a, b)] = min(a, b)
     members: dict[str, list[str]] = {}
     for p in got:
         members.setdefault(root(p), []).append(p)
@@ -196,16 +207,17 @@ def field_names(report: DataFrame, parsed: DataFrame) -> tuple[dict[str, str], d
     return column, kind
 
 
-def consistent_table(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def consistent_table(lines: DataFrame, most: int = MOST_FIELDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(table, report, failed)`` of all readable lines.
 
     table: ``line_no, feed, file_seq, file_name, entity`` and one typed column per field, named
-    by its dotted path; renamed paths fill one column.  report: see :func:`drift`.  failed:
+    by its dotted path; renamed paths fill one column.  Paths beyond the ``most`` frequent ones are
+    kept as raw text in the map ``other_fields``.  report: see :func:`drift`.  failed:
     ``file_name, field, n_values, n_failed`` - casts of present values that gave no value.
     """
     parsed = cut(read_lines(lines.select("line_no", "feed", "file_seq", "file_name", "line")))
     report = cut(drift(lines, parsed))
-    column, kind = field_names(report, parsed)
+    column, kind = field_names(report, parsed, most)
     rows = parsed.filter("readable")
     by_path = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], F.struct(f["raw"], f["same"], f["kind"]))))
     rows = rows.withColumn("m", by_path)
@@ -225,7 +237,9 @@ def consistent_table(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         present.append(F.count(picked).alias(f"n_{len(present)}"))
         fails.append(F.count_if(picked.isNotNull() & value[c].isNull()).alias(f"f_{len(fails)}"))
     names = sorted(paths)
-    table = rows.select("line_no", "feed", "file_seq", "file_name", "entity", *[value[c].alias(c) for c in names])
+    other = F.map_filter("m", lambda k, _: ~k.isin(*column)) if column else F.col("m")
+    other = F.transform_values(other, lambda _, v: v["raw"])
+    table = rows.select("line_no", "feed", "file_seq", "file_name", "entity", *[value[c].alias(c) for c in names], other.alias("other_fields"))
     if not names:
         failed = rows.select("file_name", F.lit("").alias("field"), F.lit(0).cast("long").alias("n_values"), F.lit(0).cast("long").alias("n_failed")).limit(0)
         return table, report, failed

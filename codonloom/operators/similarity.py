@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 
+#: Rows of a k-mer that one task meets with all of its rows.
+MET = 2000
+
+
 def kmer_jaccard(rows: DataFrame, k: int, least: float) -> DataFrame:
     """``id_a < id_b, jaccard`` of rows (``id, part, txt``) of the same part whose k-mer sets have
     a Jaccard index of at least ``least`` (above 0).
@@ -27,11 +31,12 @@ def kmer_jaccard(rows: DataFrame, k: int, least: float) -> DataFrame:
     ranked = shared.join(sizes, ["part", "id"]).withColumn("r", F.row_number().over(order))
     counts = shared.groupBy("part", "id").agg(F.count("*").alias("m"))
     ranked = ranked.join(counts, ["part", "id"]).withColumn("lone", F.col("n") - F.col("m"))
-    prefix = ranked.filter(F.col("r") + F.col("lone") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("part", "id", "mer", "n")
-    a = prefix.select("part", "mer", F.col("id").alias("id_a"), F.col("n").alias("n_a"))
-    b = prefix.select("part", "mer", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    prefix = ranked.filter(F.col("r") + F.col("lone") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("part", "id", "mer", "n", F.ceil(F.col("df") / MET).cast("int").alias("deals"))
+    # the rows of a hot k-mer are dealt to parts, each of which meets all of them
+    a = prefix.select("part", "mer", F.pmod(F.xxhash64("id"), "deals").cast("int").alias("deal"), F.col("id").alias("id_a"), F.col("n").alias("n_a"))
+    b = prefix.select("part", "mer", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     fits = (F.col("n_a") >= F.lit(least) * F.col("n_b") - 1e-9) & (F.col("n_b") >= F.lit(least) * F.col("n_a") - 1e-9)
-    pairs = a.join(b, ["part", "mer"]).filter((F.col("id_a") < F.col("id_b")) & fits).select("part", "id_a", "id_b", "n_a", "n_b").distinct()
+    pairs = a.join(b, ["part", "mer", "deal"]).filter((F.col("id_a") < F.col("id_b")) & fits).select("part", "id_a", "id_b", "n_a", "n_b").distinct()
     one = shared.select("part", F.col("id").alias("id_a"), "mer")
     two = shared.select("part", F.col("id").alias("id_b"), "mer")
     both = pairs.join(one, ["part", "id_a"]).join(two, ["part", "id_b", "mer"]).groupBy("part", "id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("both"))

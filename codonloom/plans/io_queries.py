@@ -63,7 +63,10 @@ def io_tsv_directory(spark, d) -> DataFrame:
     """All files of a folder by suffix, at most a hundred rows of each; other files are not read."""
     path = place(spark, "folder")
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("Entry"), F.lit("reviewed").alias("Reviewed"), F.col("c_mktsegment").alias("segment"))
-    for i, s in enumerate(sorted(r["segment"] for r in t.select("segment").distinct().collect())):  # five segments
+    segments = sorted(r["segment"] for r in t.select("segment").distinct().collect())  # five
+    if not segments:
+        return spark.createDataFrame([], "segment string, n long")
+    for i, s in enumerate(segments):
         one = f"{path}/part{i}"
         t.filter(F.col("segment") == s).coalesce(1).write.option("sep", "\t").option("header", True).csv(one)
         files.move(spark, files.listed(spark, one, ".csv")[0], f"{path}/{i}.tsv")

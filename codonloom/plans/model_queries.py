@@ -113,6 +113,14 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS nb FROM k a JOIN k b ON a.mer = b
 r(id, c) AS (SELECT id, id FROM g UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.id WHERE r.c < t.v), cl AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)"""
 
 
+@query("SELECT cluster_id::VARCHAR AS part, count(*) AS n_rows, greatest(least(2, count(*)), least(10, count(*) // 5)) AS n_clusters FROM protein_group WHERE cluster_id IS NOT NULL AND nullif(regexp_replace(upper(protein_aa), '[\\s*]', '', 'g'), '') IS NOT NULL GROUP BY 1")
+def cp_identity_linkage(spark, d) -> DataFrame:
+    """Average linkage on the identity of aligned beginnings: rows and clusters of each part (the
+    merging itself is tested against brute force)."""
+    g = table(spark, d, "protein_group").select("group_no", "cluster_id", protein_key("protein_aa").alias("aa"))
+    return C.identity_linkage(g, "cluster_id", "group_no", "aa").groupBy("part").agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"))
+
+
 @query(f"WITH RECURSIVE {LINKED} SELECT id, cluster FROM cl")
 def cp_linked_clusters(spark, d) -> DataFrame:
     g = table(spark, d, "protein_group").select("group_no", protein_key("protein_aa").alias("aa"))

@@ -268,9 +268,9 @@ def jn_positional(spark, d) -> DataFrame:
 @query("SELECT l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, (a.l_extendedprice > b.l_extendedprice)::INT AS label FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber AND a.l_extendedprice <> b.l_extendedprice")
 def jn_group_pairs(spark, d) -> DataFrame:
     """All unordered pairs within a group (equi key and i < j), labelled by value, ties left out."""
-    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    a, b = t.toDF("l_orderkey", "i", "x"), t.toDF("l_orderkey", "j", "y")
-    return a.join(b, "l_orderkey").filter("i < j and x <> y").select("l_orderkey", "i", "j", (F.col("x") > F.col("y")).cast("int").alias("label"))
+    from ..operators.pairs import group_pairs
+
+    return group_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice").select("l_orderkey", "i", "j", "label")
 
 
 @query(

@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 HASH_MULT = np.uint32(0x9E3779B1)
 BUCKET_BITS = 22
 EXPAND_ROWS = 1 << 21
+#: Most bytes of profiles that a home block keeps.
+KEPT_BYTES = 64_000_000
 
 
 class Pack:
     """A block of texts as one code array; texts are addressed by their index."""
 
-    __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes")
+    __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes", "kept", "inner")
 
-    def __init__(self, uid: np.ndarray, txt: pa.Array):
+    def __init__(self, uid: np.ndarray, txt: pa.Array, keep_profiles: bool = False):
         self.uid, self.txt = uid, txt
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = {} if keep_profiles else None
         joined = "".join(txt.to_pylist())
         if joined.isascii():
             self.codes = np.frombuffer(joined.encode("ascii"), dtype=np.uint8)
@@ -44,6 +47,7 @@ class Pack:
         self.length = np.asarray(pc.utf8_length(txt).to_numpy(zero_copy_only=False), dtype=np.int64)
         self.off = np.concatenate([[0], np.cumsum(self.length)])
         self.owner = np.repeat(np.arange(len(uid), dtype=np.int32), self.length)
+        self.inner = np.arange(len(self.codes), dtype=np.int32) - self.off[:-1].astype(np.int32)[self.owner]  # place in its text
         self.hashes: dict[int, np.ndarray] = {}
 
     def _raw(self, q: int, made: dict[int, np.ndarray]) -> np.ndarray:
@@ -74,7 +78,15 @@ class Pack:
 
     def profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashed q-gram counts of the texts ``which`` and a flag for saturated rows; ``dims``
-        is a power of two."""
+        is a power of two.  A pack that keeps them makes those of all its texts once."""
+        if self.kept is not None and len(self.uid) * dims <= KEPT_BYTES:
+            if (q, dims) not in self.kept:
+                self.kept[q, dims] = self._profile(np.arange(len(self.uid)), q, dims)
+            out, full = self.kept[q, dims]
+            return out[which], full[which]
+        return self._profile(which, q, dims)
+
+    def _profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(which), dims), dtype=np.uint8)
         full = np.zeros(len(which), dtype=bool)
         h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
@@ -123,7 +135,7 @@ class Segments:
             held = counts > 0
             first = np.zeros((1 << BUCKET_BITS) + 1, dtype=np.int32)
             np.cumsum(counts, out=first[1:])
-            self.by_q[int(q)] = (h, row[pick], j[pick], start[pick], held, first)
+            self.by_q[int(q)] = (h, row[pick].astype(np.int32), j[pick].astype(np.int32), start[pick].astype(np.int32), held, first)
 
     def matches(self, other: Pack, strict: bool, same: bool, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(index here, index in other) of texts here with a shorter or equal one there that
@@ -145,15 +157,12 @@ class Segments:
                 e = max(s + 1, int(np.searchsorted(cum, done + EXPAND_ROWS, side="right")))
                 rows, seg = _ranges(lo[s:e], cnt[s:e])
                 pos = at[s:e][rows]
-                exact = hs[seg] == h[pos]
-                seg, pos = seg[exact], pos[exact]
-                theirs = other.owner[pos].astype(np.int64)
-                mine = seg_row[seg]
-                delta = other.length[theirs] - self.pack.length[mine]
-                shift = pos - other.off[theirs] - seg_start[seg]
-                j, k = seg_j[seg], self.k[mine]
-                left, right = np.abs(shift) <= j, np.abs(shift - delta) <= k - j
-                ok = left & right & (-delta <= k) & ((delta < 0) if strict else (delta <= 0))
+                shift = other.inner[pos] - seg_start[seg]
+                near = np.flatnonzero((hs[seg] == h[pos]) & (np.abs(shift) <= seg_j[seg]))
+                seg, pos, shift = seg[near], pos[near], shift[near]
+                theirs, mine, j = other.owner[pos].astype(np.int64), seg_row[seg].astype(np.int64), seg_j[seg]
+                delta, k = other.length[theirs] - self.pack.length[mine], self.k[mine]
+                ok = (np.abs(shift - delta) <= k - j) & (-delta <= k) & ((delta < 0) if strict else (delta <= 0))
                 if same:
                     ok &= (delta < 0) | (self.pack.uid[mine] < other.uid[theirs])
                 if ok.any():
@@ -344,7 +353,7 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, c
                 return
             if state["pack"] is None:
                 tab = pa.Table.from_batches(state["home"]).combine_chunks()
-                state["pack"] = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks())
+                state["pack"] = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks(), keep_profiles=True)
                 state["seg"] = Segments(state["pack"], num, den)
             tab = pa.Table.from_batches(state["wait"]).combine_chunks()
             other = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks())

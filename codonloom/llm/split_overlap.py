@@ -54,7 +54,7 @@ def split_overlap(
     sizes = raw.select("kind", F.col("txt").cast("long").alias("n"), F.col("held").alias("home"), (~F.col("held")).alias("other"))
     found = edit_pairs(texts, sizes, num, den, q=6)
     links = cut(found.select("kind", _digest("txt_a").alias("key_a"), _digest("txt_b").alias("key_b"), "dist"))
-    members = forms.select("kind", "id", "held", _digest("txt").alias("key"))
+    members = cut(forms.select("kind", "id", "held", _digest("txt").alias("key")))  # both sides of the pairs read it
     return links, members
 
 

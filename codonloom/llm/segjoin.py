@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 HASH_MULT = np.uint32(0x9E3779B1)
 BUCKET_BITS = 22
 EXPAND_ROWS = 1 << 21
-#: Most bytes of profiles that a home block keeps.
-KEPT_BYTES = 64_000_000
 
 
 class Pack:
@@ -36,9 +34,9 @@ class Pack:
 
     __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes", "kept", "inner")
 
-    def __init__(self, uid: np.ndarray, txt: pa.Array, keep_profiles: bool = False):
+    def __init__(self, uid: np.ndarray, txt: pa.Array, keep_bits: bool = False):
         self.uid, self.txt = uid, txt
-        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = {} if keep_profiles else None
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = {} if keep_bits else None
         joined = "".join(txt.to_pylist())
         if joined.isascii():
             self.codes = np.frombuffer(joined.encode("ascii"), dtype=np.uint8)
@@ -78,15 +76,7 @@ class Pack:
 
     def profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashed q-gram counts of the texts ``which`` and a flag for saturated rows; ``dims``
-        is a power of two.  A pack that keeps them makes those of all its texts once."""
-        if self.kept is not None and len(self.uid) * dims <= KEPT_BYTES:
-            if (q, dims) not in self.kept:
-                self.kept[q, dims] = self._profile(np.arange(len(self.uid)), q, dims)
-            out, full = self.kept[q, dims]
-            return out[which], full[which]
-        return self._profile(which, q, dims)
-
-    def _profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        is a power of two."""
         out = np.zeros((len(which), dims), dtype=np.uint8)
         full = np.zeros(len(which), dtype=bool)
         h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
@@ -101,6 +91,27 @@ class Pack:
         return out, full
 
 
+    def held(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bit for each hashed q-gram that a text has, in words of 64, and how many q-grams of a
+        text repeat one of its bits.  A pack that keeps them makes those of all its texts once."""
+        if self.kept is not None:
+            if (q, dims) not in self.kept:
+                self.kept[q, dims] = self._held(np.arange(len(self.uid)), q, dims)
+            bits, spare = self.kept[q, dims]
+            return bits[which], spare[which]
+        return self._held(which, q, dims)
+
+    def _held(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
+        bits = np.zeros((len(which), dims // 64), dtype=np.uint64)
+        for s in range(0, len(which), 256):
+            rows, at = _ranges(self.off[which[s : s + 256]], n[s : s + 256])
+            flags = np.zeros((len(n[s : s + 256]), dims), dtype=bool)
+            flags[rows, h[at] & np.uint32(dims - 1)] = True
+            bits[s : s + 256] = np.packbits(flags, axis=1).view(np.uint64)
+        return bits, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flat (row, start[row] + 0..count[row]-1)."""
     rows = np.repeat(np.arange(len(count)), count)
@@ -187,26 +198,45 @@ class Segments:
         return code // len(other.uid), code % len(other.uid)
 
     def _bounded(self, code: np.ndarray, other: Pack, q: int, dims: int) -> np.ndarray:
-        """The codes of pairs that meet the q-gram bound; profiles are made in bounded blocks."""
+        """The codes of pairs that meet the q-gram bound, first by bits of the q-grams a text has
+        (shared bits, and all repeats of one side, are no fewer than the shared q-grams), then by
+        their counts."""
         a, b = code // len(other.uid), code % len(other.uid)
         need = self.pack.length[a] - q + 1 - q * self.k[a]
-        good = need <= 0
-        test = np.flatnonzero(~good)
+
+        def by_bits(pa_: tuple, pb: tuple, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+            shared = np.bitwise_count(pa_[0][xa] & pb[0][xb]).sum(axis=1, dtype=np.int64)
+            return shared + np.minimum(pa_[1][xa], pb[1][xb])
+
+        def by_counts(pa_: tuple, pb: tuple, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+            shared = np.minimum(pa_[0][xa], pb[0][xb]).sum(axis=1, dtype=np.int64)
+            return np.where(pa_[1][xa] | pb[1][xb], np.iinfo(np.int64).max, shared)
+
+        test = np.flatnonzero(need > 0)
+        for made, most in ((Pack.held, by_bits), (Pack.profile, by_counts)):
+            fit = self._at_least(made, most, a, b, test, need, other, q, dims)
+            keep = np.ones(len(code), dtype=bool)
+            keep[test[~fit]] = False
+            code, a, b, need = code[keep], a[keep], b[keep], need[keep]
+            test = np.flatnonzero(need > 0)
+        return code
+
+    def _at_least(self, made, most, a: np.ndarray, b: np.ndarray, test: np.ndarray, need: np.ndarray, other: Pack, q: int, dims: int) -> np.ndarray:
+        """Whether the pairs ``test`` may share the q-grams they need; both sides' summaries are
+        made in bounded blocks."""
+        fit = np.zeros(len(test), dtype=bool)
         ub, ib = np.unique(b[test], return_inverse=True)
         for s in range(0, len(ub), 4096):
-            part = test[(ib >= s) & (ib < s + 4096)]
-            here = ib[(ib >= s) & (ib < s + 4096)] - s
-            pb, fb = other.profile(ub[s : s + 4096], q, dims)
-            ua, ia = np.unique(a[part], return_inverse=True)
+            part = np.flatnonzero((ib >= s) & (ib < s + 4096))
+            pb = made(other, ub[s : s + 4096], q, dims)
+            ua, ia = np.unique(a[test[part]], return_inverse=True)
             for t in range(0, len(ua), 4096):
                 pick = np.flatnonzero((ia >= t) & (ia < t + 4096))
-                pa_, fa = self.pack.profile(ua[t : t + 4096], q, dims)
+                pa_ = made(self.pack, ua[t : t + 4096], q, dims)
                 for x in range(0, len(pick), 1024):
                     w = pick[x : x + 1024]
-                    xa, xb = ia[w] - t, here[w]
-                    shared = np.minimum(pa_[xa], pb[xb]).sum(axis=1, dtype=np.int32)
-                    good[part[w]] = (shared >= need[part[w]]) | fa[xa] | fb[xb]
-        return code[good]
+                    fit[part[w]] = most(pa_, pb, ia[w] - t, ib[part[w]] - s) >= need[test[part[w]]]
+        return fit
 
 
 #: Pairs that wait to be aligned together, and most bytes of them.
@@ -353,7 +383,7 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, c
                 return
             if state["pack"] is None:
                 tab = pa.Table.from_batches(state["home"]).combine_chunks()
-                state["pack"] = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks(), keep_profiles=True)
+                state["pack"] = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks(), keep_bits=True)
                 state["seg"] = Segments(state["pack"], num, den)
             tab = pa.Table.from_batches(state["wait"]).combine_chunks()
             other = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks())

@@ -11,7 +11,7 @@ from ..plans.registry import sql_protein, sql_sequence
 from .density_clusters import cluster_links, cluster_pairs, describe_clusters, similarity_clusters
 from .eval_leaks import find_leaks
 from .grouped_split import SPLITS, grouped_split, tied_sets
-from .mixture import mix, sized
+from .mixture import mix, sized, source_key
 from .residue import scan_residue
 from .split_overlap import overlap_pairs, overlap_report, split_overlap
 
@@ -64,6 +64,16 @@ def p5_split_report(spark: SparkSession, d: str) -> DataFrame:
     return by_host.unionByName(by_split).select("host", "split", "n_rows", F.round(share, 6).alias("share"), target[F.col("split")].alias("target"))
 
 
+def p5_split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The split's rows, its tied sets in more than one split, and whether every share of the rows
+    lies within 0.02 of its target."""
+    rows = p5_split(spark, d)
+    torn = rows.groupBy("tied").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("ties_broken"))
+    n = rows.agg(F.count("*").alias("n_rows"), *[F.avg((F.col("split") == s).cast("double")).alias(s) for s in SPLITS])
+    near = [F.abs(F.col(s) - share) <= 0.02 for s, share in SPLITS.items()]
+    return n.crossJoin(torn).select("n_rows", "ties_broken", (near[0] & near[1] & near[2]).alias("near_shares"))  # two single rows
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -84,6 +94,17 @@ def p7_mix_report(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p7_mix_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: whether its tokens keep to the budget, and whether they miss it by less than one
+    of its documents or every allowed copy is used."""
+    sizes = sized(table(spark, d, "documents"))
+    _, r = mix(sizes, table(spark, d, "mixture_targets"))
+    longest = sizes.groupBy("key").agg(F.max("n_tokens").alias("longest"))
+    r = r.withColumn("key", source_key("source")).join(longest, "key", "left")
+    met = F.col("used_up") | F.coalesce(F.col("budget") - F.col("tokens") < F.col("longest"), F.lit(False))
+    return r.select("source", (F.col("tokens") <= F.col("budget")).alias("within_budget"), met.alias("met_or_used_up"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     chosen, _ = mix(sized(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
     return chosen
@@ -129,6 +150,8 @@ m AS (SELECT 'c' || l.c AS k, g.group_no FROM l JOIN g USING (group_id) UNION SE
 s AS (SELECT group_no AS u, min(group_no) OVER (PARTITION BY k) AS v FROM m), e AS (SELECT u, v FROM s WHERE u <> v UNION SELECT v, u FROM s WHERE u <> v),
 r(n, c) AS (SELECT group_no, group_no FROM g UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.n WHERE r.c < e.v)
 SELECT min(c) AS group_no_a, n AS group_no_b FROM r GROUP BY n HAVING min(c) <> n""",
+        "p5_split_checks": "SELECT count(DISTINCT group_no) AS n_rows, 0 AS ties_broken, true AS near_shares FROM protein_group",
+        "p7_mix_checks": "SELECT source, true AS within_budget, true AS met_or_used_up FROM mixture_targets",
         # letters stand for tokens: the listed sources are the same with either measure
         "p7_found": """WITH d AS (SELECT lower(trim(source)) AS k, length(text) AS n FROM documents), t AS (SELECT coalesce(sum(n), 0) AS t FROM d), z AS (SELECT k, sum(n) AS n FROM d GROUP BY k)
 SELECT source FROM mixture_targets m LEFT JOIN z ON z.k = lower(trim(m.source)), t WHERE coalesce(z.n, 0) * max_repeats < target_share * t.t""",

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import seeded, uniform
+from ..plans.lineage import cut
 from .components import components
 from .records import take_lowest
-from .similarity import kmer_jaccard
+from .similarity import kmer_jaccard, near_texts, text_classes
 
 
 def group_pairs(rows: DataFrame, group: str, index: str, value: str, least: float = 0.0) -> DataFrame:
@@ -272,11 +273,16 @@ def round_robin_splits(clusters: DataFrame, pattern: tuple[str, ...] = ("train",
 
 
 def leakage_audit(rows: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """Pairs of different splits with a k-mer Jaccard of ``least`` or more: exact, by inverted
-    index, over all rows (``id, split, txt``; null splits take no part)."""
+    """Pairs of different splits with a k-mer Jaccard of ``least`` or more: exact, over all rows
+    (``id, split, txt``; null splits take no part).
+
+    Distinct texts are paired and their rows counted by split, so no pairs of rows are made."""
     r = rows.filter("split is not null")
-    sim = kmer_jaccard(r.select("id", F.lit("all").alias("part"), "txt"), k, least)
-    s = r.select("id", "split")
-    both = sim.join(s.toDF("id_a", "split_a"), "id_a").join(s.toDF("id_b", "split_b"), "id_b").filter("split_a <> split_b")
+    texts, members = text_classes(r.select("id", F.lit("all").alias("part"), "txt"), k)
+    n = cut(members.join(r.select("id", "split").distinct(), "id").groupBy("uid", "split").agg(F.count("*").alias("n")))
+    same = texts.select(F.col("uid").alias("uid_a"), F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard"))
+    sim = near_texts(texts, k, least).unionByName(same)
+    both = sim.join(n.toDF("uid_a", "split_a", "n_a"), "uid_a").join(n.toDF("uid_b", "split_b", "n_b"), "uid_b")
+    both = both.filter((F.col("split_a") < F.col("split_b")) | ((F.col("split_a") > F.col("split_b")) & (F.col("uid_a") != F.col("uid_b"))))
     pair = F.array_join(F.array_sort(F.array("split_a", "split_b")), "|")
-    return both.groupBy(pair.alias("splits")).agg(F.count("*").alias("n_pairs"), F.max("jaccard").alias("max_jaccard"))
+    return both.groupBy(pair.alias("splits")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_pairs"), F.max("jaccard").alias("max_jaccard"))

@@ -118,6 +118,23 @@ def run_spans(s: Column, least: int) -> Column:
     return bind(starts, spans)
 
 
+def letter_runs(s: Column, letter: str, least: int) -> Column:
+    """Maximal runs of that letter (of a regular expression's plain ones) of at least that length:
+    array of ``pos`` (from 0), ``len``.
+
+    Each match is a run with all that stands between it and the run before it, so positions follow
+    from lengths, in one scan of the text."""
+    start = F.struct(F.array().cast("array<struct<pos: int, len: int>>").alias("out"), F.lit(0).alias("next"))
+
+    def step(acc: Column, m: Column) -> Column:
+        end = acc["next"] + F.length(m)
+        n = F.length(m) - F.length(F.rtrim(m, F.lit(letter)))
+        return F.struct(F.concat(acc["out"], F.array(F.struct((end - n).alias("pos"), n.alias("len")))).alias("out"), end.alias("next"))
+
+    found = F.regexp_extract_all(s, F.lit(rf"\G([\s\S]*?{letter}{{{least},}})"), F.lit(1))
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
 def tandem_spans(s: Column, unit: int, least: int = 3) -> Column:
     """The repeats of :func:`tandem_repeats` as array of ``pos`` (from 0), ``len``, ``motif``.
 

@@ -132,8 +132,8 @@ def sc_rare_codon_runs(spark, d) -> DataFrame:
 )
 def sc_rare_run_spans(spark, d) -> DataFrame:
     """Runs of three or more rare codons, position and length in codons."""
-    rows = coding(spark, d).select("rec_id", F.explode(K.run_spans(K.rare_flags(F.col("cs"), F.col("host")), 3)).alias("r"))
-    return rows.filter("r.base = '1'").select("rec_id", "r.pos", "r.len")
+    rows = coding(spark, d).select("rec_id", F.explode(K.letter_runs(K.rare_flags(F.col("cs"), F.col("host")), "1", 3)).alias("r"))
+    return rows.select("rec_id", "r.pos", "r.len")
 
 
 @query(

@@ -105,10 +105,14 @@ class Sets:
                 own, at = _ranges(np.zeros(len(n), dtype=np.int64), np.minimum(n, n - o + self.shared[rows]))
                 heads.append(sets[own, at] ^ (part[rows[own]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 owners.append(rows[own].astype(np.int32))
-        self.head = np.concatenate(heads) if heads else np.zeros(0, dtype=np.uint64)
+        head = np.concatenate(heads) if heads else np.zeros(0, dtype=np.uint64)
         self.owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int32)
-        order = np.argsort(self.head)
-        self.head, self.owner = self.head[order], self.owner[order]
+        heads.clear(), owners.clear()
+        order = np.argsort(head)
+        head, self.owner = head[order], self.owner[order]
+        # each k-mer once, with the place of its first text
+        new = np.concatenate([np.ones(min(1, len(head)), dtype=bool), head[1:] != head[:-1]])
+        self.head, self.first = head[new], np.append(np.flatnonzero(new), len(head)).astype(np.int32)
 
     def _sets(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(texts, their sets as sorted rows, sizes) in groups of like length; texts without
@@ -171,10 +175,20 @@ class Sets:
 
     def pairs(self, other: Sets, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(a here, b there, common k-mers, sizes of a and b); of a block with itself a < b."""
-        lo, hi = np.searchsorted(self.head, other.head, side="left"), np.searchsorted(self.head, other.head, side="right")
-        order = np.argsort(other.owner, kind="stable")
-        order = order[(hi > lo)[order]]
-        owner, lo, cnt = other.owner[order].astype(np.int64), lo[order], (hi - lo)[order]
+        held = np.bincount(other.owner, minlength=len(other.n))
+        for x, y in _chunks(held):  # texts there, as many as have a chunk of k-mers
+            pick = np.flatnonzero((other.owner >= x) & (other.owner < y))
+            at = np.searchsorted(other.first, pick, side="right") - 1
+            yield from self._met(other, other.head[at], other.owner[pick].astype(np.int64), least)
+
+    def _met(self, other: Sets, head: np.ndarray, owner: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of the texts ``owner`` there, by their k-mers ``head`` in order of number."""
+        place = np.minimum(np.searchsorted(self.head, head), max(0, len(self.head) - 1))
+        order = np.flatnonzero(self.head[place] == head) if len(self.head) else np.zeros(0, dtype=np.int64)
+        order = order[np.argsort(owner[order], kind="stable")]
+        owner, place = owner[order], place[order]
+        lo = self.first[place].astype(np.int64)
+        cnt = self.first[place + 1] - lo
         cum, s = np.cumsum(cnt), 0
         while s < len(order):
             e = int(np.searchsorted(cum, (cum[s - 1] if s else 0) + EXPAND_ROWS, side="right"))

@@ -244,9 +244,10 @@ def identity_linkage(rows: DataFrame, part: str, id_col: str, text: str, most: i
 def linked_clusters(rows: DataFrame, id_col: str, text: str, k: int, least: float) -> DataFrame:
     """``id, cluster`` by similarity edges and connected components: clusters at any scale."""
     r = rows.select(F.col(id_col).alias("id"), F.lit("all").alias("part"), F.col(text).alias("txt"))
-    edges = kmer_jaccard(r, k, least).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-    comp = components(edges).select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
-    return r.select("id").join(comp, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    texts, members = text_classes(r, k)
+    comp = components(near_texts(texts, k, least).select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")))
+    named = members.join(comp.withColumnRenamed("node", "uid"), "uid", "left").select("id", F.coalesce("comp", "uid").alias("cluster"))
+    return r.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def cluster_splits(clusters: DataFrame, seed: int, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:

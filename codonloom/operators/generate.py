@@ -52,8 +52,12 @@ def back_translate(protein: Column, host: str, method: str, seed: Column, temper
         steps = F.try_element_at(table, aa)
         if method == "hfc":
             return F.get(steps, F.lit(0))["codon"]
-        u = uniform(seed, i)
-        return F.coalesce(F.get(F.filter(steps, lambda s: u < s["upto"]), F.lit(0))["codon"], F.get(steps, F.size(steps) - 1)["codon"])
+
+        def drawn(x: Column) -> Column:
+            return F.coalesce(F.get(F.filter(x["steps"], lambda s: x["u"] < s["upto"]), F.lit(0))["codon"], F.get(x["steps"], F.size(x["steps"]) - 1)["codon"])
+
+        # the number is drawn once a place, not for each codon of the residue
+        return K.bind(F.struct(steps.alias("steps"), uniform(seed, i).alias("u")), drawn)
 
     return F.array_join(F.array_compact(F.transform(K.letters(protein), pick)), "")
 
@@ -92,7 +96,8 @@ def candidates(proteins: DataFrame, id_col: str, protein_col: str, host: str, n:
     from pyspark.sql import Window
 
     draws = proteins.select(F.col(id_col).alias("id"), F.col(protein_col).alias("aa")).dropna().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n * oversample))))
-    made = draws.withColumn("dna", back_translate(F.col("aa"), host, method, F.concat_ws(":", "id", "draw", F.lit(seed)), temperature))
+    # a generator's output is made once; a filter on a projection would draw each sequence again for each check
+    made = draws.withColumn("dna", F.explode(F.array(back_translate(F.col("aa"), host, method, F.concat_ws(":", "id", "draw", F.lit(seed)), temperature))))
     good = made.filter((K.validate_cds(F.col("dna")) == "OK") & (K.translate(K.codons(F.col("dna"))) == F.col("aa")) & avoids(F.col("dna"), motifs or []))
     first = good.groupBy("id", "dna").agg(F.min("draw").alias("draw"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("draw"))  # n * oversample rows at most

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
 
 
 def star_edges(membership: DataFrame, node: str, keys: list[str]) -> DataFrame:
@@ -40,6 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").filter("u > v").distinct())
+        del both, low, large, low2, small
+        release(e.sparkSession)  # the round's shuffles and the edges before it
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.seeded import seeded, uniform
 from ..plans.lineage import cut
 from .components import components
+from .kmer_join import forest
 from .records import take_lowest
 from .similarity import kmer_jaccard, near_texts, text_classes
 
@@ -245,13 +246,17 @@ def linked_clusters(rows: DataFrame, id_col: str, text: str, k: int, least: floa
     """``id, cluster`` by similarity edges and connected components: clusters at any scale."""
     r = rows.select(F.col(id_col).alias("id"), F.lit("all").alias("part"), F.col(text).alias("txt"))
     texts, members = text_classes(r, k)
-    comp = components(near_texts(texts, k, least).select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")))
+    edges = near_texts(texts, k, least).select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v"))
+    if dict(edges.dtypes)["u"] in ("int", "bigint"):
+        edges = edges.mapInArrow(forest(), edges.schema)
+    comp = components(edges)
     named = members.join(comp.withColumnRenamed("node", "uid"), "uid", "left").select("id", F.coalesce("comp", "uid").alias("cluster"))
     return r.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def cluster_splits(clusters: DataFrame, seed: int, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
     """Whole clusters by seeded rank: the first 70 % of the clusters train, then val, then test."""
+    clusters = cut(clusters)  # ranked, counted and joined
     ids = clusters.select("cluster").distinct().withColumn("_h", seeded(seed, "cluster"))
     from .ordinals import with_ordinal
 
@@ -267,6 +272,7 @@ def round_robin_splits(clusters: DataFrame, pattern: tuple[str, ...] = ("train",
     under ``least`` rows are left out.  Clusters are never divided for balance."""
     from .ordinals import with_ordinal
 
+    clusters = cut(clusters)  # ranked and joined
     sizes = clusters.groupBy("cluster").agg((-F.count("*")).alias("_m")).filter(-F.col("_m") >= least)
     ranked = with_ordinal(sizes, ["_m", "cluster"], "_i")
     split = F.get(F.lit(list(pattern)), F.pmod("_i", F.lit(len(pattern))).cast("int"))

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.lineage import cut
-from .kmer_join import BUCKET_BITS, cell_join, counter
+from ..plans.lineage import cut, release
+from .kmer_join import BUCKET_BITS, NARROW, cell_join, counter, order_of, pack, pack_join
 
 #: Rows of a text that one task meets with the rows of another.
 MET = 2000
 #: Letters of a block, which bounds a task's memory, and letters of a part below which it is no
 #: use to divide it among the cores.
 BLOCK_LETTERS, EVEN_LETTERS = 16_000_000, 250_000
+#: Letters of a part above which its blocks are not copied to their cells but packed and crossed.
+CROSS_LETTERS = 4_000_000
 
 
 def text_classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -35,26 +37,36 @@ def near_texts(texts: DataFrame, k: int, least: float) -> DataFrame:
 
     A text travels to the cells where it can have partners: small parts share a cell, a large part
     is cut into blocks and each two blocks are a cell, so a text is copied once for each block of
-    its part and no k-mer leaves its task."""
+    its part and no k-mer leaves its task.  The blocks of a part that is larger still are packed
+    and written once (:func:`_crossed`), so its disk does not grow with their number."""
     spark = texts.sparkSession
     cores = spark.sparkContext.defaultParallelism
     texts = texts.select(F.col("part").cast("string").alias("part"), "uid", "txt")
-    sizes = texts.groupBy("part").agg(F.sum(F.length("txt")).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = cut(texts.groupBy("part").agg(F.sum(F.length("txt")).alias("n"), F.max(F.col("txt").rlike("[^A-Z]")).alias("odd")))
+    total, odd = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("odd")).first()
+    narrow = k <= NARROW and not odd
     even = next(i for i in range(1, cores + 2) if i * (i + 1) // 2 >= cores)
     least_letters = min(BLOCK_LETTERS, max(EVEN_LETTERS, total // (2 * cores)))
     bins = max(4 * cores, math.ceil(4 * total / BLOCK_LETTERS))
-    large, cells = [], bins
+    large, crossed, cells = [], [], bins
     for r in sizes.filter(F.col("n") > least_letters).collect():  # at most one for each block and two for each core
         blocks = max(math.ceil(r["n"] / BLOCK_LETTERS), min(even, math.ceil(r["n"] / EVEN_LETTERS)))
+        if r["n"] > min(CROSS_LETTERS, BLOCK_LETTERS):
+            crossed.append((r["part"], blocks))
+            continue
         large.append((r["part"], blocks, cells))
         cells += blocks * blocks
-    seen = texts.select("txt").mapInArrow(counter(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row a bucket
+    seen = texts.select("txt").mapInArrow(counter(k, narrow), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row a bucket
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for r in seen:
         counts[r["bucket"]] = r["n"]
-    turn = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
-    turn[np.argsort(counts, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
+    turn = order_of(counts, narrow)
+    kind = texts.schema["uid"].dataType
+    schema = pa.schema([("uid_a", to_arrow_type(kind)), ("uid_b", to_arrow_type(kind)), ("jaccard", pa.float64())])
+    ddl = f"uid_a {kind.simpleString()}, uid_b {kind.simpleString()}, jaccard double"
+    far = [_crossed(texts.filter(F.col("part") == part), blocks, k, least, turn, schema, ddl) for part, blocks in crossed]
+    if crossed:
+        texts = texts.filter(~F.col("part").isin([part for part, _ in crossed]))
     # a large part's blocks i <= j meet in the cell first + i * blocks + j
     i, n, first = F.pmod(F.xxhash64("uid"), "blocks").cast("int"), F.col("blocks"), F.col("first")
     small = F.array(F.struct(F.pmod(F.xxhash64("part"), F.lit(bins)).cast("int").alias("cell"), F.lit(2).alias("side")))
@@ -65,14 +77,26 @@ def near_texts(texts: DataFrame, k: int, least: float) -> DataFrame:
     else:
         rows = texts.withColumn("x", F.explode(small))
     parts = min(cells, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    kind = texts.schema["uid"].dataType
-    schema = pa.schema([("uid_a", to_arrow_type(kind)), ("uid_b", to_arrow_type(kind)), ("jaccard", pa.float64())])
-    return (
+    near = (
         rows.select("x.cell", "x.side", "part", "uid", "txt")
         .repartitionById(parts, F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int"))
         .sortWithinPartitions("cell", "side")
-        .mapInArrow(cell_join(k, least, turn, schema), f"uid_a {kind.simpleString()}, uid_b {kind.simpleString()}, jaccard double")
+        .mapInArrow(cell_join(k, least, turn, schema), ddl)
     )
+    for pairs in far:
+        near = near.unionByName(pairs)
+    return near
+
+
+def _crossed(texts: DataFrame, blocks: int, k: int, least: float, turn: np.ndarray, schema: pa.Schema, ddl: str) -> DataFrame:
+    """The pairs of one part: each block becomes a row of packed texts in a partition of its own,
+    and the blocks i <= j meet in a Cartesian product that reads them from the checkpoint."""
+    block = F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")
+    packs = cut(texts.select(block.alias("block"), "part", "uid", "txt").repartitionById(blocks, F.col("block")).mapInArrow(pack, "block int, texts binary"))
+    release(texts.sparkSession)
+    a, b = packs.toDF("block_a", "a"), packs.toDF("block_b", "b")
+    met = a.hint("shuffle_replicate_nl").join(b, F.col("block_a") <= F.col("block_b"))
+    return met.mapInArrow(pack_join(k, least, turn, schema), ddl)
 
 
 def kmer_jaccard(rows: DataFrame, k: int, least: float) -> DataFrame:

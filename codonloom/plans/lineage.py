@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -33,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; executor loss cannot undo it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the files of shuffles and checkpoints that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which a lightly used heap puts off
+    until many rounds' files are on the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

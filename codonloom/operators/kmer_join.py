@@ -17,7 +17,7 @@ SET_LETTERS, EXPAND_ROWS = 1 << 20, 1 << 21
 #: Letters of a block that meet another block at once.
 CHUNK_LETTERS = 4_000_000
 #: Ratio of the largest to the smallest set of a class.
-CLASS_RATIO = 1.2
+CLASS_RATIO = 1.3
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +207,8 @@ class Sets:
         """(a here, b there, common k-mers, sizes of a and b), each pair once."""
         for x, (low, *here) in enumerate(self.classes):
             for y, (far, *there) in enumerate(other.classes):
-                wide = max(1.0, least * CLASS_RATIO) * (1 + 1e-9)
-                if (other is self and y < x) or low * least > far * wide * 2 or far * least > low * wide * 2:
+                wide = CLASS_RATIO * (1 + 1e-9)
+                if (other is self and y < x) or low * least > far * wide or far * least > low * wide:
                     continue
                 shared = self._shared(low, far, least)
                 head, mine = self._counted(here, far, low, least)
@@ -265,10 +265,11 @@ def _exact(a: str, b: str, k: int) -> tuple[int, int, int]:
     return len(x & y), len(x), len(y)
 
 
-def _near(home: Sets, other: Sets, k: int, least: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _near(home: Sets, other: Sets, k: int, least: float, turn: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """``uid_a, uid_b, jaccard`` of the pairs of two blocks."""
     for a, b, both, na, nb in home.pairs(other, least):
-        wide = [i for i, (x, y) in enumerate(zip(home.txt.take(pa.array(a)).to_pylist(), other.txt.take(pa.array(b)).to_pylist(), strict=True)) if hashed(x, k) or hashed(y, k)]
+        # numbers of 32 bits are never hashed
+        wide = [] if turn.itemsize == 4 else [i for i, (x, y) in enumerate(zip(home.txt.take(pa.array(a)).to_pylist(), other.txt.take(pa.array(b)).to_pylist(), strict=True)) if hashed(x, k) or hashed(y, k)]
         if wide:
             na, nb = na.copy(), nb.copy()
         for i in wide:
@@ -317,11 +318,11 @@ def pack_join(k: int, least: float, turn: np.ndarray, schema: pa.Schema):
                     home = None
                     at, home = one, sets(unpacked(batch.column("a")[i]))
                 if one == two:
-                    yield from _near(home, home, k, least, schema)
+                    yield from _near(home, home, k, least, turn, schema)
                     continue
                 rows = unpacked(batch.column("b")[i])
                 for s, e in _chunks(pc.utf8_length(rows["txt"]).to_numpy(), CHUNK_LETTERS):
-                    yield from _near(home, sets(rows.slice(s, e - s)), k, least, schema)
+                    yield from _near(home, sets(rows.slice(s, e - s)), k, least, turn, schema)
 
     return run
 
@@ -355,13 +356,13 @@ def cell_join(k: int, least: float, turn: np.ndarray, schema: pa.Schema, chunk_l
             if state["home"] is None:
                 state["rows"][1] = []
                 return
-            yield from _near(state["home"], sets(1), k, least, schema)
+            yield from _near(state["home"], sets(1), k, least, turn, schema)
 
         def end() -> Iterator[pa.RecordBatch]:
             yield from flush()
             if state["rows"][2]:
                 own = sets(2)
-                yield from _near(own, own, k, least, schema)
+                yield from _near(own, own, k, least, turn, schema)
 
         for batch in batches:
             cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()

@@ -34,7 +34,7 @@ def similarity_clusters(rows: DataFrame, id_col: str = "group_no", text_col: str
     texts = cut(keyed.groupBy("key").agg(F.min("id").alias("uid"), F.any_value("txt").alias("txt"), F.count("*").alias("weight")))
     sizes = texts.select(F.lit(0).alias("kind"), F.length("txt").cast("long").alias("n"), F.lit(True).alias("home"), F.lit(True).alias("other"))
     sides = texts.select(F.lit(0).alias("kind"), "uid", "txt", F.lit(True).alias("home"), F.lit(True).alias("other"))
-    links = cut(edit_pairs(sides, sizes, num, den, q=3, same=True, align=True, home_letters=1_000_000).select("uid_a", "uid_b", "dist"))
+    links = cut(edit_pairs(sides, sizes, num, den, q=3, same=True, align=True, home_letters=6_000_000, other_letters=(4_000_000, 64_000_000)).select("uid_a", "uid_b", "dist"))
     both = links.select(F.col("uid_a").alias("uid"), F.col("uid_b").alias("near"), "dist").unionByName(
         links.select(F.col("uid_b").alias("uid"), F.col("uid_a").alias("near"), "dist")
     )

@@ -25,14 +25,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HASH_MULT = np.uint32(0x9E3779B1)
-BUCKET_BITS = 22
 EXPAND_ROWS = 1 << 21
+#: Positions that are hashed and looked up at a time; the arrays stay in the cache.
+STEP = 1 << 15
+#: Added to the number of a stretch that is counted from the back of its text.
+BACK = 1 << 26
+#: Boxes of this many letters and more are looked up by as many letters as the shortest of their text has.
+LIKE = 6
+
+
+def _poly(codes: np.ndarray, q: int, made: dict[int, np.ndarray]) -> np.ndarray:
+    """Polynomial hash of the q letters from each position on, doubled from that of half as many."""
+    if q not in made:
+        if q == 1:
+            made[1] = codes.astype(np.uint32) + np.uint32(1)
+        else:
+            low = 1 << ((q - 1).bit_length() - 1)  # the largest power of two below q
+            head, tail = _poly(codes, low, made), _poly(codes, q - low, made)
+            n = max(0, len(codes) - q + 1)
+            made[q] = head[:n] * np.uint32(pow(int(HASH_MULT), q - low, 1 << 32)) + tail[low : low + n]
+    return made[q]
+
+
+def _poly_at(codes: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """The same hash at some positions only."""
+    h = np.zeros(len(at), dtype=np.uint32)
+    for i in range(q):
+        h = h * HASH_MULT + (codes[at + i].astype(np.uint32) + np.uint32(1))
+    return h
+
+
+def _mixed(head: np.ndarray, tail: np.ndarray | int) -> np.ndarray:
+    """One number from the hashes of both parts of a seed."""
+    h = head + tail
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return h
 
 
 class Pack:
     """A block of texts as one code array; texts are addressed by their index."""
 
-    __slots__ = ("codes", "off", "length", "owner", "uid", "txt", "hashes", "kept", "inner")
+    __slots__ = ("codes", "off", "length", "uid", "txt", "hashes", "kept")
 
     def __init__(self, uid: np.ndarray, txt: pa.Array, keep_bits: bool = False):
         self.uid, self.txt = uid, txt
@@ -44,42 +80,24 @@ class Pack:
             self.codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         self.length = np.asarray(pc.utf8_length(txt).to_numpy(zero_copy_only=False), dtype=np.int64)
         self.off = np.concatenate([[0], np.cumsum(self.length)])
-        self.owner = np.repeat(np.arange(len(uid), dtype=np.int32), self.length)
-        self.inner = np.arange(len(self.codes), dtype=np.int32) - self.off[:-1].astype(np.int32)[self.owner]  # place in its text
         self.hashes: dict[int, np.ndarray] = {}
 
-    def _raw(self, q: int, made: dict[int, np.ndarray]) -> np.ndarray:
-        """Polynomial hash of q letters, doubled from the hash of half as many."""
-        if q not in made:
-            if q == 1:
-                made[1] = self.codes.astype(np.uint32) + np.uint32(1)
-            else:
-                low = 1 << ((q - 1).bit_length() - 1)  # the largest power of two below q
-                head, tail = self._raw(low, made), self._raw(q - low, made)
-                n = max(0, len(self.codes) - q + 1)
-                factor = np.uint32(pow(int(HASH_MULT), q - low, 1 << 32))
-                made[q] = head[:n] * factor + tail[low : low + n]
-        return made[q]
-
-    def qhash(self, q: int, keep: bool) -> np.ndarray:
-        """Hash of the q letters from each position on (also across text ends; see ``inside``)."""
-        if q in self.hashes:
-            return self.hashes[q]
-        h = self._raw(q, {})
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        if keep:
-            self.hashes[q] = h
-        return h
-
-    def inside(self, at: np.ndarray, q: int) -> np.ndarray:
-        return self.owner[at] == self.owner[at + q - 1]
+    def qhash(self, q: int) -> np.ndarray:
+        """Hash of the q letters from each position on (also across text ends), made once."""
+        if q not in self.hashes:
+            out = np.empty(max(0, len(self.codes) - q + 1), dtype=np.uint32)
+            for s in range(0, len(out), STEP):
+                h = _poly(self.codes[s : s + STEP + q - 1], q, {})
+                out[s : s + STEP] = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            self.hashes[q] = out
+        return self.hashes[q]
 
     def profile(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashed q-gram counts of the texts ``which`` and a flag for saturated rows; ``dims``
         is a power of two."""
         out = np.zeros((len(which), dims), dtype=np.uint8)
         full = np.zeros(len(which), dtype=bool)
-        h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
+        h, n = self.qhash(q), np.maximum(self.length[which] - q + 1, 0)
         for s in range(0, len(which), 256):
             rows, at = _ranges(self.off[which[s : s + 256]], n[s : s + 256])
             m = len(n[s : s + 256])
@@ -102,7 +120,7 @@ class Pack:
         return self._held(which, q, dims)
 
     def _held(self, which: np.ndarray, q: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        h, n = self.qhash(q, keep=True), np.maximum(self.length[which] - q + 1, 0)
+        h, n = self.qhash(q), np.maximum(self.length[which] - q + 1, 0)
         bits = np.zeros((len(which), dims // 64), dtype=np.uint64)
         for s in range(0, len(which), 256):
             rows, at = _ranges(self.off[which[s : s + 256]], n[s : s + 256])
@@ -120,81 +138,235 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, np.arange(total) - np.repeat(ends - count, count) + np.repeat(start, count)
 
 
-class Segments:
-    """The k + 1 segments of every text of a pack, grouped by segment length."""
+def _stretch(number: np.ndarray) -> np.ndarray:
+    return number.astype(np.uint32) * np.uint32(0x27D4EB2F)
+
 
-    def __init__(self, pack: Pack, num: int, den: int):
-        self.pack = pack
+def _distinct(code: np.ndarray) -> np.ndarray:
+    code.sort()
+    return code[np.flatnonzero(np.diff(code, prepend=-1))]
+
+
+class Segments:
+    """The boxes of every text of a pack as seeds, in one table for each pattern of letters.
+
+    A text is cut into k + 2 boxes.  If k edits turn it into the other text, take the edits of a
+    box less one and add them up from the left: the sum starts at 0, falls by 1 at most and ends at
+    -2 or below.  The box at which it falls from 0 to -1 for the last time is intact, it has as many
+    edits before it as boxes, and the box after it has one edit at most, or the sum would rise to 0
+    again; for the same reason the two boxes after it have two edits at most.  One edit leaves that box's first part intact in its place, or its last part at most one
+    letter off.  So a seed is an intact box and one of these parts, and it must occur in the other
+    text with its parts as far apart as that allows; the edits before the box bound where.
+
+    Texts too short for boxes of two letters are cut into k + 1 boxes, one of which is intact, and
+    a seed is a box alone.  With ``both`` the other text may also be the longer one, and k is
+    that of the longest text in reach."""
+
+    def __init__(self, pack: Pack, num: int, den: int, both: bool):
+        self.pack, self.num, self.den, self.both = pack, num, den, both
         n = pack.length
-        self.k = n * num // den
-        m = self.k + 1
-        base, long = n // m, n % m
-        front = (m - long + 1) // 2
-        row, j = _ranges(np.zeros(len(n), dtype=np.int64), m)
-        b, lg, fr = base[row], long[row], front[row]
-        start = j * b + np.clip(j - fr, 0, lg)
-        size = b + ((j >= fr) & (j < fr + lg))
-        self.by_q: dict[int, tuple[np.ndarray, ...]] = {}
-        for q in np.unique(size):
-            pick = np.flatnonzero(size == q)
-            h = pack.qhash(int(q), keep=False)[pack.off[row[pick]] + start[pick]]
-            order = np.argsort(h)
-            pick = pick[order]
-            h = h[order]
-            bucket = h >> np.uint32(32 - BUCKET_BITS)
-            counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-            held = counts > 0
-            first = np.zeros((1 << BUCKET_BITS) + 1, dtype=np.int32)
-            np.cumsum(counts, out=first[1:])
-            self.by_q[int(q)] = (h, row[pick].astype(np.int32), j[pick].astype(np.int32), start[pick].astype(np.int32), held, first)
-
-    def matches(self, other: Pack, strict: bool, same: bool, keep: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(index here, index in other) of texts here with a shorter or equal one there that
-        holds an intact segment at an allowed position.  ``strict``: only shorter ones there;
-        ``same``: both sides hold the same table, ties go to the smaller uid here."""
+        self.k = (n * den // (den - num) if both else n) * num // den
+        base = n // (self.k + 2)
+        single = base < 2
+        m = self.k + np.where(single, 1, 2)
+        self.bare = np.flatnonzero(m > n)  # only if half of the letters may differ
+        row, j = _ranges(np.zeros(len(n), dtype=np.int64), np.where(m > n, 0, m))
+        start, end, after = j * n[row] // m[row], (j + 1) * n[row] // m[row], np.minimum(j + 2, m[row]) * n[row] // m[row]
+        size, following = end - start, after - end
+        like, alone = base[row] >= LIKE, single[row]
+        self.seg_row, self.seg_j = row.astype(np.int32), j.astype(np.int32)
+        x = np.where(like, base[row], size)
+        first = np.where(alone, 0, np.where(like, base[row], following) // 2)
+        last = np.where(like, first, following - first)
+        self.seg_start = (end - x).astype(np.int32)
+        # where the seed may be in the other text: from its front if it is in the front half, else from its back
+        at, left = end - x, self.k[row] - j
+        least, half_way = n - self.k, ((n * den // (den - num) if both else n) - 1) // 2
+        over = j if both else np.minimum(j, left)  # letters that the other text may be ahead
+        spans = []
+        for low, high, can in (
+            (at - j, at + over, np.ones(len(row), dtype=bool)),
+            (n[row] - 1 - at - left, n[row] - 1 - at + (left if both else np.minimum(j, left)), 2 * (at + over) >= least[row]),
+        ):
+            low, high = np.maximum(low, 0), np.minimum(high, half_way[row])
+            spans.append((low, np.where(can & (left >= 0), high, -1)))
+        wide = np.concatenate([high - low + 1 for low, high in spans])
+        #: Places in a text are told apart by their stretch of 2^wide letters.
+        self.wide = max(3, round(math.log2(wide[wide > 0].mean()))) if (wide > 0).any() else 3
+        spans = [(low >> self.wide, np.where(high < low, 0, (high >> self.wide) - (low >> self.wide) + 1)) for low, high in spans]
+        # the parts of a box that ``_followed`` looks for: its first and last letters, or only the last where they would overlap
+        half = np.where(alone, 0, np.where(like, base[row] // 2, (base[row] + 1) // 2))
+        self.half, self.part_end, self.two = half.astype(np.int32), end.astype(np.int32), size >= 2 * half
+        self.part_start, self.part_codes = start.astype(np.int32), np.zeros((2, len(row)), dtype=np.uint32)
+        for e in np.unique(half[~alone]):
+            some = np.flatnonzero((half == e) & ~alone)
+            self.part_codes[0, some] = _poly_at(pack.codes, pack.off[row[some]] + start[some], int(e))
+            self.part_codes[1, some] = _poly_at(pack.codes, pack.off[row[some]] + end[some] - e, int(e))
+        pick = np.flatnonzero(~alone & (j <= self.k[row]))
+        parts = [(first, end, np.zeros(len(row), dtype=np.int64), 0), (last, after - last, following - last, 1)]  # letters, place, gap and its slack
+        seeds: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        gaps: dict[tuple[int, int], set[int]] = {}
+        for (letters, place, gap, slack), rows in zip(parts, (np.flatnonzero(j <= self.k[row]), pick), strict=True):
+            shape = x[rows] * 1_000_000 + letters[rows]
+            for code in np.unique(shape):
+                key = (int(code) // 1_000_000, int(code) % 1_000_000)
+                some = rows[shape == code]
+                seeds.setdefault(key, []).append((some, pack.off[row[some]] + place[some]))
+                gaps.setdefault(key, set()).update(int(g) + d for g in np.unique(gap[some]) for d in range(-slack, slack + 1))
+        self.tables = {}
+        for (width, letters), made in seeds.items():
+            codes, ids = [], []
+            for some, place in made:
+                head = _poly_at(pack.codes, pack.off[row[some]] + self.seg_start[some], width) * HASH_MULT
+                tail = _poly_at(pack.codes, place, letters)
+                for back, (low, count) in enumerate(spans):
+                    copies, stretch = _ranges(low[some], count[some])
+                    codes.append(_mixed(head[copies] + _stretch(stretch + back * BACK), tail[copies]))
+                    ids.append(some[copies].astype(np.uint32))
+            both_parts = np.concatenate(codes).astype(np.uint64) << np.uint64(32) | np.concatenate(ids)
+            both_parts.sort()
+            h, seg = (both_parts >> np.uint64(32)).astype(np.uint32), both_parts.astype(np.uint32)
+            depth = min(22, max(8, len(h).bit_length()))
+            fine = min(26, depth + 4)
+            byte, bit = h >> np.uint32(35 - fine), np.uint8(1) << (h >> np.uint32(32 - fine) & np.uint32(7)).astype(np.uint8)
+            new = np.flatnonzero(np.diff(byte, prepend=~byte[:1]))
+            held = np.zeros(1 << fine - 3, dtype=np.uint8)
+            held[byte[new]] = np.bitwise_or.reduceat(bit, new)
+            ends = np.zeros((1 << depth) + 1, dtype=np.int32)
+            np.cumsum(np.bincount(h >> np.uint32(32 - depth), minlength=1 << depth), out=ends[1:])
+            self.tables[width, letters] = (h, seg, depth, fine, held, ends, sorted(gaps[width, letters]))
+
+    def matches(self, other: Pack, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index here, index in other), perhaps repeated, of texts whose lengths are near and that
+        share a seed at allowed positions.  Without ``both`` the text there is not the longer one; ``same``:
+        both sides hold the same table, of equal lengths the smaller uid is here."""
         if not len(self.pack.uid) or not len(other.uid):
             return
-        for q, (hs, seg_row, seg_j, seg_start, held, first) in self.by_q.items():
-            h = other.qhash(q, keep=keep)
-            at = np.flatnonzero(held[h >> np.uint32(32 - BUCKET_BITS)])
-            at = at[other.inside(at, q)]
-            bucket = h[at] >> np.uint32(32 - BUCKET_BITS)
-            lo = first[bucket].astype(np.int64)
-            cnt = first[bucket + np.uint32(1)] - lo
-            cum = np.cumsum(cnt)
+        for s in range(0, len(self.bare), step := max(1, EXPAND_ROWS // len(other.uid))):
+            mine = np.repeat(self.bare[s : s + step], len(other.uid))
+            theirs = np.tile(np.arange(len(other.uid)), len(self.bare[s : s + step]))
+            ok, _, _ = self._fitting(mine, other, theirs, same)
+            yield mine[ok], theirs[ok]
+        owner = np.repeat(np.arange(len(other.uid), dtype=np.int32), other.length)
+        inner = np.arange(len(other.codes), dtype=np.int32) - other.off[:-1].astype(np.int32)[owner]
+        reach = max((w + e + max(g) for (w, e), (*_, g) in self.tables.items()), default=0)
+        wait: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, int]]] = {shape: [] for shape in self.tables}
+        waiting = 0
+        for s in range(0, len(other.codes), STEP):
+            made: dict[int, np.ndarray] = {}
+            codes = other.codes[s : s + STEP + reach]
+            ahead, behind = inner[s : s + STEP], other.length.astype(np.int32)[owner[s : s + STEP]] - 1 - inner[s : s + STEP]
+            place = _stretch(np.where(ahead <= behind, ahead >> self.wide, (behind >> self.wide) + BACK))
+            for shape, (_, _, _, fine, bits, _, gaps) in self.tables.items():
+                width, letters = shape
+                if len(codes) < width + letters:
+                    continue
+                head = _poly(codes, width, made)[:STEP] * HASH_MULT
+                head += place[: len(head)]
+                tail = _poly(codes, letters, made) if letters else None
+                for gap in gaps:
+                    if letters:
+                        t = tail[width + gap : width + gap + len(head)]
+                        h = _mixed(head[: len(t)], t)
+                    else:
+                        h = _mixed(head, np.uint32(0))
+                    byte = (h >> np.uint32(35 - fine)).astype(np.int64)
+                    hit = bits.take(byte, mode="clip")
+                    hit >>= (h >> np.uint32(32 - fine)).astype(np.uint8) & np.uint8(7)
+                    hit &= np.uint8(1)
+                    at = np.flatnonzero(hit.view(bool))
+                    wait[shape].append((h[at], at + s, width + gap + letters if letters else width))
+                    waiting += len(at)
+            if waiting >= EXPAND_ROWS:
+                yield from self._expanded(wait, other, owner, inner, same)
+                waiting = 0
+        yield from self._expanded(wait, other, owner, inner, same)
+
+    def _expanded(self, wait: dict, other: Pack, owner: np.ndarray, inner: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of the positions that wait, with the seeds of their hash; nothing waits then."""
+        for shape, (hs, seg_of, depth, _, _, ends, _) in self.tables.items():
+            mine, wait[shape] = wait[shape], []
+            if not mine:
+                continue
+            h, at = np.concatenate([w[0] for w in mine]), np.concatenate([w[1] for w in mine])
+            span = np.repeat([w[2] for w in mine], [len(w[0]) for w in mine])
+            bucket = (h >> np.uint32(32 - depth)).astype(np.int64)
+            lo = ends.take(bucket, mode="clip")
+            count = ends.take(bucket + 1, mode="clip") - lo
+            cum = np.cumsum(count, dtype=np.int64)
+            pieces: dict[int, np.ndarray] = {}
             s = 0
             while s < len(at):
                 done = cum[s - 1] if s else 0
                 e = max(s + 1, int(np.searchsorted(cum, done + EXPAND_ROWS, side="right")))
-                rows, seg = _ranges(lo[s:e], cnt[s:e])
-                pos = at[s:e][rows]
-                shift = other.inner[pos] - seg_start[seg]
-                near = np.flatnonzero((hs[seg] == h[pos]) & (np.abs(shift) <= seg_j[seg]))
-                seg, pos, shift = seg[near], pos[near], shift[near]
-                theirs, mine, j = other.owner[pos].astype(np.int64), seg_row[seg].astype(np.int64), seg_j[seg]
-                delta, k = other.length[theirs] - self.pack.length[mine], self.k[mine]
-                ok = (np.abs(shift - delta) <= k - j) & (-delta <= k) & ((delta < 0) if strict else (delta <= 0))
-                if same:
-                    ok &= (delta < 0) | (self.pack.uid[mine] < other.uid[theirs])
-                if ok.any():
-                    code = np.unique(mine[ok] * len(other.uid) + theirs[ok])
-                    yield code // len(other.uid), code % len(other.uid)
+                rows, place = _ranges(lo[s:e], count[s:e])
+                equal = np.flatnonzero(hs.take(place, mode="clip") == h[s:e].take(rows, mode="clip"))
+                seg, rows = seg_of[place[equal]], rows[equal] + s
+                pos = at[rows]
+                shift, j = inner[pos] - self.seg_start[seg], self.seg_j[seg]
+                b = owner[pos]
+                near = np.flatnonzero((np.abs(shift) <= j) & (b == owner[pos + span[rows] - 1]))
+                seg, shift, j = seg[near], shift[near], j[near]
+                a, b = self.seg_row[seg].astype(np.int64), b[near].astype(np.int64)
+                ok, delta, k = self._fitting(a, other, b, same)
+                ok &= np.abs(shift - delta) <= k - j
+                ok = np.flatnonzero(ok)
+                ok = ok[self._followed(seg[ok], pos[near[ok]] - self.seg_start[seg[ok]], other, pieces)]
+                yield a[ok], b[ok]
                 s = e
 
-    def survivors(self, other: Pack, q: int, dims: int, strict: bool, same: bool, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _followed(self, seg: np.ndarray, at: np.ndarray, other: Pack, pieces: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether the two boxes after a seed's box may have two edits in all (see above: the sum
+        stays below 0), so that all of their parts but two are intact; ``at`` is where the
+        text here would begin in the other codes."""
+        out = np.ones(len(seg), dtype=bool)
+        j, k = self.seg_j[seg], self.k[self.seg_row[seg]]
+        full = np.flatnonzero((j < k) & (self.half[seg] > 0) & (self.two[np.minimum(seg + 1, len(self.two) - 1)] | self.two[np.minimum(seg + 2, len(self.two) - 1)]))
+        for e in np.unique(self.half[seg[full]]):
+            pick = full[self.half[seg[full]] == e]
+            if int(e) not in pieces:
+                pieces[int(e)] = _poly(other.codes, int(e), {})
+            codes = pieces[int(e)]
+            intact = np.zeros(len(pick), dtype=np.int64)
+            needed = np.zeros(len(pick), dtype=np.int64)
+            for box, slack in ((seg[pick] + 1, 1), (seg[pick] + 2, 2)):
+                two = self.two[box]
+                needed += two
+                for part, place in ((0, self.part_start[box]), (1, self.part_end[box] - e)):
+                    place, code = at[pick] + place, self.part_codes[part][box]
+                    found = np.zeros(len(pick), dtype=bool)
+                    for d in range(-slack, slack + 1):
+                        found |= codes.take(place + d, mode="clip") == code
+                    intact += found & two if part == 0 else found
+            out[pick] = intact >= needed
+        return out
+
+    def _fitting(self, mine: np.ndarray, other: Pack, theirs: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether lengths and sides fit; by how much the other text is longer; the edits allowed."""
+        delta = other.length[theirs] - self.pack.length[mine]
+        if self.both:
+            k = np.maximum(other.length[theirs], self.pack.length[mine]) * self.num // self.den
+            return np.abs(delta) <= k, delta, k
+        k = self.k[mine]
+        ok = (-delta <= k) & (delta <= 0)
+        if same:
+            ok &= (delta < 0) | (self.pack.uid[mine] < other.uid[theirs])
+        return ok, delta, k
+
+    def survivors(self, other: Pack, q: int, dims: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
         """Matches that also share as many q-grams as k edits must leave."""
         found: list[np.ndarray] = []
         wait: list[np.ndarray] = []
-        for a, b in self.matches(other, strict, same, keep):
+        for a, b in self.matches(other, same):
             wait.append(a * len(other.uid) + b)
             if sum(map(len, wait)) >= EXPAND_ROWS:
-                found.append(self._bounded(np.unique(np.concatenate(wait)), other, q, dims))
+                found.append(self._bounded(_distinct(np.concatenate(wait)), other, q, dims))
                 wait = []
         if wait:
-            found.append(self._bounded(np.unique(np.concatenate(wait)), other, q, dims))
+            found.append(self._bounded(_distinct(np.concatenate(wait)), other, q, dims))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        code = np.unique(np.concatenate(found))
+        code = _distinct(np.concatenate(found))
         return code // len(other.uid), code % len(other.uid)
 
     def _bounded(self, code: np.ndarray, other: Pack, q: int, dims: int) -> np.ndarray:
@@ -202,7 +374,8 @@ class Segments:
         (shared bits, and all repeats of one side, are no fewer than the shared q-grams), then by
         their counts."""
         a, b = code // len(other.uid), code % len(other.uid)
-        need = self.pack.length[a] - q + 1 - q * self.k[a]
+        longer = np.maximum(self.pack.length[a], other.length[b])
+        need = longer - q + 1 - q * (longer * self.num // self.den)
 
         def by_bits(pa_: tuple, pb: tuple, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
             shared = np.bitwise_count(pa_[0][xa] & pb[0][xb]).sum(axis=1, dtype=np.int64)
@@ -384,16 +557,13 @@ def _cell_join(num: int, den: int, q: int, dims: int, same: bool, align: bool, c
             if state["pack"] is None:
                 tab = pa.Table.from_batches(state["home"]).combine_chunks()
                 state["pack"] = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks(), keep_bits=True)
-                state["seg"] = Segments(state["pack"], num, den)
+                state["seg"] = Segments(state["pack"], num, den, both=not same)
             tab = pa.Table.from_batches(state["wait"]).combine_chunks()
             other = Pack(tab["uid"].to_numpy(), tab["txt"].combine_chunks())
             state.update(wait=[], letters=0, rows=0)
             home = state["pack"]
-            a, b = state["seg"].survivors(other, q, dims, strict=False, same=same, keep=False)
+            a, b = state["seg"].survivors(other, q, dims, same=same)
             yield from emit(home, a, other, b)
-            if not same:
-                b, a = Segments(other, num, den).survivors(home, q, dims, strict=True, same=False, keep=True)
-                yield from emit(home, a, other, b)
 
         for batch in batches:
             cells = batch.column("cell").to_numpy()
@@ -459,7 +629,7 @@ def edit_pairs(
     """
     spark = texts.sparkSession
     ratio = den / (den - num)
-    width = math.log(ratio) * (1.0 if same else 2.0)
+    width = math.log(ratio) * (0.5 if same else 1.0)  # a text has partners in its class and in two more
 
     def cls(n):
         return F.floor(F.log(n.cast("double")) / F.lit(width)).cast("int")
@@ -472,7 +642,7 @@ def edit_pairs(
         .withColumn("c", cls(n))
         .groupBy("kind", "c")
         .agg(F.sum(F.when(F.col("home"), n)).alias("h"), F.sum(F.when(F.col("other"), n)).alias("o"))
-        .collect()  # one row per length class: about a hundred at most
+        .collect()  # one row per length class: two hundred at most
     )
     # the other side of a class also holds the texts of its neighbour classes
     home_blocks: dict[tuple[int, int], int] = {}
@@ -481,7 +651,7 @@ def edit_pairs(
     by = {(r["kind"], r["c"]): (r["h"] or 0, r["o"] or 0) for r in stats}
     classes = [(kind, c) for kind in sorted({k for k, _ in by}) for c in range(max(x for k, x in by if k == kind) + 1)]
     for kind, c in classes:
-        near[kind, c] = sum(by.get((kind, x), (0, 0))[1] for x in (c - 1, c, c + 1))
+        near[kind, c] = sum(by.get((kind, x), (0, 0))[1] for x in (range(c - 2, c + 1) if same else range(c - 1, c + 2)))
         home_blocks[kind, c] = max(1, math.ceil(by.get((kind, c), (0, 0))[0] / home_letters))
     even = sum(m * home_blocks[x] for x, m in near.items()) // (4 * spark.sparkContext.defaultParallelism)
     block = min(max(even, other_letters[0]), other_letters[1])

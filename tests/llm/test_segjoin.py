@@ -165,3 +165,42 @@ def test_clusters_are_components(spark, monkeypatch):
 def test_clusters_empty(spark):
     members, classes = similarity_clusters(spark.createDataFrame([], "group_no long, protein_aa string"))
     assert members.count() == classes.count() == 0
+
+
+def cell(home, other, num, den, q, same=False):
+    """The pairs of one cell that pass the q-gram bound, and how many pairs were tested for it."""
+    tested = []
+    rows = [(0, 0, 0, i, t) for i, t in enumerate(home)] + [(0, 1, 0, i if same else i + len(home), t) for i, t in enumerate(other)]
+    schema = pa.schema([("cell", pa.int32()), ("side", pa.int32()), ("kind", pa.int32()), ("uid", pa.int64()), ("txt", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    bounded = segjoin.Segments._bounded
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(segjoin.Segments, "_bounded", lambda self, code, *rest: (tested.append(len(code)), bounded(self, code, *rest))[1])
+        out = [(r["uid_a"], r["uid_b"]) for b in segjoin._cell_join(num, den, q, 4096, same, False, 4_000_000, 16_384)(iter([batch])) for r in b.to_pylist()]
+    assert len(out) == len(set(out))
+    return set(out), sum(tested)
+
+
+def test_p3_random_proteins_rarely_meet():
+    rng = random.Random(32)
+    texts = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(160, 190))) for _ in range(700)]
+    texts[:10] = [edited(rng, t, 39, "ACDEFGHIKLMNPQRSTVWY") for t in texts[-10:]]
+    found, tested = cell(texts, texts, 1, 4, 3, same=True)
+    assert {(i, 690 + i) for i in range(10)} <= {(min(x), max(x)) for x in found}
+    assert tested < 500  # of 244 650 pairs
+
+
+@pytest.mark.parametrize("num,den,letters,low,high,q", [(1, 10, "ACGT", 1, 140, 6), (1, 10, "AB", 20, 90, 6), (1, 4, "ABCD", 1, 50, 3), (1, 2, "ABCD", 1, 20, 2), (3, 5, "AB", 1, 12, 2), (1, 40, "AC", 100, 300, 6)])
+def test_cells_lose_no_pair(num, den, letters, low, high, q):
+    rng = random.Random(high + den)
+    texts = family_texts(rng, letters, 70, low, high, num / den)
+    home, other = texts[::2], texts[1::2]
+
+    def close(a, b):
+        return abs(len(a) - len(b)) <= max(len(a), len(b)) * num // den and near(a, b, num, den)
+
+    found, _ = cell(home, other, num, den, q)
+    assert {(i, len(home) + j) for i, a in enumerate(home) for j, b in enumerate(other) if close(a, b)} <= found
+    if 2 * num < den:
+        found, _ = cell(texts, texts, num, den, q, same=True)
+        assert {frozenset((i, j)) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if close(a, b)} <= {frozenset(x) for x in found}

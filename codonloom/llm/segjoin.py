@@ -607,7 +607,7 @@ def edit_pairs(
     dims: int = 4096,
     same: bool = False,
     align: bool = False,
-    home_letters: int = 6_000_000,
+    home_letters: int = 12_000_000,
     other_letters: tuple[int, int] = (8_000_000, 64_000_000),
     chunk_letters: int = 4_000_000,
     chunk_rows: int = 16_384,

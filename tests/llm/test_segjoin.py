@@ -181,6 +181,15 @@ def cell(home, other, num, den, q, same=False):
     return set(out), sum(tested)
 
 
+def test_p2_random_sequences_rarely_meet():
+    rng = random.Random(31)
+    home, other = (["".join(rng.choices("ACGT", k=rng.randint(460, 500))) for _ in range(n)] for n in (500, 1000))
+    other[::100] = [edited(rng, home[i], 44, "ACGT") for i in range(10)]
+    found, tested = cell(home, other, 1, 10, 6)
+    assert {(i, 500 + 100 * i) for i in range(10)} <= found
+    assert tested < 150  # of 500 000 pairs
+
+
 def test_p3_random_proteins_rarely_meet():
     rng = random.Random(32)
     texts = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(160, 190))) for _ in range(700)]
